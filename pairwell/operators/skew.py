@@ -1,0 +1,44 @@
+"""Joins that keep working when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_SHARE = 0.01
+SALTS = 64
+
+
+def lookup_join(
+    rows: DataFrame, lookup: DataFrame, key: str, spread_by: Sequence[str], how: str = "left"
+) -> DataFrame:
+    """Join ``rows`` to a lookup that has at most one row per key.
+
+    Keys holding over 1 % of the rows (at most 100 keys can) are split over
+    salted copies of their lookup row. Rows without a key are spread too.
+    ``spread_by`` names columns that tell the rows of one key apart.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError("how must be left or inner")
+    total = rows.count()
+    hot = (
+        rows.filter(F.col(key).isNotNull())
+        .groupBy(key)
+        .count()
+        .filter(F.col("count") > total * HOT_SHARE)
+        .select(F.col(key).alias("hot_key"))
+    )
+    hot = F.broadcast(hot)
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS))
+    is_hot = F.col("hot_key").isNotNull()
+    left = rows.join(hot, F.col(key) == F.col("hot_key"), "left").withColumn(
+        "salt", F.when(is_hot | F.col(key).isNull(), salt).otherwise(F.lit(0))
+    )
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = lookup.join(hot, F.col(key) == F.col("hot_key"), "left").withColumn(
+        "salt", F.explode(copies).cast("bigint")
+    )
+    joined = left.drop("hot_key").join(right.drop("hot_key"), [key, "salt"], how)
+    return joined.drop("salt")
