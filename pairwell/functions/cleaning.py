@@ -15,9 +15,8 @@ PAGE_SIZE = 50
 
 def clean_location(text: Column) -> Column:
     """Lines without expiry or view-count marks, stripped, joined by commas."""
-    lines = F.split(text, "\n", -1)
-    for mark in DROPPED_LOCATION_MARKS:
-        lines = F.filter(lines, lambda line, mark=mark: ~line.contains(mark))
+    dropped = "|".join(DROPPED_LOCATION_MARKS)
+    lines = F.filter(F.split(text, "\n", -1), lambda line: ~F.regexp_like(line, F.lit(dropped)))
     return F.coalesce(F.array_join(F.transform(lines, strip), ", "), F.lit(""))
 
 

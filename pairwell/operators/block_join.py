@@ -182,3 +182,9 @@ def fixed_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         raise ValueError(f"vectors of different lengths: {lengths.tolist()}")
     width = int(lengths[0]) if len(lengths) else 0
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
+def rounded(score: np.ndarray, digits: int) -> np.ndarray:
+    """Non-negative scores to some digits, halves up, as SQL does."""
+    unit = 10.0**digits
+    return np.floor(score * unit + 0.5) / unit

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairwell.functions.scores import BM25_B, BM25_BOOST, BM25_K1, SCORE_DIGITS, bm25_idf
 from pairwell.functions.text import tokens
-from pairwell.operators.block_join import Limits, best_matches, flat_ids
+from pairwell.operators.block_join import Limits, best_matches, flat_ids, rounded
 from pairwell.operators.ranking import as_channel
 from pairwell.operators.terms import TermIndex, term_hits
 
@@ -38,7 +38,7 @@ class Bm25Kernel:
         norm = self.k1 * (1 - self.b + self.b * length[hits.posting] / self.mean_length)
         gain = hits.times * (self.k1 + 1) / (hits.times + norm)
         total = state.index.add_up(hits, gain, len(state.ids), len(lists))
-        return np.where(total > 0, np.round(total, SCORE_DIGITS), -np.inf)
+        return np.where(total > 0, rounded(total, SCORE_DIGITS), -np.inf)
 
 
 def corpus_stats(postings: DataFrame, token_column: str = "tokens") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.functions.scores import SCORE_DIGITS
-from pairwell.operators.block_join import Limits, best_matches, fixed_matrix, flat_ids, match_counts
+from pairwell.operators.block_join import Limits, best_matches, fixed_matrix, flat_ids, match_counts, rounded
 from pairwell.operators.ranking import as_channel
 from pairwell.operators.sketch import MAX_HASH, NUM_PERM, THRESHOLD, optimal_bands
 from pairwell.operators.terms import TermIndex, term_hits
@@ -25,6 +25,7 @@ class SketchKernel:
         self.bands, self.rows = bands, rows
 
     def prepare(self, profiles: pa.Table) -> SimpleNamespace:
+        profiles = profiles.filter(pa.array(_filled(fixed_matrix(profiles.column("signature")))))
         sketches = fixed_matrix(profiles.column("signature"))
         keys = self._band_keys(sketches)
         order = np.argsort(keys, axis=0, kind="stable")
@@ -43,7 +44,7 @@ class SketchKernel:
             p = profile[start : start + PAIRS_AT_A_TIME]
             d = posting[start : start + PAIRS_AT_A_TIME]
             same = (state.sketches[p] == sketches[d]).mean(axis=1)
-            score[p, d] = np.round(same, SCORE_DIGITS)
+            score[p, d] = rounded(same, SCORE_DIGITS)
         return score
 
     def _candidates(self, state: SimpleNamespace, sketches: np.ndarray) -> np.ndarray:
@@ -61,6 +62,7 @@ class SketchKernel:
                 same = (state.sketches[profile, part] == sketches[posting, part]).all(axis=1)
                 profile, posting = profile[same], posting[same]
             candidate[profile, posting] = True
+        candidate[:, ~_filled(sketches)] = False
         return candidate
 
     def _band_keys(self, sketches: np.ndarray) -> np.ndarray:
@@ -73,6 +75,7 @@ class ExactJaccardKernel(SketchKernel):
     """Same candidates, scored by the exact Jaccard of their token sets."""
 
     def prepare(self, profiles: pa.Table) -> SimpleNamespace:
+        profiles = profiles.filter(pa.array(_filled(fixed_matrix(profiles.column("signature")))))
         state = super().prepare(profiles)
         tokens = flat_ids(profiles.column("tokens"))
         state.index = TermIndex.from_lists(tokens)
@@ -86,13 +89,16 @@ class ExactJaccardKernel(SketchKernel):
         shared = state.index.add_up(hits, np.ones(len(hits.term)), len(state.ids), len(lists))
         sizes = lists.value_lengths().to_numpy()
         jaccard = shared / (state.sizes[:, None] + sizes[None, :] - shared)
-        return np.where(candidate, np.round(jaccard, SCORE_DIGITS), -np.inf)
+        return np.where(candidate, rounded(jaccard, SCORE_DIGITS), -np.inf)
+
+
+def _filled(sketches: np.ndarray) -> np.ndarray:
+    """Rows that are not the all-maxima sketch of the empty set, which equals any other one."""
+    return (sketches != MAX_HASH).any(axis=1)
 
 
 def _side(df: DataFrame, id_column: str, verify: str) -> DataFrame:
-    columns = [id_column, "signature"] + (["tokens"] if verify == "exact" else [])
-    # All maxima is the sketch of the empty set, and equal to that of any other empty set.
-    return df.select(*columns).filter(F.exists("signature", lambda value: value != MAX_HASH))
+    return df.select(id_column, "signature", *(["tokens"] if verify == "exact" else []))
 
 
 def lsh_topk(

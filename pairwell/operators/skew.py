@@ -31,14 +31,14 @@ def lookup_join(
         .select(F.col(key).alias("hot_key"))
     )
     hot = F.broadcast(hot)
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS))
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
     is_hot = F.col("hot_key").isNotNull()
     left = rows.join(hot, F.col(key) == F.col("hot_key"), "left").withColumn(
         "salt", F.when(is_hot | F.col(key).isNull(), salt).otherwise(F.lit(0))
     )
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = lookup.join(hot, F.col(key) == F.col("hot_key"), "left").withColumn(
-        "salt", F.explode(copies).cast("bigint")
+        "salt", F.explode(copies)
     )
     joined = left.drop("hot_key").join(right.drop("hot_key"), [key, "salt"], how)
     return joined.drop("salt")

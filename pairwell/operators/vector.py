@@ -6,11 +6,11 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.functions.scores import SCORE_DIGITS
-from pairwell.operators.block_join import Limits, best_matches, fixed_matrix, flat_ids
+from pairwell.operators.block_join import Limits, best_matches, fixed_matrix, flat_ids, rounded
 from pairwell.operators.ranking import as_channel
 
 
@@ -18,22 +18,29 @@ class CosineKernel:
     """Cosine + 1 as one matrix product per batch."""
 
     def prepare(self, profiles: pa.Table) -> SimpleNamespace:
-        return SimpleNamespace(
-            ids=flat_ids(profiles.column("cv_id")), units=_units(profiles.column("vector"))
-        )
+        usable, units = _units(flat_ids(profiles.column("vector")))
+        ids = flat_ids(profiles.column("cv_id")).take(pa.array(usable))
+        return SimpleNamespace(ids=ids, units=units)
 
     def score(self, state: SimpleNamespace, postings: pa.RecordBatch) -> np.ndarray:
-        return np.round(state.units @ _units(postings.column("vector")).T + 1.0, SCORE_DIGITS)
+        usable, units = _units(postings.column("vector"))
+        score = np.full((len(state.ids), postings.num_rows), -np.inf)
+        if len(usable):
+            score[:, usable] = rounded(state.units @ units.T + 1.0, SCORE_DIGITS)
+        return score
 
 
-def _units(column) -> np.ndarray:
-    vectors = fixed_matrix(column).astype(np.float64)
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, and the rows they come from.
 
-
-def usable(vector: Column) -> Column:
-    """Neither null nor all zero: such vectors stand for "no text"."""
-    return vector.isNotNull() & F.exists(vector, lambda x: x != 0)
+    Null and all-zero vectors stand for "no text" and are left out here, in the
+    task: a Spark filter on them would compute an inline embedding twice.
+    """
+    present = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    vectors = fixed_matrix(column.drop_null()).astype(np.float64)
+    length = np.linalg.norm(vectors, axis=1)
+    usable = np.flatnonzero(length > 0)
+    return present[usable], vectors[usable] / length[usable, None]
 
 
 def vector_topk(
@@ -48,9 +55,9 @@ def vector_topk(
     """The ``k`` postings nearest to every profile by cosine."""
 
     def side(df: DataFrame, id_column: str, vector: str) -> DataFrame:
-        return df.select(id_column, F.col(vector).alias("vector")).filter(usable(F.col("vector")))
+        return df.select(id_column, F.col(vector).alias("vector"))
 
-    width = F.size("vector") * 4 + 16
+    width = F.coalesce(F.size("vector"), F.lit(0)) * 4 + 16
     best = best_matches(
         side(profiles, "cv_id", profile_vector),
         side(postings, "doc_id", posting_vector),
