@@ -21,6 +21,12 @@ def _body(text: str) -> str:
     return f"CASE WHEN contains({text}, chr(10)) THEN substr({text}, instr({text}, chr(10)) + 1) ELSE {text} END"
 
 
+def _hash(term: str) -> str:
+    """First four bytes of SHA-1, read little-endian."""
+    bytes_back = " || ".join(f"substr(sha1({term}), {at}, 2)" for at in (7, 5, 3, 1))
+    return f"('0x' || {bytes_back})::BIGINT"
+
+
 def _word_lists(name: str, table: str, key: str) -> str:
     """Distinct words of every text in order of first appearance."""
     return f"""
@@ -79,9 +85,7 @@ def _sketch_ctes() -> str:
     return f"""
 perm(pos, a, b) AS MATERIALIZED (VALUES {values}),
 hashed AS MATERIALIZED (
-  SELECT term, ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::BIGINT AS h
-  FROM (SELECT term, sha1(term) AS h
-        FROM (SELECT term FROM doc_tf UNION SELECT term FROM cv_tf))),
+  SELECT term, {_hash('term')} AS h FROM (SELECT term FROM doc_tf UNION SELECT term FROM cv_tf)),
 mixed AS MATERIALIZED (
   SELECT term, pos, ((((a * h + b) % 18446744073709551616) % 2305843009213693951) % 4294967296)::BIGINT AS v
   FROM hashed, perm),
@@ -120,7 +124,7 @@ def _embedding(name: str, table: str, id_column: str, text: str) -> str:
     return f"""
 {name}_cell AS MATERIALIZED (
   SELECT id, h % {DIM} AS cell, sum(1 - 2 * ((h // {DIM}) % 2))::BIGINT AS x
-  FROM (SELECT id, ('0x' || substr(sha1(term), 1, 8))::BIGINT AS h
+  FROM (SELECT id, {_hash('term')} AS h
         FROM (SELECT {id_column} AS id, unnest({_words(text)}) AS term FROM {table}))
   GROUP BY ALL),
 {name}_norm AS MATERIALIZED (SELECT id, sqrt(sum(x * x)::DOUBLE) AS norm FROM {name}_cell GROUP BY id HAVING sum(x * x) > 0)
@@ -218,7 +222,7 @@ CLEAN_POSTING = f"""
 WITH {MESSAGES},
 cells AS (
   SELECT doc_id, h % {DIM} AS cell, sum(1 - 2 * ((h // {DIM}) % 2))::BIGINT AS x
-  FROM (SELECT doc_id, ('0x' || substr(sha1(term), 1, 8))::BIGINT AS h
+  FROM (SELECT doc_id, {_hash('term')} AS h
         FROM (SELECT doc_id, unnest({_words('text')}) AS term FROM documents)) GROUP BY ALL),
 vectors AS (
   SELECT doc_id, string_agg(coalesce(x, 0)::VARCHAR, ' ' ORDER BY g.cell) AS vector

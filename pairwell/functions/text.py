@@ -29,11 +29,3 @@ def normal_tokens(items: Column) -> Column:
     """Distinct items after lower-casing and stripping, blanks dropped."""
     cleaned = F.transform(items, lambda item: strip(F.lower(item)))
     return F.array_distinct(F.filter(cleaned, lambda item: item != ""))
-
-
-def token_hashes(items: Column) -> Column:
-    """First 32 bits of SHA-1 of every item, as non-negative integers."""
-    return F.transform(
-        items,
-        lambda item: F.conv(F.substring(F.sha1(item), 1, 8), 16, 10).cast("bigint"),
-    )

@@ -19,6 +19,7 @@ from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +31,7 @@ class Limits:
 
     broadcast_bytes: int = 64 << 20
     block_bytes: int = 128 << 20
-    scores: int = 4_000_000
+    scores: int = 1_000_000
 
 
 class Kernel(Protocol):
@@ -48,14 +49,15 @@ def best_matches(
     postings: DataFrame,
     kernel: Kernel,
     k: int,
-    profile_bytes: Column,
+    profile_size: int,
     posting_bytes: Column,
     limits: Limits = Limits(),
 ) -> DataFrame:
     """Rows ``(cv_id, doc_id, score)`` holding every profile's ``k`` best postings.
 
     Each task contributes its own ``k`` best, so rank the result once more.
-    Ties go to the smaller ``doc_id``.
+    Ties go to the smaller ``doc_id``. ``profile_size`` is a proven upper bound
+    of the profile rows in bytes.
     """
     schema = T.StructType(
         [profiles.schema["cv_id"], postings.schema["doc_id"], T.StructField("score", T.DoubleType())]
@@ -64,14 +66,14 @@ def best_matches(
     def reduce(state: Any, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _best_rows(kernel, state, batches, k, limits.scores)
 
-    return _run(profiles, postings, kernel, reduce, schema, profile_bytes, posting_bytes, limits)
+    return _run(profiles, postings, kernel, reduce, schema, profile_size, posting_bytes, limits)
 
 
 def match_counts(
     profiles: DataFrame,
     postings: DataFrame,
     kernel: Kernel,
-    profile_bytes: Column,
+    profile_size: int,
     posting_bytes: Column,
     limits: Limits = Limits(),
 ) -> DataFrame:
@@ -81,13 +83,17 @@ def match_counts(
     def reduce(state: Any, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _count_rows(kernel, state, batches, limits.scores)
 
-    partial = _run(profiles, postings, kernel, reduce, schema, profile_bytes, posting_bytes, limits)
+    partial = _run(profiles, postings, kernel, reduce, schema, profile_size, posting_bytes, limits)
     return partial.groupBy("cv_id").agg(F.sum("candidates").alias("candidates"))
 
 
-def _run(profiles, postings, kernel, reduce, schema, profile_bytes, posting_bytes, limits):
-    size = profiles.agg(F.sum(profile_bytes)).first()[0] or 0
-    if size <= limits.broadcast_bytes:
+def measured(df: DataFrame, row_bytes: Column) -> int:
+    """Bytes of all rows together."""
+    return df.agg(F.sum(row_bytes)).first()[0] or 0
+
+
+def _run(profiles, postings, kernel, reduce, schema, profile_size, posting_bytes, limits):
+    if profile_size <= limits.broadcast_bytes:
         shared = profiles.sparkSession.sparkContext.broadcast(profiles.toArrow())
 
         def over_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +101,8 @@ def _run(profiles, postings, kernel, reduce, schema, profile_bytes, posting_byte
 
         return postings.mapInArrow(over_partition, schema)
 
-    profile_blocks = math.ceil(size / limits.block_bytes)
-    posting_size = postings.agg(F.sum(posting_bytes)).first()[0] or 0
-    posting_blocks = max(1, math.ceil(posting_size / limits.block_bytes))
+    profile_blocks = math.ceil(profile_size / limits.block_bytes)
+    posting_blocks = max(1, math.ceil(measured(postings, posting_bytes) / limits.block_bytes))
     left = _on_grid(profiles, "cv_id", "profile_block", profile_blocks, "posting_block", posting_blocks)
     right = _on_grid(postings, "doc_id", "posting_block", posting_blocks, "profile_block", profile_blocks)
     names = schema.names
@@ -135,17 +140,11 @@ def _best_rows(kernel, state, batches, k, scores) -> Iterator[pa.RecordBatch]:
     floor = np.full(profiles, -np.inf)
     best = None
     for chunk in _chunks(batches, profiles, scores):
-        score = kernel.score(state, chunk)
-        keep = (score >= floor[:, None]) & (score > -np.inf)
-        width = score.shape[1]
-        if width > k and np.count_nonzero(keep) > 4 * k * profiles:
-            in_chunk = np.partition(score, width - k, axis=1)[:, width - k]
-            keep &= score >= in_chunk[:, None]
-        row, column = np.nonzero(keep)
+        row, column, score = _contenders(kernel.score(state, chunk), floor, k, chunk.column("doc_id"))
         if len(row) == 0:
             continue
         found = pa.table(
-            {"row": row, "doc_id": chunk.column("doc_id").take(pa.array(column)), "score": score[row, column]}
+            {"row": row, "doc_id": chunk.column("doc_id").take(pa.array(column)), "score": score}
         )
         best = found if best is None else pa.concat_tables([best, found])
         best = best.sort_by([("row", "ascending"), ("score", "descending"), ("doc_id", "ascending")])
@@ -160,6 +159,25 @@ def _best_rows(kernel, state, batches, k, scores) -> Iterator[pa.RecordBatch]:
         yield from table.combine_chunks().to_batches()
 
 
+def _contenders(score: np.ndarray, floor: np.ndarray, k: int, ids: pa.Array):
+    """Cells that can still be among a profile's ``k`` best: at most ``2 k`` per profile.
+
+    Many equal scores (copies of one posting) are cut by id, as the ranking does.
+    """
+    matched = score > -np.inf
+    keep = matched & (score >= floor[:, None])
+    width = score.shape[1]
+    if width <= k or np.count_nonzero(keep) <= 2 * k * len(score):
+        row, column = np.nonzero(keep)
+        return row, column, score[row, column]
+    by_id = pc.sort_indices(ids).to_numpy()
+    ordered = score[:, by_id]
+    bar = np.maximum(floor, np.partition(ordered, width - k, axis=1)[:, width - k])[:, None]
+    tied = (ordered == bar) & (bar > -np.inf)
+    row, place = np.nonzero((ordered > bar) | (tied & (np.cumsum(tied, axis=1) <= k)))
+    return row, by_id[place], ordered[row, place]
+
+
 def _count_rows(kernel, state, batches, scores) -> Iterator[pa.RecordBatch]:
     profiles = len(state.ids)
     if profiles == 0:

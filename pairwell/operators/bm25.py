@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairwell.functions.scores import BM25_B, BM25_BOOST, BM25_K1, SCORE_DIGITS, bm25_idf
 from pairwell.functions.text import tokens
-from pairwell.operators.block_join import Limits, best_matches, flat_ids, rounded
+from pairwell.operators.block_join import Limits, best_matches, flat_ids, measured, rounded
 from pairwell.operators.ranking import as_channel
 from pairwell.operators.terms import TermIndex, term_hits
 
@@ -67,22 +67,26 @@ def corpus_totals(postings: DataFrame, token_column: str = "tokens") -> DataFram
     )
 
 
-def weighted_terms(
-    profiles: DataFrame, postings: DataFrame, docs: int, boost: float, dedup_terms: bool, limits: Limits
-) -> DataFrame:
-    """Profile terms that some posting contains: ``(cv_id, term, weight)``."""
-    asked = profiles.select("cv_id", F.explode("tokens").alias("term"))
-    asked = asked.groupBy("cv_id", "term").agg(F.count("*").alias("times"))
-    words = postings.select(F.explode(F.array_distinct("tokens")).alias("term"))
-    vocabulary = asked.select("term").distinct()
-    size = vocabulary.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
-    if size <= limits.broadcast_bytes:
-        # Only counts of asked terms are shuffled, not the corpus vocabulary.
-        words = words.join(F.broadcast(vocabulary), "term", "left_semi")
-    found = words.groupBy("term").agg(F.count("*").alias("docs"))
-    times = F.lit(1) if dedup_terms else F.col("times")
-    weight = boost * bm25_idf(F.col("docs"), docs) * times
-    return asked.join(found, "term").select("cv_id", "term", weight.alias("weight"))
+# Stands for the whole corpus among the terms: no word is empty.
+CORPUS = ""
+
+
+def asked_term_stats(postings: DataFrame, vocabulary: DataFrame, vocabulary_size: int, limits: Limits) -> DataFrame:
+    """``(term, docs, tokens)`` of asked terms, and of the corpus as term ``""``.
+
+    One pass over the postings serves both. While the vocabulary fits the bound
+    it is broadcast, so that only counts of asked terms reach the shuffle.
+    """
+    whole = F.struct(F.lit(CORPUS).alias("term"), F.coalesce(F.size("tokens"), F.lit(0)).alias("tokens"))
+    each = F.transform(
+        F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>"))),
+        lambda t: F.struct(t.alias("term"), F.lit(0).alias("tokens")),
+    )
+    words = postings.select(F.inline(F.concat(F.array(whole), each)))
+    if vocabulary_size <= limits.broadcast_bytes:
+        corpus = vocabulary.sparkSession.range(1).select(F.lit(CORPUS).alias("term"))
+        words = words.join(F.broadcast(vocabulary.union(corpus)), "term", "left_semi")
+    return words.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
 
 
 def bm25_topk(
@@ -99,15 +103,22 @@ def bm25_topk(
     limits: Limits = Limits(),
 ) -> DataFrame:
     """The ``k`` postings whose text matches any word of every profile's text best."""
-    asked = profiles.select("cv_id", tokens(F.col(profile_text)).alias("tokens"))
+    words = profiles.select("cv_id", F.explode(tokens(F.col(profile_text))).alias("term"))
+    asked = words.groupBy("cv_id", "term").agg(F.count("*").alias("times"))
     stored = postings.select("doc_id", tokens(F.col(posting_text)).alias("tokens"))
-    totals = corpus_totals(stored).first()
+    # Also bounds the vocabulary and the weighted terms, which have no more rows.
+    size = measured(asked, F.octet_length("term") + 32)
+    stats = asked_term_stats(stored, asked.select("term").distinct(), size, limits).persist()
+    corpus = stats.filter(F.col("term") == CORPUS).first()
+    docs, total = (corpus["docs"], corpus["tokens"]) if corpus else (0, 0)
+    times = F.lit(1) if dedup_terms else F.col("times")
+    weight = boost * bm25_idf(F.col("docs"), docs) * times
     best = best_matches(
-        weighted_terms(asked, stored, totals["docs"], boost, dedup_terms, limits),
+        asked.join(stats, "term").select("cv_id", "term", weight.alias("weight")),
         stored,
-        Bm25Kernel(totals["mean_length"] or 1.0, k1, b),
+        Bm25Kernel(total / docs if total else 1.0, k1, b),
         k,
-        F.octet_length("term") + 32,
+        size,
         F.octet_length(F.array_join("tokens", " ")) + 8 * F.size("tokens"),
         limits,
     )

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairwell.functions.text import token_hashes, tokens
+from pairwell.functions.text import tokens
+from pairwell.operators.hashing import hashed_tokens
 from pairwell.operators.skew import lookup_join
 
 DIM = 1536
@@ -29,16 +30,16 @@ def hash_embed(text: Column, dim: int = DIM) -> Column:
     """
 
     @F.arrow_udf(VECTOR)
-    def count(column: pa.Array) -> pa.Array:
-        lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        value = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        cell = np.repeat(np.arange(len(column)), lengths) * dim + value % dim
-        sign = 1.0 - 2.0 * (value // dim % 2)
-        total = np.bincount(cell, sign, minlength=len(column) * dim).astype(np.float32)
-        offsets = np.arange(len(column) + 1, dtype=np.int32) * dim
+    def count(lists: pa.Array) -> pa.Array:
+        lengths, codes, hashes = hashed_tokens(lists)
+        place = (hashes % np.uint64(dim)).astype(np.int64)
+        sign = 1.0 - 2.0 * (hashes // np.uint64(dim) % np.uint64(2)).astype(np.float64)
+        cell = np.repeat(np.arange(len(lists)), lengths) * dim + place[codes]
+        total = np.bincount(cell, sign[codes], minlength=len(lists) * dim).astype(np.float32)
+        offsets = np.arange(len(lists) + 1, dtype=np.int32) * dim
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(total))
 
-    return count(token_hashes(tokens(text)))
+    return count(tokens(text))
 
 
 def embed(

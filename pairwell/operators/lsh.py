@@ -6,11 +6,19 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.functions.scores import SCORE_DIGITS
-from pairwell.operators.block_join import Limits, best_matches, fixed_matrix, flat_ids, match_counts, rounded
+from pairwell.operators.block_join import (
+    Limits,
+    best_matches,
+    fixed_matrix,
+    flat_ids,
+    match_counts,
+    measured,
+    rounded,
+)
 from pairwell.operators.ranking import as_channel
 from pairwell.operators.sketch import MAX_HASH, NUM_PERM, THRESHOLD, optimal_bands
 from pairwell.operators.terms import TermIndex, term_hits
@@ -121,14 +129,10 @@ def lsh_topk(
     kernels = {"sketch": SketchKernel, "exact": ExactJaccardKernel}
     if verify not in kernels:
         raise ValueError(f"verify must be one of {sorted(kernels)}")
-    best = best_matches(
-        _side(profiles, "cv_id", verify),
-        _side(postings, "doc_id", verify),
-        kernels[verify](*optimal_bands(threshold, num_perm)),
-        k,
-        *_row_bytes(verify),
-        limits,
-    )
+    asked, stored = _side(profiles, "cv_id", verify), _side(postings, "doc_id", verify)
+    kernel = kernels[verify](*optimal_bands(threshold, num_perm))
+    width = _row_bytes(verify)
+    best = best_matches(asked, stored, kernel, k, measured(asked, width), width, limits)
     return as_channel(best, source, k)
 
 
@@ -140,17 +144,14 @@ def lsh_candidate_counts(
     limits: Limits = Limits(),
 ) -> DataFrame:
     """How many postings share a band with every profile."""
-    return match_counts(
-        _side(profiles, "cv_id", "sketch"),
-        _side(postings, "doc_id", "sketch"),
-        SketchKernel(*optimal_bands(threshold, num_perm)),
-        *_row_bytes("sketch"),
-        limits,
-    )
+    asked, stored = _side(profiles, "cv_id", "sketch"), _side(postings, "doc_id", "sketch")
+    kernel = SketchKernel(*optimal_bands(threshold, num_perm))
+    width = _row_bytes("sketch")
+    return match_counts(asked, stored, kernel, measured(asked, width), width, limits)
 
 
-def _row_bytes(verify: str):
+def _row_bytes(verify: str) -> Column:
     width = F.size("signature") * 8 + 16
     if verify == "exact":
         width = width + F.octet_length(F.array_join("tokens", " ")) + 8 * F.size("tokens")
-    return width, width
+    return width

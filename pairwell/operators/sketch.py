@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairwell.functions.text import normal_tokens, token_hashes
+from pairwell.functions.text import normal_tokens
+from pairwell.operators.hashing import hashed_tokens
 
 # Sketch size and search threshold, and the public parameters of
 # the hash family (a*x + b) mod p, cut to 32 bits, with seeded a and b.
@@ -41,8 +42,8 @@ def _mod_mersenne_61(x: np.ndarray) -> np.ndarray:
     return np.where(folded >= prime, folded - prime, folded)
 
 
-def signature(hashes: Column, num_perm: int = NUM_PERM, seed: int = SEED) -> Column:
-    """Signature of each row's token hashes; an empty or null list gives all maxima.
+def signature(tokens: Column, num_perm: int = NUM_PERM, seed: int = SEED) -> Column:
+    """Signature of each row's tokens; an empty or null list gives all maxima.
 
     The tokens of a posting sit in its own row, so this is a projection: no
     explode and no shuffle.
@@ -50,27 +51,24 @@ def signature(hashes: Column, num_perm: int = NUM_PERM, seed: int = SEED) -> Col
     pairs = permutations(num_perm, seed)
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
-    def minima(column: pa.Array) -> pa.Array:
-        lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        # The family is defined on the little-endian reading of the same bytes.
-        values = column.flatten().to_numpy(zero_copy_only=False).astype(np.uint32).byteswap()
-        values = values.astype(np.uint64)
-        out = np.full((len(column), num_perm), MAX_HASH, dtype=np.int64)
+    def minima(lists: pa.Array) -> pa.Array:
+        lengths, codes, hashes = hashed_tokens(lists)
+        out = np.full((len(lists), num_perm), MAX_HASH, dtype=np.int64)
         filled = np.flatnonzero(lengths)
         if len(filled):
             starts = (np.cumsum(lengths) - lengths)[filled]
             for position, (a, b) in enumerate(pairs):
-                mixed = _mod_mersenne_61(a * values + b) & np.uint64(MAX_HASH)
-                out[filled, position] = np.minimum.reduceat(mixed, starts)
-        offsets = np.arange(len(column) + 1, dtype=np.int32) * num_perm
+                mixed = (_mod_mersenne_61(a * hashes + b) & np.uint64(MAX_HASH)).astype(np.uint32)
+                out[filled, position] = np.minimum.reduceat(mixed[codes], starts)
+        offsets = np.arange(len(lists) + 1, dtype=np.int32) * num_perm
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
 
-    return minima(hashes)
+    return minima(tokens)
 
 
 def skills_signature(skills: Column, num_perm: int = NUM_PERM, seed: int = SEED) -> Column:
     """Signature of a skill list, case and outer white space ignored."""
-    return signature(token_hashes(normal_tokens(skills)), num_perm, seed)
+    return signature(normal_tokens(skills), num_perm, seed)
 
 
 @lru_cache

@@ -9,6 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+USES_AT_A_TIME = 2_000_000
+
+
 @dataclass
 class TermHits:
     """Profile terms found in a batch: posting row, term number, occurrences."""
@@ -43,12 +46,16 @@ class TermIndex:
 
     def add_up(self, hits: TermHits, gain: np.ndarray, profiles: int, postings: int) -> np.ndarray:
         """Sum gain times weight per profile (row) and posting (column)."""
+        total = np.zeros(profiles * postings)
         users = np.diff(self.first)[hits.term]
-        within = np.arange(users.sum()) - np.repeat(np.cumsum(users) - users, users)
-        use = np.repeat(self.first[hits.term], users) + within
-        cell = self.profile[use] * postings + np.repeat(hits.posting, users)
-        added = np.repeat(gain, users) * self.weight[use]
-        total = np.bincount(cell, added, minlength=profiles * postings)
+        ends = np.cumsum(users)
+        cuts = np.searchsorted(ends, np.arange(USES_AT_A_TIME, ends[-1] if len(ends) else 0, USES_AT_A_TIME))
+        for part in np.split(np.arange(len(users)), cuts):
+            count = users[part]
+            within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            use = np.repeat(self.first[hits.term[part]], count) + within
+            cell = self.profile[use] * postings + np.repeat(hits.posting[part], count)
+            total += np.bincount(cell, np.repeat(gain[part], count) * self.weight[use], minlength=len(total))
         return total.reshape(profiles, postings)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.functions.scores import SCORE_DIGITS
-from pairwell.operators.block_join import Limits, best_matches, fixed_matrix, flat_ids, rounded
+from pairwell.operators.block_join import Limits, best_matches, fixed_matrix, flat_ids, measured, rounded
 from pairwell.operators.ranking import as_channel
 
 
@@ -58,13 +58,7 @@ def vector_topk(
         return df.select(id_column, F.col(vector).alias("vector"))
 
     width = F.coalesce(F.size("vector"), F.lit(0)) * 4 + 16
-    best = best_matches(
-        side(profiles, "cv_id", profile_vector),
-        side(postings, "doc_id", posting_vector),
-        CosineKernel(),
-        k,
-        width,
-        width,
-        limits,
-    )
+    asked = side(profiles, "cv_id", profile_vector)
+    stored = side(postings, "doc_id", posting_vector)
+    best = best_matches(asked, stored, CosineKernel(), k, measured(asked, width), width, limits)
     return as_channel(best, source, k)

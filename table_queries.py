@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pairwell.functions.cleaning import clean_location, page_count
 from pairwell.functions.encode import hash_strings
 from pairwell.functions.scores import TOP_K_PER_CHANNEL
-from pairwell.functions.text import token_hashes, tokens
+from pairwell.functions.text import tokens
 from pairwell.operators.bm25 import bm25_topk, corpus_stats, corpus_totals
 from pairwell.operators.documents import convert_documents
 from pairwell.operators.embed import embed, hash_embed
@@ -50,7 +50,7 @@ def texts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def sketched(df: DataFrame, id_column: str) -> DataFrame:
     words = df.select(id_column, F.array_distinct(tokens(F.col("text"))).alias("tokens"))
-    return words.withColumn("signature", signature(token_hashes(F.col("tokens"))))
+    return words.withColumn("signature", signature(F.col("tokens")))
 
 
 def after_first_line(text: Column) -> Column:
@@ -66,7 +66,7 @@ def searchable(df: DataFrame, id_column: str) -> DataFrame:
         F.col("text").alias("title"),
         words.alias("skills"),
         body.alias("experience"),
-        signature(token_hashes(words)).alias("skills_signature"),
+        signature(words).alias("skills_signature"),
         hash_embed(F.col("text"), DIM).alias("description_vector"),
         hash_embed(body, DIM).alias("experience_vector"),
     )
