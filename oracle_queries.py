@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pairwell.operators.sketch import permutations
 
-WORDS = r"[^\p{L}\p{M}\p{N}]+"
 DIM = 64
 NUM_PERM = 128
 SPACES = (
@@ -13,7 +12,17 @@ SPACES = (
 
 
 def _words(text: str) -> str:
-    return f"list_filter(regexp_split_to_array(lower({text}), '{WORDS}'), lambda w: w <> '')"
+    """Words in order. Punctuation that joins two letters or two digits gets a mark first.
+
+    Twice, because neighbouring joints share a character.
+    """
+    marked = f"lower({text})"
+    for _ in range(2):
+        marked = f"regexp_replace({marked}, '([\\p{{L}}\\p{{M}}])([:.''’·‧])(\\p{{L}})', '\\1\\2\ue000\\3', 'g')"
+        marked = f"regexp_replace({marked}, '(\\p{{N}})([,;.''’])(\\p{{N}})', '\\1\\2\ue000\\3', 'g')"
+    run = "[\\p{L}\\p{M}\\p{N}_]"
+    word = f"_*[\\p{{L}}\\p{{N}}]{run}*(?:[:.''’·‧,;]\ue000{run}+)*"
+    return f"list_transform(regexp_extract_all({marked}, '{word}'), lambda w: replace(w, '\ue000', ''))"
 
 
 def _body(text: str) -> str:
@@ -308,7 +317,8 @@ ORACLES: dict[str, str] = {
                url AS link
         FROM pages""",
     "convert_documents": f"""
-        SELECT 'crawl/' || page_id || '.v1.HTML' AS path, page_id::VARCHAR AS stem, {_inner_text('html')} AS text
+        SELECT 'crawl/' || page_id || '.v1.HTML' AS path, page_id::VARCHAR AS stem,
+               sha256('crawl/' || page_id || '.v1.HTML') || '_' || page_id || '.v1.HTML' AS name, {_inner_text('html')} AS text
         FROM pages""",
     "profile_extract": f"""WITH {RESUME}
         SELECT conv_id, turn, role || ' ' || conv_id AS title, coalesce(list_aggregate(words, 'string_agg', ' '), '') AS skills,

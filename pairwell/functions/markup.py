@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pairwell.functions.cleaning import first_non_blank
 from pairwell.functions.text import strip
 
 # Tags that end a line, and entities written back as characters.
@@ -24,8 +25,7 @@ def inner_text(html: Column) -> Column:
 
 def first_match(html: Column, patterns: list[str]) -> Column:
     """Text of the first pattern whose group 1 holds any visible character, else ``""``."""
-    found = [inner_text(F.regexp_extract(html, pattern, 1)) for pattern in patterns]
-    return F.coalesce(*[F.when(text != "", text) for text in found], F.lit(""))
+    return first_non_blank(*[inner_text(F.regexp_extract(html, pattern, 1)) for pattern in patterns])
 
 
 def after_label(label: str, tag: str, nth: int = 1) -> str:

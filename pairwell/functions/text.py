@@ -12,7 +12,14 @@ SPACES = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-WORD_BREAK = r"[^\p{L}\p{M}\p{N}]+"
+
+# Words by the Unicode default rules: letters, digits and underscores run together;
+# some punctuation joins two letters (node.js, don't) or two digits (3.14, 1,000);
+# Han and Hiragana characters are words of their own.
+SINGLE = r"[\p{IsHan}\p{IsHiragana}]"
+RUN = rf"[\p{{L}}\p{{M}}\p{{N}}_&&[^{SINGLE[1:-1]}]]"
+JOINT = r"(?<=[\p{L}\p{M}])[:.'’·‧](?=\p{L})|(?<=\p{N})[,;.'’](?=\p{N})"
+WORD = rf"{SINGLE}|_*[\p{{L}}\p{{N}}]{RUN}*+(?:(?:{JOINT}){RUN}++)*"
 
 
 def strip(text: Column) -> Column:
@@ -22,7 +29,7 @@ def strip(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of a text, in order, with repeats."""
-    return F.filter(F.split(F.lower(text), WORD_BREAK), lambda word: word != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
 def normal_tokens(items: Column) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwell.functions.encode import file_stem
+from pairwell.functions.encode import file_stem, stored_name
 from pairwell.functions.markup import inner_text
 
 # Called once per task; returns a function from one document's bytes to its text.
@@ -16,10 +16,10 @@ Converter = Callable[[], Callable[[bytes], str]]
 
 
 def convert_documents(files: DataFrame, converter: Converter | None = None, on_error: str = "raise") -> DataFrame:
-    """``(path, stem, text, error)`` from ``(path, content)``.
+    """``(path, name, stem, text, error)`` from ``(path, content)``.
 
     Without a converter the bytes are read as UTF-8, and HTML loses its tags.
-    A converter's exception ends the job, or with ``on_error="keep"`` becomes
+    ``name`` is unique and safe to store under. A converter's exception ends the job, or with ``on_error="keep"`` becomes
     the row's ``error``.
     """
     if on_error not in ("raise", "keep"):
@@ -33,7 +33,9 @@ def convert_documents(files: DataFrame, converter: Converter | None = None, on_e
         converted = files.select("path", "content").mapInPandas(
             _converting(converter, on_error), "path string, text string, error string"
         )
-    return converted.select("path", file_stem(F.col("path")).alias("stem"), "text", "error")
+    return converted.select(
+        "path", stored_name(F.col("path")).alias("name"), file_stem(F.col("path")).alias("stem"), "text", "error"
+    )
 
 
 def _converting(converter: Converter, on_error: str):

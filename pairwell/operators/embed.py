@@ -43,12 +43,19 @@ def hash_embed(text: Column, dim: int = DIM) -> Column:
 
 
 def embed(
-    df: DataFrame, text: str, vector: str, id_column: str, embedder: Embedder | None = None, dim: int = DIM
+    df: DataFrame,
+    text: str,
+    vector: str,
+    id_column: str,
+    embedder: Embedder | None = None,
+    dim: int = DIM,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add a vector column; null where the text is null or empty.
 
     A caller's model sees every distinct non-empty text once, however many rows
-    share it, and is set up once per task.
+    share it, and is set up once per task. ``tasks`` sets how many tasks run a
+    slow model, where the size of the texts would suggest fewer.
     """
     if embedder is None:
         return df.withColumn(vector, F.when(F.col(text) != "", hash_embed(F.col(text), dim)))
@@ -61,5 +68,8 @@ def embed(
             yield pd.DataFrame({"text_key": batch["text_key"], vector: model(batch["text"].tolist())})
 
     schema = T.StructType([T.StructField("text_key", T.StringType()), T.StructField(vector, VECTOR)])
-    vectors = texts.distinct().mapInPandas(encode, schema)
+    distinct = texts.distinct()
+    if tasks is not None:
+        distinct = distinct.repartition(tasks)
+    vectors = distinct.mapInPandas(encode, schema)
     return lookup_join(keyed, vectors, "text_key", [id_column]).drop("text_key")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def read_documents(spark: SparkSession, path: str, suffix: str = ".pdf") -> DataFrame:
     """``(path, content)`` of files with the suffix in any case; a missing path is an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.filter(F.lower("path").endswith(suffix.lower())).select("path", "content")
+    any_case = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return files.option("pathGlobFilter", f"*{any_case}").load(path).select("path", "content")
 
 
 def write_json(df: DataFrame, path: str) -> None:

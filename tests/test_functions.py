@@ -13,7 +13,16 @@ def test_strip_takes_every_unicode_space(values):
 
 
 def test_tokens(values):
-    assert values(text.tokens(X), ["Ab-çd É9, x_y  ", "###", None]) == [["ab", "çd", "é9", "x", "y"], [], None]
+    rows = ["Ab-çd É9, x_y  ", "### ___", None, "Node.js don't 3.14 1,000 a.b.c end. C++ x,y 2.x ’q", "nhân viên 日本 カナ"]
+    assert values(text.tokens(X), rows) == [
+        ["ab", "çd", "é9", "x_y"],
+        [],
+        None,
+        ["node.js", "don't", "3.14", "1,000", "a.b.c", "end", "c", "x", "y", "2", "x", "q"],
+        ["nhân", "viên", "日", "本", "カナ"],
+    ]
+    # Letters with separate marks stay whole.
+    assert values(text.tokens(X), ["Kỹ sư."]) == [["kỹ", "sư"]]
 
 
 def test_normal_tokens(values):
