@@ -51,12 +51,17 @@ def _word_lists(name: str, table: str, key: str) -> str:
 """
 
 
-DOC_WORDS = f"""
-doc_len AS MATERIALIZED (SELECT doc_id, {_words('text')} AS words FROM documents),
+def _doc_words(table: str, text: str) -> str:
+    return f"""
+doc_len AS MATERIALIZED (SELECT doc_id, {_words(text)} AS words FROM {table}),
 doc_words AS MATERIALIZED (SELECT doc_id, unnest(words) AS term FROM doc_len),
 doc_tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM doc_words GROUP BY ALL)
 """
 
+
+DOC_WORDS = _doc_words("documents", "text")
+DOC_SKILLS = "doc_skill AS MATERIALIZED (SELECT doc_id, term FROM doc_tf)"
+
 CV_WORDS = f"""
 cv_words AS MATERIALIZED (SELECT item_id AS cv_id, unnest({_words('text')}) AS term FROM benchmark),
 cv_tf AS MATERIALIZED (SELECT cv_id, term, count(*) AS tf FROM cv_words GROUP BY ALL)
@@ -94,12 +99,12 @@ def _sketch_ctes() -> str:
     return f"""
 perm(pos, a, b) AS MATERIALIZED (VALUES {values}),
 hashed AS MATERIALIZED (
-  SELECT term, {_hash('term')} AS h FROM (SELECT term FROM doc_tf UNION SELECT term FROM cv_tf)),
+  SELECT term, {_hash('term')} AS h FROM (SELECT term FROM doc_skill UNION SELECT term FROM cv_tf)),
 mixed AS MATERIALIZED (
   SELECT term, pos, ((((a * h + b) % 18446744073709551616) % 2305843009213693951) % 4294967296)::BIGINT AS v
   FROM hashed, perm),
 doc_sketch AS MATERIALIZED (
-  SELECT doc_id, pos, min(v) AS v FROM doc_tf JOIN mixed USING (term) GROUP BY doc_id, pos),
+  SELECT doc_id, pos, min(v) AS v FROM doc_skill JOIN mixed USING (term) GROUP BY doc_id, pos),
 cv_sketch AS MATERIALIZED (
   SELECT cv_id, pos, min(v) AS v FROM cv_tf JOIN mixed USING (term) GROUP BY cv_id, pos),
 pair_same AS MATERIALIZED (
@@ -110,7 +115,7 @@ candidate AS MATERIALIZED (SELECT * FROM pair_same WHERE bands > 0)
 
 
 TEXT_CTES = DOC_WORDS + "," + CV_WORDS
-SKETCH_CTES = TEXT_CTES + "," + _sketch_ctes()
+SKETCH_CTES = ",".join([TEXT_CTES, DOC_SKILLS, _sketch_ctes()])
 
 LSH = _ranked(f"SELECT cv_id, doc_id, round(same / {NUM_PERM}::DOUBLE, 6) AS score FROM candidate", "lsh_minhash")
 
@@ -152,18 +157,14 @@ def _cosine(cv: str, doc: str, source: str) -> str:
     return _ranked(scored, source)
 
 
-HYBRID_CTES = (
-    SKETCH_CTES
-    + ","
-    + ",".join(
-        [
-            _embedding("cv_text", "benchmark", "item_id", "text"),
-            _embedding("cv_body", "benchmark", "item_id", _body("text")),
-            _embedding("doc_text", "documents", "doc_id", "text"),
-            _embedding("doc_body", "documents", "doc_id", _body("text")),
-        ]
-    )
-    + f""",
+def _hybrid_ctes(sketches: str, documents: str) -> str:
+    embeddings = [
+        _embedding("cv_text", "benchmark", "item_id", "text"),
+        _embedding("cv_body", "benchmark", "item_id", _body("text")),
+        _embedding("doc_text", documents, "doc_id", "text"),
+        _embedding("doc_body", documents, "doc_id", _body("text")),
+    ]
+    return ",".join([sketches, *embeddings]) + f""",
 hits AS MATERIALIZED (
   {_cosine('cv_text', 'doc_text', 'sem_description_vector')}
   UNION ALL {_cosine('cv_body', 'doc_body', 'sem_experience_vector')}
@@ -178,8 +179,56 @@ fused AS MATERIALIZED (
                                      WHEN 'lsh_minhash' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END / (60 + rank)), 6) AS rrf_score
         FROM hits GROUP BY cv_id, doc_id))
 """
+
+
+HYBRID_CTES = _hybrid_ctes(SKETCH_CTES, "documents")
+
+# One row per document, as its message reads after decoding.
+MESSAGES = f"""
+{_word_lists('doc_list', 'documents', 'doc_id')},
+messages AS MATERIALIZED (
+  SELECT doc_id, text,
+         CASE WHEN lang = 'de' THEN 'Unknown' ELSE text END AS title,
+         CASE WHEN lang = 'es' THEN '' ELSE source || chr(10) || ' 12 lượt xem' || chr(10) || lang END AS location,
+         'MÔ TẢ CÔNG VIỆC:' || chr(160) || chr(10) || chr(10) || text AS description,
+         array_to_string(words, ' , ') AS required_skills,
+         CASE WHEN len(words) = 0 THEN [] ELSE
+           list_transform(string_split(array_to_string(words, ' , '), ','), lambda w: trim(w)) END AS skills,
+         n_chars || ' năm' AS min_experience_years,
+         {_body('text')} AS job_requirements,
+         'http://h/' || doc_id || '//?x=1#top' AS link, lang, source, n_chars
+  FROM documents JOIN doc_list USING (doc_id))
+"""
+
+# Documents as they are stored after ingest: id, title and skills have gone through a message.
+STORED_CTES = _hybrid_ctes(
+    ",".join(
+        [
+            MESSAGES,
+            """
+stored AS MATERIALIZED (
+  SELECT sha256('http://h/' || doc_id) AS doc_id, CASE WHEN lang = 'de' THEN 'Unknown' ELSE text END AS title, text,
+         skills
+  FROM messages)""",
+            _doc_words("stored", "title"),
+            CV_WORDS,
+            "doc_skill AS MATERIALIZED (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(skills) AS term FROM stored) WHERE term <> '')",
+            _sketch_ctes(),
+        ]
+    ),
+    "stored",
 )
 
+VECTOR_TOPK = _ranked(
+        """
+        SELECT c.vec_id AS cv_id, d.vec_id AS doc_id,
+               round(list_cosine_similarity(c.v, d.v) + 1, 6) AS score
+        FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) c,
+             (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) d
+        """,
+        "sem_vector",
+    )
+
 LINKS = """
 all_links AS (
   SELECT page_id, page_url, i - 1 AS position, hrefs[i] AS url
@@ -212,21 +261,6 @@ def _field(pattern: str) -> str:
     return _inner_text(f"regexp_extract(html, '{pattern}', 1)")
 
 
-# One row per document, as its message reads after decoding.
-MESSAGES = f"""
-{_word_lists('doc_list', 'documents', 'doc_id')},
-messages AS MATERIALIZED (
-  SELECT doc_id, text,
-         CASE WHEN lang = 'de' THEN 'Unknown' ELSE text END AS title,
-         CASE WHEN lang = 'es' THEN '' ELSE source || chr(10) || ' 12 lượt xem' || chr(10) || lang END AS location,
-         'MÔ TẢ CÔNG VIỆC:' || chr(160) || chr(10) || chr(10) || text AS description,
-         words,
-         n_chars || ' năm' AS min_experience_years,
-         {_body('text')} AS job_requirements,
-         'http://h/' || doc_id || '//?x=1#top' AS link, lang, source, n_chars
-  FROM documents JOIN doc_list USING (doc_id))
-"""
-
 CLEAN_POSTING = f"""
 WITH {MESSAGES},
 cells AS (
@@ -238,8 +272,7 @@ vectors AS (
   FROM (SELECT doc_id, cell FROM documents, range({DIM}) r(cell)) g LEFT JOIN cells USING (doc_id, cell)
   GROUP BY doc_id)
 SELECT sha256('http://h/' || doc_id) AS posting_id, 'job' AS doc_type, title,
-       '[' || list_aggregate(list_transform(words, lambda w: '"' || w || '"'), 'string_agg', ',') || ']' AS skills,
-       list_aggregate(words, 'string_agg', ' ') AS skills_text,
+       to_json(skills)::VARCHAR AS skills, array_to_string(skills, ' ') AS skills_text,
        trim(regexp_replace(text, '\\n+', chr(10), 'g'), {SPACES}) AS description,
        vector AS description_vector,
        job_requirements AS experience,
@@ -248,6 +281,39 @@ SELECT sha256('http://h/' || doc_id) AS posting_id, 'job' AS doc_type, title,
 FROM messages JOIN vectors USING (doc_id)
 """
 
+def _vector_list(name: str, cells: str) -> str:
+    return f"""
+{name} AS (
+  SELECT doc_id, list(coalesce(x, 0)::FLOAT ORDER BY g.cell) AS vector
+  FROM (SELECT doc_id, r.cell FROM documents, range({DIM}) r(cell)) g
+  LEFT JOIN {cells} t ON t.id = g.doc_id AND t.cell = g.cell GROUP BY doc_id)"""
+
+
+INDEX_DOCUMENTS = f"""
+WITH {MESSAGES}, {CV_WORDS},
+doc_skill AS MATERIALIZED (
+  SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(skills) AS term FROM messages) WHERE term <> ''),
+{_sketch_ctes()},
+{_embedding('doc_text', 'documents', 'doc_id', 'text')},
+{_embedding('doc_body', 'documents', 'doc_id', _body('text'))},
+{_vector_list('text_vector', 'doc_text_cell')},
+{_vector_list('body_vector', 'doc_body_cell')},
+sketch_list AS (
+  SELECT doc_id, list('hash_' || coalesce(v, 4294967295) ORDER BY pos) AS signature
+  FROM (SELECT doc_id, pos FROM documents, perm) LEFT JOIN doc_sketch USING (doc_id, pos) GROUP BY doc_id)
+SELECT sha256('http://h/' || doc_id) AS id, to_json({{
+  'doc_type': 'job', 'title': title, 'skills': skills, 'skills_signature': signature,
+  'skills_text': array_to_string(skills, ' '),
+  'description': trim(regexp_replace(text, '\\n+', chr(10), 'g'), {SPACES}),
+  'description_vector': t.vector,
+  'experience': job_requirements,
+  'experience_vector': CASE WHEN job_requirements <> '' THEN b.vector END,
+  'location': CASE WHEN lang = 'es' THEN '' ELSE source || ', ' || lang END,
+  'experience_years': n_chars::INTEGER, 'link': link,
+  'metadata': {{'source': 'job_description', 'indexed_at': '2024-01-31T15:00:00Z'}}}})::VARCHAR AS document
+FROM messages JOIN sketch_list USING (doc_id) JOIN text_vector t USING (doc_id) JOIN body_vector b USING (doc_id)
+"""
+
 RESUME = f"""
 {_word_lists('turn_list', 'conversations', 'conv_id, turn')},
 resumes AS (SELECT conv_id, turn, role, text, words FROM conversations JOIN turn_list USING (conv_id, turn))
@@ -272,15 +338,9 @@ ORACLES: dict[str, str] = {
         FROM (SELECT DISTINCT cv_id FROM cv_tf) LEFT JOIN candidate USING (cv_id) GROUP BY cv_id""",
     "lsh_topk": f"WITH {SKETCH_CTES} {LSH}",
     "skill_jaccard_exact": f"WITH {SKETCH_CTES} {EXACT}",
-    "vector_topk": _ranked(
-        """
-        SELECT c.vec_id AS cv_id, d.vec_id AS doc_id,
-               round(list_cosine_similarity(c.v, d.v) + 1, 6) AS score
-        FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) c,
-             (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) d
-        """,
-        "sem_vector",
-    ),
+    "vector_topk": VECTOR_TOPK,
+    "sketch_pairs": f"WITH {SKETCH_CTES} SELECT cv_id, doc_id, raw_score AS score FROM ({LSH})",
+    "vector_pairs": f"SELECT cv_id, doc_id, rank, raw_score AS score FROM ({VECTOR_TOPK})",
     "hash_embed": f"""WITH {_embedding('doc_text', 'documents', 'doc_id', 'text')}
         SELECT doc_id, string_agg(coalesce(x, 0)::VARCHAR, ' ' ORDER BY g.cell) AS vector
         FROM (SELECT doc_id, r.cell FROM documents, range({DIM}) r(cell)) g
@@ -334,7 +394,7 @@ ORACLES: dict[str, str] = {
         SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'not a JSON object' ELSE 'missing or wrong: description' END AS reason
         FROM conversations WHERE role = 'system' OR turn = 0""",
     "decode_messages": f"""WITH {MESSAGES}
-        SELECT doc_id, title, location, description, list_aggregate(words, 'string_agg', ' , ') AS required_skills,
+        SELECT doc_id, title, location, description, required_skills,
                min_experience_years, job_requirements, link, NULL::DOUBLE AS min_experience_number
         FROM messages""",
     "decode_rejects": """
@@ -342,6 +402,8 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'user ' || event_id, 'not an object' FROM events""",
     "clean_posting": CLEAN_POSTING,
     "stream_enrich": CLEAN_POSTING,
+    "stored_match": f"WITH {STORED_CTES} SELECT cv_id, doc_id, rrf_score, rank FROM fused WHERE rank <= 5",
+    "index_documents": INDEX_DOCUMENTS,
     "stream_rejects": "SELECT sha256(text) AS value_hash, 'not JSON' AS reason FROM documents",
     "stream_status": "SELECT count(*)::BIGINT AS saved, count(*)::BIGINT AS rejected FROM documents",
     "clean_location": f"""

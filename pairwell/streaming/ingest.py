@@ -15,6 +15,29 @@ from pairwell.sources.postings import read_batches, write_batch
 REJECT = T.StructType([T.StructField("value", T.StringType()), T.StructField("reason", T.StringType())])
 
 
+def store_batch(
+    messages: DataFrame,
+    postings_path: str,
+    rejects_path: str,
+    batch_id: int,
+    order: str = "value",
+    embedder: Embedder | None = None,
+    dim: int = DIM,
+) -> None:
+    """Decode, enrich and store one batch; bad messages go to the rejects.
+
+    Storing the same batch again rewrites its folder, so nothing is lost or
+    repeated. ``order`` names the column by which the last message of a posting wins.
+    """
+    decoded = decode_messages(messages).persist()
+    try:
+        good = last_per_posting(valid_messages(decoded), order)
+        write_batch(enrich(good, embedder, dim), postings_path, batch_id)
+        write_batch(rejected_messages(decoded), rejects_path, batch_id)
+    finally:
+        decoded.unpersist()
+
+
 def start_ingest(
     messages: DataFrame,
     postings_path: str,
@@ -25,12 +48,10 @@ def start_ingest(
     dim: int = DIM,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Decode, enrich and store every micro-batch; bad messages go to the rejects.
+    """Store every micro-batch of a message stream.
 
-    A batch that is tried again rewrites its own folder, so a restart neither
-    loses nor repeats rows. With the default trigger the query stops once all
-    input that was there at the start is stored. The observed metric
-    ``messages`` counts what came in.
+    With the default trigger the query stops once all input that was there at
+    the start is stored. The observed metric ``messages`` counts what came in.
     """
     counted = messages.observe(
         "messages",
@@ -39,13 +60,7 @@ def start_ingest(
     )
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        decoded = decode_messages(batch).persist()
-        try:
-            good = last_per_posting(valid_messages(decoded), order)
-            write_batch(enrich(good, embedder, dim), postings_path, batch_id)
-            write_batch(rejected_messages(decoded), rejects_path, batch_id)
-        finally:
-            decoded.unpersist()
+        store_batch(batch, postings_path, rejects_path, batch_id, order, embedder, dim)
 
     writer = counted.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

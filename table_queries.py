@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairwell.functions.cleaning import clean_location, page_count
 from pairwell.functions.encode import hash_strings
-from pairwell.functions.scores import TOP_K_PER_CHANNEL
+from pairwell.functions.scores import TOP_K_PER_CHANNEL, cosine_plus_one, sketch_jaccard
 from pairwell.functions.text import tokens
 from pairwell.operators.bm25 import bm25_topk, corpus_stats, corpus_totals
 from pairwell.operators.documents import convert_documents
@@ -22,11 +22,11 @@ from pairwell.operators.profiles import extract_profiles, read_replies, rejected
 from pairwell.operators.sketch import band_table, signature
 from pairwell.operators.vector import vector_topk
 from pairwell.plans.enrich import enrich
-from pairwell.plans.hybrid import hybrid_match, report, search_channels, with_documents
+from pairwell.plans.hybrid import hybrid_match, prepare_profiles, report, search_channels, with_documents
 from pairwell.schemas import POSTING
 from pairwell.session import shared_dir, spread
 from pairwell.sources.messages import decode_messages, encode_messages, rejected_messages, valid_messages
-from pairwell.sources.postings import latest, read_batches, read_postings
+from pairwell.sources.postings import latest, read_batches, read_postings, to_documents
 from pairwell.streaming.ingest import batch_status, read_rejects, start_ingest
 from pairwell.streaming.links import new_links
 
@@ -156,6 +156,29 @@ def q_skill_jaccard_exact(spark, sf):
     return lsh_topk(sketched(profiles, "cv_id"), sketched(postings, "doc_id"), K, verify="exact")
 
 
+def q_sketch_pairs(spark, sf):
+    """Best skill matches scored again by a join with both sides' sketches."""
+    profiles, postings = texts(spark, sf)
+    cvs, jobs = sketched(profiles, "cv_id"), sketched(postings, "doc_id")
+    hits = lsh_topk(cvs, jobs, K).select("cv_id", "doc_id")
+    left = cvs.select("cv_id", F.col("signature").alias("own"))
+    right = jobs.select("doc_id", F.col("signature").alias("other"))
+    pairs = hits.join(left, "cv_id").join(right, "doc_id")
+    score = F.round(sketch_jaccard(F.col("own"), F.col("other")), 6)
+    return pairs.select("cv_id", "doc_id", score.alias("score"))
+
+
+def q_vector_pairs(spark, sf):
+    """Best vector matches scored again by a join with both sides' vectors."""
+    vectors = table(spark, sf, "embeddings")
+    hits = q_vector_topk(spark, sf).select("cv_id", "doc_id", "rank")
+    left = vectors.select(F.col("vec_id").alias("cv_id"), F.col("embedding").alias("own"))
+    right = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("other"))
+    pairs = hits.join(left, "cv_id").join(right, "doc_id")
+    score = F.round(cosine_plus_one(F.col("own"), F.col("other")), 6)
+    return pairs.select("cv_id", "doc_id", "rank", score.alias("score"))
+
+
 def q_vector_topk(spark, sf):
     """Every embedding as a profile against every embedding as a posting."""
     vectors = table(spark, sf, "embeddings")
@@ -367,6 +390,16 @@ def q_publish_json(spark, sf):
     return encode_messages(rows)
 
 
+def q_index_documents(spark, sf):
+    """Enriched documents in the JSON form of a document store, at a fixed time."""
+    messages = posting_messages(spread(table(spark, sf, "documents")))
+    postings = enrich(valid_messages(decode_messages(messages)), dim=DIM)
+    at = F.to_utc_timestamp(F.lit("2024-01-31 15:00:00").cast("timestamp"), "UTC")
+    moment = F.from_utc_timestamp(at, F.current_timezone())
+    fixed = F.struct("metadata.source", moment.alias("indexed_at"))
+    return to_documents(postings.withColumn("metadata", fixed))
+
+
 def q_latest_postings(spark, sf):
     """Copies of a text as one posting that was sent again in later batches."""
     documents = table(spark, sf, "documents")
@@ -395,6 +428,23 @@ def q_stream_enrich(spark, sf):
     return flat_postings(read_postings(spark, postings))
 
 
+def q_stored_match(spark, sf):
+    """Search on the stored table: ingest as a stream, read back, match every profile."""
+    path, _ = _ingested(spark, sf)
+    postings = read_postings(spark, path).withColumnRenamed("posting_id", "doc_id")
+    profiles = prepare_profiles(
+        texts(spark, sf)[0].select(
+            "cv_id",
+            F.col("text").alias("title"),
+            F.array_distinct(tokens(F.col("text"))).alias("skills"),
+            F.col("text").alias("description"),
+            after_first_line(F.col("text")).alias("experience"),
+        ),
+        dim=DIM,
+    )
+    return hybrid_match(profiles, postings).drop("sources")
+
+
 def q_stream_rejects(spark, sf):
     _, rejects = _ingested(spark, sf)
     return read_rejects(spark, rejects).select(F.sha2("value", 256).alias("value_hash"), "reason")
