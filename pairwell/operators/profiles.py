@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from pairwell.functions.cleaning import fill_experience
 from pairwell.functions.text import strip
+from pairwell.operators.json import field, kind, with_json
+from pairwell.operators.once import with_once
 from pairwell.schemas import PROFILE
 
 SECTIONS = {
@@ -61,7 +63,7 @@ def extract_profiles(df: DataFrame, text: str, extractor: str | Extractor = "sec
         return read_replies(_ask(df, text, extractor), "reply")
     if extractor not in EXTRACTORS:
         raise ValueError(f"unknown extractor {extractor!r}; known: {sorted(EXTRACTORS)}")
-    profile = df.withColumn("profile", EXTRACTORS[extractor](F.col(text)))
+    profile = with_once(df, "profile", EXTRACTORS[extractor](F.col(text)))
     missing = [F.when(F.col(f"profile.{name}").isNull(), F.lit(name)) for name in PROFILE.names]
     return profile.withColumn("reason", _reason(F.array_compact(F.array(*missing))))
 
@@ -78,32 +80,30 @@ def _ask(df: DataFrame, text: str, factory: Extractor) -> DataFrame:
 
 def read_replies(df: DataFrame, reply: str) -> DataFrame:
     """Check a JSON reply field by field: three texts and a list of texts, all required."""
-    parsed = df.withColumn("parsed", F.try_parse_json(reply))
-
-    def field(name: str, as_type: str) -> Column:
-        return F.try_variant_get("parsed", f"$.{name}", as_type)
-
-    def kind(name: str) -> Column:
-        return F.coalesce(F.schema_of_variant(field(name, "variant")), F.lit("VOID"))
-
-    no_experience = (kind("experience") == "VOID") | (field("experience", "string") == "")
+    parsed = with_json(df, reply, "parsed")
+    whole = F.col("parsed")
+    experience = field(whole, "experience", "string")
+    no_experience = F.coalesce(kind(whole, "experience") == "VOID", F.lit(True)) | (experience == "")
+    skills = field(whole, "skills", "array<variant>")
     good = {
-        "title": kind("title") == "STRING",
-        "skills": kind("skills").isin("ARRAY<STRING>", "ARRAY<VOID>")
-        & F.forall(field("skills", "array<variant>"), lambda item: F.schema_of_variant(item) == "STRING"),
-        "description": kind("description") == "STRING",
-        "experience": (kind("experience") == "STRING") | no_experience,
+        "title": kind(whole, "title") == "STRING",
+        "skills": F.forall(skills, lambda item: F.schema_of_variant(item) == "STRING"),
+        "description": kind(whole, "description") == "STRING",
+        "experience": no_experience | (kind(whole, "experience") == "STRING"),
     }
-    is_object = F.coalesce(F.schema_of_variant("parsed").startswith("OBJECT"), F.lit(False))
-    wrong = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in good.items()]))
+    is_object = F.coalesce(kind(whole).startswith("OBJECT"), F.lit(False))
+    wrong = F.array_compact(
+        F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in good.items()])
+    )
     profile = F.struct(
-        field("title", "string").alias("title"),
-        field("skills", "array<string>").alias("skills"),
-        field("description", "string").alias("description"),
-        F.when(no_experience, "N/A").otherwise(field("experience", "string")).alias("experience"),
+        field(whole, "title", "string").alias("title"),
+        field(whole, "skills", "array<string>").alias("skills"),
+        field(whole, "description", "string").alias("description"),
+        F.when(no_experience, "N/A").otherwise(experience).alias("experience"),
     )
     reason = F.when(~is_object, "not a JSON object").otherwise(_reason(wrong))
-    return parsed.withColumn("profile", profile).withColumn("reason", reason).drop("parsed")
+    checked = with_once(parsed, "checked", F.struct(profile.alias("profile"), reason.alias("reason")))
+    return checked.select(*df.columns, "checked.*")
 
 
 def _reason(names: Column) -> Column:

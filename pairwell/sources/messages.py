@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwell.functions.encode import url_key
+from pairwell.operators.json import field, kind, with_json
 from pairwell.operators.ranking import top_k
 from pairwell.schemas import MESSAGE_DEFAULTS, MESSAGE_FIELDS
 
@@ -49,31 +50,24 @@ def decode_messages(df: DataFrame, value: str = "value") -> DataFrame:
     -2 (number) are told apart.
     """
     present = df.filter(F.col(value) != "")
-    parsed = present.withColumn("parsed", F.try_parse_json(value))
-    is_object = F.schema_of_variant("parsed").startswith("OBJECT")
-    reason = F.when(F.col("parsed").isNull(), "not JSON").when(~is_object, "not an object")
+    parsed = with_json(present, value, "parsed")
+    whole = F.col("parsed")
+    is_object = kind(whole).startswith("OBJECT")
+    reason = F.when(whole.isNull(), "not JSON").when(~is_object, "not an object")
     fields = [_text_field(name).alias(name) for name in MESSAGE_FIELDS]
-    number = F.when(
-        ~_kind("min_experience_years").isin("STRING", "VOID"), _get("min_experience_years", "double")
-    )
+    is_number = ~kind(whole, "min_experience_years").isin("STRING", "VOID")
+    number = F.when(is_number, field(whole, "min_experience_years", "double"))
     return parsed.select(
         *df.columns, *fields, number.alias("min_experience_number"), reason.alias("reason")
     )
 
 
-def _get(name: str, as_type: str) -> Column:
-    return F.try_variant_get("parsed", f"$.{name}", as_type)
-
-
-def _kind(name: str) -> Column:
-    return F.schema_of_variant(_get(name, "variant"))
-
-
 def _text_field(name: str) -> Column:
-    absent = _get(name, "variant").isNull()
-    text = F.when(_kind(name) == "STRING", _get(name, "string"))
-    if name in ("title", "job_requirements", "link"):
-        text = _get(name, "string")
+    parsed = F.col("parsed")
+    text = field(parsed, name, "string")
+    if name not in ("title", "job_requirements", "link"):
+        text = F.when(kind(parsed, name) == "STRING", text)
+    absent = field(parsed, name, "variant").isNull()
     return F.when(absent, F.lit(MESSAGE_DEFAULTS[name])).otherwise(text)
 
 

@@ -17,6 +17,7 @@ from pairwell.operators.embed import embed, hash_embed
 from pairwell.operators.frontier import discover_links, merged_history, unseen
 from pairwell.operators.fusion import channel_counts, rrf
 from pairwell.operators.lsh import lsh_candidate_counts, lsh_topk
+from pairwell.operators.once import with_once
 from pairwell.operators.pages import extract_page_fields, list_page_urls
 from pairwell.operators.profiles import extract_profiles, read_replies, rejected_profiles, valid_profiles
 from pairwell.operators.sketch import band_table, signature
@@ -75,20 +76,18 @@ def searchable(df: DataFrame, id_column: str) -> DataFrame:
 def posting_messages(documents: DataFrame) -> DataFrame:
     """Documents as raw JSON messages; German ones lack a title, Spanish ones a place."""
     has_place = F.col("lang") != "es"
-    return documents.select(
-        "doc_id",
-        F.to_json(
-            F.struct(
-                F.when(F.col("lang") != "de", F.col("text")).alias("title"),
-                F.when(has_place, F.concat("source", F.lit("\n 12 lượt xem\n"), "lang")).alias("location"),
-                F.concat(F.lit("MÔ TẢ CÔNG VIỆC:\u00a0\n\n"), "text").alias("description"),
-                F.array_join(F.array_distinct(tokens(F.col("text"))), " , ").alias("required_skills"),
-                F.concat(F.col("n_chars").cast("string"), F.lit(" năm")).alias("min_experience_years"),
-                after_first_line(F.col("text")).alias("job_requirements"),
-                F.concat(F.lit("http://h/"), F.col("doc_id").cast("string"), F.lit("//?x=1#top")).alias("link"),
-            )
-        ).alias("value"),
+    message = F.to_json(
+        F.struct(
+            F.when(F.col("lang") != "de", F.col("text")).alias("title"),
+            F.when(has_place, F.concat("source", F.lit("\n 12 lượt xem\n"), "lang")).alias("location"),
+            F.concat(F.lit("MÔ TẢ CÔNG VIỆC:\u00a0\n\n"), "text").alias("description"),
+            F.array_join(F.array_distinct(tokens(F.col("text"))), " , ").alias("required_skills"),
+            F.concat(F.col("n_chars").cast("string"), F.lit(" năm")).alias("min_experience_years"),
+            after_first_line(F.col("text")).alias("job_requirements"),
+            F.concat(F.lit("http://h/"), F.col("doc_id").cast("string"), F.lit("//?x=1#top")).alias("link"),
+        )
     )
+    return with_once(documents, "value", message).select("doc_id", "value")
 
 
 def flat_postings(postings: DataFrame) -> DataFrame:
@@ -311,7 +310,7 @@ def _resumes(spark, sf):
     markdown = F.concat_ws(
         "", F.lit("# "), "role", F.lit(" "), "conv_id", skills, F.lit("\n## Summary:\n"), "text", experience
     )
-    return turns.select("conv_id", "turn", markdown.alias("resume"))
+    return with_once(turns, "resume", markdown).select("conv_id", "turn", "resume")
 
 
 def q_profile_extract(spark, sf):
@@ -335,7 +334,8 @@ def _replies(spark, sf):
         )
     )
     reply = F.when(F.col("turn") == 0, F.concat(F.lit("Sure: "), reply)).otherwise(reply)
-    return read_replies(turns.select("conv_id", "turn", reply.alias("reply")), "reply")
+    turns = with_once(turns, "reply", reply).select("conv_id", "turn", "reply")
+    return read_replies(turns, "reply")
 
 
 def q_profile_replies(spark, sf):

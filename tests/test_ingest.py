@@ -35,6 +35,10 @@ FULL = {
 }
 
 
+# One JSON value must be the whole message.
+TRAILING = ['{"title":"x"} y', '{"title":"x"}{"title":"y"}', '{"title":"x"}]', '{"title":"x"}, 5', "4 you", '{"a":1}}']
+
+
 def decoded(spark, values):
     return decode_messages(spark.createDataFrame([(v,) for v in values], "value string"))
 
@@ -46,13 +50,13 @@ def test_defaults_only_for_absent_keys(spark):
 
 
 def test_rejects_and_dropped_messages(spark):
-    every = decoded(spark, ["{bad", "", None, "7", "[1]", json.dumps(FULL)])
+    every = decoded(spark, ["{bad", "", None, "7", "[1]", json.dumps(FULL), *TRAILING, " {}\n"])
     assert {r.value: r.reason for r in rejected_messages(every).collect()} == {
         "{bad": "not JSON",
         "7": "not an object",
         "[1]": "not an object",
-    }
-    assert valid_messages(every).count() == 1
+    } | {value: "not JSON" for value in TRAILING}
+    assert valid_messages(every).count() == 2
 
 
 def test_enrich(spark):
