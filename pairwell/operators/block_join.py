@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from typing import Any, Protocol
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -27,21 +27,32 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Limits:
-    """Size bounds in bytes, and how many scores a task holds at a time."""
+    """Size bounds in bytes, scores a task holds at a time, and tasks per search.
+
+    Every task passes on its ``k`` best per profile, so a search over very many
+    splits gives each task several of them.
+    """
 
     broadcast_bytes: int = 64 << 20
     block_bytes: int = 128 << 20
     scores: int = 1_000_000
+    tasks: int = 20_000
 
 
-class Kernel(Protocol):
+class Kernel:
     """How one search scores a batch of postings."""
 
     def prepare(self, profiles: pa.Table) -> Any:
         """Lookup form of the profile side; has ``ids`` in row order."""
+        raise NotImplementedError
+
+    def encode(self, state: Any, postings: pa.RecordBatch) -> pa.RecordBatch:
+        """Work done once per batch, before it is scored in slices."""
+        return postings
 
     def score(self, state: Any, postings: pa.RecordBatch) -> np.ndarray:
         """Scores, one row per profile and one column per posting; -inf is no match."""
+        raise NotImplementedError
 
 
 def best_matches(
@@ -99,7 +110,7 @@ def _run(profiles, postings, kernel, reduce, schema, profile_size, posting_bytes
         def over_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return reduce(kernel.prepare(shared.value), batches)
 
-        return postings.mapInArrow(over_partition, schema)
+        return postings.coalesce(limits.tasks).mapInArrow(over_partition, schema)
 
     profile_blocks = math.ceil(profile_size / limits.block_bytes)
     posting_blocks = max(1, math.ceil(measured(postings, posting_bytes) / limits.block_bytes))
@@ -126,9 +137,10 @@ def _on_grid(df, id_column, own_block, own_blocks, other_block, other_blocks):
     ).withColumn(other_block, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))))
 
 
-def _chunks(batches, profiles: int, scores: int) -> Iterator[pa.RecordBatch]:
-    step = max(1, scores // max(1, profiles))
+def _chunks(kernel, state, batches, scores: int) -> Iterator[pa.RecordBatch]:
+    step = max(1, scores // len(state.ids))
     for batch in batches:
+        batch = kernel.encode(state, batch)
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
 
@@ -139,7 +151,7 @@ def _best_rows(kernel, state, batches, k, scores) -> Iterator[pa.RecordBatch]:
         return
     floor = np.full(profiles, -np.inf)
     best = None
-    for chunk in _chunks(batches, profiles, scores):
+    for chunk in _chunks(kernel, state, batches, scores):
         row, column, score = _contenders(kernel.score(state, chunk), floor, k, chunk.column("doc_id"))
         if len(row) == 0:
             continue
@@ -183,7 +195,7 @@ def _count_rows(kernel, state, batches, scores) -> Iterator[pa.RecordBatch]:
     if profiles == 0:
         return
     total = np.zeros(profiles, dtype=np.int64)
-    for chunk in _chunks(batches, profiles, scores):
+    for chunk in _chunks(kernel, state, batches, scores):
         total += np.count_nonzero(kernel.score(state, chunk) > -np.inf, axis=1)
     yield pa.RecordBatch.from_pydict({"cv_id": state.ids, "candidates": total})
 

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from pairwell.functions.scores import BM25_B, BM25_BOOST, BM25_K1, SCORE_DIGITS, bm25_idf
 from pairwell.functions.text import tokens
-from pairwell.operators.block_join import Limits, best_matches, flat_ids, measured, rounded
+from pairwell.operators.block_join import Kernel, Limits, best_matches, flat_ids, measured, rounded
 from pairwell.operators.ranking import as_channel
-from pairwell.operators.terms import TermIndex, term_hits
+from pairwell.operators.terms import TermIndex, encode_terms, term_hits
 
 
-class Bm25Kernel:
+class Bm25Kernel(Kernel):
     """Weighted term gains; profile rows are ``(cv_id, term, weight)``."""
 
     def __init__(self, mean_length: float, k1: float, b: float):
@@ -31,9 +31,12 @@ class Bm25Kernel:
         )
         return SimpleNamespace(ids=ids.dictionary, index=index)
 
+    def encode(self, state: SimpleNamespace, postings: pa.RecordBatch) -> pa.RecordBatch:
+        return encode_terms(state.index, postings)
+
     def score(self, state: SimpleNamespace, postings: pa.RecordBatch) -> np.ndarray:
         lists = postings.column("tokens")
-        length = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        length = lists.value_lengths().to_numpy(zero_copy_only=False)
         hits = term_hits(state.index, lists)
         norm = self.k1 * (1 - self.b + self.b * length[hits.posting] / self.mean_length)
         gain = hits.times * (self.k1 + 1) / (hits.times + norm)
@@ -122,4 +125,7 @@ def bm25_topk(
         F.octet_length(F.array_join("tokens", " ")) + 8 * F.size("tokens"),
         limits,
     )
+    if size <= limits.broadcast_bytes:
+        # The profile side has been collected, so nothing reads the counts again.
+        stats.unpersist()
     return as_channel(best, source, k)

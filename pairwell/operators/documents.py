@@ -15,7 +15,9 @@ from pairwell.functions.markup import inner_text
 Converter = Callable[[], Callable[[bytes], str]]
 
 
-def convert_documents(files: DataFrame, converter: Converter | None = None, on_error: str = "raise") -> DataFrame:
+def convert_documents(
+    files: DataFrame, converter: Converter | None = None, on_error: str = "raise"
+) -> DataFrame:
     """``(path, name, stem, text, error)`` from ``(path, content)``.
 
     Without a converter the bytes are read as UTF-8, and HTML loses its tags.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairwell.functions.scores import SCORE_DIGITS
 from pairwell.operators.block_join import (
+    Kernel,
     Limits,
     best_matches,
     fixed_matrix,
@@ -21,12 +22,12 @@ from pairwell.operators.block_join import (
 )
 from pairwell.operators.ranking import as_channel
 from pairwell.operators.sketch import MAX_HASH, NUM_PERM, THRESHOLD, optimal_bands
-from pairwell.operators.terms import TermIndex, term_hits
+from pairwell.operators.terms import TermIndex, encode_terms, term_hits
 
 PAIRS_AT_A_TIME = 200_000
 
 
-class SketchKernel:
+class SketchKernel(Kernel):
     """Postings that share a band with a profile, scored by equal positions."""
 
     def __init__(self, bands: int, rows: int):
@@ -90,6 +91,9 @@ class ExactJaccardKernel(SketchKernel):
         state.sizes = tokens.value_lengths().to_numpy()
         return state
 
+    def encode(self, state: SimpleNamespace, postings: pa.RecordBatch) -> pa.RecordBatch:
+        return encode_terms(state.index, postings)
+
     def score(self, state: SimpleNamespace, postings: pa.RecordBatch) -> np.ndarray:
         candidate = self._candidates(state, fixed_matrix(postings.column("signature")))
         lists = postings.column("tokens")

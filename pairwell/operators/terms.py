@@ -59,13 +59,22 @@ class TermIndex:
         return total.reshape(profiles, postings)
 
 
-def term_hits(index: TermIndex, lists: pa.Array) -> TermHits:
-    """Occurrences of indexed terms in every list of a batch."""
+def encode_terms(index: TermIndex, postings: pa.RecordBatch) -> pa.RecordBatch:
+    """Replace the words in column ``tokens`` by term numbers, null for other words."""
+    lists = postings.column("tokens")
     lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    found = pc.index_in(lists.flatten(), value_set=index.terms)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    numbers = pc.index_in(lists.flatten(), value_set=index.terms)
+    place = postings.schema.get_field_index("tokens")
+    return postings.set_column(place, "tokens", pa.ListArray.from_arrays(pa.array(offsets), numbers))
+
+
+def term_hits(index: TermIndex, lists: pa.Array) -> TermHits:
+    """Occurrences of every term in every list of term numbers."""
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    found = lists.flatten()
     known = found.is_valid().to_numpy(zero_copy_only=False)
     posting = np.repeat(np.arange(len(lists)), lengths)[known]
-    term = found.drop_null().to_numpy()
     size = max(1, len(index.terms))
-    code, times = np.unique(posting * size + term, return_counts=True)
+    code, times = np.unique(posting * size + found.drop_null().to_numpy(), return_counts=True)
     return TermHits(code // size, code % size, times)

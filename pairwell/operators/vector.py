@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.functions.scores import SCORE_DIGITS
-from pairwell.operators.block_join import Limits, best_matches, fixed_matrix, flat_ids, measured, rounded
+from pairwell.operators.block_join import Kernel, Limits, best_matches, fixed_matrix, flat_ids, measured, rounded
 from pairwell.operators.ranking import as_channel
 
 
-class CosineKernel:
+class CosineKernel(Kernel):
     """Cosine + 1 as one matrix product per batch."""
 
     def prepare(self, profiles: pa.Table) -> SimpleNamespace:
@@ -25,7 +25,9 @@ class CosineKernel:
     def score(self, state: SimpleNamespace, postings: pa.RecordBatch) -> np.ndarray:
         usable, units = _units(postings.column("vector"))
         score = np.full((len(state.ids), postings.num_rows), -np.inf)
-        if len(usable):
+        if len(usable) and len(state.ids):
+            if units.shape[1] != state.units.shape[1]:
+                raise ValueError(f"vectors of different lengths: {state.units.shape[1]}, {units.shape[1]}")
             score[:, usable] = rounded(state.units @ units.T + 1.0, SCORE_DIGITS)
         return score
 

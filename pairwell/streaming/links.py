@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pairwell.functions.encode import url_key
 
 
-def new_links(found: DataFrame, history: DataFrame | None = None, time: str | None = None, within: str = "30 days") -> DataFrame:
+def new_links(
+    found: DataFrame, history: DataFrame | None = None, time: str | None = None, within: str = "30 days"
+) -> DataFrame:
     """Links of a stream by key, each passed on once.
 
     ``found`` has ``url`` and ``url_key``. Links in the static ``history`` are left
