@@ -122,10 +122,13 @@ def _run(profiles, postings, kernel, reduce, schema, profile_size, posting_bytes
         found = list(reduce(kernel.prepare(left_rows), right_rows.to_batches()))
         if found:
             return pa.Table.from_batches(found)
-        empty = [left_rows, right_rows]
-        types = [next((t.schema.field(n).type for t in empty if n in t.column_names), None) for n in names]
-        types = [t or (pa.int64() if n == "candidates" else pa.float64()) for n, t in zip(names, types)]
-        return pa.table({n: pa.array([], t) for n, t in zip(names, types)})
+        types = {
+            "cv_id": left_rows.schema.field("cv_id").type,
+            "doc_id": right_rows.schema.field("doc_id").type,
+            "score": pa.float64(),
+            "candidates": pa.int64(),
+        }
+        return pa.table({name: pa.array([], types[name]) for name in names})
 
     cell = ["profile_block", "posting_block"]
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(over_cell, schema)

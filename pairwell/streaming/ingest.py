@@ -23,12 +23,16 @@ def store_batch(
     order: str = "value",
     embedder: Embedder | None = None,
     dim: int = DIM,
+    tasks: int | None = None,
 ) -> None:
     """Decode, enrich and store one batch; bad messages go to the rejects.
 
     Storing the same batch again rewrites its folder, so nothing is lost or
-    repeated. ``order`` names the column by which the last message of a posting wins.
+    repeated. ``order`` names the column by which the last message of a posting
+    wins. ``tasks`` spreads the raw messages first, for sources with few partitions.
     """
+    if tasks is not None:
+        messages = messages.repartition(tasks)
     decoded = decode_messages(messages).persist()
     try:
         good = last_per_posting(valid_messages(decoded), order)
@@ -46,6 +50,7 @@ def start_ingest(
     order: str = "value",
     embedder: Embedder | None = None,
     dim: int = DIM,
+    tasks: int | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Store every micro-batch of a message stream.
@@ -60,7 +65,7 @@ def start_ingest(
     )
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        store_batch(batch, postings_path, rejects_path, batch_id, order, embedder, dim)
+        store_batch(batch, postings_path, rejects_path, batch_id, order, embedder, dim, tasks)
 
     writer = counted.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

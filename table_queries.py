@@ -415,11 +415,13 @@ def _stream(spark, sf, name):
 def _ingested(spark, sf):
     """Documents twice in a stream: as posting messages and as plain text."""
     documents = _stream(spark, sf, "documents")
-    good = posting_messages(documents).select("value")
+    good = posting_messages(documents.repartition(spark.sparkContext.defaultParallelism)).select("value")
     plain = documents.select(F.col("text").alias("value"))
     base = shared_dir(spark, "ingest")
     paths = f"{base}/postings", f"{base}/rejects"
-    start_ingest(good.union(plain), *paths, f"{base}/checkpoint", dim=DIM).awaitTermination()
+    cores = spark.sparkContext.defaultParallelism
+    ingest = start_ingest(good.union(plain), *paths, f"{base}/checkpoint", dim=DIM, tasks=cores)
+    ingest.awaitTermination()
     return paths
 
 
