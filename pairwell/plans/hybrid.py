@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.functions.scores import CHANNEL_WEIGHTS, FINAL_K, TOP_K_PER_CHANNEL
-from pairwell.operators.block_join import Limits
+from pairwell.operators.block_join import Limits, measured
 from pairwell.operators.bm25 import bm25_topk
 from pairwell.operators.embed import DIM, Embedder, embed
 from pairwell.operators.fusion import explain_sources, rrf
@@ -70,16 +70,16 @@ def hybrid_match(
     return fused if final_k is None else fused.filter(F.col("rank") <= final_k)
 
 
-def with_documents(
-    matches: DataFrame, postings: DataFrame, profiles: DataFrame, k: int = FINAL_K, limits: Limits = Limits()
-) -> DataFrame:
+def with_documents(matches: DataFrame, postings: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Add title, skills and experience of the matched postings.
 
-    Matches are at most ``k`` per profile. While that many rows fit the size
+    The matches are computed and kept first. If their measured size fits the
     bound they are broadcast and the postings are not shuffled.
     """
     fields = postings.select("doc_id", "title", "skills", "experience")
-    if profiles.count() * k * 512 <= limits.broadcast_bytes:
+    matches = matches.persist()
+    ids = F.octet_length(F.concat(F.col("cv_id").cast("string"), F.col("doc_id").cast("string")))
+    if measured(matches, ids + F.octet_length(explain_sources(F.col("sources"))) + 64) <= limits.broadcast_bytes:
         return fields.join(F.broadcast(matches), "doc_id")
     return lookup_join(matches, fields, "doc_id", ["cv_id"], "inner")
 

@@ -238,7 +238,7 @@ def q_hybrid_match(spark, sf):
 def q_match_report(spark, sf):
     profiles, postings = texts(spark, sf)
     cvs, jobs = searchable(profiles, "cv_id"), searchable(postings, "doc_id")
-    return report(with_documents(hybrid_match(cvs, jobs), jobs, cvs)).drop("why")
+    return report(with_documents(hybrid_match(cvs, jobs), jobs)).drop("why")
 
 
 # --- links and pages ----------------------------------------------------------------------

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -12,6 +13,12 @@ def test_strip_takes_every_unicode_space(values):
     assert values(text.strip(X), ["\u00a0 a\u3000b \n\x1f", "", None]) == ["a\u3000b", "", None]
 
 
+def test_strip_on_many_strings(values):
+    draw = random.Random(5)
+    rows = ["".join(draw.choices(list("ab é\n\t\u00a0\u2003\u3000\x1c\u200b"), k=draw.randint(0, 8))) for _ in range(300)]
+    assert values(text.strip(X), rows) == [row.strip() for row in rows]
+
+
 def test_tokens(values):
     rows = ["Ab-çd É9, x_y  ", "### ___", None, "Node.js don't 3.14 1,000 a.b.c end. C++ x,y 2.x ’q", "nhân viên 日本 カナ"]
     assert values(text.tokens(X), rows) == [

@@ -87,7 +87,7 @@ def test_display(spark):
     profiles, postings = both_sides(spark)
     matches = hybrid_match(profiles, postings)
     for limits in (Limits(), Limits(broadcast_bytes=0)):
-        shown = report(with_documents(matches, postings, profiles, limits=limits))
+        shown = report(with_documents(matches, postings, limits))
         first = shown.filter("cv_id = 1 and rank = 1").first()
         assert (first.title, first.skills) == ("Data analyst", "SQL, Statistics, Python")
         assert first.experience == "2 years with data..." and first.why.startswith('{"bm25":{"rank":1')

@@ -1,5 +1,6 @@
 import json
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,8 +12,10 @@ from pairwell.sources.messages import (
     decode_messages,
     encode_messages,
     last_per_posting,
+    read_topic,
     rejected_messages,
     valid_messages,
+    write_topic,
 )
 from pairwell.sources.postings import (
     append_postings,
@@ -20,6 +23,7 @@ from pairwell.sources.postings import (
     latest,
     read_batches,
     read_postings,
+    to_documents,
     write_batch,
 )
 from pairwell.streaming.ingest import batch_status, read_rejects, start_ingest
@@ -192,6 +196,31 @@ def test_stream_equals_batch_and_restarts_cleanly(spark, stream_paths):
     assert sorted((r.saved, r.rejected) for r in status.collect()) == [(1, 0), (5, 1), (7, 0)]
 
 
+def test_spread_stream(spark, stream_paths):
+    source, postings, *_ = stream_paths
+    lines = [json.dumps(FULL | {"link": f"http://h/{i}"}) for i in range(30)]
+    (source / "a.txt").write_text("\n".join(lines), encoding="utf-8")
+    run_stream(spark, stream_paths, tasks=6)
+    assert read_postings(spark, postings).count() == 30
+
+
+def test_topic_needs_the_connector(spark):
+    with pytest.raises(Exception, match="kafka"):
+        read_topic(spark, "localhost:9092", "postings", per_batch=5)
+    with pytest.raises(Exception, match="kafka"):
+        write_topic(spark.range(1), "localhost:9092", "postings")
+
+
+def test_document_form(spark):
+    rows = enrich(valid_messages(decoded(spark, [json.dumps(FULL)])), dim=4)
+    (row,) = to_documents(rows).collect()
+    document = json.loads(row.document)
+    assert list(document) == [name for name in POSTING.names if name != "posting_id"]
+    assert document["skills_signature"][0].startswith("hash_") and len(document["skills_signature"]) == 128
+    assert document["metadata"]["source"] == "job_description"
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", document["metadata"]["indexed_at"])
+
+
 def test_failed_batch_is_written_once_after_restart(spark, stream_paths):
     source, postings, *_ = stream_paths
     (source / "a.txt").write_text(json.dumps(FULL), encoding="utf-8")
