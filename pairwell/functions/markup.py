@@ -17,7 +17,7 @@ def inner_text(html: Column) -> Column:
     """Visible text: scripts, styles, comments and tags removed, line tags as breaks."""
     text = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "")
     text = F.regexp_replace(text, rf"(?i)<br\s*/?>|</(?:{'|'.join(LINE_TAGS[1:])})>", "\n")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
+    text = F.regexp_replace(text, r"<[^<>]*>", "")
     for entity, character in ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(character))
     return strip(text)
@@ -36,4 +36,4 @@ def after_label(label: str, tag: str, nth: int = 1) -> str:
 
 def links(html: Column) -> Column:
     """Targets of all anchors, in page order."""
-    return F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
+    return F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^<>]*?href="([^"]*)"'), F.lit(1))

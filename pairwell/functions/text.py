@@ -15,11 +15,12 @@ SPACES = (
 
 # Words by the Unicode default rules: letters, digits and underscores run together;
 # some punctuation joins two letters (node.js, don't) or two digits (3.14, 1,000);
-# Han and Hiragana characters are words of their own.
+# Han and Hiragana characters are words of their own. Possessive repeats keep Java's
+# matcher from recursing, so that a junk "word" of any length is safe.
 SINGLE = r"[\p{IsHan}\p{IsHiragana}]"
 RUN = rf"[\p{{L}}\p{{M}}\p{{N}}_&&[^{SINGLE[1:-1]}]]"
 JOINT = r"(?<=[\p{L}\p{M}])[:.'’·‧](?=\p{L})|(?<=\p{N})[,;.'’](?=\p{N})"
-WORD = rf"{SINGLE}|_*[\p{{L}}\p{{N}}]{RUN}*+(?:(?:{JOINT}){RUN}++)*"
+WORD = rf"{SINGLE}|_*[\p{{L}}\p{{N}}]{RUN}*+(?:(?:{JOINT}){RUN}++)*+"
 
 
 def strip(text: Column) -> Column:

@@ -32,6 +32,14 @@ def test_tokens(values):
     assert values(text.tokens(X), ["Kỹ sư."]) == [["kỹ", "sư"]]
 
 
+def test_very_long_words(values):
+    rows = ["1," * 20_000 + "1", "a." * 20_000, "x" * 50_000, "<a " * 20_000]
+    sizes = [[len(word) for word in words[:2]] for words in values(text.tokens(X), rows)]
+    assert sizes == [[40_001], [39_999], [50_000], [1, 1]]
+    assert values(F.length(markup.inner_text(X)), rows)[2:] == [50_000, 59_999]
+    assert values(F.size(markup.links(X)), rows) == [0] * 4
+
+
 def test_normal_tokens(values):
     got = values(text.normal_tokens(X), [["Python", " ", "python\u00a0", "SQL"], []], "x array<string>")
     assert got == [["python", "sql"], []]
