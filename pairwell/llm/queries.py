@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwell.llm.mixing import mix
+from pairwell.llm.warc import assemble, page_ids, read_records, write_captures
+from pairwell.session import shared_dir
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -66,10 +68,45 @@ SELECT r.doc_id, r.size, r.source_size, r.target,
 FROM ranked r LEFT JOIN cuts c ON r.source IS NOT DISTINCT FROM c.source
 """
 
+def q_warc(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    write_captures(table(spark, sf, "pages"), path)
+    captures = page_ids(assemble(read_records(spark, path, payload=False)))
+    revisits = F.col("response.record_type") == "revisit"
+    original = page_ids(captures.filter(~revisits)).select(
+        F.col("response.record_id").alias("o_id"), F.col("page_id").alias("o_page")
+    ).distinct()
+    joined = captures.join(original, F.col("response.refers_to") == F.col("o_id"), "left")
+    return joined.select(
+        "page_id",
+        F.when(revisits, F.col("original.payload_bytes")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
+        F.when(revisits, F.regexp_replace("response.stated_digest", "^sha1:", ""))
+        .otherwise(F.col("response.payload_digest"))
+        .alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"),
+        F.col("o_page").alias("refers_to"),
+    )
+
+
+WARC_SQL = """
+WITH digests AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM digests)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST('0x' || substr(h, CAST(k // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS INT)) & 31 AS INT) + 1, 1)), '')
+         AS payload_digest,
+       CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM firsts
+"""
+
 QUERIES = {
+    "op7_warc": q_warc,
     "op10_mix_sources": q_mix_sources,
 }
 
 ORACLES = {
+    "op7_warc": WARC_SQL,
     "op10_mix_sources": MIX_SQL,
 }
