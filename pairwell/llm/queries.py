@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwell.llm.bpe import round_trip
 from pairwell.llm.mixing import mix
 from pairwell.llm.warc import assemble, page_ids, read_records, write_captures
 from pairwell.session import shared_dir
@@ -101,7 +103,14 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM firsts
 """
 
+def q_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = round_trip(table(spark, sf, "documents").select("doc_id", "text"), path)
+    return coded.select("doc_id", "round_trip.n_tokens", "round_trip.ids_sha256", "round_trip.decoded_sha256")
+
+
 QUERIES = {
+    "op3_bpe": q_bpe,
     "op7_warc": q_warc,
     "op10_mix_sources": q_mix_sources,
 }
