@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pairwell.llm.bpe import round_trip
 from pairwell.llm.mixing import mix
+from pairwell.llm.ngram_join import jaccard_components
 from pairwell.llm.warc import assemble, page_ids, read_records, write_captures
 from pairwell.session import shared_dir
 
@@ -109,7 +110,13 @@ def q_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return coded.select("doc_id", "round_trip.n_tokens", "round_trip.ids_sha256", "round_trip.decoded_sha256")
 
 
+def q_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    joined = jaccard_components(table(spark, sf, "documents"))
+    return joined.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 QUERIES = {
+    "op1_ngram_jaccard_join": q_ngram_join,
     "op3_bpe": q_bpe,
     "op7_warc": q_warc,
     "op10_mix_sources": q_mix_sources,
