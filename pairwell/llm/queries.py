@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pairwell.llm.bpe import round_trip
 from pairwell.llm.mixing import mix
 from pairwell.llm.ngram_join import jaccard_components
+from pairwell.llm.common import kept
+from pairwell.llm.quality import COUNTS, base_failed, labelled_statistics, learn, verdict, with_statistics
 from pairwell.llm.warc import assemble, page_ids, read_records, write_captures
 from pairwell.session import shared_dir
 
@@ -115,7 +117,18 @@ def q_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return joined.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def q_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    stats = kept(with_statistics(docs, "text", "s").select("doc_id", "s"), "quality-stats")
+    rules = learn(labelled_statistics(stats, table(spark, sf, "labels")))
+    judged = stats.withColumns({"base_failed": base_failed("s"), "rule": verdict(rules, "s")})
+    return judged.select(
+        "doc_id", *[f"s.{name}" for name in COUNTS], "base_failed", "rule", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept")
+    )
+
+
 QUERIES = {
+    "op6_quality_rules": q_quality_rules,
     "op1_ngram_jaccard_join": q_ngram_join,
     "op3_bpe": q_bpe,
     "op7_warc": q_warc,
