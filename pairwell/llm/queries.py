@@ -10,6 +10,7 @@ from pairwell.llm.bpe import round_trip
 from pairwell.llm.mixing import mix
 from pairwell.llm.ngram_join import jaccard_components
 from pairwell.llm.common import kept
+from pairwell.llm.ppm import held_out, scored
 from pairwell.llm.quality import COUNTS, base_failed, labelled_statistics, learn, verdict, with_statistics
 from pairwell.llm.warc import assemble, page_ids, read_records, write_captures
 from pairwell.session import shared_dir
@@ -127,7 +128,16 @@ def q_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    rows = scored(docs, ~held_out(F.col("doc_id")))
+    return rows.select(
+        F.col("doc").alias("doc_id"), held_out(F.col("doc")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 QUERIES = {
+    "op9_ppm_scores": q_lm_scores,
     "op6_quality_rules": q_quality_rules,
     "op1_ngram_jaccard_join": q_ngram_join,
     "op3_bpe": q_bpe,
