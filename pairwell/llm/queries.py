@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwell.llm.bpe import round_trip
+from pairwell.llm.language import learn as learn_languages
+from pairwell.llm.language import predicted
 from pairwell.llm.mixing import mix
 from pairwell.llm.ngram_join import jaccard_components
-from pairwell.llm.common import kept
+from pairwell.llm.common import fold, kept
 from pairwell.llm.ppm import held_out, scored
 from pairwell.llm.quality import COUNTS, base_failed, labelled_statistics, learn, verdict, with_statistics
 from pairwell.llm.warc import assemble, page_ids, read_records, write_captures
@@ -136,7 +138,15 @@ def q_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    test = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    rows = predicted(docs.select("doc_id", "text"), learn_languages(docs, ~test))
+    return rows.select("doc_id", test.alias("held_out"), "language.lang_pred", "language.score")
+
+
 QUERIES = {
+    "op5_language_id": q_language_id,
     "op9_ppm_scores": q_lm_scores,
     "op6_quality_rules": q_quality_rules,
     "op1_ngram_jaccard_join": q_ngram_join,
