@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwell.llm.bpe import round_trip
+from pairwell.llm.extract import extracted
 from pairwell.llm.language import learn as learn_languages
 from pairwell.llm.language import predicted
 from pairwell.llm.mixing import mix
@@ -145,7 +146,13 @@ def q_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", test.alias("held_out"), "language.lang_pred", "language.score")
 
 
+def q_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    rows = extracted(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
+    "op2_html_extraction": q_html_extraction,
     "op5_language_id": q_language_id,
     "op9_ppm_scores": q_lm_scores,
     "op6_quality_rules": q_quality_rules,
