@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pairwell.llm.bpe import round_trip
 from pairwell.llm.extract import extracted
+from pairwell.llm.fingerprint import with_fingerprints
 from pairwell.llm.language import learn as learn_languages
 from pairwell.llm.language import predicted
 from pairwell.llm.mixing import mix
@@ -151,7 +152,12 @@ def q_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def q_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return with_fingerprints(table(spark, sf, "documents")).withColumnRenamed("doc", "doc_id")
+
+
 QUERIES = {
+    "op4_fingerprints": q_fingerprints,
     "op2_html_extraction": q_html_extraction,
     "op5_language_id": q_language_id,
     "op9_ppm_scores": q_lm_scores,
