@@ -118,12 +118,15 @@ def pieces(text: str, size: int = BLOCK_CHARS) -> Iterator[str]:
 
 
 class Encoder:
-    """Ids of texts; remembers the ids of up to ``MEMORY_WORDS`` words."""
+    """Ids of texts; remembers the ids of up to ``MEMORY_WORDS`` words.
 
-    def __init__(self, vocabulary: Vocabulary):
+    ``specials=False`` reads the strings of special tokens as ordinary text.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, specials: bool = True):
         self.vocabulary = vocabulary
         self.split = regex.compile(PATTERN).findall
-        marks = sorted(vocabulary.special, key=len, reverse=True)
+        marks = sorted(vocabulary.special, key=len, reverse=True) if specials else []
         self.specials = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
         self.forget()
 
@@ -166,7 +169,7 @@ class Encoder:
         parts = self.specials.split(text) if self.specials else [text]
         out = []
         for part in parts:
-            if part in self.vocabulary.special:
+            if self.specials and part in self.vocabulary.special:
                 out.append(np.array([self.vocabulary.special[part]], np.uint32))
             else:
                 out.extend(self.ids_of(words)[0] for words in self.words_of(part))

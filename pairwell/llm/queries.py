@@ -16,9 +16,13 @@ from pairwell.llm.ngram_join import jaccard_components
 from pairwell.llm.common import fold, kept
 from pairwell.llm.ppm import held_out, scored
 from pairwell.llm.quality import COUNTS, base_failed, labelled_statistics, learn, verdict, with_statistics
+from pairwell.llm.token_files import document_counts, token_counts, write_tokens
 from pairwell.llm.warc import assemble, page_ids, read_records, write_captures
 from pairwell.session import shared_dir
 
+#: Fixed value: the id that ends a document in the vocabulary used here.
+END_OF_DOCUMENT = 50256
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -156,7 +160,15 @@ def q_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return with_fingerprints(table(spark, sf, "documents")).withColumnRenamed("doc", "doc_id")
 
 
+def q_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    path, folder = public_tokenizers.path("byte_bpe_50k.json"), shared_dir(spark, "tokens")
+    documents = write_tokens(table(spark, sf, "documents"), folder, path)
+    counted = document_counts(documents, token_counts(spark, folder, END_OF_DOCUMENT))
+    return counted.select(F.col("doc").alias("doc_id"), "n_tokens", "ordinal", "first_token")
+
+
 QUERIES = {
+    "op8_token_counts": q_token_counts,
     "op4_fingerprints": q_fingerprints,
     "op2_html_extraction": q_html_extraction,
     "op5_language_id": q_language_id,
