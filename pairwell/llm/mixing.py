@@ -53,13 +53,15 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float
     )
     limit = cap * F.col("source_size")
     named = sizes.select("mix_source", "source_size", weight.alias("w")).withColumn("ratio", limit / F.col("w"))
-    before = Window.orderBy("ratio", F.col("mix_source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    rest = Window.orderBy("ratio", F.col("mix_source").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
+    order = Window.orderBy("ratio", F.col("mix_source").asc_nulls_last())
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rest = order.rowsBetween(0, Window.unboundedFollowing)
     every = Window.partitionBy()
     total = share * F.sum("source_size").over(every)
     level = (total - F.coalesce(F.sum(limit).over(before), F.lit(0.0))) / F.sum("w").over(rest)
-    levels = named.select("*", F.when(level <= F.col("ratio"), level).alias("level"))
-    common = F.min("level").over(every)
+    levels = named.select("*", level.alias("level"), F.row_number().over(order).alias("turn"))
+    # The first source that the level does not bring to its limit; those before it stop there.
+    common = F.min_by("level", F.when(F.col("level") <= F.col("ratio"), F.col("turn"))).over(every)
     return levels.select(
         "mix_source",
         "source_size",

@@ -53,10 +53,11 @@ ratios AS (SELECT *, 2.0::DOUBLE * source_size AS lim, 2.0::DOUBLE * source_size
 levels AS (
   SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
              - coalesce(sum(lim) OVER (ORDER BY ratio, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-            / sum(w) OVER (ORDER BY ratio, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            / sum(w) OVER (ORDER BY ratio, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+         row_number() OVER (ORDER BY ratio, encode(source) NULLS LAST) AS turn
   FROM ratios),
 targets AS (
-  SELECT source, source_size, least(lim, coalesce(min(CASE WHEN level <= ratio THEN level END) OVER () * w, 'inf'::DOUBLE)) AS target
+  SELECT source, source_size, least(lim, coalesce(arg_min(level, CASE WHEN level <= ratio THEN turn END) OVER () * w, 'inf'::DOUBLE)) AS target
   FROM levels),
 parts AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS expected FROM targets),
