@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pairwell.llm.bpe import with_ids
 from pairwell.llm.common import kept
+from pairwell.llm.language import UNKNOWN, predicted
+from pairwell.llm.language import learn as learn_languages
 from pairwell.llm.mixing import mix, repeated
+from pairwell.llm.ngram_join import one_of_each
+from pairwell.llm.quality import judged, learned_rules
+
+#: A document stays if its language is told with at least this score.
+LANGUAGE_SCORE = 0.25
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and the rules learned from ``labels``."""
+    rules = learned_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged(docs, rules).filter("kept").select(*docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; the model is learned from those that state one."""
+    model = learn_languages(docs, F.lit(True))
+    told = (F.col("language.lang_pred") != UNKNOWN) & (F.col("language.score") >= LANGUAGE_SCORE)
+    return predicted(docs, model).filter(told).select(*docs.columns)
+
+
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares four fifths of its five-word shingles."""
+    return one_of_each(docs, size=5, percent=80)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,17 +41,27 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repeated(mix(docs))
 
 
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document that the mix holds."""
+    coded = with_ids(docs, public_tokenizers.path("byte_bpe_50k.json"), ids="token_ids")
+    return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+
+
 STAGES = [
+    ("quality rules", quality_stage),
+    ("language", language_stage),
+    ("near copies", near_copy_stage),
     ("mixing", mix_stage),
+    ("tokens", token_stage),
 ]
 
-#: Language models and learned rules have no SQL; tests hold the stages against brute force.
+#: Learned rules, language models and BPE have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = kept(stage(spark, docs, sf_dir), f"stage-{name}")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = kept(stage(spark, docs, sf_dir), f"stage-{number}")
     return docs

@@ -415,3 +415,24 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     reached = members.join(labels, members.rep == labels.node, "left")
     own = F.coalesce("component", "rep", "doc")
     return reached.select("doc", "n", F.when(F.col("doc").isNotNull(), own).alias("component"))
+
+
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with one of each group of linked ones: the one with the smallest id.
+
+    All columns stay. Documents that link with nothing stay, also those without words and
+    those with a null id; of rows with one id that is kept, one stays.
+    """
+    joined = jaccard_components(docs, doc_id=doc_id, text=text, size=size, percent=percent)
+    # Only ids that go are joined, so a corpus of few copies moves little.
+    gone = kept(joined.filter("doc <> component").select(F.col("doc").alias("gone_id")).distinct(), "gone")
+    repeated = kept(
+        joined.filter("doc = component").groupBy("doc").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc").alias("again_id")),
+        "repeated-ids",
+    )
+    stay = docs.join(gone, F.col(doc_id) == F.col("gone_id"), "left_anti")
+    if repeated.isEmpty():
+        return stay
+    single = stay.join(repeated, F.col(doc_id) == F.col("again_id"), "left_anti")
+    twice = stay.join(repeated, F.col(doc_id) == F.col("again_id"), "left_semi").dropDuplicates([doc_id])
+    return single.unionByName(twice)
