@@ -207,7 +207,7 @@ STORED_CTES = _hybrid_ctes(
             MESSAGES,
             """
 stored AS MATERIALIZED (
-  SELECT sha256('http://h/' || doc_id) AS doc_id, CASE WHEN lang = 'de' THEN 'Unknown' ELSE text END AS title, text,
+  SELECT sha256('http://h/' || doc_id || '//?x=1') AS doc_id, CASE WHEN lang = 'de' THEN 'Unknown' ELSE text END AS title, text,
          skills
   FROM messages)""",
             _doc_words("stored", "title"),
@@ -271,7 +271,7 @@ vectors AS (
   SELECT doc_id, string_agg(coalesce(x, 0)::VARCHAR, ' ' ORDER BY g.cell) AS vector
   FROM (SELECT doc_id, cell FROM documents, range({DIM}) r(cell)) g LEFT JOIN cells USING (doc_id, cell)
   GROUP BY doc_id)
-SELECT sha256('http://h/' || doc_id) AS posting_id, 'job' AS doc_type, title,
+SELECT sha256('http://h/' || doc_id || '//?x=1') AS posting_id, 'job' AS doc_type, title,
        to_json(skills)::VARCHAR AS skills, array_to_string(skills, ' ') AS skills_text,
        trim(regexp_replace(text, '\\n+', chr(10), 'g'), {SPACES}) AS description,
        vector AS description_vector,
@@ -301,7 +301,7 @@ doc_skill AS MATERIALIZED (
 sketch_list AS (
   SELECT doc_id, list('hash_' || coalesce(v, 4294967295) ORDER BY pos) AS signature
   FROM (SELECT doc_id, pos FROM documents, perm) LEFT JOIN doc_sketch USING (doc_id, pos) GROUP BY doc_id)
-SELECT sha256('http://h/' || doc_id) AS id, to_json({{
+SELECT sha256('http://h/' || doc_id || '//?x=1') AS id, to_json({{
   'doc_type': 'job', 'title': title, 'skills': skills, 'skills_signature': signature,
   'skills_text': array_to_string(skills, ' '),
   'description': trim(regexp_replace(text, '\\n+', chr(10), 'g'), {SPACES}),
@@ -345,8 +345,9 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, string_agg(coalesce(x, 0)::VARCHAR, ' ' ORDER BY g.cell) AS vector
         FROM (SELECT doc_id, r.cell FROM documents, range({DIM}) r(cell)) g
         LEFT JOIN doc_text_cell t ON t.id = g.doc_id AND t.cell = g.cell GROUP BY doc_id""",
-    "model_embed": """SELECT doc_id, length(text)::DOUBLE AS characters,
-        (length(text) - length(replace(text, ' ', '')))::DOUBLE AS blanks FROM documents""",
+    "model_embed": f"""SELECT doc_id, length(text)::DOUBLE AS characters,
+        (length(text) - length(replace(text, ' ', '')))::DOUBLE AS blanks,
+        CASE WHEN {_body('text')} <> '' THEN length({_body('text')}) END::DOUBLE AS body_characters FROM documents""",
     "channel_counts": f"WITH {HYBRID_CTES} SELECT cv_id, source, count(*) AS hits FROM hits GROUP BY ALL",
     "rrf_fusion": f"""WITH {HYBRID_CTES}
         SELECT f.cv_id, f.doc_id, f.rank, f.rrf_score, h.source, h.rank AS source_rank, h.raw_score

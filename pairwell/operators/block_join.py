@@ -25,6 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Digits to which a sum of products does not depend on its order.
+NOISE_DIGITS = 12
+
+#: Contenders held before they are merged, if twice the result is less.
+MERGE_ROWS = 500_000
+
+
 @dataclass(frozen=True)
 class Limits:
     """Size bounds in bytes, scores a task holds at a time, and tasks per search.
@@ -98,6 +105,11 @@ def match_counts(
     return partial.groupBy("cv_id").agg(F.sum("candidates").alias("candidates"))
 
 
+def id_bytes(name: str = "cv_id") -> Column:
+    """Bytes of an id column of any type, as a bound."""
+    return F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0)) + 8
+
+
 def measured(df: DataFrame, row_bytes: Column) -> int:
     """Bytes of all rows together."""
     return df.agg(F.sum(row_bytes)).first()[0] or 0
@@ -153,27 +165,36 @@ def _best_rows(kernel, state, batches, k, scores) -> Iterator[pa.RecordBatch]:
     if profiles == 0:
         return
     floor = np.full(profiles, -np.inf)
-    best = None
+    held: list[pa.Table] = []
+    room = merge_rows = max(MERGE_ROWS, 2 * k * profiles)
     for chunk in _chunks(kernel, state, batches, scores):
         row, column, score = _contenders(kernel.score(state, chunk), floor, k, chunk.column("doc_id"))
         if len(row) == 0:
             continue
-        found = pa.table(
-            {"row": row, "doc_id": chunk.column("doc_id").take(pa.array(column)), "score": score}
-        )
-        best = found if best is None else pa.concat_tables([best, found])
-        best = best.sort_by([("row", "ascending"), ("score", "descending"), ("doc_id", "ascending")])
-        order = best["row"].to_numpy()
-        place = np.arange(len(order)) - np.searchsorted(order, order, side="left")
-        last = place == k - 1
-        floor[order[last]] = best["score"].to_numpy()[last]
-        best = best.filter(pa.array(place < k))
-    if best is not None:
+        held.append(pa.table({"row": row, "doc_id": chunk.column("doc_id").take(pa.array(column)), "score": score}))
+        room -= len(row)
+        if room <= 0:
+            held, room = [_merged(held, floor, k)], merge_rows
+    if held:
+        best = _merged(held, floor, k)
         ids = state.ids.take(best["row"].combine_chunks())
         table = pa.table({"cv_id": ids, "doc_id": best["doc_id"], "score": best["score"]})
         yield from table.combine_chunks().to_batches()
 
 
+def _merged(held: list[pa.Table], floor: np.ndarray, k: int) -> pa.Table:
+    """The ``k`` best per profile of what is held; raises each profile's floor to its k-th score."""
+    rows = pa.concat_tables(held)
+    rows = rows.filter(pa.array(rows["score"].to_numpy() >= floor[rows["row"].to_numpy()]))
+    rows = rows.sort_by([("row", "ascending"), ("score", "descending"), ("doc_id", "ascending")])
+    order = rows["row"].to_numpy()
+    begins = np.r_[True, order[1:] != order[:-1]][: len(order)]
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(begins, np.arange(len(order)), 0))
+    last = place == k - 1
+    floor[order[last]] = rows["score"].to_numpy()[last]
+    return rows.filter(pa.array(place < k))
+
+
 def _contenders(score: np.ndarray, floor: np.ndarray, k: int, ids: pa.Array):
     """Cells that can still be among a profile's ``k`` best: at most ``2 k`` per profile.
 
@@ -217,7 +238,10 @@ def fixed_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
-def rounded(score: np.ndarray, digits: int) -> np.ndarray:
-    """Non-negative scores to some digits, halves up, as SQL does."""
-    unit = 10.0**digits
+def rounded(score: np.ndarray, digits: int | None) -> np.ndarray:
+    """Non-negative scores to some digits, halves up, as SQL does.
+
+    Without ``digits`` only what is left of the order of additions goes, so that copies tie.
+    """
+    unit = 10.0 ** (NOISE_DIGITS if digits is None else digits)
     return np.floor(score * unit + 0.5) / unit

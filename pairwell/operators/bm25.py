@@ -9,18 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwell.functions.scores import BM25_B, BM25_BOOST, BM25_K1, SCORE_DIGITS, bm25_idf
+from pairwell.functions.scores import BM25_B, BM25_BOOST, BM25_K1, bm25_idf
 from pairwell.functions.text import tokens
-from pairwell.operators.block_join import Kernel, Limits, best_matches, flat_ids, measured, rounded
+from pairwell.operators.block_join import Kernel, Limits, best_matches, flat_ids, id_bytes, measured, rounded
 from pairwell.operators.ranking import as_channel
 from pairwell.operators.terms import TermIndex, encode_terms, term_hits
+from pairwell.session import shared_dir
 
 
 class Bm25Kernel(Kernel):
     """Weighted term gains; profile rows are ``(cv_id, term, weight)``."""
 
-    def __init__(self, mean_length: float, k1: float, b: float):
-        self.mean_length, self.k1, self.b = mean_length, k1, b
+    def __init__(self, mean_length: float, k1: float, b: float, digits: int | None = None):
+        self.mean_length, self.k1, self.b, self.digits = mean_length, k1, b, digits
 
     def prepare(self, profiles: pa.Table) -> SimpleNamespace:
         ids = flat_ids(profiles.column("cv_id")).dictionary_encode()
@@ -41,7 +42,7 @@ class Bm25Kernel(Kernel):
         norm = self.k1 * (1 - self.b + self.b * length[hits.posting] / self.mean_length)
         gain = hits.times * (self.k1 + 1) / (hits.times + norm)
         total = state.index.add_up(hits, gain, len(state.ids), len(lists))
-        return np.where(total > 0, rounded(total, SCORE_DIGITS), -np.inf)
+        return np.where(total > 0, rounded(total, self.digits), -np.inf)
 
 
 def corpus_stats(postings: DataFrame, token_column: str = "tokens") -> DataFrame:
@@ -104,14 +105,21 @@ def bm25_topk(
     dedup_terms: bool = False,
     source: str = "bm25",
     limits: Limits = Limits(),
+    digits: int | None = None,
 ) -> DataFrame:
-    """The ``k`` postings whose text matches any word of every profile's text best."""
+    """The ``k`` postings whose text matches any word of every profile's text best.
+
+    ``digits`` rounds scores before they rank.
+    """
     words = profiles.select("cv_id", F.explode(tokens(F.col(profile_text))).alias("term"))
     asked = words.groupBy("cv_id", "term").agg(F.count("*").alias("times"))
     stored = postings.select("doc_id", tokens(F.col(posting_text)).alias("tokens"))
     # Also bounds the vocabulary and the weighted terms, which have no more rows.
-    size = measured(asked, F.octet_length("term") + 32)
-    stats = asked_term_stats(stored, asked.select("term").distinct(), size, limits).persist()
+    size = measured(asked, F.octet_length("term") + 32 + id_bytes())
+    stats = asked_term_stats(stored, asked.select("term").distinct(), size, limits)
+    path = shared_dir(postings.sparkSession, "term-stats")
+    stats.write.parquet(path)
+    stats = stats.sparkSession.read.schema(stats.schema).parquet(path)
     corpus = stats.filter(F.col("term") == CORPUS).first()
     docs, total = (corpus["docs"], corpus["tokens"]) if corpus else (0, 0)
     times = F.lit(1) if dedup_terms else F.col("times")
@@ -119,13 +127,10 @@ def bm25_topk(
     best = best_matches(
         asked.join(stats, "term").select("cv_id", "term", weight.alias("weight")),
         stored,
-        Bm25Kernel(total / docs if total else 1.0, k1, b),
+        Bm25Kernel(total / docs if total else 1.0, k1, b, digits),
         k,
         size,
         F.octet_length(F.array_join("tokens", " ")) + 8 * F.size("tokens"),
         limits,
     )
-    if size <= limits.broadcast_bytes:
-        # The profile side has been collected, so nothing reads the counts again.
-        stats.unpersist()
     return as_channel(best, source, k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -13,10 +13,13 @@ from pyspark.sql import types as T
 
 from pairwell.functions.text import tokens
 from pairwell.operators.hashing import hashed_tokens
-from pairwell.operators.skew import lookup_join
+from pairwell.session import shared_dir
 
 DIM = 1536
 VECTOR = T.ArrayType(T.FloatType())
+VECTORS = T.StructType(
+    [T.StructField("text_key", T.StringType()), T.StructField("vector", VECTOR), T.StructField("error", T.StringType())]
+)
 
 # Called once per task; returns a function from texts to vectors.
 Embedder = Callable[[], Callable[[list[str]], list[list[float]]]]
@@ -46,30 +49,74 @@ def embed(
     df: DataFrame,
     text: str,
     vector: str,
-    id_column: str,
+    embedder: Embedder | None = None,
+    dim: int = DIM,
+    **options,
+) -> DataFrame:
+    """``embed_columns`` for one text column."""
+    return embed_columns(df, {text: vector}, embedder, dim, **options)
+
+
+def embed_columns(
+    df: DataFrame,
+    columns: Mapping[str, str],
     embedder: Embedder | None = None,
     dim: int = DIM,
     tasks: int | None = None,
+    on_error: str = "raise",
+    error: str = "embed_error",
 ) -> DataFrame:
-    """Add a vector column; null where the text is null or empty.
+    """Add a vector column for every text column; null where the text is null or empty.
+
+    A caller's model sees every distinct non-empty text of all columns once, however many
+    rows share it, and is set up once per task. It runs here, not when the result is read:
+    its vectors are written to a shared folder, so nothing that reads the result, however
+    often, calls it again. ``tasks`` sets how many tasks run a slow model.
 
-    A caller's model sees every distinct non-empty text once, however many rows
-    share it, and is set up once per task. ``tasks`` sets how many tasks run a
-    slow model, where the size of the texts would suggest fewer.
+    ``on_error`` tells what a text does on which the model fails: ``raise`` ends the job,
+    ``zero`` gives it the zero vector, ``reject`` gives it none and states why in the column
+    ``error`` of its rows. A failing batch is tried again text by text.
     """
+    if on_error not in ("raise", "zero", "reject"):
+        raise ValueError("on_error must be raise, zero or reject")
     if embedder is None:
-        return df.withColumn(vector, F.when(F.col(text) != "", hash_embed(F.col(text), dim)))
-    keyed = df.withColumn("text_key", F.when(F.col(text) != "", F.sha2(text, 256)))
-    texts = keyed.filter(F.col("text_key").isNotNull()).select("text_key", F.col(text).alias("text"))
+        made = {v: F.when(F.col(t) != "", hash_embed(F.col(t), dim)) for t, v in columns.items()}
+        rejects = {error: F.lit(None).cast("string")} if on_error == "reject" else {}
+        return df.withColumns(made | rejects)
+    keys = {t: F.when(F.col(t) != "", F.sha2(F.col(t), 256)) for t in columns}
+    entries = F.array(*[F.struct(keys[t].alias("text_key"), F.col(t).alias("text")) for t in columns])
+    texts = df.select(F.inline(entries)).filter(F.col("text_key").isNotNull()).dropDuplicates(["text_key"])
+    if tasks is not None:
+        texts = texts.repartition(tasks)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = embedder()
         for batch in batches:
-            yield pd.DataFrame({"text_key": batch["text_key"], vector: model(batch["text"].tolist())})
-
-    schema = T.StructType([T.StructField("text_key", T.StringType()), T.StructField(vector, VECTOR)])
-    distinct = texts.distinct()
-    if tasks is not None:
-        distinct = distinct.repartition(tasks)
-    vectors = distinct.mapInPandas(encode, schema)
-    return lookup_join(keyed, vectors, "text_key", [id_column]).drop("text_key")
+            vectors, errors = _encoded(model, batch["text"].tolist(), on_error, dim)
+            yield pd.DataFrame({"text_key": batch["text_key"], "vector": vectors, "error": errors})
+
+    path = shared_dir(df.sparkSession, "vectors")
+    texts.mapInPandas(encode, VECTORS).write.parquet(path)
+    vectors = df.sparkSession.read.schema(VECTORS).parquet(path)
+    # Left joins: Spark splits a text that very many rows share, and rows without text, at run time.
+    for number, (text, vector) in enumerate(columns.items()):
+        key = f"text_key_{number}"
+        found = vectors.select(F.col("text_key").alias(key), F.col("vector").alias(vector), F.col("error").alias(f"error_{number}"))
+        df = df.withColumn(key, keys[text]).join(found, key, "left").drop(key)
+    reasons = [f"error_{number}" for number in range(len(columns))]
+    if on_error == "reject":
+        df = df.withColumn(error, F.coalesce(*reasons))
+    return df.drop(*reasons)
+
+
+def _encoded(model, texts: list[str], on_error: str, dim: int) -> tuple[list, list]:
+    """Vectors of the texts and why there is none."""
+    try:
+        return list(model(texts)), [None] * len(texts)
+    except Exception as failure:
+        if on_error == "raise":
+            raise
+        if len(texts) == 1:
+            return ([[0.0] * dim], [None]) if on_error == "zero" else ([None], [str(failure) or type(failure).__name__])
+    each = [_encoded(model, [text], on_error, dim) for text in texts]
+    return [v for vectors, _ in each for v in vectors], [e for _, errors in each for e in errors]

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairwell.functions.scores import CHANNEL_WEIGHTS, RRF_K, SCORE_DIGITS, rrf_term
+from pairwell.functions.scores import CHANNEL_WEIGHTS, RRF_K, rrf_term
 
 
 def _by_source(values: Mapping[str, float]) -> Column:
@@ -20,17 +20,20 @@ def rrf(
     channels: list[DataFrame],
     weights: Mapping[str, float] = CHANNEL_WEIGHTS,
     k: int = RRF_K,
-    digits: int = SCORE_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """Fuse ranked lists into ``(cv_id, doc_id, rrf_score, sources, rank)``.
 
-    ``sources`` maps a channel to its rank and raw score. The score is rounded
-    before ranking, and ties go to the smaller ``doc_id``.
+    ``sources`` maps a channel to its rank and raw score. Ties go to the smaller
+    ``doc_id``; ``digits`` rounds the score before it ranks.
     """
     hits = reduce(DataFrame.unionByName, channels)
     entry = F.struct("source", F.struct("rank", "raw_score"))
+    # Added up in the order of the channels, so that equal ranks give equal sums.
+    terms = F.array_sort(F.collect_list(rrf_term(_by_source(weights), F.col("rank"), k)))
+    total = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
     fused = hits.groupBy("cv_id", "doc_id").agg(
-        F.round(F.sum(rrf_term(_by_source(weights), F.col("rank"), k)), digits).alias("rrf_score"),
+        (total if digits is None else F.round(total, digits)).alias("rrf_score"),
         F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("sources"),
     )
     order = Window.partitionBy("cv_id").orderBy(F.col("rrf_score").desc(), F.col("doc_id").asc())

@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwell.functions.scores import SCORE_DIGITS
 from pairwell.operators.block_join import (
     Kernel,
     Limits,
     best_matches,
     fixed_matrix,
     flat_ids,
+    id_bytes,
     match_counts,
     measured,
     rounded,
@@ -30,8 +30,8 @@ PAIRS_AT_A_TIME = 200_000
 class SketchKernel(Kernel):
     """Postings that share a band with a profile, scored by equal positions."""
 
-    def __init__(self, bands: int, rows: int):
-        self.bands, self.rows = bands, rows
+    def __init__(self, bands: int, rows: int, digits: int | None = None):
+        self.bands, self.rows, self.digits = bands, rows, digits
 
     def prepare(self, profiles: pa.Table) -> SimpleNamespace:
         profiles = profiles.filter(pa.array(_filled(fixed_matrix(profiles.column("signature")))))
@@ -53,7 +53,7 @@ class SketchKernel(Kernel):
             p = profile[start : start + PAIRS_AT_A_TIME]
             d = posting[start : start + PAIRS_AT_A_TIME]
             same = (state.sketches[p] == sketches[d]).mean(axis=1)
-            score[p, d] = rounded(same, SCORE_DIGITS)
+            score[p, d] = rounded(same, self.digits)
         return score
 
     def _candidates(self, state: SimpleNamespace, sketches: np.ndarray) -> np.ndarray:
@@ -101,7 +101,7 @@ class ExactJaccardKernel(SketchKernel):
         shared = state.index.add_up(hits, np.ones(len(hits.term)), len(state.ids), len(lists))
         sizes = lists.value_lengths().to_numpy()
         jaccard = shared / (state.sizes[:, None] + sizes[None, :] - shared)
-        return np.where(candidate, rounded(jaccard, SCORE_DIGITS), -np.inf)
+        return np.where(candidate, rounded(jaccard, self.digits), -np.inf)
 
 
 def _filled(sketches: np.ndarray) -> np.ndarray:
@@ -122,8 +122,9 @@ def lsh_topk(
     verify: str = "sketch",
     source: str = "lsh_minhash",
     limits: Limits = Limits(),
+    digits: int | None = None,
 ) -> DataFrame:
-    """The ``k`` candidates most like every profile's skills.
+    """The ``k`` candidates most like every profile's skills; ``digits`` rounds scores before they rank.
 
     Both sides have an id and ``signature``; ``verify="exact"`` also needs ``tokens``,
     the distinct normalised skills.
@@ -134,9 +135,9 @@ def lsh_topk(
     if verify not in kernels:
         raise ValueError(f"verify must be one of {sorted(kernels)}")
     asked, stored = _side(profiles, "cv_id", verify), _side(postings, "doc_id", verify)
-    kernel = kernels[verify](*optimal_bands(threshold, num_perm))
+    kernel = kernels[verify](*optimal_bands(threshold, num_perm), digits)
     width = _row_bytes(verify)
-    best = best_matches(asked, stored, kernel, k, measured(asked, width), width, limits)
+    best = best_matches(asked, stored, kernel, k, measured(asked, width + id_bytes()), width, limits)
     return as_channel(best, source, k)
 
 
@@ -151,7 +152,7 @@ def lsh_candidate_counts(
     asked, stored = _side(profiles, "cv_id", "sketch"), _side(postings, "doc_id", "sketch")
     kernel = SketchKernel(*optimal_bands(threshold, num_perm))
     width = _row_bytes("sketch")
-    return match_counts(asked, stored, kernel, measured(asked, width), width, limits)
+    return match_counts(asked, stored, kernel, measured(asked, width + id_bytes()), width, limits)
 
 
 def _row_bytes(verify: str) -> Column:

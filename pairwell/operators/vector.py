@@ -9,14 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwell.functions.scores import SCORE_DIGITS
-from pairwell.operators.block_join import Kernel, Limits, best_matches, fixed_matrix, flat_ids, measured, rounded
+from pairwell.operators.block_join import Kernel, Limits, best_matches, fixed_matrix, flat_ids, id_bytes, measured, rounded
 from pairwell.operators.ranking import as_channel
 
 
 class CosineKernel(Kernel):
     """Cosine + 1 as one matrix product per batch."""
 
+    def __init__(self, digits: int | None = None):
+        self.digits = digits
+
     def prepare(self, profiles: pa.Table) -> SimpleNamespace:
         usable, units = _units(flat_ids(profiles.column("vector")))
         ids = flat_ids(profiles.column("cv_id")).take(pa.array(usable))
@@ -28,7 +30,7 @@ class CosineKernel(Kernel):
         if len(usable) and len(state.ids):
             if units.shape[1] != state.units.shape[1]:
                 raise ValueError(f"vectors of different lengths: {state.units.shape[1]}, {units.shape[1]}")
-            score[:, usable] = rounded(state.units @ units.T + 1.0, SCORE_DIGITS)
+            score[:, usable] = rounded(state.units @ units.T + 1.0, self.digits)
         return score
 
 
@@ -53,8 +55,9 @@ def vector_topk(
     posting_vector: str = "vector",
     source: str = "sem_vector",
     limits: Limits = Limits(),
+    digits: int | None = None,
 ) -> DataFrame:
-    """The ``k`` postings nearest to every profile by cosine."""
+    """The ``k`` postings nearest to every profile by cosine; ``digits`` rounds scores before they rank."""
 
     def side(df: DataFrame, id_column: str, vector: str) -> DataFrame:
         return df.select(id_column, F.col(vector).alias("vector"))
@@ -62,5 +65,5 @@ def vector_topk(
     width = F.coalesce(F.size("vector"), F.lit(0)) * 4 + 16
     asked = side(profiles, "cv_id", profile_vector)
     stored = side(postings, "doc_id", posting_vector)
-    best = best_matches(asked, stored, CosineKernel(), k, measured(asked, width), width, limits)
+    best = best_matches(asked, stored, CosineKernel(digits), k, measured(asked, width + id_bytes()), width, limits)
     return as_channel(best, source, k)

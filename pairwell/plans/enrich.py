@@ -12,7 +12,7 @@ from pairwell.functions.cleaning import (
     skill_list,
     skills_text,
 )
-from pairwell.operators.embed import DIM, Embedder, embed
+from pairwell.operators.embed import DIM, Embedder, embed_columns
 from pairwell.operators.sketch import NUM_PERM, skills_signature
 from pairwell.schemas import POSTING
 from pairwell.sources.messages import posting_id
@@ -23,9 +23,17 @@ ORIGIN = "job_description"
 
 
 def enrich(
-    messages: DataFrame, embedder: Embedder | None = None, dim: int = DIM, num_perm: int = NUM_PERM
+    messages: DataFrame,
+    embedder: Embedder | None = None,
+    dim: int = DIM,
+    num_perm: int = NUM_PERM,
+    on_error: str = "raise",
 ) -> DataFrame:
-    """Clean fields, split skills, sketch them and embed two texts."""
+    """Clean fields, split skills, sketch them and embed two texts.
+
+    With ``on_error="reject"`` the columns ``value`` and ``embed_error`` follow; the latter
+    is null where the model has embedded both texts.
+    """
     cleaned = messages.select(
         posting_id(F.col("link"), F.col("value")).alias("posting_id"),
         F.lit(DOC_TYPE).alias("doc_type"),
@@ -38,11 +46,13 @@ def enrich(
             "experience_years"
         ),
         "link",
+        "value",
     )
     sketched = cleaned.withColumn("skills_text", skills_text(F.col("skills"))).withColumn(
         "skills_signature", skills_signature(F.col("skills"), num_perm)
     )
-    vectors = embed(sketched, "description", "description_vector", "posting_id", embedder, dim)
-    vectors = embed(vectors, "experience", "experience_vector", "posting_id", embedder, dim)
+    texts = {"description": "description_vector", "experience": "experience_vector"}
+    vectors = embed_columns(sketched, texts, embedder, dim, on_error=on_error)
     metadata = F.struct(F.lit(ORIGIN).alias("source"), F.current_timestamp().alias("indexed_at"))
-    return vectors.withColumn("metadata", metadata).select(*POSTING.names)
+    extra = ["value", "embed_error"] if on_error == "reject" else []
+    return vectors.withColumn("metadata", metadata).select(*POSTING.names, *extra)

@@ -10,21 +10,29 @@ from pyspark.sql import functions as F
 from pairwell.functions.scores import CHANNEL_WEIGHTS, FINAL_K, TOP_K_PER_CHANNEL
 from pairwell.operators.block_join import Limits, measured
 from pairwell.operators.bm25 import bm25_topk
-from pairwell.operators.embed import DIM, Embedder, embed
+from pairwell.operators.embed import DIM, Embedder, embed_columns
 from pairwell.operators.fusion import explain_sources, rrf
 from pairwell.operators.lsh import lsh_topk
-from pairwell.operators.skew import lookup_join
 from pairwell.operators.sketch import NUM_PERM, THRESHOLD, skills_signature
 from pairwell.operators.vector import vector_topk
+from pairwell.session import shared_dir
 
 
 def prepare_profiles(
-    profiles: DataFrame, embedder: Embedder | None = None, dim: int = DIM, num_perm: int = NUM_PERM
+    profiles: DataFrame,
+    embedder: Embedder | None = None,
+    dim: int = DIM,
+    num_perm: int = NUM_PERM,
+    on_error: str = "raise",
 ) -> DataFrame:
-    """Add what the searches need to ``(cv_id, title, skills, description, experience)``."""
+    """Add what the searches need to ``(cv_id, title, skills, description, experience)``.
+
+    ``on_error="zero"`` gives a text on which the model fails the zero vector, which stands
+    for no query.
+    """
     sketched = profiles.withColumn("skills_signature", skills_signature(F.col("skills"), num_perm))
-    with_description = embed(sketched, "description", "description_vector", "cv_id", embedder, dim)
-    return embed(with_description, "experience", "experience_vector", "cv_id", embedder, dim)
+    texts = {"description": "description_vector", "experience": "experience_vector"}
+    return embed_columns(sketched, texts, embedder, dim, on_error=on_error)
 
 
 def search_channels(
@@ -34,8 +42,9 @@ def search_channels(
     threshold: float = THRESHOLD,
     num_perm: int = NUM_PERM,
     limits: Limits = Limits(),
+    digits: int | None = None,
 ) -> list[DataFrame]:
-    """Ranked lists by description, experience, skills and title.
+    """Ranked lists by description, experience, skills and title; ``digits`` rounds scores before they rank.
 
     Every list reads only the one posting column it scores.
     """
@@ -45,15 +54,15 @@ def search_channels(
 
     return [
         vector_topk(
-            profiles, postings, k, "description_vector", "description_vector", "sem_description_vector", limits
+            profiles, postings, k, "description_vector", "description_vector", "sem_description_vector", limits, digits
         ),
         vector_topk(
-            profiles, postings, k, "experience_vector", "experience_vector", "sem_experience_vector", limits
+            profiles, postings, k, "experience_vector", "experience_vector", "sem_experience_vector", limits, digits
         ),
         lsh_topk(
-            sketches(profiles, "cv_id"), sketches(postings, "doc_id"), k, threshold, num_perm, limits=limits
+            sketches(profiles, "cv_id"), sketches(postings, "doc_id"), k, threshold, num_perm, limits=limits, digits=digits
         ),
-        bm25_topk(profiles, postings, k, limits=limits),
+        bm25_topk(profiles, postings, k, limits=limits, digits=digits),
     ]
 
 
@@ -64,24 +73,27 @@ def hybrid_match(
     final_k: int | None = FINAL_K,
     weights: Mapping[str, float] = CHANNEL_WEIGHTS,
     limits: Limits = Limits(),
+    digits: int | None = None,
 ) -> DataFrame:
     """The best postings of every profile: ``(cv_id, doc_id, rrf_score, sources, rank)``."""
-    fused = rrf(search_channels(profiles, postings, k, limits=limits), weights)
+    fused = rrf(search_channels(profiles, postings, k, limits=limits, digits=digits), weights, digits=digits)
     return fused if final_k is None else fused.filter(F.col("rank") <= final_k)
 
 
 def with_documents(matches: DataFrame, postings: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Add title, skills and experience of the matched postings.
 
-    The matches are computed and kept first. If their measured size fits the
+    The matches are computed and written first. If their measured size fits the
     bound they are broadcast and the postings are not shuffled.
     """
     fields = postings.select("doc_id", "title", "skills", "experience")
-    matches = matches.persist()
+    path = shared_dir(matches.sparkSession, "matches")
+    matches.write.parquet(path)
+    matches = matches.sparkSession.read.schema(matches.schema).parquet(path)
     ids = F.octet_length(F.concat(F.col("cv_id").cast("string"), F.col("doc_id").cast("string")))
     if measured(matches, ids + F.octet_length(explain_sources(F.col("sources"))) + 64) <= limits.broadcast_bytes:
         return fields.join(F.broadcast(matches), "doc_id")
-    return lookup_join(matches, fields, "doc_id", ["cv_id"], "inner")
+    return matches.join(fields, "doc_id")
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +12,17 @@ from pairwell.operators.json import field, kind, with_json
 from pairwell.operators.ranking import top_k
 from pairwell.schemas import MESSAGE_DEFAULTS, MESSAGE_FIELDS
 
+#: Columns by which the messages of a topic follow one another; offsets count within a partition.
+TOPIC_ORDER = ("timestamp", "partition", "offset")
+
 
 def read_topic(
     spark: SparkSession, servers: str, topic: str, starting: str = "latest", per_batch: int | None = None
 ) -> DataFrame:
     """Values of a Kafka topic as text, with their position for "last one wins".
 
-    Needs the Kafka connector on the class path.
+    Offsets count within a partition: order messages by ``TOPIC_ORDER``. Needs the Kafka
+    connector on the class path.
     """
     reader = (
         spark.readStream.format("kafka")
@@ -26,7 +32,7 @@ def read_topic(
     )
     if per_batch is not None:
         reader = reader.option("maxOffsetsPerTrigger", per_batch)
-    return reader.load().select(F.col("value").cast("string").alias("value"), "timestamp", "offset")
+    return reader.load().select(F.col("value").cast("string").alias("value"), *TOPIC_ORDER)
 
 
 def encode_messages(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -35,10 +41,14 @@ def encode_messages(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return df.select(F.lit(None).cast("string").alias("key"), body.alias("value"))
 
 
+def publish(df: DataFrame, format: str, options: Mapping[str, str], columns: list[str] | None = None) -> None:
+    """Append rows as JSON messages to any sink that takes a key and a value."""
+    encode_messages(df, columns).write.format(format).options(**options).mode("append").save()
+
+
 def write_topic(df: DataFrame, servers: str, topic: str, columns: list[str] | None = None) -> None:
     """Publish rows to a Kafka topic. Needs the Kafka connector on the class path."""
-    encoded = encode_messages(df, columns)
-    encoded.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+    publish(df, "kafka", {"kafka.bootstrap.servers": servers, "topic": topic}, columns)
 
 
 def decode_messages(df: DataFrame, value: str = "value") -> DataFrame:
@@ -80,11 +90,17 @@ def rejected_messages(decoded: DataFrame, *keep: str) -> DataFrame:
 
 
 def posting_id(link: Column, value: Column) -> Column:
-    """Same id for the same posting, however often it is sent."""
-    return F.sha2(F.when(link != "", url_key(link)).otherwise(value), 256)
+    """Same id for the same posting, however often it is sent.
+
+    The link without its fragment tells postings apart; the query string belongs to it.
+    A message whose link names no page is its own posting.
+    """
+    page = F.regexp_extract(link, r"\A[^#]*", 0)
+    return F.sha2(F.when(url_key(link) != "", page).otherwise(value), 256)
 
 
-def last_per_posting(messages: DataFrame, order: str = "value") -> DataFrame:
-    """One message per posting id: the one greatest by ``order`` (offset, time, ...)."""
+def last_per_posting(messages: DataFrame, order: Sequence[str]) -> DataFrame:
+    """One message per posting id: the last one by the columns ``order``."""
     ids = messages.withColumn("posting_id", posting_id(F.col("link"), F.col("value")))
-    return top_k(ids, ["posting_id"], order, "value", 1).drop("rank")
+    last = ids.withColumn("message_order", F.struct(*order))
+    return top_k(last, ["posting_id"], "message_order", "value", 1).drop("rank", "message_order")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pairwell.operators.embed import DIM, Embedder
 from pairwell.plans.enrich import enrich
+from pairwell.schemas import POSTING
 from pairwell.sources.messages import decode_messages, last_per_posting, rejected_messages, valid_messages
 from pairwell.sources.postings import read_batches, write_batch
 
@@ -20,24 +23,31 @@ def store_batch(
     postings_path: str,
     rejects_path: str,
     batch_id: int,
-    order: str = "value",
+    order: Sequence[str],
     embedder: Embedder | None = None,
     dim: int = DIM,
     tasks: int | None = None,
+    on_error: str = "raise",
 ) -> None:
     """Decode, enrich and store one batch; bad messages go to the rejects.
 
     Storing the same batch again rewrites its folder, so nothing is lost or
-    repeated. ``order`` names the column by which the last message of a posting
+    repeated. ``order`` names the columns by which the last message of a posting
     wins. ``tasks`` spreads the raw messages first, for sources with few partitions.
+    ``on_error`` is that of the embedder; its rejects join the others.
     """
     if tasks is not None:
         messages = messages.repartition(tasks)
     decoded = decode_messages(messages).persist()
     try:
         good = last_per_posting(valid_messages(decoded), order)
-        write_batch(enrich(good, embedder, dim), postings_path, batch_id)
-        write_batch(rejected_messages(decoded), rejects_path, batch_id)
+        rows, rejects = enrich(good, embedder, dim, on_error=on_error), rejected_messages(decoded)
+        if on_error == "reject":
+            failed = rows.filter("embed_error IS NOT NULL")
+            rejects = rejects.unionByName(failed.select("value", F.concat(F.lit("embedder: "), "embed_error").alias("reason")))
+            rows = rows.filter("embed_error IS NULL")
+        write_batch(rows.select(*POSTING.names), postings_path, batch_id)
+        write_batch(rejects, rejects_path, batch_id)
     finally:
         decoded.unpersist()
 
@@ -47,10 +57,11 @@ def start_ingest(
     postings_path: str,
     rejects_path: str,
     checkpoint: str,
-    order: str = "value",
+    order: Sequence[str],
     embedder: Embedder | None = None,
     dim: int = DIM,
     tasks: int | None = None,
+    on_error: str = "raise",
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Store every micro-batch of a message stream.
@@ -65,7 +76,7 @@ def start_ingest(
     )
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        store_batch(batch, postings_path, rejects_path, batch_id, order, embedder, dim, tasks)
+        store_batch(batch, postings_path, rejects_path, batch_id, order, embedder, dim, tasks, on_error)
 
     writer = counted.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

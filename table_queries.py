@@ -13,7 +13,7 @@ from pairwell.functions.scores import TOP_K_PER_CHANNEL, cosine_plus_one, sketch
 from pairwell.functions.text import tokens
 from pairwell.operators.bm25 import bm25_topk, corpus_stats, corpus_totals
 from pairwell.operators.documents import convert_documents
-from pairwell.operators.embed import embed, hash_embed
+from pairwell.operators.embed import embed_columns, hash_embed
 from pairwell.operators.frontier import discover_links, merged_history, unseen
 from pairwell.operators.fusion import channel_counts, rrf
 from pairwell.operators.lsh import lsh_candidate_counts, lsh_topk
@@ -33,6 +33,8 @@ from pairwell.streaming.links import new_links
 
 DIM = 64
 K = TOP_K_PER_CHANNEL
+#: The queries round scores before they rank, so that SQL engines that add up in another order agree.
+DIGITS = 6
 
 
 # --- the given tables in the library's shapes ---------------------------------------------
@@ -124,11 +126,11 @@ def q_corpus_totals(spark, sf):
 
 
 def q_bm25_topk(spark, sf):
-    return bm25_topk(*texts(spark, sf), K, "text", "text")
+    return bm25_topk(*texts(spark, sf), K, "text", "text", digits=DIGITS)
 
 
 def q_bm25_distinct_terms(spark, sf):
-    return bm25_topk(*texts(spark, sf), K, "text", "text", dedup_terms=True)
+    return bm25_topk(*texts(spark, sf), K, "text", "text", dedup_terms=True, digits=DIGITS)
 
 
 def q_minhash_signature(spark, sf):
@@ -147,19 +149,19 @@ def q_lsh_candidates(spark, sf):
 
 def q_lsh_topk(spark, sf):
     profiles, postings = texts(spark, sf)
-    return lsh_topk(sketched(profiles, "cv_id"), sketched(postings, "doc_id"), K)
+    return lsh_topk(sketched(profiles, "cv_id"), sketched(postings, "doc_id"), K, digits=DIGITS)
 
 
 def q_skill_jaccard_exact(spark, sf):
     profiles, postings = texts(spark, sf)
-    return lsh_topk(sketched(profiles, "cv_id"), sketched(postings, "doc_id"), K, verify="exact")
+    return lsh_topk(sketched(profiles, "cv_id"), sketched(postings, "doc_id"), K, verify="exact", digits=DIGITS)
 
 
 def q_sketch_pairs(spark, sf):
     """Best skill matches scored again by a join with both sides' sketches."""
     profiles, postings = texts(spark, sf)
     cvs, jobs = sketched(profiles, "cv_id"), sketched(postings, "doc_id")
-    hits = lsh_topk(cvs, jobs, K).select("cv_id", "doc_id")
+    hits = lsh_topk(cvs, jobs, K, digits=DIGITS).select("cv_id", "doc_id")
     left = cvs.select("cv_id", F.col("signature").alias("own"))
     right = jobs.select("doc_id", F.col("signature").alias("other"))
     pairs = hits.join(left, "cv_id").join(right, "doc_id")
@@ -183,7 +185,7 @@ def q_vector_topk(spark, sf):
     vectors = table(spark, sf, "embeddings")
     profiles = vectors.select(F.col("vec_id").alias("cv_id"), F.col("embedding").alias("vector"))
     postings = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    return vector_topk(profiles, postings, K)
+    return vector_topk(profiles, postings, K, digits=DIGITS)
 
 
 def q_hash_embed(spark, sf):
@@ -193,14 +195,16 @@ def q_hash_embed(spark, sf):
 
 
 def q_model_embed(spark, sf):
-    """A caller's model, asked once per distinct text."""
+    """A caller's model, asked once per distinct text of two columns."""
 
     def model():
         return lambda batch: [[float(len(text)), float(text.count(" "))] for text in batch]
 
-    embedded = embed(texts(spark, sf)[1], "text", "vector", "doc_id", model)
+    documents = texts(spark, sf)[1].withColumn("body", after_first_line(F.col("text")))
+    embedded = embed_columns(documents, {"text": "vector", "body": "body_vector"}, model)
     return embedded.select(
         "doc_id",
+        F.element_at("body_vector", 1).cast("double").alias("body_characters"),
         F.element_at("vector", 1).cast("double").alias("characters"),
         F.element_at("vector", 2).cast("double").alias("blanks"),
     )
@@ -208,7 +212,7 @@ def q_model_embed(spark, sf):
 
 def _channels(spark, sf):
     profiles, postings = texts(spark, sf)
-    return search_channels(searchable(profiles, "cv_id"), searchable(postings, "doc_id"))
+    return search_channels(searchable(profiles, "cv_id"), searchable(postings, "doc_id"), digits=DIGITS)
 
 
 def q_channel_counts(spark, sf):
@@ -216,7 +220,7 @@ def q_channel_counts(spark, sf):
 
 
 def q_rrf_fusion(spark, sf):
-    fused = rrf(_channels(spark, sf))
+    fused = rrf(_channels(spark, sf), digits=DIGITS)
     hits = fused.select("cv_id", "doc_id", "rank", "rrf_score", F.explode("sources").alias("source", "hit"))
     return hits.select(
         "cv_id",
@@ -231,14 +235,14 @@ def q_rrf_fusion(spark, sf):
 
 def q_hybrid_match(spark, sf):
     profiles, postings = texts(spark, sf)
-    matches = hybrid_match(searchable(profiles, "cv_id"), searchable(postings, "doc_id"))
+    matches = hybrid_match(searchable(profiles, "cv_id"), searchable(postings, "doc_id"), digits=DIGITS)
     return matches.drop("sources")
 
 
 def q_match_report(spark, sf):
     profiles, postings = texts(spark, sf)
     cvs, jobs = searchable(profiles, "cv_id"), searchable(postings, "doc_id")
-    return report(with_documents(hybrid_match(cvs, jobs), jobs)).drop("why")
+    return report(with_documents(hybrid_match(cvs, jobs, digits=DIGITS), jobs)).drop("why")
 
 
 # --- links and pages ----------------------------------------------------------------------
@@ -420,7 +424,7 @@ def _ingested(spark, sf):
     base = shared_dir(spark, "ingest")
     paths = f"{base}/postings", f"{base}/rejects"
     cores = spark.sparkContext.defaultParallelism
-    ingest = start_ingest(good.union(plain), *paths, f"{base}/checkpoint", dim=DIM, tasks=cores)
+    ingest = start_ingest(good.union(plain), *paths, f"{base}/checkpoint", ["value"], dim=DIM, tasks=cores)
     ingest.awaitTermination()
     return paths
 
@@ -444,7 +448,7 @@ def q_stored_match(spark, sf):
         ),
         dim=DIM,
     )
-    return hybrid_match(profiles, postings).drop("sources")
+    return hybrid_match(profiles, postings, digits=DIGITS).drop("sources")
 
 
 def q_stream_rejects(spark, sf):

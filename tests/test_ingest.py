@@ -5,13 +5,15 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pairwell.operators.embed import embed, hash_embed
+from pairwell.operators.embed import embed, embed_columns, hash_embed
 from pairwell.plans.enrich import enrich
+from pairwell.plans.hybrid import hybrid_match, prepare_profiles
 from pairwell.schemas import POSTING
 from pairwell.sources.messages import (
     decode_messages,
     encode_messages,
     last_per_posting,
+    publish,
     read_topic,
     rejected_messages,
     valid_messages,
@@ -26,7 +28,7 @@ from pairwell.sources.postings import (
     to_documents,
     write_batch,
 )
-from pairwell.streaming.ingest import batch_status, read_rejects, start_ingest
+from pairwell.streaming.ingest import batch_status, read_rejects, start_ingest, store_batch
 
 FULL = {
     "title": "Kỹ sư",
@@ -87,10 +89,10 @@ def test_message_round_trip(spark):
 
 
 def test_last_message_of_a_posting_wins(spark):
-    values = [json.dumps({"title": t, "link": link}) for t, link in [("a", "http://h/1"), ("b", "http://h/1/#x")]]
+    values = [json.dumps({"title": t, "link": link}) for t, link in [("a", "http://h/1"), ("b", "http://h/1#x")]]
     values += [json.dumps({"title": "c"}), json.dumps({"title": "d"})]
     frame = spark.createDataFrame(list(enumerate(values)), "offset int, value string")
-    rows = last_per_posting(valid_messages(decode_messages(frame)), "offset").collect()
+    rows = last_per_posting(valid_messages(decode_messages(frame)), ["offset"]).collect()
     assert sorted(r.title for r in rows) == ["b", "c", "d"]
 
 
@@ -99,7 +101,7 @@ def test_hash_embedding(spark):
     vectors = [r[0] for r in frame.select(hash_embed(F.col("text"), 32)).collect()]
     assert vectors[0] == vectors[1] and sum(abs(x) for x in vectors[0]) in (1, 3)
     assert vectors[2] == vectors[3] == [0.0] * 32
-    kept = [r.v for r in embed(frame, "text", "v", "text", dim=32).collect()]
+    kept = [r.v for r in embed(frame, "text", "v", dim=32).collect()]
     assert kept[2] is None and kept[3] is None and kept[0] == vectors[0]
 
 
@@ -118,12 +120,98 @@ def test_model_sees_each_text_once(spark, tmp_path):
 
     rows = [(i, "copy" if i % 3 else f"text {i}") for i in range(60)] + [(60, ""), (61, None)]
     frame = spark.createDataFrame(rows, "id int, text string").repartition(4)
-    got = {r.id: r.v for r in embed(frame, "text", "v", "id", factory).collect()}
+    got = {r.id: r.v for r in embed(frame, "text", "v", factory).collect()}
     assert got == {i: [float(len(t))] if t else None for i, t in rows}
     seen = [line for name in os.listdir(log) for line in open(f"{log}/{name}").read().split("\n")]
     assert sorted(seen) == sorted({t for _, t in rows if t})
 
 
+def counting_model(log):
+    """A model that writes down every text it is asked for."""
+
+    def factory():
+        import uuid
+
+        def model(texts):
+            if any("poison" in t for t in texts):
+                raise ValueError("bad text")
+            with open(f"{log}/{uuid.uuid4().hex}", "w") as out:
+                out.write("\n".join(texts))
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return model
+
+    return factory
+
+
+def asked(log):
+    return sorted(line for name in os.listdir(log) for line in open(f"{log}/{name}").read().split("\n"))
+
+
+def test_ingest_and_search_ask_the_model_once_per_text(spark, tmp_path):
+    logs = [tmp_path / name for name in ("a", "b")]
+    for log in logs:
+        log.mkdir()
+    bodies = [{"title": f"t{i % 5}", "description": f"d{i % 7}", "job_requirements": f"d{i % 3}", "link": f"http://h/{i}"} for i in range(20)]
+    messages = spark.createDataFrame([(json.dumps(b),) for b in bodies], "value string")
+    store_batch(messages, str(tmp_path / "p"), str(tmp_path / "r"), 0, ["value"], counting_model(logs[0]), 2)
+    assert asked(logs[0]) == sorted({b["description"] for b in bodies} | {b["job_requirements"] for b in bodies})
+    postings = read_postings(spark, str(tmp_path / "p")).withColumnRenamed("posting_id", "doc_id")
+    cvs = spark.createDataFrame([(i, f"t{i}", ["x"], f"q{i % 4}", f"q{i % 3}") for i in range(10)], "cv_id int, title string, skills array<string>, description string, experience string")
+    found = hybrid_match(prepare_profiles(cvs, counting_model(logs[1]), 2), postings)
+    assert found.count() > 0 and found.collect()
+    assert asked(logs[1]) == ["q0", "q1", "q2", "q3"]
+
+
+def test_texts_that_the_model_refuses(spark, tmp_path):
+    rows = [(1, "good"), (2, "poison"), (3, None), (4, "fine")]
+    frame = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    factory = counting_model(str(tmp_path))
+    got = {r.id: r.v for r in embed(frame, "text", "v", factory, 2, on_error="zero").collect()}
+    assert got == {1: [4.0, 1.0], 2: [0.0, 0.0], 3: None, 4: [4.0, 1.0]}
+    rejected = {r.id: (r.v, r.embed_error) for r in embed_columns(frame, {"text": "v"}, factory, 2, on_error="reject").collect()}
+    assert rejected[2] == (None, "bad text") and rejected[1] == ([4.0, 1.0], None) and rejected[3] == (None, None)
+    with pytest.raises(Exception, match="bad text"):
+        embed(frame, "text", "v", factory, 2)
+    with pytest.raises(ValueError):
+        embed(frame, "text", "v", on_error="ignore")
+
+
+def test_refused_texts_become_rejects_of_the_batch(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    bodies = [{"description": d, "link": f"http://h/{d}"} for d in ("good", "poison")]
+    messages = spark.createDataFrame([(json.dumps(b),) for b in bodies] + [("{",)], "value string")
+    paths = str(tmp_path / "p"), str(tmp_path / "r")
+    store_batch(messages, *paths, 0, ["value"], counting_model(str(log)), 2, on_error="reject")
+    assert [r.description for r in read_postings(spark, paths[0]).collect()] == ["good"]
+    assert sorted(r.reason for r in read_rejects(spark, paths[1]).collect()) == ["embedder: bad text", "not JSON"]
+
+
+def test_postings_with_other_query_strings_are_others(spark, tmp_path):
+    links = ["http://h/x?a=1", "http://h/x?a=2", "/", "?a=1", "http://h/x", "http://h/x/", "http://h/x?a=1#top", "#only", "/"]
+    messages = spark.createDataFrame([(json.dumps({"title": f"t{i}", "link": x}),) for i, x in enumerate(links)], "value string")
+    store_batch(messages, str(tmp_path / "p"), str(tmp_path / "r"), 0, ["value"], dim=2)
+    titles = {r.title for r in read_postings(spark, str(tmp_path / "p")).collect()}
+    assert titles == {"t1", "t2", "t3", "t4", "t5", "t6", "t7", "t8"}
+
+
+def test_messages_of_several_partitions_follow_by_time(spark):
+    rows = [("a", "2024-01-01 00:00:01", 0, 900), ("b", "2024-01-01 00:00:02", 1, 3), ("c", "2024-01-01 00:00:02", 0, 901)]
+    values = [(json.dumps({"title": t, "link": "http://h/1"}), at, p, o) for t, at, p, o in rows]
+    frame = spark.createDataFrame(values, "value string, timestamp string, partition int, offset long")
+    (last,) = last_per_posting(valid_messages(decode_messages(frame)), ["timestamp", "partition", "offset"]).collect()
+    assert last.title == "b"
+
+
+def test_publish_to_any_sink(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    publish(spark.createDataFrame([(1, None), (2, "x")], "a int, b string"), "parquet", {"path": path})
+    publish(spark.createDataFrame([(3, "y")], "a int, b string"), "parquet", {"path": path}, ["a"])
+    rows = spark.read.parquet(path).collect()
+    assert {r.key for r in rows} == {None} and sorted(r.value for r in rows) == ['{"a":1,"b":null}', '{"a":2,"b":"x"}', '{"a":3}']
+
+
 def test_catalog_table(spark, tmp_path):
     name = "pairwell_postings_test"
     spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -168,7 +256,7 @@ def stream_paths(tmp_path):
 def run_stream(spark, stream_paths, **options):
     source, postings, rejects, checkpoint = stream_paths
     stream = spark.readStream.option("maxFilesPerTrigger", 1).text(str(source))
-    query = start_ingest(stream, postings, rejects, checkpoint, dim=8, **options)
+    query = start_ingest(stream, postings, rejects, checkpoint, ["value"], dim=8, **options)
     query.awaitTermination()
     return query
 

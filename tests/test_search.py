@@ -2,13 +2,16 @@
 
 import math
 import random
+import time
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pairwell.operators.block_join import Limits
+from pairwell.operators.block_join import Kernel, Limits, _best_rows
 from pairwell.operators.bm25 import bm25_topk, corpus_stats, corpus_totals
 from pairwell.operators.lsh import lsh_candidate_counts, lsh_topk
 from pairwell.operators.sketch import MAX_HASH, band_table, optimal_bands, permutations, signature, skills_signature
@@ -76,7 +79,7 @@ def test_bm25(spark, corpus, limits, dedup):
             )
             if score > 0:
                 scores.setdefault(cv, {})[doc] = round(score, 6)
-    got = bm25_topk(*frames(spark, corpus), 5, dedup_terms=dedup, limits=limits)
+    got = bm25_topk(*frames(spark, corpus), 5, dedup_terms=dedup, limits=limits, digits=6)
     assert_same(collected(got), ranked(scores, 5))
 
 
@@ -106,7 +109,7 @@ def test_lsh(spark, corpus, limits, threshold, verify):
                 jaccard = len(x & y) / len(x | y)
                 value = same if verify == "sketch" else jaccard
                 scores.setdefault(cv, {})[doc] = math.floor(value * 1e6 + 0.5) / 1e6
-    got = lsh_topk(left, right, 5, threshold, verify=verify, limits=limits)
+    got = lsh_topk(left, right, 5, threshold, verify=verify, limits=limits, digits=6)
     assert_same(collected(got), ranked(scores, 5))
     found = lsh_candidate_counts(left, right, threshold, limits=limits).collect()
     assert {r.cv_id: r.candidates for r in found if r.candidates} == dict(counts)
@@ -133,10 +136,35 @@ def test_vector_topk(spark, limits):
             if u and v and any(u) and any(v):
                 cosine = np.dot(u, v) / (np.linalg.norm(u) * np.linalg.norm(v))
                 scores.setdefault(cv, {})[doc] = math.floor((cosine + 1) * 1e6 + 0.5) / 1e6
-    got = vector_topk(left, right, 7, limits=limits)
+    got = vector_topk(left, right, 7, limits=limits, digits=6)
     assert_same(collected(got), ranked(scores, 7))
 
 
+def test_scores_that_differ_little_keep_their_order(spark):
+    left = spark.createDataFrame([(0, [1.0, 0.0])], "cv_id int, vector array<double>")
+    right = spark.createDataFrame([(1, [1.0, 0.0008]), (2, [1.0, 0.0]), (3, [1.0, 0.0])], "doc_id int, vector array<double>")
+    assert [r.doc_id for r in vector_topk(left, right, 2).orderBy("rank").collect()] == [2, 3]
+
+
+def test_many_profiles_merge_in_few_steps():
+    rng = np.random.default_rng(1)
+    profiles, postings = 20_000, 300
+    scores = rng.random((profiles, postings))
+
+    class Fixed(Kernel):
+        def score(self, state, batch):
+            return scores[:, batch.column("doc_id").to_numpy()]
+
+    ids = pa.array(np.arange(postings))
+    batch = pa.RecordBatch.from_arrays([ids], names=["doc_id"])
+    start = time.process_time()
+    (*parts,) = _best_rows(Fixed(), SimpleNamespace(ids=pa.array(np.arange(profiles))), [batch], 5, 300_000)
+    assert time.process_time() - start < 20
+    got = pa.Table.from_batches(parts).to_pandas().sort_values(["cv_id", "score"], ascending=[True, False])
+    best = np.sort(scores, axis=1)[:, ::-1][:, :5]
+    assert np.array_equal(got["score"].to_numpy().reshape(profiles, 5), best)
+
+
 def test_vectors_of_different_lengths_are_an_error(spark):
     left = spark.createDataFrame([(1, [1.0, 2.0])], "cv_id int, vector array<float>")
     for rows in ([(1, [1.0, 2.0]), (2, [1.0])], [(1, [1.0, 2.0, 3.0])]):
