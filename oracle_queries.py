@@ -251,9 +251,10 @@ def _inner_text(html: str) -> str:
     text = f"regexp_replace({html}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g')"
     text = f"regexp_replace({text}, '(?i)<br\\s*/?>|</(?:p|div|li|h1|h2|h3|tr)>', chr(10), 'g')"
     text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
-    for entity, plain in [("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"),
-                          ("&#39;", "chr(39)"), ("&amp;", "'&'")]:
-        text = f"replace({text}, '{entity}', {plain})"
+    # A reference cut off before its semicolon is one all the same.
+    for entity, plain in [("copy", "chr(169)"), ("middot", "chr(183)"), ("lt", "'<'"), ("gt", "'>'"),
+                          ("quot", "chr(34)"), ("amp", "'&'")]:
+        text = f"regexp_replace({text}, '&{entity};?', {plain}, 'g')"
     return f"trim({text}, {SPACES})"
 
 
@@ -359,6 +360,15 @@ ORACLES: dict[str, str] = {
                left({_body('text')}, 100) || '...' AS experience
         FROM fused JOIN documents USING (doc_id) JOIN doc_list USING (doc_id) WHERE rank <= 5""",
     "discover_links": f"WITH {LINKS} SELECT page_id, position, url, url_key FROM found",
+    "scoped_links": """
+        SELECT page_id, CAST(i - 1 AS INTEGER) AS position, 'http' || scheme || '://' || host || path AS url,
+               rtrim('http' || scheme || '://' || host || path, '/') AS url_key
+        FROM (SELECT *, unnest(paths) AS path, unnest(range(1, len(paths) + 1)) AS i FROM (
+          SELECT page_id, CASE WHEN url LIKE 'https:%' THEN 's' ELSE '' END AS scheme,
+                 split_part(split_part(url, '//', 2), '/', 1) AS host,
+                 regexp_extract_all(html, '<a href="([^"]*)"', 1) AS paths
+          FROM pages WHERE contains(html, '<html lang="en"')))
+        WHERE NOT contains(path, ',')""",
     "url_frontier": f"WITH {LINKS} SELECT url_key, page_id, position, url FROM fresh",
     "merged_history": f"""WITH {LINKS}
         SELECT url_key FROM found WHERE crawled UNION SELECT url_key FROM fresh""",

@@ -6,34 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pairwell.functions.cleaning import first_non_blank
+from pairwell.functions.page_tree import decoded
 from pairwell.functions.text import strip
 
-# Tags that end a line, and entities written back as characters.
+# Tags that end a line.
 LINE_TAGS = ["br", "p", "div", "li", "h1", "h2", "h3", "tr"]
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
 
 def inner_text(html: Column) -> Column:
-    """Visible text: scripts, styles, comments and tags removed, line tags as breaks."""
+    """Visible text: scripts, styles, comments and tags removed, line tags as breaks, references decoded."""
     text = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "")
     text = F.regexp_replace(text, rf"(?i)<br\s*/?>|</(?:{'|'.join(LINE_TAGS[1:])})>", "\n")
     text = F.regexp_replace(text, r"<[^<>]*>", "")
-    for entity, character in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return strip(text)
+    return strip(decoded(text))
 
 
 def first_match(html: Column, patterns: list[str]) -> Column:
     """Text of the first pattern whose group 1 holds any visible character, else ``""``."""
     return first_non_blank(*[inner_text(F.regexp_extract(html, pattern, 1)) for pattern in patterns])
-
-
-def after_label(label: str, tag: str, nth: int = 1) -> str:
-    """Pattern for the nth following element of a kind after an element showing ``label``."""
-    skipped = rf"<{tag}\b[^>]*>.*?" * (nth - 1)
-    return rf"(?s)>\s*{label}\s*<.*?{skipped}<{tag}\b[^>]*>(.*?)</{tag}>"
-
-
-def links(html: Column) -> Column:
-    """Targets of all anchors, in page order."""
-    return F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^<>]*?href="([^"]*)"'), F.lit(1))

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.functions.encode import url_key
-from pairwell.functions.markup import links
+from pairwell.functions.page_tree import element_html, links
 
 # What a posting link contains, and what a company link contains.
 POSTING_LINK = "-jv"
 COMPANY_LINK = "/nha-tuyen-dung/"
+# Fixed value: the list of postings on a list page.
+LIST_SCOPE = ("div", "class", "block-job-list")
 
 
 def discover_links(
@@ -19,14 +21,17 @@ def discover_links(
     exclude: str = COMPANY_LINK,
     page_id: str = "page_id",
     html: str = "html",
-    scope: str | None = None,
+    scope: tuple[str, str, str] | None = LIST_SCOPE,
+    base: str | None = None,
 ) -> DataFrame:
     """Every wanted link of every page: ``(page_id, position, url, url_key)``.
 
-    ``scope`` is an optional pattern whose group 1 is the part of the page to read.
+    ``scope`` names the element whose links count by tag, attribute and value; ``None`` reads
+    the whole page. Relative targets are resolved against the page's address, column ``base``.
     """
-    part = F.regexp_extract(html, scope, 1) if scope else F.col(html)
-    found = pages.select(F.col(page_id).alias("page_id"), F.posexplode(links(part)).alias("position", "url"))
+    part = element_html(F.col(html), *scope) if scope else F.col(html)
+    targets = links(part, None if base is None else F.col(base))
+    found = pages.select(F.col(page_id).alias("page_id"), F.posexplode(targets).alias("position", "url"))
     url = F.col("url")
     wanted = (url != "") & url.contains(include) & ~url.contains(exclude)
     return found.filter(wanted).withColumn("url_key", url_key(url))

@@ -251,13 +251,19 @@ def q_match_report(spark, sf):
 def _found_links(spark, sf):
     pages = spread(table(spark, sf, "pages"))
     crawled = F.col("url").startswith("https:")
-    old = discover_links(pages.filter(crawled), include="/", exclude=",")
-    new = discover_links(pages.filter(~crawled), include="/", exclude=",")
+    old = discover_links(pages.filter(crawled), include="/", exclude=",", scope=None)
+    new = discover_links(pages.filter(~crawled), include="/", exclude=",", scope=None)
     return old, new
 
 
 def q_discover_links(spark, sf):
-    return discover_links(spread(table(spark, sf, "pages")), include="/", exclude=",")
+    return discover_links(spread(table(spark, sf, "pages")), include="/", exclude=",", scope=None)
+
+
+def q_scoped_links(spark, sf):
+    """Links inside the element of English pages, resolved against the page's address."""
+    pages = spread(table(spark, sf, "pages"))
+    return discover_links(pages, include="/", exclude=",", scope=("html", "lang", "en"), base="url")
 
 
 def q_url_frontier(spark, sf):
@@ -467,7 +473,7 @@ def q_stream_links(spark, sf):
     pages = _stream(spark, sf, "pages")
     old, _ = _found_links(spark, sf)
     fresh = new_links(
-        discover_links(pages.filter(~F.col("url").startswith("https:")), include="/", exclude=","), old
+        discover_links(pages.filter(~F.col("url").startswith("https:")), include="/", exclude=",", scope=None), old
     )
     base = shared_dir(spark, "links")
     writer = fresh.select("url_key").writeStream.format("parquet").option("path", f"{base}/links")

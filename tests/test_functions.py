@@ -1,10 +1,11 @@
 import random
+import time
 from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
-from pairwell.functions import cleaning, encode, markup, scores, text
+from pairwell.functions import cleaning, encode, markup, page_tree, scores, text
 
 X = F.col("x")
 
@@ -37,7 +38,7 @@ def test_very_long_words(values):
     sizes = [[len(word) for word in words[:2]] for words in values(text.tokens(X), rows)]
     assert sizes == [[40_001], [39_999], [50_000], [1, 1]]
     assert values(F.length(markup.inner_text(X)), rows)[2:] == [50_000, 59_999]
-    assert values(F.size(markup.links(X)), rows) == [0] * 4
+    assert values(F.size(page_tree.links(X)), rows) == [0] * 4
 
 
 def test_normal_tokens(values):
@@ -129,8 +130,8 @@ def test_inner_text_and_rules(values):
         '<h1 name="title">A &amp; B</h1><script>x("</p>")</script><span> KỸ NĂNG </span><div><p>SQL,<br/>Spark</p>'
         "<p>no</p></div><b>Địa điểm làm việc</b><div>1</div><div>2</div><div>Hà Nội</div><!-- <p>z</p> -->"
     )
-    assert values(markup.first_match(X, [markup.after_label("KỸ NĂNG", "p")]), [html]) == ["SQL,\nSpark"]
-    assert values(markup.first_match(X, [markup.after_label("Địa điểm làm việc", "div", 3)]), [html]) == ["Hà Nội"]
+    rules = {"a": [page_tree.AfterLabel("KỸ NĂNG", "p")], "b": [page_tree.AfterLabel("Địa điểm làm việc", "div", 3)]}
+    assert [tuple(r) for r in values(page_tree.field_texts(X, rules), [html])] == [("SQL,\nSpark", "Hà Nội")]
     assert values(markup.first_match(X, ["<h2>(.*?)</h2>", "(?s)<h1[^>]*>(.*?)</h1>"]), [html, "", None]) == [
         "A & B",
         "",
@@ -140,4 +141,36 @@ def test_inner_text_and_rules(values):
 
 def test_links(values):
     html = '<a href="/x">1</a><A class="q" HREF="/y?z">2</A><area href="/no"><a name="n">3</a>'
-    assert values(markup.links(X), [html]) == [["/x", "/y?z"]]
+    assert values(page_tree.links(X), [html]) == [["/x", "/y?z"]]
+    html = """<a data-href="WRONG" href="right"><a href='x?a=1&amp;b=2'><a title='> href="no"' href=bare><a\nhref = "//o/p"><a href="">"""
+    assert values(page_tree.links(X), [html, None, ""]) == [["right", "x?a=1&b=2", "bare", "//o/p", ""], None, []]
+    resolved = page_tree.links(X, F.lit("https://h/list/1?p=2"))
+    assert values(resolved, [html]) == [["https://h/list/right", "https://h/list/x?a=1&b=2", "https://h/list/bare", "https://o/p", ""]]
+
+
+def test_fields_of_nested_and_open_elements(values):
+    texts = lambda *rules: page_tree.field_texts(X, {"f": rules})
+    after = page_tree.AfterLabel("Nơi", "div", 3)
+    nested = "<b> Nơi\n</b><div>1</div><div>2</div><div>Ha Noi <div>Q1</div> tail</div><div>no</div>"
+    assert values(texts(after), [nested]) == [("Ha Noi Q1\n tail",)]
+    # Only an element that shows just the label counts, not its wrapper or a longer text.
+    assert values(texts(page_tree.AfterLabel("Nơi", "p")), ["<p>Nơi ở</p><div><i>Nơi</i></div><p>L&#432;&#417;ng &eacute;</p>"]) == [("Lương é",)]
+    path = page_tree.Path("c", [("div", None), ("div", 2)])
+    assert values(texts(path, after), ['<p id="c"><div>x</div></p>', '<section id="c"><div><div>1</div><p>p</p><div>2</div></div></section>']) == [("",), ("2",)]
+    heading = page_tree.UnderHeading("h2", "Yêu cầu", "div", "sc-6")
+    page = '<div><h2>Yêu cầu công việc</h2><div class="q"><div class="a sc-6">Ba năm</div></div></div><div class="sc-6">no</div>'
+    assert values(texts(path, heading), [page, None]) == [("Ba năm",), ("",)]
+
+
+def test_open_elements_take_linear_time():
+    start = time.process_time()
+    for page in ("<div>" * 3000, "<p>" * 20_000, "<b>Nơi" + "<div>" * 3000, "<a href='" * 20_000):
+        page_tree._first_text(page_tree.Tree(page), [page_tree.AfterLabel("Nơi", "div", 5)])
+        page_tree.targets(page)
+    assert time.process_time() - start < 10
+
+
+def test_inside_of_an_element(values):
+    page = '<div class="x">no</div><div class="list"><div>a</div>b</div><div class="list">c</div>'
+    inside = page_tree.element_html(X, "div", "class", "list")
+    assert values(inside, [page, "<p>", None, '<div class="list">open']) == ["<div>a</div>b", None, None, "open"]

@@ -23,14 +23,14 @@ def pages(spark):
 
 
 def test_discover_links(pages):
-    rows = discover_links(pages).filter("page_id = 1").orderBy("position").collect()
+    rows = discover_links(pages, scope=None).filter("page_id = 1").orderBy("position").collect()
     assert [(r.position, r.url_key) for r in rows] == [(0, "http://h/dev-1-jv"), (1, "http://h/dev-1-jv"), (5, "http://h/ad-9-jv")]
-    scoped = discover_links(pages, scope=r'(?s)<div class="block-job-list">(.*?)</div>')
+    scoped = discover_links(pages)
     assert scoped.select("url_key").distinct().count() == 2
 
 
 def test_distinct_links_keep_the_first(pages):
-    rows = {r.url_key: (r.page_id, r.position, r.url) for r in distinct_links(discover_links(pages)).collect()}
+    rows = {r.url_key: (r.page_id, r.position, r.url) for r in distinct_links(discover_links(pages, scope=None)).collect()}
     assert rows["http://h/dev-1-jv"] == (1, 0, "http://h/dev-1-jv?s=1")
     assert rows["http://h/dev-2-jv"][0] == 2 and len(rows) == 3
 
@@ -42,11 +42,11 @@ def test_history_round_trip(spark, pages, tmp_path):
     (tmp_path / "links" / "more.csv").write_text("\n\nhttp://h/other\n")
     history = read_history(spark, path)
     assert history.count() == 51
-    fresh = unseen(discover_links(pages), history)
+    fresh = unseen(discover_links(pages, scope=None), history)
     assert {r.url_key for r in fresh.collect()} == {"http://h/dev-2-jv", "http://h/ad-9-jv"}
     assert merged_history(history, fresh).count() == 4
     append_history(fresh, path)
-    assert unseen(discover_links(pages), read_history(spark, path)).count() == 0
+    assert unseen(discover_links(pages, scope=None), read_history(spark, path)).count() == 0
 
 
 def test_link_stream_survives_restart(spark, pages, tmp_path):
@@ -55,7 +55,7 @@ def test_link_stream_survives_restart(spark, pages, tmp_path):
 
     def run():
         stream = spark.readStream.schema("page_id int, html string").parquet(source)
-        fresh = new_links(discover_links(stream), history).select("url_key")
+        fresh = new_links(discover_links(stream, scope=None), history).select("url_key")
         writer = fresh.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
         writer.trigger(availableNow=True).start().awaitTermination()
         return sorted(r.url_key for r in spark.read.schema("url_key string").parquet(sink).collect())
