@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairwell.operators.sketch import permutations
+import numpy as np
 
 DIM = 64
 NUM_PERM = 128
@@ -95,7 +95,10 @@ def _bm25(times: str) -> str:
 
 
 def _sketch_ctes() -> str:
-    values = ", ".join(f"({i}, {a}::HUGEINT, {b}::HUGEINT)" for i, (a, b) in enumerate(permutations(NUM_PERM)))
+    # Seed 1, and in turn a multiplier from 1 and an offset from 0 below 2^61 - 1.
+    draw, below = np.random.RandomState(1), 2**61 - 1
+    drawn = [draw.randint(1 - i % 2, below, dtype=np.uint64) for i in range(2 * NUM_PERM)]
+    values = ", ".join(f"({i}, {drawn[2 * i]}::HUGEINT, {drawn[2 * i + 1]}::HUGEINT)" for i in range(NUM_PERM))
     return f"""
 perm(pos, a, b) AS MATERIALIZED (VALUES {values}),
 hashed AS MATERIALIZED (
@@ -357,8 +360,11 @@ ORACLES: dict[str, str] = {
     "match_report": f"""WITH {HYBRID_CTES}, {_word_lists('doc_list', 'documents', 'doc_id')}
         SELECT cv_id, rank, doc_id, left(text, 40) AS title, format('{{:.5f}}', rrf_score) AS score,
                list_aggregate(words, 'string_agg', ', ') AS skills,
-               left({_body('text')}, 100) || '...' AS experience
-        FROM fused JOIN documents USING (doc_id) JOIN doc_list USING (doc_id) WHERE rank <= 5""",
+               left({_body('text')}, 100) || '...' AS experience, why
+        FROM fused JOIN documents USING (doc_id) JOIN doc_list USING (doc_id) JOIN (
+          SELECT cv_id, doc_id, '{{' || string_agg('"' || source || '":{{"rank":' || rank || ',"raw_score":' || raw_score || '}}', ','
+                                                   ORDER BY source) || '}}' AS why
+          FROM hits GROUP BY cv_id, doc_id) USING (cv_id, doc_id) WHERE rank <= 5""",
     "discover_links": f"WITH {LINKS} SELECT page_id, position, url, url_key FROM found",
     "scoped_links": """
         SELECT page_id, CAST(i - 1 AS INTEGER) AS position, 'http' || scheme || '://' || host || path AS url,
@@ -389,8 +395,28 @@ ORACLES: dict[str, str] = {
         FROM pages""",
     "convert_documents": f"""
         SELECT 'crawl/' || page_id || '.v1.HTML' AS path, page_id::VARCHAR AS stem,
-               sha256('crawl/' || page_id || '.v1.HTML') || '_' || page_id || '.v1.HTML' AS name, {_inner_text('html')} AS text
+               sha256('crawl/' || page_id || '.v1.HTML') || '_' || page_id || '.v1.HTML' AS name, {_inner_text('html')} AS text,
+               CAST(NULL AS VARCHAR) AS error
         FROM pages""",
+    "converted_texts": """
+        SELECT page_id::VARCHAR AS stem,
+               CASE WHEN contains(html, '</html>') THEN split_part(split_part(html, '<title>', 2), '</title>', 1) END AS text,
+               CASE WHEN NOT contains(html, '</html>') THEN 'cut off' END AS error
+        FROM pages""",
+    "stored_history": f"WITH {LINKS} SELECT url, count(*) AS times FROM found WHERE NOT crawled GROUP BY url",
+    "catalog_postings": f"""WITH {MESSAGES}
+        SELECT sha256('http://h/' || doc_id || '//?x=1') AS posting_id, CASE WHEN lang = 'de' THEN 'Unknown' ELSE text END AS title,
+               len(skills)::INTEGER AS n_skills, 7::BIGINT AS batch_id
+        FROM messages""",
+    "zero_queries": f"""WITH {_embedding('cv_text', 'benchmark', 'item_id', 'text')},
+        {_embedding('doc_text', 'documents', 'doc_id', 'text')}
+        SELECT cv_id, doc_id, rank FROM ({_cosine('cv_text', 'doc_text', 'v')}) WHERE rank = 1 AND cv_id % 2 = 1""",
+    "json_lines": "SELECT * FROM conversations",
+    "model_profiles": """
+        SELECT conv_id, turn, CASE WHEN length(text) % 3 <> 0 THEN split_part(text, ' ', 1) END AS title,
+               CASE WHEN length(text) % 3 <> 0 THEN length(text)::VARCHAR END AS description,
+               CASE WHEN length(text) % 3 = 0 THEN 'not a JSON object' END AS reason
+        FROM conversations""",
     "profile_extract": f"""WITH {RESUME}
         SELECT conv_id, turn, role || ' ' || conv_id AS title, coalesce(list_aggregate(words, 'string_agg', ' '), '') AS skills,
                trim(text, {SPACES}) AS description,

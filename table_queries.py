@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwell.functions.cleaning import clean_location, page_count
-from pairwell.functions.encode import hash_strings
+from pairwell.functions.encode import file_stem, hash_strings, zero_vector
 from pairwell.functions.scores import TOP_K_PER_CHANNEL, cosine_plus_one, sketch_jaccard
 from pairwell.functions.text import tokens
 from pairwell.operators.bm25 import bm25_topk, corpus_stats, corpus_totals
@@ -26,8 +28,10 @@ from pairwell.plans.enrich import enrich
 from pairwell.plans.hybrid import hybrid_match, prepare_profiles, report, search_channels, with_documents
 from pairwell.schemas import POSTING
 from pairwell.session import shared_dir, spread
+from pairwell.sources.files import write_json, write_rejects, write_texts
+from pairwell.sources.history import append_history, read_history
 from pairwell.sources.messages import decode_messages, encode_messages, rejected_messages, valid_messages
-from pairwell.sources.postings import latest, read_batches, read_postings, to_documents
+from pairwell.sources.postings import append_postings, create_postings_table, latest, read_batches, read_postings, to_documents
 from pairwell.streaming.ingest import batch_status, read_rejects, start_ingest
 from pairwell.streaming.links import new_links
 
@@ -242,7 +246,7 @@ def q_hybrid_match(spark, sf):
 def q_match_report(spark, sf):
     profiles, postings = texts(spark, sf)
     cvs, jobs = searchable(profiles, "cv_id"), searchable(postings, "doc_id")
-    return report(with_documents(hybrid_match(cvs, jobs, digits=DIGITS), jobs)).drop("why")
+    return report(with_documents(hybrid_match(cvs, jobs, digits=DIGITS), jobs))
 
 
 # --- links and pages ----------------------------------------------------------------------
@@ -305,7 +309,42 @@ def q_convert_documents(spark, sf):
     pages = spread(table(spark, sf, "pages"))
     path = F.concat(F.lit("crawl/"), F.col("page_id").cast("string"), F.lit(".v1.HTML"))
     files = pages.select(path.alias("path"), F.encode("html", "UTF-8").alias("content"))
-    return convert_documents(files).drop("error")
+    return convert_documents(files)
+
+
+def q_converted_texts(spark, sf):
+    """Pages through a caller's converter that refuses some; texts and rejects are written and read back."""
+    pages = spread(table(spark, sf, "pages"))
+    files = pages.select(
+        F.concat(F.lit("crawl/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
+        F.encode("html", "UTF-8").alias("content"),
+    )
+
+    def converter():
+        def to_text(content):
+            if b"</html>" not in content:
+                raise ValueError("cut off")
+            return content.decode().partition("<title>")[2].partition("</title>")[0]
+
+        return to_text
+
+    converted = convert_documents(files, converter, on_error="keep")
+    base = shared_dir(spark, "converted")
+    write_texts(converted.filter("error IS NULL"), f"{base}/texts")
+    write_rejects(converted.filter("error IS NOT NULL").select("path", "error"), f"{base}/rejects")
+    texts_back = spark.read.parquet(f"{base}/texts").select("stem", "text", F.lit(None).cast("string").alias("error"))
+    rejects_back = spark.read.schema("path string, error string").parquet(f"{base}/rejects")
+    stem = file_stem(F.col("path"))
+    return texts_back.unionByName(rejects_back.select(stem.alias("stem"), F.lit(None).cast("string").alias("text"), "error"))
+
+
+def q_stored_history(spark, sf):
+    """Links of http pages as a history in two appends, read back."""
+    _, new = _found_links(spark, sf)
+    path = f"{shared_dir(spark, 'history')}/links"
+    append_history(new.filter("page_id % 2 = 0"), path)
+    append_history(new.filter("page_id % 2 = 1"), path)
+    return read_history(spark, path).groupBy("url").agg(F.count("*").alias("times"))
 
 
 # --- profiles -----------------------------------------------------------------------------
@@ -410,6 +449,56 @@ def q_index_documents(spark, sf):
     return to_documents(postings.withColumn("metadata", fixed))
 
 
+def q_catalog_postings(spark, sf):
+    """Enriched documents bulk-loaded under their own ids into a catalog table."""
+    name = f"postings_{uuid.uuid4().hex}"
+    messages = posting_messages(spread(table(spark, sf, "documents")))
+    create_postings_table(spark, name)
+    rows = enrich(valid_messages(decode_messages(messages)), dim=4)
+    append_postings(rows, name, 7)
+    stored = spark.table(name).select("posting_id", "title", F.size("skills").alias("n_skills"), "batch_id")
+    path = shared_dir(spark, "catalog")
+    stored.write.parquet(path)
+    spark.sql(f"DROP TABLE {name}")
+    return spark.read.parquet(path)
+
+
+def q_json_lines(spark, sf):
+    """Conversations as JSON lines, read back by their schema."""
+    turns = table(spark, sf, "conversations")
+    path = shared_dir(spark, "json")
+    write_json(turns, path)
+    return spark.read.schema(turns.schema).json(path)
+
+
+def q_zero_queries(spark, sf):
+    """Texts without words as zero vectors: they stand for no query and match nothing."""
+    profiles, postings = texts(spark, sf)
+    vector = F.when(F.col("cv_id") % 2 == 0, zero_vector(DIM)).otherwise(hash_embed(F.col("text"), DIM))
+    stored = postings.select("doc_id", hash_embed(F.col("text"), DIM).alias("vector"))
+    found = vector_topk(profiles.select("cv_id", vector.alias("vector")), stored, 1, digits=DIGITS)
+    return found.select("cv_id", "doc_id", "rank")
+
+
+def q_model_profiles(spark, sf):
+    """Conversation turns through a caller's model that answers in JSON, and not always."""
+
+    def model():
+        def answer(batch):
+            return [
+                json.dumps({"title": t.split(" ")[0], "skills": ["x"], "description": str(len(t)), "experience": ""})
+                if len(t) % 3
+                else "no"
+                for t in batch
+            ]
+
+        return answer
+
+    turns = spread(table(spark, sf, "conversations")).select("conv_id", "turn", "text")
+    found = extract_profiles(turns, "text", model)
+    return found.select("conv_id", "turn", F.col("profile.title").alias("title"), F.col("profile.description").alias("description"), "reason")
+
+
 def q_latest_postings(spark, sf):
     """Copies of a text as one posting that was sent again in later batches."""
     documents = table(spark, sf, "documents")
