@@ -46,6 +46,9 @@ class Limits:
     tasks: int = 20_000
 
 
+Matches = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 class Kernel:
     """How one search scores a batch of postings."""
 
@@ -57,8 +60,11 @@ class Kernel:
         """Work done once per batch, before it is scored in slices."""
         return postings
 
-    def score(self, state: Any, postings: pa.RecordBatch) -> np.ndarray:
-        """Scores, one row per profile and one column per posting; -inf is no match."""
+    def matches(self, state: Any, postings: pa.RecordBatch, floor: np.ndarray, k: int) -> Matches:
+        """(profile row, posting row, score) of matches that reach their profile's floor.
+
+        A kernel may leave out what can't be among the ``k`` best of a profile.
+        """
         raise NotImplementedError
 
 
@@ -168,7 +174,7 @@ def _best_rows(kernel, state, batches, k, scores) -> Iterator[pa.RecordBatch]:
     held: list[pa.Table] = []
     room = merge_rows = max(MERGE_ROWS, 2 * k * profiles)
     for chunk in _chunks(kernel, state, batches, scores):
-        row, column, score = _contenders(kernel.score(state, chunk), floor, k, chunk.column("doc_id"))
+        row, column, score = kernel.matches(state, chunk, floor, k)
         if len(row) == 0:
             continue
         held.append(pa.table({"row": row, "doc_id": chunk.column("doc_id").take(pa.array(column)), "score": score}))
@@ -195,10 +201,16 @@ def _merged(held: list[pa.Table], floor: np.ndarray, k: int) -> pa.Table:
     return rows.filter(pa.array(place < k))
 
 
-def _contenders(score: np.ndarray, floor: np.ndarray, k: int, ids: pa.Array):
-    """Cells that can still be among a profile's ``k`` best: at most ``2 k`` per profile.
+def reaching(row: np.ndarray, column: np.ndarray, score: np.ndarray, floor: np.ndarray) -> Matches:
+    """The matches that reach their profile's floor."""
+    keep = score >= floor[row]
+    return row[keep], column[keep], score[keep]
+
+
+def contenders(score: np.ndarray, floor: np.ndarray, k: int, ids: pa.Array) -> Matches:
+    """Cells of a full matrix that can still be among a profile's ``k`` best: at most ``2 k`` per profile.
 
-    Many equal scores (copies of one posting) are cut by id, as the ranking does.
+    Many equal scores (copies of one posting) are cut by id, as the ranking does; -inf is no match.
     """
     matched = score > -np.inf
     keep = matched & (score >= floor[:, None])
@@ -218,9 +230,10 @@ def _count_rows(kernel, state, batches, scores) -> Iterator[pa.RecordBatch]:
     profiles = len(state.ids)
     if profiles == 0:
         return
-    total = np.zeros(profiles, dtype=np.int64)
+    total, floor = np.zeros(profiles, dtype=np.int64), np.full(profiles, -np.inf)
     for chunk in _chunks(kernel, state, batches, scores):
-        total += np.count_nonzero(kernel.score(state, chunk) > -np.inf, axis=1)
+        row, _, _ = kernel.matches(state, chunk, floor, chunk.num_rows)
+        total += np.bincount(row, minlength=profiles)
     yield pa.RecordBatch.from_pydict({"cv_id": state.ids, "candidates": total})
 
 

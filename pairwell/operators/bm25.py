@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairwell.functions.scores import BM25_B, BM25_BOOST, BM25_K1, bm25_idf
 from pairwell.functions.text import tokens
-from pairwell.operators.block_join import Kernel, Limits, best_matches, flat_ids, id_bytes, measured, rounded
+from pairwell.operators.block_join import Kernel, Limits, Matches, best_matches, flat_ids, id_bytes, measured, reaching, rounded
 from pairwell.operators.ranking import as_channel
 from pairwell.operators.terms import TermIndex, encode_terms, term_hits
 from pairwell.session import shared_dir
@@ -35,14 +35,15 @@ class Bm25Kernel(Kernel):
     def encode(self, state: SimpleNamespace, postings: pa.RecordBatch) -> pa.RecordBatch:
         return encode_terms(state.index, postings)
 
-    def score(self, state: SimpleNamespace, postings: pa.RecordBatch) -> np.ndarray:
+    def matches(self, state: SimpleNamespace, postings: pa.RecordBatch, floor: np.ndarray, k: int) -> Matches:
         lists = postings.column("tokens")
         length = lists.value_lengths().to_numpy(zero_copy_only=False)
         hits = term_hits(state.index, lists)
         norm = self.k1 * (1 - self.b + self.b * length[hits.posting] / self.mean_length)
         gain = hits.times * (self.k1 + 1) / (hits.times + norm)
-        total = state.index.add_up(hits, gain, len(state.ids), len(lists))
-        return np.where(total > 0, rounded(total, self.digits), -np.inf)
+        cells, total = state.index.add_up(hits, gain, len(lists))
+        profile, posting = np.divmod(cells[total > 0], max(len(lists), 1))
+        return reaching(profile, posting, rounded(total[total > 0], self.digits), floor)
 
 
 def corpus_stats(postings: DataFrame, token_column: str = "tokens") -> DataFrame:

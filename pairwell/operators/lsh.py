@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from pairwell.operators.block_join import (
     Kernel,
     Limits,
+    Matches,
     best_matches,
     fixed_matrix,
     flat_ids,
     id_bytes,
     match_counts,
     measured,
+    reaching,
     rounded,
 )
 from pairwell.operators.ranking import as_channel
@@ -45,23 +47,22 @@ class SketchKernel(Kernel):
             keys=np.take_along_axis(keys, order, axis=0),
         )
 
-    def score(self, state: SimpleNamespace, postings: pa.RecordBatch) -> np.ndarray:
+    def matches(self, state: SimpleNamespace, postings: pa.RecordBatch, floor: np.ndarray, k: int) -> Matches:
         sketches = fixed_matrix(postings.column("signature"))
-        score = np.full((len(state.ids), len(sketches)), -np.inf)
-        profile, posting = np.nonzero(self._candidates(state, sketches))
+        profile, posting = self._candidates(state, sketches)
+        score = np.empty(len(profile))
         for start in range(0, len(profile), PAIRS_AT_A_TIME):
-            p = profile[start : start + PAIRS_AT_A_TIME]
-            d = posting[start : start + PAIRS_AT_A_TIME]
-            same = (state.sketches[p] == sketches[d]).mean(axis=1)
-            score[p, d] = rounded(same, self.digits)
-        return score
-
-    def _candidates(self, state: SimpleNamespace, sketches: np.ndarray) -> np.ndarray:
-        candidate = np.zeros((len(state.ids), len(sketches)), dtype=bool)
+            part = slice(start, start + PAIRS_AT_A_TIME)
+            score[part] = (state.sketches[profile[part]] == sketches[posting[part]]).mean(axis=1)
+        return reaching(profile, posting, rounded(score, self.digits), floor)
+
+    def _candidates(self, state: SimpleNamespace, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (profile, posting) that share a band, each once."""
+        filled, codes = _filled(sketches), []
         for band, keys in enumerate(self._band_keys(sketches).T):
             known = state.keys[:, band]
             first = np.searchsorted(known, keys, side="left")
-            count = np.searchsorted(known, keys, side="right") - first
+            count = np.where(filled, np.searchsorted(known, keys, side="right") - first, 0)
             posting = np.repeat(np.arange(len(keys)), count)
             within = np.arange(len(posting)) - np.repeat(np.cumsum(count) - count, count)
             profile = state.order[np.repeat(first, count) + within, band]
@@ -70,9 +71,9 @@ class SketchKernel(Kernel):
                 part = slice(band * self.rows, (band + 1) * self.rows)
                 same = (state.sketches[profile, part] == sketches[posting, part]).all(axis=1)
                 profile, posting = profile[same], posting[same]
-            candidate[profile, posting] = True
-        candidate[:, ~_filled(sketches)] = False
-        return candidate
+            codes.append(profile * len(sketches) + posting)
+        pairs = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
+        return np.divmod(pairs, max(len(sketches), 1))
 
     def _band_keys(self, sketches: np.ndarray) -> np.ndarray:
         used = sketches[:, : self.bands * self.rows].reshape(-1, self.bands, self.rows)
@@ -94,14 +95,17 @@ class ExactJaccardKernel(SketchKernel):
     def encode(self, state: SimpleNamespace, postings: pa.RecordBatch) -> pa.RecordBatch:
         return encode_terms(state.index, postings)
 
-    def score(self, state: SimpleNamespace, postings: pa.RecordBatch) -> np.ndarray:
-        candidate = self._candidates(state, fixed_matrix(postings.column("signature")))
+    def matches(self, state: SimpleNamespace, postings: pa.RecordBatch, floor: np.ndarray, k: int) -> Matches:
+        profile, posting = self._candidates(state, fixed_matrix(postings.column("signature")))
         lists = postings.column("tokens")
         hits = term_hits(state.index, lists)
-        shared = state.index.add_up(hits, np.ones(len(hits.term)), len(state.ids), len(lists))
+        cells, sums = state.index.add_up(hits, np.ones(len(hits.term)), len(lists))
+        wanted = profile * len(lists) + posting
+        at = np.minimum(np.searchsorted(cells, wanted), max(len(cells) - 1, 0))
+        shared = np.where(cells[at] == wanted, sums[at], 0) if len(cells) else np.zeros(len(wanted))
         sizes = lists.value_lengths().to_numpy()
-        jaccard = shared / (state.sizes[:, None] + sizes[None, :] - shared)
-        return np.where(candidate, rounded(jaccard, self.digits), -np.inf)
+        jaccard = shared / (state.sizes[profile] + sizes[posting] - shared)
+        return reaching(profile, posting, rounded(jaccard, self.digits), floor)
 
 
 def _filled(sketches: np.ndarray) -> np.ndarray:

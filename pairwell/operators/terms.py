@@ -44,19 +44,24 @@ class TermIndex:
         owner = np.repeat(np.arange(len(lists)), lengths)
         return cls.from_rows(lists.flatten(), owner, np.ones(len(owner)))
 
-    def add_up(self, hits: TermHits, gain: np.ndarray, profiles: int, postings: int) -> np.ndarray:
-        """Sum gain times weight per profile (row) and posting (column)."""
-        total = np.zeros(profiles * postings)
+    def add_up(self, hits: TermHits, gain: np.ndarray, postings: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of gain times weight of each (profile, posting) that shares a term.
+
+        A cell is the number ``profile * postings + posting``; cells come in ascending order.
+        """
         users = np.diff(self.first)[hits.term]
         ends = np.cumsum(users)
         cuts = np.searchsorted(ends, np.arange(USES_AT_A_TIME, ends[-1] if len(ends) else 0, USES_AT_A_TIME))
+        cells, sums = np.zeros(0, np.int64), np.zeros(0)
         for part in np.split(np.arange(len(users)), cuts):
             count = users[part]
             within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             use = np.repeat(self.first[hits.term[part]], count) + within
-            cell = self.profile[use] * postings + np.repeat(hits.posting[part], count)
-            total += np.bincount(cell, np.repeat(gain[part], count) * self.weight[use], minlength=len(total))
-        return total.reshape(profiles, postings)
+            found = np.concatenate([cells, self.profile[use] * postings + np.repeat(hits.posting[part], count)])
+            gains = np.concatenate([sums, np.repeat(gain[part], count) * self.weight[use]])
+            cells, where = np.unique(found, return_inverse=True)
+            sums = np.bincount(where, gains, minlength=len(cells))
+        return cells, sums
 
 
 def encode_terms(index: TermIndex, postings: pa.RecordBatch) -> pa.RecordBatch:

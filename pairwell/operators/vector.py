@@ -9,7 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwell.operators.block_join import Kernel, Limits, best_matches, fixed_matrix, flat_ids, id_bytes, measured, rounded
+from pairwell.operators.block_join import (
+    Kernel,
+    Limits,
+    Matches,
+    best_matches,
+    contenders,
+    fixed_matrix,
+    flat_ids,
+    id_bytes,
+    measured,
+    rounded,
+)
 from pairwell.operators.ranking import as_channel
 
 
@@ -24,14 +35,14 @@ class CosineKernel(Kernel):
         ids = flat_ids(profiles.column("cv_id")).take(pa.array(usable))
         return SimpleNamespace(ids=ids, units=units)
 
-    def score(self, state: SimpleNamespace, postings: pa.RecordBatch) -> np.ndarray:
+    def matches(self, state: SimpleNamespace, postings: pa.RecordBatch, floor: np.ndarray, k: int) -> Matches:
         usable, units = _units(postings.column("vector"))
         score = np.full((len(state.ids), postings.num_rows), -np.inf)
         if len(usable) and len(state.ids):
             if units.shape[1] != state.units.shape[1]:
                 raise ValueError(f"vectors of different lengths: {state.units.shape[1]}, {units.shape[1]}")
             score[:, usable] = rounded(state.units @ units.T + 1.0, self.digits)
-        return score
+        return contenders(score, floor, k, postings.column("doc_id"))
 
 
 def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

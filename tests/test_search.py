@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pairwell.operators.block_join import Kernel, Limits, _best_rows
+from pairwell.operators.block_join import Kernel, Limits, _best_rows, contenders
 from pairwell.operators.bm25 import bm25_topk, corpus_stats, corpus_totals
 from pairwell.operators.lsh import lsh_candidate_counts, lsh_topk
 from pairwell.operators.sketch import MAX_HASH, band_table, optimal_bands, permutations, signature, skills_signature
@@ -152,8 +152,9 @@ def test_many_profiles_merge_in_few_steps():
     scores = rng.random((profiles, postings))
 
     class Fixed(Kernel):
-        def score(self, state, batch):
-            return scores[:, batch.column("doc_id").to_numpy()]
+        def matches(self, state, batch, floor, k):
+            ids = batch.column("doc_id")
+            return contenders(scores[:, ids.to_numpy()], floor, k, ids)
 
     ids = pa.array(np.arange(postings))
     batch = pa.RecordBatch.from_arrays([ids], names=["doc_id"])
