@@ -411,6 +411,11 @@ ORACLES: dict[str, str] = {
     "zero_queries": f"""WITH {_embedding('cv_text', 'benchmark', 'item_id', 'text')},
         {_embedding('doc_text', 'documents', 'doc_id', 'text')}
         SELECT cv_id, doc_id, rank FROM ({_cosine('cv_text', 'doc_text', 'v')}) WHERE rank = 1 AND cv_id % 2 = 1""",
+    "compacted_postings": """
+        SELECT sha256('http://h/' || doc_id || '//?x=1') AS posting_id,
+               CASE WHEN doc_id % 4 = 0 AND doc_id % 6 <> 0 THEN 'again' WHEN lang = 'de' THEN 'Unknown' ELSE text END AS title,
+               'job' AS doc_type
+        FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0""",
     "json_lines": "SELECT * FROM conversations",
     "model_profiles": """
         SELECT conv_id, turn, CASE WHEN length(text) % 3 <> 0 THEN split_part(text, ' ', 1) END AS title,

@@ -31,7 +31,16 @@ from pairwell.session import shared_dir, spread
 from pairwell.sources.files import write_json, write_rejects, write_texts
 from pairwell.sources.history import append_history, read_history
 from pairwell.sources.messages import decode_messages, encode_messages, rejected_messages, valid_messages
-from pairwell.sources.postings import append_postings, create_postings_table, latest, read_batches, read_postings, to_documents
+from pairwell.sources.postings import (
+    append_postings,
+    compact_postings,
+    create_postings_table,
+    latest,
+    read_batches,
+    read_postings,
+    to_documents,
+    write_batch,
+)
 from pairwell.streaming.ingest import batch_status, read_rejects, start_ingest
 from pairwell.streaming.links import new_links
 
@@ -529,6 +538,21 @@ def q_stream_enrich(spark, sf):
     return flat_postings(read_postings(spark, postings))
 
 
+def q_compacted_postings(spark, sf):
+    """Two halves of the documents as batches with a compaction between; the second sends some postings again."""
+    messages = posting_messages(spread(table(spark, sf, "documents")))
+    rows = enrich(valid_messages(decode_messages(messages)), dim=4)
+    number = F.regexp_extract("link", r"/(\d+)//", 1).cast("long")
+    base = shared_dir(spark, "compacted")
+    write_batch(rows.filter(number % 2 == 0), f"{base}/batches", 0)
+    write_batch(rows.filter(number % 4 == 0).withColumn("title", F.lit("again")), f"{base}/batches", 1)
+    compact_postings(spark, f"{base}/batches", f"{base}/current", 8)
+    later = rows.filter((number % 2 == 1) | (number % 6 == 0)).withColumn("doc_type", F.when(number % 3 == 0, "job").otherwise("cv"))
+    write_batch(later, f"{base}/batches", 2)
+    found = read_postings(spark, f"{base}/batches", compacted=f"{base}/current")
+    return found.select("posting_id", "title", "doc_type")
+
+
 def q_stored_match(spark, sf):
     """Search on the stored table: ingest as a stream, read back, match every profile."""
     path, _ = _ingested(spark, sf)

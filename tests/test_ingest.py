@@ -21,6 +21,7 @@ from pairwell.sources.messages import (
 )
 from pairwell.sources.postings import (
     append_postings,
+    compact_postings,
     create_postings_table,
     latest,
     read_batches,
@@ -241,6 +242,29 @@ def test_batches_replace_themselves_and_later_ones_win(spark, tmp_path):
     assert read_postings(spark, path, doc_type="cv").count() == 0
 
 
+def test_compacted_postings_read_as_before(spark, tmp_path):
+    path, compacted = str(tmp_path / "postings"), str(tmp_path / "compacted")
+
+    def rows(*titles):
+        values = [json.dumps({"title": t, "link": f"http://h/{t[0]}"}) for t in titles]
+        return enrich(valid_messages(decoded(spark, values)), dim=8)
+
+    def titles(**options):
+        return sorted(r.title for r in read_postings(spark, path, **options).collect())
+
+    write_batch(rows("a1", "b1", "c1"), path, 0)
+    write_batch(rows("a2"), path, 1)
+    assert compact_postings(spark, path, compacted, 2) == 1
+    assert titles(compacted=compacted) == titles() == ["a2", "b1", "c1"]
+    write_batch(rows("b2", "d1"), path, 2)
+    write_batch(rows("b3"), path, 3)
+    assert titles(compacted=compacted) == titles() == ["a2", "b3", "c1", "d1"]
+    assert compact_postings(spark, path, compacted, 2) == compact_postings(spark, path, compacted, 2) == 3
+    assert titles(compacted=compacted) == ["a2", "b3", "c1", "d1"]
+    plan = read_postings(spark, path, compacted=compacted)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+
+
 def test_latest_keeps_everything_else(spark):
     frame = spark.createDataFrame([("a", 0), ("a", 0), ("a", 2), ("b", 1)], "posting_id string, batch_id long")
     assert sorted(map(tuple, latest(frame).collect())) == [("a", 2), ("b", 1)]
