@@ -28,6 +28,7 @@ from pairwell.llm.words import mix, text_bytes
 #: Labelled documents that the machines are trained on, at most.
 SAMPLE = 4000
 SIZE = 4096
+HASHES = 1 << 40
 GRAMS = 4
 BLOCK = 1 << 19
 UNKNOWN = "und"
@@ -187,12 +188,16 @@ def learn(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str =
     """
     usable = docs.filter(train).filter(F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
     ids = usable.select(F.col(doc_id).alias("sample_id"), F.col(lang).alias("sample_lang"))
-    n_languages = ids.select("sample_lang").distinct().count()
-    if not n_languages:
+    rows_of = {r["sample_lang"]: r["rows"] for r in ids.groupBy("sample_lang").agg(F.count("*").alias("rows")).collect()}
+    if not rows_of:
         return Model()
-    each = max(20, SAMPLE // n_languages)
-    turn = F.row_number().over(Window.partitionBy("sample_lang").orderBy(F.xxhash64("sample_id"), "sample_id"))
-    chosen = ids.withColumn("turn", turn).filter(F.col("turn") <= each).select("sample_id").distinct()
+    each = max(20, SAMPLE // len(rows_of))
+    # The smallest hashes of a language lie far below this bound, so few ids of a common one are ranked.
+    share = F.create_map(*[F.lit(x) for lang, rows in rows_of.items() for x in (lang, min(1.0, 4 * each / rows))])
+    hashed = ids.withColumn("hash", F.xxhash64("sample_id").bitwiseAND(F.lit(HASHES - 1)))
+    hashed = hashed.filter(F.col("hash") < share[F.col("sample_lang")] * float(HASHES))
+    turn = F.row_number().over(Window.partitionBy("sample_lang").orderBy("hash", "sample_id"))
+    chosen = hashed.withColumn("turn", turn).filter(F.col("turn") <= each).select("sample_id").distinct()
     # At most SAMPLE (or 20 per language) ids: small enough to broadcast.
     rows = usable.filter(has_letter(F.col(text))).join(F.broadcast(chosen), F.col(doc_id) == F.col("sample_id"), "left_semi")
 
