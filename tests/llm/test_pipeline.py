@@ -56,13 +56,9 @@ def test_stages(spark, folder):
         assert row["n_tokens"] == len(row["token_ids"])
 
 
-def test_run_has_the_rows_of_the_last_stage(spark, folder):
-    rows = corpus_pipeline.run(spark, folder)
-    assert rows.columns == ["doc_id", "lang", "source", "n_tokens", "token_ids"] and rows.count() > 200
-
-
 def test_empty_documents(spark, folder):
     path = shared_dir(spark, "pipeline-test")
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{path}/labels.parquet")
-    assert corpus_pipeline.run(spark, path).count() == 0
+    rows = corpus_pipeline.run(spark, path)
+    assert rows.columns == ["doc_id", "lang", "source", "n_tokens", "token_ids"] and rows.count() == 0
