@@ -311,29 +311,40 @@ def assemble(records: DataFrame) -> DataFrame:
     Records belong to one capture if they name the same record in ``WARC-Concurrent-To`` or
     are that record. Every response and revisit is a capture; request or metadata that is
     missing is null, and the smallest record id stands for several of one kind.
-    ``original`` is the response that a revisit refers to, without its payload.
+    ``original`` is the response that a revisit refers to, without its payload but with the
+    ``fields`` of its metadata.
     """
     records = kept(records.filter("error IS NULL"), "warc-records")
     of = records.withColumn("capture_id", F.coalesce("concurrent_to", "record_id"))
     whole = F.struct(*[c for c in records.columns if c not in ("file", "error")])
-    small = F.struct("record_id", "target_uri", "payload_bytes", "payload_digest", "date")
 
     def one(kind: str) -> DataFrame:
         rows = of.filter(F.col("record_type") == kind)
         return rows.groupBy("capture_id").agg(F.min_by(whole, "record_id").alias(kind))
 
     captures = of.filter(F.col("record_type").isin("response", "revisit")).select("capture_id", whole.alias("response"))
+    captures = captures.join(one("request"), "capture_id", "left").join(one("metadata"), "capture_id", "left")
+    small = [F.col(f"response.{c}").alias(c) for c in ("record_id", "target_uri", "payload_bytes", "payload_digest", "date")]
     originals = (
-        records.filter("record_type = 'response'")
-        .groupBy("record_id")
-        .agg(F.min(small).alias("original"))
-        .withColumnRenamed("record_id", "original_id")
+        captures.filter("response.record_type = 'response'")
+        .select(F.struct(*small, F.col("metadata.payload").alias("fields")).alias("original"))
+        .groupBy(F.col("original.record_id").alias("original_id"))
+        .agg(F.min("original").alias("original"))
     )
-    joined = captures.join(one("request"), "capture_id", "left").join(one("metadata"), "capture_id", "left")
-    return joined.join(originals, F.col("response.refers_to") == F.col("original_id"), "left").drop("original_id")
+    # Captures that refer to nothing stay out of the join: their null would be one hot key.
+    refers = captures.filter("response.refers_to IS NOT NULL")
+    revisits = refers.join(originals, F.col("response.refers_to") == F.col("original_id"), "left").drop("original_id")
+    others = captures.filter("response.refers_to IS NULL")
+    return others.unionByName(revisits, allowMissingColumns=True)
 
 
 def page_ids(captures: DataFrame) -> DataFrame:
-    """Captures with ``page_id`` from their metadata's field."""
-    field = F.regexp_extract(F.col("metadata.payload").cast("string"), r"page-id: (-?\d+)", 1)
-    return captures.withColumn("page_id", F.when(field != "", field.cast("long")))
+    """Captures with ``page_id`` and ``original_page_id`` from the fields of their metadata."""
+
+    def number(fields: Column) -> Column:
+        digits = F.regexp_extract(fields.cast("string"), r"page-id: (-?\d+)", 1)
+        return F.when(digits != "", digits.cast("long"))
+
+    return captures.withColumns(
+        {"page_id": number(F.col("metadata.payload")), "original_page_id": number(F.col("original.fields"))}
+    )
