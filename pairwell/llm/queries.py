@@ -88,18 +88,14 @@ def q_warc(spark: SparkSession, sf: str) -> DataFrame:
     write_captures(table(spark, sf, "pages"), path)
     captures = page_ids(assemble(read_records(spark, path, payload=False)))
     revisits = F.col("response.record_type") == "revisit"
-    original = page_ids(captures.filter(~revisits)).select(
-        F.col("response.record_id").alias("o_id"), F.col("page_id").alias("o_page")
-    ).distinct()
-    joined = captures.join(original, F.col("response.refers_to") == F.col("o_id"), "left")
-    return joined.select(
+    return captures.select(
         "page_id",
         F.when(revisits, F.col("original.payload_bytes")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
         F.when(revisits, F.regexp_replace("response.stated_digest", "^sha1:", ""))
         .otherwise(F.col("response.payload_digest"))
         .alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
-        F.col("o_page").alias("refers_to"),
+        F.col("original_page_id").alias("refers_to"),
     )
 
 
@@ -163,7 +159,7 @@ def q_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     path, folder = public_tokenizers.path("byte_bpe_50k.json"), shared_dir(spark, "tokens")
-    documents = write_tokens(table(spark, sf, "documents"), folder, path)
+    documents = write_tokens(table(spark, sf, "documents"), folder, path, packed=True)
     counted = document_counts(documents, token_counts(spark, folder, END_OF_DOCUMENT))
     return counted.select(F.col("doc").alias("doc_id"), "n_tokens", "ordinal", "first_token")
 

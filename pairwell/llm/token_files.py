@@ -30,9 +30,9 @@ KINDS = {2: "<u2", 4: "<u4"}
 class Stream:
     """Appends ids to numbered files of ``FILE_TOKENS`` tokens in a folder."""
 
-    def __init__(self, folder: str, width: int, file_tokens: int):
+    def __init__(self, folder: str, width: int, file_tokens: int, packed: bool):
         self.system, self.folder = fs.FileSystem.from_uri(folder)
-        self.kind, self.file_tokens = KINDS[width], file_tokens
+        self.kind, self.file_tokens, self.packed = KINDS[width], file_tokens, packed
         self.number, self.room, self.file = 0, 0, None
 
     def write(self, ids: np.ndarray) -> None:
@@ -41,7 +41,8 @@ class Stream:
                 self.close()
                 if not self.number:
                     self.system.create_dir(self.folder, recursive=True)
-                self.file = self.system.open_output_stream(f"{self.folder}/{self.number:06d}.bin")
+                name = f"{self.folder}/{self.number:06d}.bin" + ".zst" * self.packed
+                self.file = self.system.open_output_stream(name, compression="zstd" if self.packed else None)
                 self.number, self.room = self.number + 1, self.file_tokens
             part = ids[: self.room]
             self.file.write(part.astype(self.kind).tobytes())
@@ -54,7 +55,15 @@ class Stream:
 
 
 def write_tokens(
-    docs: DataFrame, folder: str, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text", width: int = 2, file_tokens: int = FILE_TOKENS
+    docs: DataFrame,
+    folder: str,
+    vocabulary: str,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    width: int = 2,
+    file_tokens: int = FILE_TOKENS,
+    packed: bool = False,
 ) -> DataFrame:
     """Write the token files and return which document is which of a stream: (doc, stream, ordinal).
 
@@ -62,6 +71,7 @@ def write_tokens(
     its own; only streams that the returned table names belong to the data. Null texts have no
     ids, just their end. The strings of special tokens are ordinary text, so the end id stands
     for an end only. Rows keep their order within a stream; other columns are left out.
+    ``packed`` stores each file compressed; read back, it is the same flat file.
     """
     sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     id_type = docs.schema[doc_id].dataType.simpleString()
@@ -71,7 +81,7 @@ def write_tokens(
         encoder, end = Encoder(words, specials=False), end_id(words)
         task = TaskContext.get()
         name = f"{task.partitionId():06d}-{task.taskAttemptId()}"
-        stream, ordinal = Stream(f"{folder.rstrip('/')}/{name}", width, file_tokens), 0
+        stream, ordinal = Stream(f"{folder.rstrip('/')}/{name}", width, file_tokens, packed), 0
         for batch in batches:
             held, size = [], 0
             for ids in encoder.encode(batch.column(1).to_pylist()):
@@ -116,7 +126,10 @@ def token_counts(spark: SparkSession, folder: str, end: int, *, width: int = 2)
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(content.as_buffer() if content.is_valid else b"", KINDS[width])
+                data = content.as_buffer() if content.is_valid else pa.py_buffer(b"")
+                if path.endswith(".zst"):
+                    data = pa.input_stream(data, compression="zstd").read()
+                ids = np.frombuffer(data, KINDS[width])
                 places = ends(ids, end)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -128,7 +141,7 @@ def token_counts(spark: SparkSession, folder: str, end: int, *, width: int = 2)
                     names=["stream", "file", "tokens", "places"],
                 )
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.bin").load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.bin{,.zst}").load(folder)
     scanned = kept(files.select("path", "content").mapInArrow(scan, "stream string, file string, tokens bigint, places array<bigint>"), "token-ends")
     before = Window.partitionBy("stream").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")

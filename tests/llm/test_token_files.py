@@ -10,15 +10,15 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = ["hello world", None, "", "a " * 3000, "<|endoftext|> x<|endoftext|>", "b", "c" * 50]
 
 
-@pytest.mark.parametrize("file_tokens, block", [(7, 3), (500, 2), (100000, 5)])
-def test_counts_are_those_of_the_library(spark, monkeypatch, file_tokens, block):
+@pytest.mark.parametrize("file_tokens, block, packed", [(7, 3, False), (500, 2, True), (100000, 5, False)])
+def test_counts_are_those_of_the_library(spark, monkeypatch, file_tokens, block, packed):
     monkeypatch.setattr(files, "BLOCK_TOKENS", block)
     library = Tokenizer.from_file(PATH)
     library.encode_special_tokens = True
     rows = list(enumerate(TEXTS)) + [(None, "null id"), (1, "again")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     folder = shared_dir(spark, "tokens-test")
-    named = files.write_tokens(docs, folder, PATH, file_tokens=file_tokens)
+    named = files.write_tokens(docs, folder, PATH, file_tokens=file_tokens, packed=packed)
     got = files.document_counts(named, files.token_counts(spark, folder, 50256)).orderBy("ordinal").collect()
     start = 0
     for row, (doc, text) in zip(got, rows, strict=True):
