@@ -27,3 +27,16 @@ def kept(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a table of a few narrow columns that one task may handle.
+SMALL = 200_000
+
+
+def kept_small(df: DataFrame, purpose: str) -> DataFrame:
+    """As ``kept``, for narrow tables: one of up to ``SMALL`` rows comes as one partition.
+
+    What follows on one partition needs no shuffle; a larger table is shuffled as always.
+    """
+    table = kept(df, purpose)
+    return table.coalesce(1) if table.limit(SMALL + 1).count() <= SMALL else table

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwell.llm.common import kept
+from pairwell.llm.common import kept_small
 
 
 def signature(edges: DataFrame) -> tuple:
@@ -37,13 +37,13 @@ def components(links: DataFrame) -> DataFrame:
     holds a component in one task, and the number of steps grows with its logarithm.
     Links from a node to itself and repeated links change nothing.
     """
-    edges = kept(
+    edges = kept_small(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(),
         "links",
     )
     before = signature(edges)
     while True:
-        edges = kept(star(star(edges, large=True), large=False), "stars")
+        edges = kept_small(star(star(edges, large=True), large=False), "stars")
         after = signature(edges)
         if after == before:
             break

@@ -10,10 +10,11 @@ it has in the long ones is found by binary search.
    reports the shingles that it holds ``BLOCK_LEAST`` times. They decide the order only.
 2. Documents with equal sets form a class; its smallest id stands for it.
 3. Short lists are built by a shuffle on the shingle. A list of up to ``SHORT`` documents is
-   merged at once into pairs that pass the bounds on size and place.
+   merged at once into pairs whose sizes allow a link; pairs with too few common lists go.
 4. Longer lists are resolved in rounds: some documents outside the list's largest component
    are held against all others that are not yet in theirs. A large group of near copies is one
-   component after the first rounds, so its pairs are never made.
+   component after the first rounds, so its pairs are never made. Documents with more shingles
+   of their own than a link allows are left out of the rounds (``lone``).
 5. Pairs are verified in cells of one query and a bounded number of candidates: the cell
    builds inverted lists over its candidates, merges the short ones with a heap that skips,
    and probes the long ones.
@@ -31,10 +32,10 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairwell.llm.common import kept
+from pairwell.llm.common import kept, kept_small
 from pairwell.llm.components import components
 from pairwell.llm.words import shingle_sets
 
@@ -45,6 +46,8 @@ BLOCK_LEAST = 4
 FREQUENT = 1 << 18
 #: Lists up to this length are merged into pairs at once.
 SHORT = 24
+#: Ids that are broadcast to pick documents, in bytes; more are joined.
+SENT_BYTES = 16 << 20
 #: Candidates of a cell, and the growth of the number of documents held against a list per round.
 CELL = 256
 GROWTH = 4
@@ -219,21 +222,32 @@ def with_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
 def merged_lists(postings: DataFrame, percent: int) -> DataFrame:
     """Pairs of short lists, and the rows of long ones.
 
-    Postings (shingle, n, doc, place) come sorted by shingle and n. A row with ``other`` is a
-    pair whose sizes and places allow a link; one without is a member of a list longer than
-    ``SHORT``. A task holds ``SHORT`` rows of the list at hand besides its batch.
+    Postings (shingle, n, doc, place, hot) come sorted by shingle and n. A row with ``other`` (and
+    its size ``m``) is a pair whose sizes allow a link; one without is a member of a list longer
+    than ``SHORT``. A row without ``shingle`` counts (``n``) lists of several documents that a
+    document with frequent shingles (``hot``) is in. A task holds ``SHORT`` rows of the list at
+    hand besides its batch.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shingle", "n", "doc", "place", "other"]
+        names = ["shingle", "n", "doc", "place", "other", "m"]
         held: pa.RecordBatch | None = None
         long_value: int | None = None
 
         def members(rows: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(len(rows), rows.schema.field("doc").type)], names=names)
+            nothing = [pa.nulls(len(rows), rows.schema.field("doc").type), pa.nulls(len(rows), pa.int64())]
+            return pa.RecordBatch.from_arrays([*rows.columns[:4], *nothing], names=names)
+
+        def shared(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            docs = rows.column(2).filter(rows.column(4))
+            if len(docs):
+                found = docs.value_counts()
+                ids, counts = found.field("values"), found.field("counts")
+                none = pa.nulls(len(ids), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, counts, ids, none, pa.nulls(len(ids), ids.type), none], names=names)
 
         def pairs(rows: pa.RecordBatch, value: np.ndarray) -> Iterator[pa.RecordBatch]:
-            n, place = rows.column(1).to_numpy(), rows.column(3).to_numpy()
+            n = rows.column(1).to_numpy()
             for step in range(1, SHORT):
                 if step >= len(value):
                     return
@@ -241,14 +255,13 @@ def merged_lists(postings: DataFrame, percent: int) -> DataFrame:
                 if not len(i):
                     return
                 j = i + step
-                least = least_overlap(percent, n[i] + n[j])
-                most = np.minimum(n[i] - place[i], n[j] - place[j])
-                i, j = i[most >= least], j[most >= least]
+                near = 100 * n[i] >= percent * n[j]
+                i, j = i[near], j[near]
                 if len(i):
+                    first, second = pa.array(i), pa.array(j)
                     yield pa.RecordBatch.from_arrays(
-                        [rows.column(0).take(pa.array(i)), rows.column(1).take(pa.array(i)), rows.column(2).take(pa.array(i)),
-                         rows.column(3).take(pa.array(i)), rows.column(2).take(pa.array(j))], names=names,
-                    )
+                        [*[c.take(first) for c in rows.columns[:4]], rows.column(2).take(second), rows.column(1).take(second)], names=names
+                    )
 
         def handle(rows: pa.RecordBatch, last: bool) -> Iterator[pa.RecordBatch]:
             """All lists of the rows but the last one, which may go on; that one too at the end."""
@@ -267,10 +280,13 @@ def merged_lists(postings: DataFrame, percent: int) -> DataFrame:
                 held = rows.slice(int(begins[-1]))
             long_rows = np.repeat(is_long, lengths)
             if long_rows.any():
-                yield members(rows.filter(pa.array(long_rows)))
+                chosen = rows.filter(pa.array(long_rows))
+                yield members(chosen)
+                yield from shared(chosen)
             short_rows = np.repeat(whole & ~is_long & (lengths > 1), lengths)
             if short_rows.any():
                 chosen = rows.filter(pa.array(short_rows))
+                yield from shared(chosen)
                 yield from pairs(chosen, value[short_rows])
 
         for batch in batches:
@@ -284,8 +300,34 @@ def merged_lists(postings: DataFrame, percent: int) -> DataFrame:
             yield from handle(held, last=True)
 
     doc = postings.schema["doc"].dataType.simpleString()
-    sorted_rows = postings.select("shingle", "n", "doc", "place").repartition("shingle").sortWithinPartitions("shingle", "n", "doc")
-    return sorted_rows.mapInArrow(merge, f"shingle bigint, n bigint, doc {doc}, place bigint, other {doc}")
+    sorted_rows = postings.select("shingle", "n", "doc", "place", "hot").repartition("shingle").sortWithinPartitions("shingle", "n", "doc")
+    return sorted_rows.mapInArrow(merge, f"shingle bigint, n bigint, doc {doc}, place bigint, other {doc}, m bigint")
+
+
+def promising(lists: DataFrame, long: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of short lists that occur together in as many lists as a link needs.
+
+    A set has at most ``T - 1`` shingles outside its ``n - T + 1`` short lists. Of two sets,
+    take the one whose short lists end first in the order: what they share beyond those lists
+    is less than its T. So a link needs ``overlap - max(T) + 1`` common short lists. Lists too
+    long to be merged here may be common as well, as many as the first of the two is in.
+    """
+    held = long.groupBy(F.col("doc").alias("long_doc")).agg(F.count("*").alias("long"))
+    # Repeated ids have several sets: sizes belong to the pair of sets.
+    pairs = (
+        lists.filter("other IS NOT NULL AND doc <> other").groupBy("doc", "other", "n", "m").agg(F.count("*").alias("common"))
+    )
+    pairs = pairs.join(held, F.col("doc") == F.col("long_doc"), "left")
+    needed = [F.ceil(percent * size / F.lit(100)) for size in (F.col("n"), F.col("m"))]
+    overlap = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
+    enough = F.col("common") + F.coalesce("long", F.lit(0)) >= overlap - F.greatest(*needed) + 1
+    return pairs.filter(enough).select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
+
+
+def sent(ids: DataFrame) -> DataFrame:
+    """A table of ids, to be broadcast if it takes up to ``SENT_BYTES``."""
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in ids.columns), F.lit(0))
+    return F.broadcast(ids) if (ids.agg(F.sum(width)).first()[0] or 0) <= SENT_BYTES else ids
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -295,7 +337,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     members = salted.select("a", "cell", F.col("b").alias("doc")).unionByName(
         salted.select("a", "cell", F.col("a").alias("doc")).distinct()
     )
-    rows = members.join(texts, "doc").withColumn("candidate", F.col("a") != F.col("doc"))
+    rows = sent(kept(members, "cells")).join(texts, "doc").withColumn("candidate", F.col("a") != F.col("doc"))
     rows = rows.repartition("a", "cell").sortWithinPartitions("a", "cell", "candidate")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,41 +373,54 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return rows.select("a", "cell", "doc", "text", "candidate").mapInArrow(check, f"a {doc}, b {doc}").distinct()
 
 
-def possible(percent: int, n1: str, p1: str, n2: str, p2: str):
-    """Whether sizes and places in the order allow a link."""
-    least = F.ceil(percent * (F.col(n1) + F.col(n2)) / (100 + percent))
-    return F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2)) >= least
+def possible(percent: int, first: str, second: str) -> Column:
+    """Whether sizes, places in the order and shingles of their own let two members (n, place, lone) of a list link."""
+    n1, n2 = F.col(f"{first}n"), F.col(f"{second}n")
+    least = F.ceil(percent * (n1 + n2) / (100 + percent))
+    most = [n - F.greatest(F.col(f"{who}place"), F.col(f"{who}lone")) for who, n in ((first, n1), (second, n2))]
+    return F.least(*most) >= least
 
 
 def next_pairs(lists: DataFrame, labels: DataFrame, held: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of ``held`` documents per list with the rest of it, and the lists without those documents.
 
-    Lists within one component are done. The documents are taken outside the list's largest
-    component, smallest sets first.
+    Lists within one component are done, and members that can't link with the smallest of
+    their list go. The documents are taken outside the list's largest component, those with
+    the fewest shingles of their own first: they are nearest to what the list has in common.
     """
     named = lists.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left")
     named = named.withColumn("component", F.coalesce("component", "doc"))
-    sizes = named.groupBy("shingle", "component").agg(F.count("*").alias("rows"))
+    sizes = named.groupBy("shingle", "component").agg(F.count("*").alias("rows"), F.min("n").alias("small"))
     largest = (
         sizes.groupBy("shingle")
-        .agg(F.max(F.struct("rows", "component")).alias("largest"), F.count("*").alias("parts"))
+        .agg(F.max(F.struct("rows", "component")).alias("largest"), F.count("*").alias("parts"), F.min("small").alias("small"))
         .filter("parts > 1")
-        .select("shingle", F.col("largest.component").alias("main"))
+        .select("shingle", "small", F.col("largest.component").alias("main"))
     )
-    open_lists = kept(named.join(largest, "shingle"), "open-lists")
-    first = Window.partitionBy("shingle").orderBy("n", "doc")
+    able = F.col("n") - F.col("lone") >= F.ceil(percent * (F.col("n") + F.col("small")) / (100 + percent))
+    open_lists = kept_small(named.join(largest, "shingle").filter(able), "open-lists")
+    first = Window.partitionBy("shingle").orderBy("lone", "n", "doc")
     pivots = (
         open_lists.filter("component <> main")
         .withColumn("turn", F.row_number().over(first))
         .filter(F.col("turn") <= held)
-        .select("shingle", F.col("doc").alias("p"), F.col("n").alias("pn"), F.col("place").alias("pp"), F.col("component").alias("pc"), "turn")
+        .select("shingle", *[F.col(c).alias(f"p_{c}") for c in ("doc", "n", "place", "lone", "component")])
     )
-    pivots = kept(pivots, "pivots")
-    against = open_lists.join(pivots, "shingle").filter("component <> pc")
-    against = against.filter(possible(percent, "n", "place", "pn", "pp"))
-    pairs = against.select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
-    rest = open_lists.join(pivots.select("shingle", F.col("p").alias("doc")), ["shingle", "doc"], "left_anti")
-    return pairs, rest.select("shingle", "n", "doc", "place")
+    pivots = kept_small(pivots, "pivots")
+    members = open_lists.select("shingle", *[F.col(c).alias(f"m_{c}") for c in ("doc", "n", "place", "lone", "component")])
+    against = members.join(pivots, "shingle").filter("m_component <> p_component").filter(possible(percent, "m_", "p_"))
+    pairs = against.select(F.least("p_doc", "m_doc").alias("a"), F.greatest("p_doc", "m_doc").alias("b")).distinct()
+    rest = open_lists.join(pivots.select("shingle", F.col("p_doc").alias("doc")), ["shingle", "doc"], "left_anti")
+    return pairs, rest.select("shingle", "n", "doc", "place", "lone")
+
+
+def more_links(labels: DataFrame, pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The labels with those of the pairs that link."""
+    new = kept(verified(pairs, texts, size, percent), "links")
+    if new.isEmpty():
+        return labels
+    joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)
+    return kept_small(components(joined), "labels")
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
@@ -385,31 +440,36 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     # The id is a key of this join, so a class of very many copies is no hot key.
     own_class = (linkable.d1 == classes.d1) & (linkable.d2 == classes.d2) & (linkable.doc == classes.rep)
     reps = linkable.join(classes, own_class, "left_semi").select("doc", "n", "rare", "hot")
-    rare = reps.select("n", "doc", F.posexplode("rare").alias("place", "shingle"))
+    rare = reps.select("n", "doc", (F.size("hot") > 0).alias("hot"), F.posexplode("rare").alias("place", "shingle"))
     rare = rare.withColumn("place", F.col("place").cast("bigint"))
     lists = kept(merged_lists(rare, percent), "lists")
-    hot = reps.select("n", "doc", F.size("rare").alias("before"), F.posexplode("hot").alias("place", "shingle"))
-    hot = hot.select("shingle", "n", "doc", (F.col("place") + F.col("before")).cast("bigint").alias("place"))
-    shared = hot.groupBy("shingle").agg(F.count("*").alias("rows")).filter("rows > 1").select("shingle")
-    long = kept(lists.filter("other IS NULL").drop("other").unionByName(hot.join(shared, "shingle").select("shingle", "n", "doc", "place")), "long-lists")
-    pairs = kept(
-        lists.filter("other IS NOT NULL AND doc <> other")
-        .select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b"))
-        .distinct(),
-        "pairs",
-    )
-    needed = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).unionByName(long.select("doc")).distinct()
-    texts = kept(docs.join(needed, "doc", "left_semi"), "candidate-texts")
-    links = kept(verified(pairs, texts, size, percent), "links")
-    labels = kept(components(links), "labels")
+    # A document with frequent shingles among its short lists has all its other shingles there.
+    # Those that no list shares are in no such document, and count against a link in a frequent list.
+    shared = lists.filter("shingle IS NULL").groupBy(F.col("doc").alias("shared_doc")).agg(F.sum("n").alias("shared"))
+    hot = reps.filter(F.size("hot") > 0).select("n", "doc", F.size("rare").cast("bigint").alias("before"), F.posexplode("hot").alias("place", "shingle"))
+    hot = hot.join(kept_small(shared, "shared"), F.col("doc") == F.col("shared_doc"), "left").select(
+        "shingle", "n", "doc", (F.col("place") + F.col("before")).alias("place"),
+        (F.col("before") - F.coalesce("shared", F.lit(0))).alias("lone"),
+    )
+    several = hot.groupBy("shingle").agg(F.count("*").alias("rows")).filter("rows > 1").select("shingle")
+    in_rare = lists.filter("other IS NULL AND shingle IS NOT NULL").select("shingle", "n", "doc", "place", F.lit(0).cast("bigint").alias("lone"))
+    long = kept_small(in_rare.unionByName(hot.join(several, "shingle").select("shingle", "n", "doc", "place", "lone")), "long-lists")
+    pairs = kept(promising(lists, long, percent), "pairs")
+    needed = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).unionByName(long.select("doc"))
+    texts = kept(docs.join(sent(kept(needed.distinct(), "candidate-ids")), "doc", "left_semi"), "candidate-texts")
+    # First a pair for each document: in a group of near copies they mostly make one component,
+    # and only pairs between components are left to verify.
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    labels = kept_small(components(verified(kept(first, "pairs"), texts, size, percent)), "labels")
+    of_a, of_b = (labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component")) for c in ("a", "b"))
+    apart = ~F.coalesce("a_component", "a").eqNullSafe(F.coalesce("b_component", "b"))
+    others = pairs.join(first, ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left").filter(apart)
+    labels = more_links(labels, kept(others.select("a", "b"), "pairs"), texts, size, percent)
     held = 1
     while not long.isEmpty():
         found, rest = next_pairs(long, labels, held, percent)
-        new = kept(verified(kept(found, "pairs"), texts, size, percent), "links")
-        long = kept(rest, "long-lists")
-        if not new.isEmpty():
-            joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)
-            labels = kept(components(joined), "labels")
+        labels = more_links(labels, kept(found, "pairs"), texts, size, percent)
+        long = kept_small(rest, "long-lists")
         held *= GROWTH
     members = sets.select("doc", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
     reached = members.join(labels, members.rep == labels.node, "left")
@@ -430,7 +490,7 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         joined.filter("doc = component").groupBy("doc").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc").alias("again_id")),
         "repeated-ids",
     )
-    stay = docs.join(gone, F.col(doc_id) == F.col("gone_id"), "left_anti")
+    stay = docs.join(sent(gone), F.col(doc_id) == F.col("gone_id"), "left_anti")
     if repeated.isEmpty():
         return stay
     single = stay.join(repeated, F.col(doc_id) == F.col("again_id"), "left_anti")
