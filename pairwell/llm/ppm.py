@@ -9,9 +9,13 @@ context all symbols left are equally likely. As the model does not change while
 every escape and every exclusion is a number of its trie node, and a document's code length
 is a sum of table look-ups.
 
-The trie sent to the tasks has ``ENTRIES`` entries per order at most, the most frequent ones;
-the counts behind it cover all training documents. So do the word counts of the base score:
-the ``TOP_WORDS`` most frequent words are looked up in the task, all others in a join.
+The trie holds all grams of the training documents. If the longest order has up to ``ENTRIES``
+distinct ones, the whole trie is sent to the tasks. A larger trie is written: the totals,
+distinct counts and exclusions of every context are counted over all of its entries, and per
+order the most frequent contexts, each with all of its entries, are sent (``ENTRIES`` entries
+at most). Places that the sent part cannot tell are looked up in the written trie by joins. So
+are words of the base score: the ``TOP_WORDS`` most frequent are looked up in the task, all
+others in a join.
 """
 
 from __future__ import annotations
@@ -181,7 +185,8 @@ class Level:
 
     ``whole`` and ``escape``: log10 of the sum that counts are divided by, and of the escape, if
     coding begins here. ``whole_below`` and ``escape_below``: the same one order lower after an
-    escape from here, with this context's symbols excluded.
+    escape from here, with this context's symbols excluded. ``complete``: no context of this
+    order is missing; a context that is here has all of its entries.
     """
 
     keys: np.ndarray
@@ -191,6 +196,7 @@ class Level:
     escape: np.ndarray
     whole_below: np.ndarray
     escape_below: np.ndarray
+    complete: bool = True
 
 
 def log10(x: np.ndarray) -> np.ndarray:
@@ -239,7 +245,7 @@ class Model:
         self.direct = top.counts - top.whole[node]
 
     def scores(self, keys: np.ndarray) -> np.ndarray:
-        """Log10 probability of each key's symbol after its context."""
+        """Log10 probability of each key's symbol after its context; NaN if contexts that aren't here decide it."""
         at = self.entries[-1].find(keys)
         out = np.where(at >= 0, self.direct[np.maximum(at, 0)] if len(self.direct) else 0.0, 0.0)
         rest = np.flatnonzero(at < 0)
@@ -256,6 +262,9 @@ class Model:
                 whole, escape = pick(level.whole, context), pick(level.escape, context)
             found = entry >= 0
             out[rest] += np.where(found, pick(level.counts, entry) - whole, np.where(context >= 0, escape, 0.0))
+            if not level.complete:
+                out[rest[context < 0]] = np.nan
+                found |= context < 0
             rest, node = rest[~found], context[~found]
         left = np.where(node >= 0, pick(self.levels[0].whole_below, node), np.log10(SYMBOLS))
         out[rest] -= left
@@ -266,21 +275,115 @@ def pick(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return values[np.maximum(at, 0)] if len(values) else np.zeros(len(at))
 
 
-def learned(counts: DataFrame) -> list[Level]:
-    """The trie from gathered counts; shorter orders are sums over the longer ones."""
-    grams = counts.filter(F.col("kind") == GRAM).select("key", "times")
-    orders = []
-    for order in range(ORDER, -1, -1):
-        if order < ORDER:
-            shorter = F.col("key").bitwiseAND(F.lit((1 << BITS * (order + 1)) - 1))
-            grams = grams.groupBy(shorter.alias("key")).agg(F.sum("times").alias("times"))
-        orders.append(most(grams, ENTRIES))
-    return trie(orders[::-1])
+def lowest(symbols: int, key: str = "key") -> Column:
+    """The last ``symbols`` symbols of a key."""
+    return F.col(key).bitwiseAND(F.lit((1 << BITS * symbols) - 1))
+
+
+def counted_orders(counts: DataFrame) -> list[DataFrame]:
+    """(key, times) per order, 0 first; shorter orders are sums over the longer ones."""
+    orders = [counts.filter(F.col("kind") == GRAM).select("key", "times")]
+    for order in range(ORDER - 1, -1, -1):
+        orders.append(orders[-1].groupBy(lowest(order + 1).alias("key")).agg(F.sum("times").alias("times")))
+    return orders[::-1]
+
+
+#: Per order: entries (key, times), and contexts with the numbers of their node.
+Written = list[tuple[DataFrame, DataFrame]]
+
+
+def written_trie(grams: list[DataFrame]) -> Written:
+    """The whole trie as written tables. No key of its joins has more than ``SYMBOLS`` + 1 rows."""
+    orders: Written = []
+    for order, table in enumerate(grams):
+        entries = kept(table, f"lm-entries-{order}") if order < ORDER else table
+        rows = entries.withColumn("context", F.shiftright("key", BITS))
+        node = [F.sum("times").alias("total"), F.count("*").alias("n_distinct")]
+        if order:
+            shorter, below = orders[-1]
+            rows = rows.withColumn("suffix", lowest(order)).join(shorter.toDF("suffix", "shorter_times"), "suffix")
+            contexts = rows.groupBy("context").agg(*node, F.sum("shorter_times").alias("excluded"))
+            below = below.select(F.col("context").alias("suffix"), F.col("total").alias("t"), F.col("n_distinct").alias("d"))
+            contexts = contexts.withColumn("suffix", lowest(order - 1, "context")).join(below, "suffix")
+            left, left_symbols = F.col("t") - F.col("excluded"), F.col("d") - F.col("n_distinct")
+        else:
+            contexts = rows.groupBy("context").agg(*node)
+            left, left_symbols = F.lit(0), F.lit(SYMBOLS) - F.col("n_distinct")
+        whole = F.log10(F.col("total") + F.col("n_distinct"))
+        whole_below = F.log10(F.greatest(left + left_symbols, F.lit(1)))
+        contexts = contexts.select(
+            "context", "total", "n_distinct",
+            whole.alias("whole"),
+            (F.log10("n_distinct") - whole).alias("escape"),
+            whole_below.alias("whole_below"),
+            F.when(left_symbols > 0, F.log10(left_symbols) - whole_below).otherwise(0.0).alias("escape_below"),
+        )
+        orders.append((entries, kept(contexts, f"lm-contexts-{order}")))
+    return orders
+
+
+def sent_level(entries: DataFrame, contexts: DataFrame) -> Level:
+    """The contexts of highest total whose entries are ``ENTRIES`` together at most, with all of these."""
+    top = contexts.orderBy(F.desc("total"), "context").limit(ENTRIES + 1).toArrow()
+    n = int(np.searchsorted(np.cumsum(top["n_distinct"].to_numpy()), ENTRIES, side="right"))
+    complete, top = n == len(top), top.slice(0, n)
+    if n:
+        total, context = top["total"][n - 1].as_py(), top["context"][n - 1].as_py()
+        chosen = contexts.filter((F.col("total") > total) | ((F.col("total") == total) & (F.col("context") <= context)))
+        entries = entries.withColumn("context", F.shiftright("key", BITS)).join(chosen, "context", "left_semi")
+    table = entries.select("key", "times").limit(ENTRIES if n else 0).toArrow()
+    by_key, by_context = np.argsort(table["key"].to_numpy()), np.argsort(top["context"].to_numpy())
+    column = lambda name: top[name].to_numpy()[by_context]
+    return Level(
+        table["key"].to_numpy()[by_key], log10(table["times"].to_numpy()[by_key]), column("context"),
+        column("whole"), column("escape"), column("whole_below"), column("escape_below"), complete,
+    )
+
+
+def learned(counts: DataFrame) -> tuple[list[Level], Written | None]:
+    """What is sent of the trie, and the written trie if that is not all of it."""
+    grams = counted_orders(counts)
+    # Shorter orders have no more entries than the longest one.
+    if grams[-1].count() <= ENTRIES:
+        return trie([most(x, ENTRIES) for x in grams]), None
+    written = written_trie(grams)
+    return [sent_level(*order) for order in written], written
+
+
+def looked_up_scores(asked: DataFrame, written: Written) -> DataFrame:
+    """(key, score) of distinct keys by joins with the written trie, shortest order first.
+
+    ``after``: what follows an escape from the key's own context. No key of a join has more than
+    ``SYMBOLS`` + 1 rows.
+    """
+    known = None
+    for order, (entries, contexts) in enumerate(written):
+        rows = asked.select(lowest(order + 1).alias("key")).distinct().withColumn("context", F.shiftright("key", BITS))
+        rows = rows.join(contexts, "context", "left").join(entries, "key", "left")
+        if order:
+            rows = rows.withColumn("suffix", lowest(order)).join(known, "suffix", "left")
+            seen_below = F.log10("times_below") - F.col("whole_below")
+            after = F.when(F.col("times_below").isNotNull(), seen_below).otherwise(F.col("escape_below") + F.col("after_below"))
+            without = F.col("score_below")
+        else:
+            after, without = -F.col("whole_below"), F.lit(-float(np.log10(SYMBOLS)))
+        begun = F.when(F.col("times").isNotNull(), F.log10("times") - F.col("whole")).otherwise(F.col("escape") + after)
+        rows = rows.select("key", "times", after.alias("after"), F.when(F.col("total").isNull(), without).otherwise(begun).alias("score"))
+        known = rows.toDF("suffix", "times_below", "after_below", "score_below")
+    return rows.select("key", "score")
 
 
 # --- scoring ------------------------------------------------------------------------------
 
 
+def runs(keys: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of each owner, how often each occurs, and how many each of ``size`` owners has."""
+    order = np.lexsort((keys, owner))
+    w, o = keys[order], owner[order]
+    new = np.flatnonzero(np.r_[len(w) > 0, (w[1:] != w[:-1]) | (o[1:] != o[:-1])][: len(w)])
+    return w[new], np.diff(np.r_[new, len(w)]).astype(np.int32), np.bincount(o[new], minlength=size)
+
+
 def scored(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``.
 
@@ -299,7 +402,7 @@ def scored(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str
     ends = rows.filter("train").count()
     n, v = (totals["n"] or 0) + ends, totals["v"] + (1 if ends else 0)
     whole = n + ADDED * (v + 1)
-    levels = learned(counts)
+    levels, written = learned(counts)
     top = most(words, TOP_WORDS)
     context = docs.sparkSession.sparkContext
     sent = context.broadcast((levels, top[0], np.log10((top[1] + ADDED) / whole)))
@@ -313,6 +416,7 @@ def scored(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str
             n_rows = len(batch)
             tokens, known, base, total = (np.zeros(n_rows) for _ in range(4))
             rare_keys, rare_times, rare_lengths = [], [], np.zeros(n_rows, np.int64)
+            far_keys, far_times, far_lengths = [], [], np.zeros(n_rows, np.int64)
             for first, hashes, offsets in hashed_words(batch.column(1)):
                 owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
                 rows_here = slice(first, first + len(offsets) - 1)
@@ -323,17 +427,22 @@ def scored(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str
                 tokens[rows_here] = np.diff(offsets)
                 known[rows_here] = np.bincount(owner[found], minlength=size)
                 base[rows_here] = np.bincount(owner[found], pick(top_scores, at[found]), minlength=size)
-                order = np.lexsort((words[~found], owner[~found]))
-                w, o = words[~found][order], owner[~found][order]
-                new = np.flatnonzero(np.r_[len(w) > 0, (w[1:] != w[:-1]) | (o[1:] != o[:-1])][: len(w)])
-                rare_keys.append(w[new])
-                rare_times.append(np.diff(np.r_[new, len(w)]).astype(np.int32))
-                rare_lengths[rows_here] = np.bincount(o[new], minlength=size)
+                distinct, times, rare_lengths[rows_here] = runs(words[~found], owner[~found], size)
+                rare_keys.append(distinct)
+                rare_times.append(times)
             for keys, owner in blocks(batch.column(1)):
                 low = int(owner[0])
-                sums = np.bincount(owner - low, model.scores(keys))
+                values = model.scores(keys)
+                far = np.isnan(values)
+                sums = np.bincount(owner - low, np.where(far, 0.0, values))
                 total[low : low + len(sums)] += sums
+                if far.any():
+                    distinct, times, lengths = runs(keys[far], owner[far] - low, len(sums))
+                    far_keys.append(distinct)
+                    far_times.append(times)
+                    far_lengths[low : low + len(sums)] += lengths
             offsets = pa.array(np.r_[0, np.cumsum(rare_lengths)].astype(np.int32))
+            far_offsets = pa.array(np.r_[0, np.cumsum(far_lengths)].astype(np.int32))
             join = lambda parts, kind: pa.array(np.concatenate([*parts, np.zeros(0, kind)]).astype(kind))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -344,11 +453,14 @@ def scored(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str
                     pa.array(total),
                     pa.ListArray.from_arrays(offsets, join(rare_keys, np.int64)),
                     pa.ListArray.from_arrays(offsets, join(rare_times, np.int32)),
+                    pa.ListArray.from_arrays(far_offsets, join(far_keys, np.int64)),
+                    pa.ListArray.from_arrays(far_offsets, join(far_times, np.int32)),
                 ],
-                names=["doc", "n_tokens", "known", "base", "score", "rare", "times"],
+                names=["doc", "n_tokens", "known", "base", "score", "rare", "times", "far", "far_times"],
             )
 
-    ddl = f"doc {id_type}, n_tokens bigint, known bigint, base double, score double, rare array<bigint>, times array<int>"
+    ddl = f"doc {id_type}, n_tokens bigint, known bigint, base double, score double, rare array<bigint>, times array<int>, "
+    ddl += "far array<bigint>, far_times array<int>"
     local = rows.select("doc", "text").mapInArrow(score, ddl)
     local = kept(local.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
     rare = local.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w"))
@@ -359,13 +471,22 @@ def scored(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str
         F.sum(F.col("tf") * F.log10((c + F.lit(ADDED)) / F.lit(whole))).alias("rare_base"),
         F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("rare_known"),
     )
+    score_sum = F.col("score")
+    if written:
+        far = local.select("row", F.explode(F.arrays_zip("far", "far_times")).alias("g"))
+        far = far.select("row", F.col("g.far").alias("key"), F.col("g.far_times").alias("tf"))
+        asked = kept(far.select("key").distinct(), "lm-asked")
+        far = far.join(looked_up_scores(asked, written).withColumnRenamed("score", "far_one"), "key", "left")
+        far = far.groupBy("row").agg(F.sum(F.col("tf") * F.col("far_one")).alias("far_score"))
+        local = local.join(far, "row", "left")
+        score_sum += F.coalesce("far_score", F.lit(0.0))
     return local.join(sums, "row", "left").select(
         "doc",
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        score_sum.alias("score"),
     )
 
 

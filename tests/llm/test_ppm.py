@@ -101,3 +101,14 @@ def test_no_rows_and_no_training(spark):
     rows = {r.doc: r for r in ppm.scored(docs, F.lit(False)).collect()}
     assert (rows[1].n_known, rows[1].train_tokens) == (0, 0) and rows[2].score == pytest.approx(-math.log10(257))
     assert ppm.scored(docs.limit(0), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("entries", [2, 9, 40])
+def test_a_trie_larger_than_what_is_sent_gives_the_same_scores(spark, monkeypatch, entries):
+    monkeypatch.setattr(ppm, "ENTRIES", entries)
+    texts = TEXTS + ["abrab", "zzz", "\u00ff\x01ab", "the bat", "abracadabra the cat" * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = counted(TEXTS)
+    monkeypatch.setattr(ppm, "BLOCK", 16)  # long texts come in several blocks
+    got = {r.doc: r.score for r in ppm.scored(docs, F.col("doc_id") < len(TEXTS)).collect()}
+    assert got == {k: pytest.approx(direct(counts, text), abs=1e-9) for k, text in enumerate(texts)}
