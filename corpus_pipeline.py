@@ -8,15 +8,12 @@ from pyspark.sql import functions as F
 
 from pairwell.llm.bpe import with_ids
 from pairwell.llm.common import kept
-from pairwell.llm.language import UNKNOWN, predicted
+from pairwell.llm.language import in_language
 from pairwell.llm.language import learn as learn_languages
 from pairwell.llm.mixing import mix, repeated
 from pairwell.llm.ngram_join import one_of_each
 from pairwell.llm.quality import judged, learned_rules
 
-#: A document stays if its language is told with at least this score.
-LANGUAGE_SCORE = 0.25
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the rules learned from ``labels``."""
@@ -25,10 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the model is learned from those that state one."""
-    model = learn_languages(docs, F.lit(True))
-    told = (F.col("language.lang_pred") != UNKNOWN) & (F.col("language.score") >= LANGUAGE_SCORE)
-    return predicted(docs, model).filter(told).select(*docs.columns)
+    """Documents in a language of those that state one, from which the model is learned."""
+    return in_language(docs, learn_languages(docs, F.lit(True), foreign=True))
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,12 @@ machine per pair of languages votes.
 A profile is the square root of the shares of hashed letter n-grams (1 to 4 bytes) over the
 whole text. The machines are trained on the driver from a sample of ``SAMPLE`` labelled
 documents, spread evenly over the languages; prediction runs over every row in the tasks.
+
+The machines always name a language. Whether a text is in it shows in two numbers that do not
+depend on how many languages or families there are: the smallest raw margin of the machines
+that the language won against, and the mean log likelihood of the text's n-grams under the
+language's mean profile. ``calibrate`` learns how low both get for beginnings of labelled
+texts of several lengths.
 """
 
 from __future__ import annotations
@@ -35,6 +41,15 @@ UNKNOWN = "und"
 #: Training: weight of errors, passes over the sample, steepness of margins as chances.
 COST, PASSES, STEEPNESS = 10.0, 30, 3.0
 
+#: Letters that the beginnings of labelled texts have, about. A text is held against the longest that it reaches.
+BEGINNINGS = (4, 16, 64, 256, 1024)
+#: A text is foreign if it lies this many times as far below the median as the ``TAIL`` quantile of labelled texts.
+SPREAD, TAIL = 1.5, 0.01
+#: Share of the even distribution in the likelihoods.
+EVEN = 0.01
+#: Profiles that are handled at once on the driver.
+ROWS = 500
+
 #: Bytes that are no letters count as one: a space.
 PLAIN = np.array([b if b > 127 or 97 <= b <= 122 else 32 for b in range(256)], np.uint64)
 
@@ -111,6 +126,32 @@ class Model:
     families: list[list[str]] = field(default_factory=list)
     family_weights: np.ndarray | None = None
     pairs: list[dict[tuple[int, int], np.ndarray]] = field(default_factory=list)
+    #: By language: log likelihoods of n-grams, and the least (margin, likelihood) per length of ``BEGINNINGS``.
+    likelihoods: dict[str, np.ndarray] = field(default_factory=dict)
+    least: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def evidence(self, x: np.ndarray, names: list[str]) -> np.ndarray:
+        """Margin and likelihood (rows x 2) of each profile for its language."""
+        label, out = np.array(names, object), np.zeros((len(x), 2))
+        wide = np.hstack([x, np.ones((len(x), 1), np.float32)])
+        for f, languages in enumerate(self.families):
+            for k, language in enumerate(languages):
+                rows = np.flatnonzero(label == language)
+                margins = [wide[rows] @ self.family_weights[f]] if len(self.families) > 1 else []
+                for (a, b), weights in self.pairs[f].items():
+                    if k in (a, b):
+                        margins.append((wide[rows] @ weights) * (1 if k == a else -1))
+                out[rows, 0] = np.min(margins, axis=0) if margins else 0.0
+                out[rows, 1] = (x[rows] * x[rows]) @ self.likelihoods[language]
+        return out
+
+    def told(self, x: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """Whether each profile, of a text with so many letters, is in the language that is predicted for it."""
+        names, _ = self.predict(x)
+        step = np.maximum(np.searchsorted(BEGINNINGS, letters, side="right") - 1, 0)
+        known = np.array([name in self.least for name in names], bool)
+        least = np.array([self.least[name][k] if ok else (0.0, 0.0) for name, k, ok in zip(names, step, known)]).reshape(-1, 2)
+        return known & (self.evidence(x, names) >= least).all(axis=1)
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score of each profile."""
@@ -180,8 +221,43 @@ def trained(x: np.ndarray, names: list[str], families: list[list[str]] | None =
     return model
 
 
-def learn(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Model from texts and languages of the rows that ``train`` chooses.
+def letter_counts(texts: pa.Array) -> np.ndarray:
+    """Letters of each text; bytes beyond ASCII count as one each."""
+    data, offsets = text_bytes(pc.utf8_lower(texts.cast(pa.large_string())))
+    return np.diff(np.r_[0, np.cumsum(PLAIN[data] != 32)][offsets])
+
+
+def calibrate(model: Model, x: np.ndarray, names: list[str], beginnings: pa.Array) -> None:
+    """Learn likelihoods, and how low margin and likelihood get where the model is right, from labelled texts."""
+    label = np.array(names, object)
+    for language in sorted(set(names)):
+        mean = np.square(x[label == language]).mean(axis=0, dtype=np.float64)
+        model.likelihoods[language] = np.log((1 - EVEN) * SIZE * mean + EVEN)
+    found: dict[str, list[np.ndarray]] = {language: [] for language in model.likelihoods}
+    for length in BEGINNINGS:
+        seen = {language: [] for language in found}
+        for at in range(0, len(names), ROWS):
+            texts = pc.utf8_slice_codeunits(beginnings.slice(at, ROWS), 0, length)
+            enough = letter_counts(texts) > 0
+            own = label[at : at + ROWS]
+            for first, part in profiles(texts):
+                rows = slice(first, first + len(part))
+                right = (np.array(model.predict(part)[0], object) == own[rows]) & enough[rows]
+                for name, value in zip(own[rows][right], model.evidence(part[right], own[rows][right].tolist())):
+                    seen[name].append(value)
+        for language, values in seen.items():
+            if values:
+                middle, low = np.median(values, axis=0), np.quantile(values, TAIL, axis=0)
+                found[language].append(middle - SPREAD * (middle - low) - 1e-9)
+            else:
+                found[language].append(np.full(2, -np.inf))
+    model.least = {language: np.stack(steps) for language, steps in found.items()}
+
+
+def learn(
+    docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", foreign: bool = False
+) -> Model:
+    """Model from texts and languages of the rows that ``train`` chooses; with ``foreign``, ``in_language`` can use it.
 
     The sample takes up to ``SAMPLE / languages`` documents of each language (at least 20), by
     the hash of their id. Rows without language, id or letters are left out.
@@ -205,13 +281,20 @@ def learn(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str =
         for batch in batches:
             for first, x in profiles(batch.column(1)):
                 values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), SIZE).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(x)), values], names=["lang", "profile"])
+                begins = pc.utf8_slice_codeunits(batch.column(1).slice(first, len(x)), 0, BEGINNINGS[-1])
+                columns = [batch.column(0).slice(first, len(x)), values, begins]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "profile", "begins"])
 
-    table = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(profile, "lang string, profile array<float>").toArrow()
+    ddl = "lang string, profile array<float>, begins string"
+    chosen_rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(profile, ddl)
+    table = (chosen_rows if foreign else chosen_rows.drop("begins")).toArrow()
     x = table["profile"].combine_chunks().flatten().to_numpy().reshape(-1, SIZE)
     order = np.lexsort((x.sum(axis=1), np.array(table["lang"].to_pylist(), object).astype(str)))
     names = [table["lang"][int(i)].as_py() for i in order]
-    return trained(x[order], names)
+    model = trained(x[order], names)
+    if foreign and names:
+        calibrate(model, x[order], names, table["begins"].combine_chunks().take(pa.array(order)))
+    return model
 
 
 # --- prediction ---------------------------------------------------------------------------
@@ -250,3 +333,23 @@ def predicted(docs: DataFrame, model: Model, *, text: str = "text", name: str =
     made = predict(F.col(text))
     none = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     return docs.withColumn(name, made).withColumn(name, F.when(letters, F.col(name)).otherwise(none))
+
+
+def in_language(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text is in the language that is predicted for it.
+
+    - Gibberish, mixtures and languages that the model does not know lie below the margins or
+      likelihoods of labelled texts; short texts are held against short beginnings of these.
+    - A text that is null or has no letter is left out; so is every text if the model knows no
+      language. Rows are judged one by one. The model is learned with ``foreign``.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf(T.BooleanType())
+    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            letters = letter_counts(batch)
+            parts = [sent.value.told(x, letters[first : first + len(x)]) for first, x in profiles(batch)]
+            yield pa.array(np.concatenate([*parts, np.zeros(0, bool)]).astype(bool), pa.bool_())
+
+    return docs.filter(has_letter(F.col(text))).filter(told(F.col(text)))

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 import pairwell.llm.language as language
 
 #: Made-up languages; the first two and the last two share most syllables.
@@ -69,3 +70,21 @@ def test_few_or_no_languages(docs, spark):
 def test_training_is_the_same_again(docs, model):
     again = language.learn(docs.repartition(3), F.col("doc_id") % 4 != 2)
     assert np.allclose(again.family_weights, model.family_weights)
+
+
+def test_foreign_texts_are_told_from_short_clean_ones(spark):
+    rng = random.Random(11)
+    letters = lambda words: " ".join("".join(rng.choices("bcdfghjkpqvwxyz", k=rng.randint(2, 9))) for _ in range(words))
+    rows = [(k, text_of(lang, rng, rng.randint(30, 90)), lang) for k, lang in enumerate(sorted(SYLLABLES) * 80)]
+    planted = [(1000 + k, letters(rng.randint(20, 60)), None) for k in range(20)]
+    planted += [(2000 + k, " ".join(rng.choices(["kamau", "wiki", "lolo", "hoku", "nui", "pua"], k=40)), None) for k in range(20)]
+    planted += [(3000 + k, text_of("aa", rng, 30) + " " + text_of("ba", rng, 30), None) for k in range(20)]
+    planted += [(4000 + k, text_of("bb", rng, 3), None) for k in range(20)] + [(5000, "12 34", None), (5001, None, None)]
+    docs = spark.createDataFrame(rows + planted, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "").collect()}
+    count = lambda low: len([k for k in kept if low <= k < low + 1000])
+    assert count(0) >= 0.97 * len(rows) and count(4000) >= 19
+    assert count(1000) == count(2000) == count(5000) == 0 and count(3000) <= 2
+    # Nothing to learn from: no text is in a known language.
+    assert corpus_pipeline.language_stage(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").count() == 0
+    assert corpus_pipeline.language_stage(spark, docs.limit(0), "").count() == 0
