@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,27 +59,31 @@ TAG = re.compile(
 LOOSE_TAG = re.compile(r"<(?P<end>/?)(?P<name>[a-z][^\s/<>]*+)(?P<attributes>[^<>]*+)>", re.I)
 #: Elements nested deeper are read as if they were not nested, as browsers do.
 DEPTH = 512
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>]+))?""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACE = re.compile(r"\s+")
+#: Blocks that are parts of a text; what holds them is the home of their lines.
+PARTS = frozenset("blockquote center dd details dl dt figure li ol p pre table tbody tfoot thead tr ul".split()) | HEADINGS
 PARAGRAPH_ENDERS = BLOCKS - {"tbody", "td", "tfoot", "th", "thead", "tr", "caption"}
 
 
-def is_furniture(name: str, attributes: str, in_article: bool) -> bool:
+NEVER_TEXT, NAMED = 1, 2
+
+
+def furniture_kind(name: str, attributes: str, in_article: bool) -> int:
+    """``NEVER_TEXT`` by the element's role, ``NAMED`` by a word in its class or id alone, else 0."""
     if name in NEVER or (name == "header" and not in_article):
-        return True
+        return NEVER_TEXT
     if name in CONTAINERS or name in HEADINGS or not attributes:
-        return False
+        return 0
+    kind = 0
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key == "role":
-            if value.lower() in ROLES:
-                return True
-        elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
-        elif key in ("class", "id") and any(part.lower() in FURNITURE for part in NAME_PART.findall(value)):
-            return True
-    return False
+        if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            return NEVER_TEXT
+        if key in ("class", "id") and any(part.lower() in FURNITURE for part in NAME_PART.findall(value)):
+            kind = NAMED
+    return kind
 
 
 def tags(page: str) -> Iterator[re.Match]:
@@ -94,34 +99,103 @@ def tags(page: str) -> Iterator[re.Match]:
         at = page.find("<", tag.end() if tag else at + 1)
 
 
+class Line(NamedTuple):
+    """A line: its text, the characters outside links, and the elements around it by number (0: none).
+
+    ``article``: the outermost marked article. ``block`` holds the line, ``home`` holds the block.
+    ``named``: open elements that a class or id calls furniture. ``text`` is empty where a gap may be;
+    ``gap`` is the element whose leaving out makes it one, 0 if it always is.
+    """
+
+    text: str
+    n: int
+    article: int = 0
+    block: int = 0
+    home: int = 0
+    named: tuple[int, ...] = ()
+    gap: int = 0
+
+
 class Lines:
-    """Lines of a page: text, characters outside links, and whether the line lies in a marked article."""
+    """Lines of a page and its open elements."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[str, int, bool]] = []
+        self.rows: list[Line] = []
         self.parts: list[str] = []
         self.linked = 0
+        self.stack: list[str] = []
+        self.numbers: list[int] = []
+        self.named: list[int] = []  # depths of open elements that a class or id calls furniture
+        self.opened = 0
+        self.marked: dict[int, str] = {}
+        self.around: dict[int, tuple[int, ...]] = {}  # named elements around a marked article
 
     def add(self, text: str, in_link: bool) -> None:
         self.parts.append(text)
         if in_link:
             self.linked += len(text.strip())
 
-    def close(self, in_article: bool) -> None:
+    def open(self, name: str) -> None:
+        self.opened += 1
+        self.stack.append(name)
+        self.numbers.append(self.opened)
+
+    def cut(self, depth: int) -> None:
+        """End the elements from ``depth`` on."""
+        del self.stack[depth:]
+        if self.named and self.named[-1] >= depth:
+            while self.named and self.named[-1] >= depth:
+                number = self.numbers[self.named.pop()]
+            self.rows.append(Line("", 0, named=self.open_named(), gap=number))
+        del self.numbers[depth:]
+
+    def open_named(self) -> tuple[int, ...]:
+        return tuple(self.numbers[k] for k in self.named)
+
+    def close(self) -> None:
         if self.parts:
             text = SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
             if text:
-                self.rows.append((text, max(len(text) - self.linked, 0), in_article))
+                article = next((i for x, i in zip(self.stack, self.numbers) if x in ("article", "main")), 0)
+                blocks = [(x, i) for x, i in zip(self.stack, self.numbers) if x in BLOCKS]
+                block = blocks[-1][1] if blocks else 0
+                home = next((i for x, i in reversed(blocks[:-1]) if x not in PARTS), 0)
+                self.rows.append(Line(text, max(len(text) - self.linked, 0), article, block, home, self.open_named()))
             self.parts, self.linked = [], 0
 
     def gap(self) -> None:
-        self.rows.extend([("", 0, False)] * WINDOW)
+        self.rows.extend([Line("", 0, named=self.open_named())] * WINDOW)
 
+    def left(self) -> list[Line]:
+        """Lines without those of named furniture, which leave a gap.
 
-def lines_of(page: str, furniture: bool = True) -> list[tuple[str, int, bool]]:
+        An element that holds more than half of the page's text outside links, or the page's only main
+        element (or its only article, if there is no main), is no furniture whatever its name.
+        """
+        if not any(line.named or line.gap for line in self.rows):
+            return self.rows
+        held: dict[int, int] = {}
+        for line in self.rows:
+            for number in line.named:
+                held[number] = held.get(number, 0) + line.n
+        half = sum(line.n for line in self.rows) / 2
+        main = [number for number, name in self.marked.items() if name == "main"] or list(self.marked)
+        article = set(self.around[main[0]]) if len(main) == 1 else set()
+        out: list[Line] = []
+        stays = lambda number: number in article or held.get(number, 0) > half
+        for line in self.rows:
+            if all(map(stays, line.named)):
+                if line.text or not line.gap:
+                    out.append(line)
+                elif not stays(line.gap):
+                    out.extend([line] * WINDOW)
+        return out
+
+
+def lines_of(page: str, furniture: bool = True) -> list[Line]:
     """Lines in page order; ``furniture=False`` leaves out only what never holds text."""
     lines = Lines()
-    stack: list[str] = []
+    stack = lines.stack
     left_out: int | None = None  # depth at which an element that is left out was opened
     links = articles = 0
     at = 0
@@ -135,7 +209,7 @@ def lines_of(page: str, furniture: bool = True) -> list[tuple[str, int, bool]]:
         if tag["end"]:
             if name not in stack:
                 if name in BLOCKS and left_out is None:
-                    lines.close(articles > 0)
+                    lines.close()
                 continue
             closed = True
         else:
@@ -150,20 +224,20 @@ def lines_of(page: str, furniture: bool = True) -> list[tuple[str, int, bool]]:
                         if left_out is None or depth > left_out:
                             links -= stack[depth:].count("a") if left_out is None else 0
                             if left_out is None:
-                                lines.close(articles > 0)
-                            del stack[depth:]
+                                lines.close()
+                            lines.cut(depth)
                         break
                     if stack[depth] in BLOCKS:
                         break
         if closed:
             depth = len(stack) - 1 - stack[::-1].index(name)
             if left_out is None:
-                if any(x in BLOCKS for x in stack[depth:]):
-                    lines.close(articles > 0)
+                if any(x in BLOCKS for x in stack[depth:]) or lines.named and lines.named[-1] >= depth:
+                    lines.close()
                 links -= stack[depth:].count("a")
                 articles -= sum(x in ("article", "main") for x in stack[depth:])
             outer = stack[depth:left_out] if left_out is not None else []
-            del stack[depth:]
+            lines.cut(depth)
             if left_out is not None and depth <= left_out:
                 links -= outer.count("a")
                 articles -= sum(x in ("article", "main") for x in outer)
@@ -172,31 +246,41 @@ def lines_of(page: str, furniture: bool = True) -> list[tuple[str, int, bool]]:
             continue
         if left_out is None:
             if name in BLOCKS:
-                lines.close(articles > 0)
+                lines.close()
             elif name in ("br", "img"):
                 lines.add(" ", False)
         if name in VOID or tag["attributes"].endswith("/") and name not in BLOCKS or len(stack) >= DEPTH:
             continue
-        stack.append(name)
+        lines.open(name)
         if left_out is not None:
             continue
-        if is_furniture(name, tag["attributes"], articles > 0) if furniture else name in ("head", *RAW):
-            lines.close(articles > 0)
+        if furniture:
+            kind = furniture_kind(name, tag["attributes"], articles > 0)
+        else:
+            kind = NEVER_TEXT if name in ("head", *RAW) else 0
+        if kind == NEVER_TEXT:
+            lines.close()
             left_out = len(stack) - 1
         else:
+            if kind == NAMED:
+                lines.close()
+                lines.named.append(len(stack) - 1)
+            if name in ("article", "main"):
+                lines.marked[lines.opened] = name
+                lines.around[lines.opened] = lines.open_named()
             links += name == "a"
             articles += name in ("article", "main")
     if left_out is None and at < len(page):
         lines.add(page[at:], links > 0)
-    lines.close(articles > 0)
-    return lines.rows
+    lines.close()
+    return lines.left()
 
 
-def between(rows: list[tuple[str, int, bool]]) -> list[str]:
+def between(rows: list[Line]) -> list[str]:
     """Texts between surge and dive."""
-    marked = any(inside for _, _, inside in rows)
+    marked = any(line.article for line in rows)
     # In a marked article the text of links counts too.
-    lengths = [(len(text) if inside else 0) if marked else n for text, n, inside in rows]
+    lengths = [(len(line.text) if line.article else 0) if marked else line.n for line in rows]
     sums = [sum(lengths[k : k + WINDOW]) for k in range(len(lengths))]
     threshold = 0 if marked else min(SURGE, max(max(sums, default=0) - 1, 0))
     out: list[str] = []
@@ -212,7 +296,7 @@ def between(rows: list[tuple[str, int, bool]]) -> list[str]:
         dive = start
         while dive < len(sums) and sums[dive] > 0:
             dive += 1
-        out += [rows[j][0] for j in range(start, dive) if rows[j][0] and (rows[j][2] or not marked)]
+        out += [rows[j].text for j in range(start, dive) if rows[j].text and (rows[j].article or not marked)]
         k = dive
     return out
 

@@ -70,3 +70,24 @@ def test_columns(spark):
     assert extracted(pages.limit(0)).count() == 0
     with pytest.raises(ValueError):
         extracted(pages, text="text")
+
+
+NAMED = [
+    '<div style="overflow:hidden" data-role="navigation"><p>{0}</p></div>',
+    '<div><p><a href="/item?id=social">{0}</a> {0}</p></div>',
+    '<div><p>{0} <a href="/a/hidden-gems">{0}</a></p></div>',
+    '<div class="with-sidebar"><div><p>{0}</p></div><div class="sidebar">side</div></div>',
+    '<div class="category-social"><section><article><p>{0}</p></article></section></div>',
+    '<div class="page widget"><div id="ad">ad</div><article><p>{0}</p></article></div>',
+]
+
+
+@pytest.mark.parametrize("body", NAMED)
+def test_one_word_does_not_drop_the_article(body):
+    text = " ".join([LONG] * body.count("{0}"))
+    assert main_text(page(body.format(LONG) + '<div class="comments">c</div>')) == text
+
+
+def test_real_roles_and_names_still_count():
+    for attributes in ('role="navigation"', "hidden", "aria-hidden=true", "class='x social'", "ID=sidebar"):
+        assert main_text(page(f"<div><p>{LONG}</p></div><div {attributes}><p>{LONG[:100]}</p></div>")) == LONG
