@@ -5,7 +5,8 @@ page headers, footers, sidebars, adverts, notices, forms, reader comments) leave
 empty lines in its place, so it shows as a gap. The lengths of the texts outside links are
 summed over windows of ``WINDOW`` lines: a surge begins where a sum rises above the threshold,
 and the dive is where the sums are back at zero. The text between surge and dive is kept.
-If a page marks its article, lines outside it are empty and every surge counts.
+A marked article is set off by empty lines; if it has a surge, all of its text is kept.
+Only on a page without any surge is the marked article all that counts.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW = 3
-#: Characters outside links that a window needs to begin a surge on a page without a marked article.
+#: Characters outside links that a window needs to begin a surge.
 SURGE = 86
+#: Weight of a marked article's text against that of an element whose name calls it furniture.
+ARTICLE = 4
 
 #: Elements by their role in HTML.
 RAW = "script style noscript template iframe object svg math canvas audio video title textarea xmp".split()
@@ -125,6 +128,7 @@ class Lines:
         self.linked = 0
         self.stack: list[str] = []
         self.numbers: list[int] = []
+        self.article = 0  # the outermost marked article that is open
         self.named: list[int] = []  # depths of open elements that a class or id calls furniture
         self.opened = 0
         self.marked: dict[int, str] = {}
@@ -142,6 +146,9 @@ class Lines:
 
     def cut(self, depth: int) -> None:
         """End the elements from ``depth`` on."""
+        if self.article in self.numbers[depth:]:
+            self.article = 0
+            self.gap()
         del self.stack[depth:]
         if self.named and self.named[-1] >= depth:
             while self.named and self.named[-1] >= depth:
@@ -156,11 +163,10 @@ class Lines:
         if self.parts:
             text = SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
             if text:
-                article = next((i for x, i in zip(self.stack, self.numbers) if x in ("article", "main")), 0)
                 blocks = [(x, i) for x, i in zip(self.stack, self.numbers) if x in BLOCKS]
                 block = blocks[-1][1] if blocks else 0
                 home = next((i for x, i in reversed(blocks[:-1]) if x not in PARTS), 0)
-                self.rows.append(Line(text, max(len(text) - self.linked, 0), article, block, home, self.open_named()))
+                self.rows.append(Line(text, max(len(text) - self.linked, 0), self.article, block, home, self.open_named()))
             self.parts, self.linked = [], 0
 
     def gap(self) -> None:
@@ -170,7 +176,8 @@ class Lines:
         """Lines without those of named furniture, which leave a gap.
 
         An element that holds more than half of the page's text outside links, or the page's only main
-        element (or its only article, if there is no main), is no furniture whatever its name.
+        element (or its only article, if there is no main), is no furniture whatever its name. Text of a
+        marked article outside all such elements counts ``ARTICLE`` times.
         """
         if not any(line.named or line.gap for line in self.rows):
             return self.rows
@@ -178,7 +185,7 @@ class Lines:
         for line in self.rows:
             for number in line.named:
                 held[number] = held.get(number, 0) + line.n
-        half = sum(line.n for line in self.rows) / 2
+        half = sum(line.n * (ARTICLE if line.article and not line.named else 1) for line in self.rows) / 2
         main = [number for number, name in self.marked.items() if name == "main"] or list(self.marked)
         article = set(self.around[main[0]]) if len(main) == 1 else set()
         out: list[Line] = []
@@ -266,6 +273,9 @@ def lines_of(page: str, furniture: bool = True) -> list[Line]:
                 lines.close()
                 lines.named.append(len(stack) - 1)
             if name in ("article", "main"):
+                if not lines.article:
+                    lines.gap()
+                    lines.article = lines.opened
                 lines.marked[lines.opened] = name
                 lines.around[lines.opened] = lines.open_named()
             links += name == "a"
@@ -277,13 +287,16 @@ def lines_of(page: str, furniture: bool = True) -> list[Line]:
 
 
 def between(rows: list[Line]) -> list[str]:
-    """Texts between surge and dive."""
-    marked = any(line.article for line in rows)
-    # In a marked article the text of links counts too.
-    lengths = [(len(line.text) if line.article else 0) if marked else line.n for line in rows]
+    """Texts between surge and dive, and the rest of a marked article that has a surge."""
+    lengths = [line.n for line in rows]
     sums = [sum(lengths[k : k + WINDOW]) for k in range(len(lengths))]
-    threshold = 0 if marked else min(SURGE, max(max(sums, default=0) - 1, 0))
-    out: list[str] = []
+    threshold = min(SURGE, max(max(sums, default=0) - 1, 0))
+    if threshold < SURGE and any(line.article for line in rows):
+        # No surge on the page: a marked article decides.
+        lengths, threshold = [len(line.text) if line.article else 0 for line in rows], 0
+        sums = [sum(lengths[k : k + WINDOW]) for k in range(len(lengths))]
+    kept: set[int] = set()
+    articles: set[int] = set()
     k = 0
     while k < len(sums):
         if sums[k] <= threshold:
@@ -296,9 +309,12 @@ def between(rows: list[Line]) -> list[str]:
         dive = start
         while dive < len(sums) and sums[dive] > 0:
             dive += 1
-        out += [rows[j].text for j in range(start, dive) if rows[j].text and (rows[j].article or not marked)]
+        kept.update(range(start, dive))
+        # The first of the longest lines of a surge says where it is.
+        articles.add(rows[max(range(start, dive), key=lengths.__getitem__)].article)
         k = dive
-    return out
+    articles.discard(0)
+    return [line.text for k, line in enumerate(rows) if line.text and (k in kept or line.article in articles)]
 
 
 def main_text(page: str | None) -> str:

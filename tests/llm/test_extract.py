@@ -91,3 +91,15 @@ def test_one_word_does_not_drop_the_article(body):
 def test_real_roles_and_names_still_count():
     for attributes in ('role="navigation"', "hidden", "aria-hidden=true", "class='x social'", "ID=sidebar"):
         assert main_text(page(f"<div><p>{LONG}</p></div><div {attributes}><p>{LONG[:100]}</p></div>")) == LONG
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_long_text_beside_article_teasers(order):
+    parts = [f"<div><h1>Head</h1><p>{LONG}</p><p>{LONG} end</p></div>", "<article><a href=x>More</a> teaser</article>" * 3]
+    assert main_text(page("".join(parts[::order]))) == f"Head\n{LONG}\n{LONG} end"
+
+
+def test_a_marked_article_with_a_surge_is_kept_whole():
+    article = f"<article><h1>Title</h1><aside>x</aside><p>{LONG}</p><form>f</form><p><a href=x>link</a></p></article>"
+    assert main_text(page(f"<div>before</div>{article}<div>after</div>")) == f"Title\n{LONG}\nlink"
+    assert main_text(page(f"{article}<div><p>{LONG} outside</p></div>")) == f"Title\n{LONG}\nlink\n{LONG} outside"
