@@ -5,7 +5,8 @@ page headers, footers, sidebars, adverts, notices, forms, reader comments) leave
 empty lines in its place, so it shows as a gap. The lengths of the texts outside links are
 summed over windows of ``WINDOW`` lines: a surge begins where a sum rises above the threshold,
 and the dive is where the sums are back at zero. The text between surge and dive is kept.
-A marked article is set off by empty lines; if it has a surge, all of its text is kept.
+A marked article is set off by empty lines; if it has a surge, all of its text is kept. Otherwise the lines of the same parent as a surge's
+long lines are kept as well, before and after a gap: it ends nothing inside the parent.
 Only on a page without any surge is the marked article all that counts.
 """
 
@@ -287,7 +288,7 @@ def lines_of(page: str, furniture: bool = True) -> list[Line]:
 
 
 def between(rows: list[Line]) -> list[str]:
-    """Texts between surge and dive, and the rest of a marked article that has a surge."""
+    """Texts between surge and dive, and what else the element or the marked article that holds a surge has."""
     lengths = [line.n for line in rows]
     sums = [sum(lengths[k : k + WINDOW]) for k in range(len(lengths))]
     threshold = min(SURGE, max(max(sums, default=0) - 1, 0))
@@ -297,6 +298,7 @@ def between(rows: list[Line]) -> list[str]:
         sums = [sum(lengths[k : k + WINDOW]) for k in range(len(lengths))]
     kept: set[int] = set()
     articles: set[int] = set()
+    homes: set[int] = set()
     k = 0
     while k < len(sums):
         if sums[k] <= threshold:
@@ -310,11 +312,20 @@ def between(rows: list[Line]) -> list[str]:
         while dive < len(sums) and sums[dive] > 0:
             dive += 1
         kept.update(range(start, dive))
-        # The first of the longest lines of a surge says where it is.
-        articles.add(rows[max(range(start, dive), key=lengths.__getitem__)].article)
+        # The longest line of a surge, and others that would be one alone, say where it is.
+        longest = max(range(start, dive), key=lengths.__getitem__)
+        for j in range(start, dive):
+            if j == longest or lengths[j] > SURGE:
+                articles.add(rows[j].article)
+                homes.add(rows[j].home)
         k = dive
     articles.discard(0)
-    return [line.text for k, line in enumerate(rows) if line.text and (k in kept or line.article in articles)]
+    homes.discard(0)
+    return [
+        line.text
+        for k, line in enumerate(rows)
+        if line.text and (k in kept or line.article in articles or line.home in homes or line.block in homes)
+    ]
 
 
 def main_text(page: str | None) -> str:

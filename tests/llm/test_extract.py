@@ -103,3 +103,10 @@ def test_a_marked_article_with_a_surge_is_kept_whole():
     article = f"<article><h1>Title</h1><aside>x</aside><p>{LONG}</p><form>f</form><p><a href=x>link</a></p></article>"
     assert main_text(page(f"<div>before</div>{article}<div>after</div>")) == f"Title\n{LONG}\nlink"
     assert main_text(page(f"{article}<div><p>{LONG} outside</p></div>")) == f"Title\n{LONG}\nlink\n{LONG} outside"
+
+
+def test_a_gap_inside_the_container_does_not_end_the_text():
+    ad, foot = "<div class=ad>x</div>", "<div><p>© foot</p></div>"
+    assert main_text(page(f"<div><p>{LONG}</p>{ad}<p>Short closing line.</p></div>{foot}")) == f"{LONG}\nShort closing line."
+    body = f"<div><h1>Title</h1><p>2 May</p>{ad}<p>{LONG}</p><form>f</form><ul><li>one</ul><aside>a</aside>loose{ad}<p>end</div>"
+    assert main_text(page(f"<div>top</div>{ad}{body}{ad}{foot}")) == f"Title\n2 May\n{LONG}\none\nloose\nend"
