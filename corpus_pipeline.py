@@ -37,8 +37,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document that the mix holds."""
-    coded = with_ids(docs, public_tokenizers.path("byte_bpe_50k.json"), ids="token_ids")
+    """Ids of every document that the mix holds; each row's ids are decoded and held against its text."""
+    coded = with_ids(docs, public_tokenizers.path("byte_bpe_50k.json"), ids="token_ids", decoded=True)
     return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 
 

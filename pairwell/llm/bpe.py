@@ -209,12 +209,13 @@ def read_vocabulary(path: str) -> str:
         return file.read()
 
 
-def with_ids(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
+def with_ids(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids", decoded: bool = False) -> DataFrame:
     """All columns of ``docs`` and the ids of the text as an array of ints.
 
     A null or empty text has no ids. ``<|endoftext|>`` and other added tokens in a text are
     their own id, as the tokenizers library has them. Texts are never cut; a long one is
-    handled in pieces. The column ``ids`` must be new.
+    handled in pieces. The column ``ids`` must be new. With ``decoded``, the task decodes the
+    ids of every row again and ends the job if that is not the text (null being empty).
     """
     if ids in docs.columns:
         raise ValueError(f"there is a column {ids} already")
@@ -224,7 +225,10 @@ def with_ids(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids"
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(Vocabulary(content.value))
         for batch in batches:
-            arrays = list(encoder.encode(batch.to_pylist()))
+            texts = batch.to_pylist()
+            arrays = list(encoder.encode(texts))
+            if decoded and any(encoder.decode(found) != (value or "") for value, found in zip(texts, arrays, strict=True)):
+                raise ValueError("ids that do not decode to their text")
             offsets = np.r_[0, np.cumsum([len(a) for a in arrays])].astype(np.int32)
             flat = np.concatenate([*arrays, np.zeros(0, np.uint32)]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))

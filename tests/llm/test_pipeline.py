@@ -1,3 +1,4 @@
+import json
 import random
 
 import public_tokenizers
@@ -62,3 +63,15 @@ def test_empty_documents(spark, folder):
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{path}/labels.parquet")
     rows = corpus_pipeline.run(spark, path)
     assert rows.columns == ["doc_id", "lang", "source", "n_tokens", "token_ids"] and rows.count() == 0
+
+
+def test_ids_that_do_not_decode_to_the_text_end_the_job(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(1, "a b", "xa", "s"), (2, None, "xa", "s"), (3, "é\n", None, None)], "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in corpus_pipeline.token_stage(spark, docs, "").collect()} == {1, 2, 3}
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        broken = json.load(file)
+    broken["model"]["vocab"]["a"] = broken["model"]["vocab"]["z"]
+    (tmp_path / "broken.json").write_text(json.dumps(broken), encoding="utf-8")
+    monkeypatch.setattr(public_tokenizers, "path", lambda name: str(tmp_path / "broken.json"))
+    with pytest.raises(Exception, match="do not decode"):
+        corpus_pipeline.token_stage(spark, docs, "").collect()
