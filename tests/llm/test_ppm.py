@@ -109,6 +109,5 @@ def test_a_trie_larger_than_what_is_sent_gives_the_same_scores(spark, monkeypatc
     texts = TEXTS + ["abrab", "zzz", "\u00ff\x01ab", "the bat", "abracadabra the cat" * 3]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     counts = counted(TEXTS)
-    monkeypatch.setattr(ppm, "BLOCK", 16)  # long texts come in several blocks
     got = {r.doc: r.score for r in ppm.scored(docs, F.col("doc_id") < len(TEXTS)).collect()}
     assert got == {k: pytest.approx(direct(counts, text), abs=1e-9) for k, text in enumerate(texts)}
