@@ -11,6 +11,7 @@ from pairwell.llm.extract import extracted
 from pairwell.llm.fingerprint import with_fingerprints
 from pairwell.llm.language import learn as learn_languages
 from pairwell.llm.language import predicted
+from pairwell.llm.line_dedup import keep_bitmaps, with_kept_lines
 from pairwell.llm.mixing import mix
 from pairwell.llm.ngram_join import jaccard_components
 from pairwell.llm.common import fold, kept
@@ -164,7 +165,28 @@ def q_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counted.select(F.col("doc").alias("doc_id"), "n_tokens", "ordinal", "first_token")
 
 
+def q_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rows = with_kept_lines(docs, kept(keep_bitmaps(docs), "line-bitmaps"))
+    return rows.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("lines.kept", 256).alias("kept_sha256"))
+
+
+LINE_SQL = """
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(x, 1) AS pos, unnest(x) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+marked AS (SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS gone FROM keyed)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS BIGINT)) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 QUERIES = {
+    "op11_line_dedup": q_line_dedup,
     "op8_token_counts": q_token_counts,
     "op4_fingerprints": q_fingerprints,
     "op2_html_extraction": q_html_extraction,
@@ -178,6 +200,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op11_line_dedup": LINE_SQL,
     "op7_warc": WARC_SQL,
     "op10_mix_sources": MIX_SQL,
 }
