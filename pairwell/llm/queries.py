@@ -15,6 +15,7 @@ from pairwell.llm.line_dedup import keep_bitmaps, with_kept_lines
 from pairwell.llm.mixing import mix
 from pairwell.llm.ngram_join import jaccard_components
 from pairwell.llm.common import fold, kept
+from pairwell.llm.phrases import collocations
 from pairwell.llm.ppm import held_out, scored
 from pairwell.llm.quality import COUNTS, base_failed, labelled_statistics, learn, verdict, with_statistics
 from pairwell.llm.token_files import document_counts, token_counts, write_tokens
@@ -185,7 +186,44 @@ FROM marked GROUP BY doc_id
 """
 
 
+def q_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations(table(spark, sf, "documents"))
+
+
+PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece, lang, regexp_extract_all(t, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[.,;:!?\x0A-\x0D]')) AS t
+        FROM documents)),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT *, unnest(range(1, least(4, len(w) - i + 1) + 1)) AS k FROM starts) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k >= 2 AND f >= 30),
+halves AS (
+  SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS p, array_to_string(w[j + 1:], ' ') AS q
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates)),
+cuts AS (
+  SELECT h.lang, h.phrase, h.a, x.f AS l, y.f AS r, j, CAST(CAST(2000000 AS HUGEINT) * h.a // (x.f + y.f) AS BIGINT) AS score
+  FROM halves h JOIN grams x ON x.lang = h.lang AND x.phrase = h.p JOIN grams y ON y.lang = h.lang AND y.phrase = h.q),
+worst AS (SELECT lang, phrase, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM candidates)) GROUP BY ALL),
+stay AS (
+  SELECT w.* FROM worst w LEFT JOIN inside i ON i.lang = w.lang AND i.phrase = w.phrase
+  WHERE NOT coalesce(100 * CAST(i.longer AS HUGEINT) >= 80 * CAST(w.a AS HUGEINT), false))
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM stay)
+JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES = {
+    "op13_phrases": q_phrases,
     "op11_line_dedup": q_line_dedup,
     "op8_token_counts": q_token_counts,
     "op4_fingerprints": q_fingerprints,
@@ -200,6 +238,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op13_phrases": PHRASE_SQL,
     "op11_line_dedup": LINE_SQL,
     "op7_warc": WARC_SQL,
     "op10_mix_sources": MIX_SQL,
