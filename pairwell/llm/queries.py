@@ -18,6 +18,7 @@ from pairwell.llm.common import fold, kept
 from pairwell.llm.phrases import collocations
 from pairwell.llm.ppm import held_out, scored
 from pairwell.llm.quality import COUNTS, base_failed, labelled_statistics, learn, verdict, with_statistics
+from pairwell.llm.spelling import spelling_variants
 from pairwell.llm.token_files import document_counts, token_counts, write_tokens
 from pairwell.llm.warc import assemble, page_ids, read_records, write_captures
 from pairwell.session import shared_dir
@@ -222,7 +223,12 @@ JOIN totals USING (lang) WHERE rank <= 2000
 """
 
 
+def q_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_variants(table(spark, sf, "documents"))
+
+
 QUERIES = {
+    "op12_spelling_variants": q_spelling,
     "op13_phrases": q_phrases,
     "op11_line_dedup": q_line_dedup,
     "op8_token_counts": q_token_counts,
