@@ -39,7 +39,7 @@ SCALE = 2_000_000
 COVERED_PERCENT = 80
 
 #: Bytes of text in a block whose words are counted together.
-BLOCK = 24 << 20
+BLOCK = 8 << 20
 #: Bits of a hash, and of the bitmap of frequent hashes at most (32 MB).
 HASH_BITS, MAP_BITS = 40, 28
 #: Hashes that a range merges at once.
@@ -91,7 +91,7 @@ def words_of(texts: pa.Array, langs: pa.Array) -> Words:
     last[inner - 1] = letter[inner - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     row = np.searchsorted(rows, start, side="right") - 1
-    ends = np.cumsum(END[data])
+    ends = np.cumsum(END[data], dtype=np.int32)
     joined = np.zeros(len(start), bool)
     if len(start):
         joined[:-1] = (row[1:] == row[:-1]) & (ends[start[1:]] == ends[end[:-1] - 1])
