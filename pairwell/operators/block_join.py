@@ -2,42 +2,46 @@
 
 The profile side of a search is the small one. While its measured size stays
 under ``Limits.broadcast_bytes`` every task gets all of it and reads its own
-postings once: nothing of the posting side is shuffled. Beyond that size both
-sides are cut into blocks of bounded size by id hash, and every
-(profile block, posting block) cell is one task-sized unit of work.
+postings once. Beyond that size the profiles are written once, in blocks of
+bounded size, and every task streams the blocks past its postings, a buffer of
+them at a time. Postings are not shuffled in either case.
 
-In both cases a task scores Arrow batches with NumPy and keeps a running
-``k`` best per profile, so it emits at most ``profiles * k`` rows.
+Several searches with kernels of their own share one pass (``best_of_each``). A
+task scores Arrow batches with NumPy and keeps a running ``k`` best per profile
+and search, so it emits at most ``profiles * k`` rows for each.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairwell.operators.ranking import top_k
+from pairwell.session import shared_dir
 
 #: Digits to which a sum of products does not depend on its order.
 NOISE_DIGITS = 12
 
 #: Contenders held before they are merged, if twice the result is less.
-MERGE_ROWS = 500_000
+MERGE_ROWS = 100_000
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Size bounds in bytes, scores a task holds at a time, and tasks per search.
+    """Size bounds in bytes, scores a task holds at a time, and tasks whose results are ranked at once.
 
-    Every task passes on its ``k`` best per profile, so a search over very many
-    splits gives each task several of them.
+    Every task passes on its ``k`` best per profile; those of more tasks are ranked in two steps.
     """
 
     broadcast_bytes: int = 64 << 20
@@ -68,46 +72,39 @@ class Kernel:
         raise NotImplementedError
 
 
-def best_matches(
-    profiles: DataFrame,
-    postings: DataFrame,
-    kernel: Kernel,
-    k: int,
-    profile_size: int,
-    posting_bytes: Column,
-    limits: Limits = Limits(),
-) -> DataFrame:
-    """Rows ``(cv_id, doc_id, score)`` holding every profile's ``k`` best postings.
-
-    Each task contributes its own ``k`` best, so rank the result once more.
-    Ties go to the smaller ``doc_id``. ``profile_size`` is a proven upper bound
-    of the profile rows in bytes.
+@dataclass(frozen=True)
+class Search:
+    """One ranked list: a kernel, its rows of the profiles, and the posting columns by the names the kernel knows.
+
+    ``profile_bytes`` is a proven upper bound of the profile rows in bytes.
     """
-    schema = T.StructType(
-        [profiles.schema["cv_id"], postings.schema["doc_id"], T.StructField("score", T.DoubleType())]
-    )
 
-    def reduce(state: Any, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _best_rows(kernel, state, batches, k, limits.scores)
+    source: str
+    kernel: Kernel
+    profiles: DataFrame
+    profile_bytes: int
+    columns: Mapping[str, str]
 
-    return _run(profiles, postings, kernel, reduce, schema, profile_size, posting_bytes, limits)
 
+def best_of_each(searches: Sequence[Search], postings: DataFrame, k: int, limits: Limits = Limits()) -> DataFrame:
+    """Rows ``(cv_id, doc_id, source, score)`` holding every profile's ``k`` best postings of each search.
 
-def match_counts(
-    profiles: DataFrame,
-    postings: DataFrame,
-    kernel: Kernel,
-    profile_size: int,
-    posting_bytes: Column,
-    limits: Limits = Limits(),
-) -> DataFrame:
-    """Rows ``(cv_id, candidates)``: how many postings each profile matched."""
-    schema = T.StructType([profiles.schema["cv_id"], T.StructField("candidates", T.LongType())])
+    One pass over the postings serves all searches. Each task contributes its own ``k`` best, so
+    rank the result once more. Ties go to the smaller ``doc_id``.
+    """
+    source = T.StructField("source", T.StringType())
+    schema = T.StructType([searches[0].profiles.schema["cv_id"], postings.schema["doc_id"], source, T.StructField("score", T.DoubleType())])
+    found = _run(searches, postings, lambda search, state: _Best(search, state, k, limits.scores), schema, limits)
+    if _scan_tasks(postings) <= limits.tasks:
+        return found
+    branch = F.pmod(F.spark_partition_id(), F.lit(max(1, math.isqrt(limits.tasks))))
+    return top_k(found.withColumn("branch", branch), ["cv_id", "source", "branch"], "score", "doc_id", k).drop("branch", "rank")
 
-    def reduce(state: Any, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _count_rows(kernel, state, batches, limits.scores)
 
-    partial = _run(profiles, postings, kernel, reduce, schema, profile_size, posting_bytes, limits)
+def match_counts(search: Search, postings: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Rows ``(cv_id, candidates)``: how many postings each profile matched."""
+    schema = T.StructType([search.profiles.schema["cv_id"], T.StructField("candidates", T.LongType())])
+    partial = _run([search], postings, lambda s, state: _Counts(s, state, limits.scores), schema, limits)
     return partial.groupBy("cv_id").agg(F.sum("candidates").alias("candidates"))
 
 
@@ -121,71 +118,132 @@ def measured(df: DataFrame, row_bytes: Column) -> int:
     return df.agg(F.sum(row_bytes)).first()[0] or 0
 
 
-def _run(profiles, postings, kernel, reduce, schema, profile_size, posting_bytes, limits):
-    if profile_size <= limits.broadcast_bytes:
-        shared = profiles.sparkSession.sparkContext.broadcast(profiles.toArrow())
+#: Above this the planner does not know a size.
+UNKNOWN_BYTES = 1 << 60
+
+
+def _scan_tasks(postings: DataFrame) -> int:
+    """Tasks of a scan of the postings, by the size that the planner knows; 0 if it knows none."""
+    size = int(str(postings._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    part = postings.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return 0 if size > UNKNOWN_BYTES else size // part + 1
+
+
+Start = Callable[[Search, Any], "_Running"]
+
+
+def _run(searches: Sequence[Search], postings: DataFrame, start: Start, schema: T.StructType, limits: Limits) -> DataFrame:
+    spark = postings.sparkSession
+    stored = postings.select("doc_id", *dict.fromkeys(c for s in searches for c in s.columns.values()))
+    # Data frames stay on the driver.
+    parts = [Search(s.source, s.kernel, None, s.profile_bytes, dict(s.columns)) for s in searches]
+    if sum(s.profile_bytes for s in searches) <= limits.broadcast_bytes:
+        shared = spark.sparkContext.broadcast([s.profiles.toArrow() for s in searches])
 
         def over_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            return reduce(kernel.prepare(shared.value), batches)
+            running = [start(s, s.kernel.prepare(rows)) for s, rows in zip(parts, shared.value)]
+            for batch in batches:
+                for one in running:
+                    one.add(batch)
+            for one in running:
+                yield from one.result()
 
-        return postings.coalesce(limits.tasks).mapInArrow(over_partition, schema)
+        return stored.mapInArrow(over_partition, schema)
 
-    profile_blocks = math.ceil(profile_size / limits.block_bytes)
-    posting_blocks = max(1, math.ceil(measured(postings, posting_bytes) / limits.block_bytes))
-    left = _on_grid(profiles, "cv_id", "profile_block", profile_blocks, "posting_block", posting_blocks)
-    right = _on_grid(postings, "doc_id", "posting_block", posting_blocks, "profile_block", profile_blocks)
-    names = schema.names
+    blocks = [_written(s, limits.block_bytes) for s in searches]
 
-    def over_cell(left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
-        found = list(reduce(kernel.prepare(left_rows), right_rows.to_batches()))
-        if found:
-            return pa.Table.from_batches(found)
-        types = {
-            "cv_id": left_rows.schema.field("cv_id").type,
-            "doc_id": right_rows.schema.field("doc_id").type,
-            "score": pa.float64(),
-            "candidates": pa.int64(),
-        }
-        return pa.table({name: pa.array([], types[name]) for name in names})
+    def over_buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for buffer in _buffers(batches, limits.block_bytes):
+            for search, files in zip(parts, blocks):
+                for file in files:
+                    store, path = fs.FileSystem.from_uri(file)
+                    one = start(search, search.kernel.prepare(pq.read_table(path, filesystem=store)))
+                    for batch in buffer:
+                        one.add(batch)
+                    yield from one.result()
 
-    cell = ["profile_block", "posting_block"]
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(over_cell, schema)
+    return stored.mapInArrow(over_buffers, schema)
 
 
-def _on_grid(df, id_column, own_block, own_blocks, other_block, other_blocks):
-    return df.withColumn(
-        own_block, F.pmod(F.xxhash64(id_column), F.lit(own_blocks)).cast("int")
-    ).withColumn(other_block, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))))
+def _written(search: Search, block_bytes: int) -> list[str]:
+    """Files of the profile rows, each about a block; all rows of a profile lie in one file."""
+    path = shared_dir(search.profiles.sparkSession, "profile-blocks")
+    search.profiles.repartition(max(1, math.ceil(search.profile_bytes / block_bytes)), "cv_id").write.parquet(path)
+    return search.profiles.sparkSession.read.schema(search.profiles.schema).parquet(path).inputFiles()
 
 
-def _chunks(kernel, state, batches, scores: int) -> Iterator[pa.RecordBatch]:
-    step = max(1, scores // len(state.ids))
+def _buffers(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    held, held_bytes = [], 0
     for batch in batches:
-        batch = kernel.encode(state, batch)
-        for start in range(0, batch.num_rows, step):
-            yield batch.slice(start, step)
-
-
-def _best_rows(kernel, state, batches, k, scores) -> Iterator[pa.RecordBatch]:
-    profiles = len(state.ids)
-    if profiles == 0:
-        return
-    floor = np.full(profiles, -np.inf)
-    held: list[pa.Table] = []
-    room = merge_rows = max(MERGE_ROWS, 2 * k * profiles)
-    for chunk in _chunks(kernel, state, batches, scores):
-        row, column, score = kernel.matches(state, chunk, floor, k)
-        if len(row) == 0:
-            continue
-        held.append(pa.table({"row": row, "doc_id": chunk.column("doc_id").take(pa.array(column)), "score": score}))
-        room -= len(row)
-        if room <= 0:
-            held, room = [_merged(held, floor, k)], merge_rows
+        held.append(batch)
+        held_bytes += batch.nbytes
+        if held_bytes >= size:
+            yield held
+            held, held_bytes = [], 0
     if held:
-        best = _merged(held, floor, k)
-        ids = state.ids.take(best["row"].combine_chunks())
-        table = pa.table({"cv_id": ids, "doc_id": best["doc_id"], "score": best["score"]})
-        yield from table.combine_chunks().to_batches()
+        yield held
+
+
+class _Running:
+    """A search over one task's postings."""
+
+    def __init__(self, search: Search, state: Any, scores: int):
+        self.search, self.kernel, self.state, self.profiles = search, search.kernel, state, len(state.ids)
+        self.step = max(1, scores // max(1, self.profiles))
+        self.floor = np.full(self.profiles, -np.inf)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        if not self.profiles:
+            return
+        names = ["doc_id", *self.search.columns]
+        columns = [batch.column(c) for c in ("doc_id", *self.search.columns.values())]
+        own = self.kernel.encode(self.state, pa.RecordBatch.from_arrays(columns, names=names))
+        for start in range(0, own.num_rows, self.step):
+            self.take(own.slice(start, self.step))
+
+    def take(self, chunk: pa.RecordBatch) -> None:
+        raise NotImplementedError
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        raise NotImplementedError
+
+
+class _Best(_Running):
+    def __init__(self, search: Search, state: Any, k: int, scores: int):
+        super().__init__(search, state, scores)
+        self.k, self.held = k, []
+        self.room = self.merge_rows = max(MERGE_ROWS, 2 * k * self.profiles)
+
+    def take(self, chunk: pa.RecordBatch) -> None:
+        row, column, score = self.kernel.matches(self.state, chunk, self.floor, self.k)
+        if len(row) == 0:
+            return
+        self.held.append(pa.table({"row": row, "doc_id": chunk.column("doc_id").take(pa.array(column)), "score": score}))
+        self.room -= len(row)
+        if self.room <= 0:
+            self.held, self.room = [_merged(self.held, self.floor, self.k)], self.merge_rows
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            best = _merged(self.held, self.floor, self.k)
+            ids = self.state.ids.take(best["row"].combine_chunks())
+            source = pa.array([self.search.source] * len(ids), pa.string())
+            table = pa.table({"cv_id": ids, "doc_id": best["doc_id"], "source": source, "score": best["score"]})
+            yield from table.combine_chunks().to_batches()
+
+
+class _Counts(_Running):
+    def __init__(self, search: Search, state: Any, scores: int):
+        super().__init__(search, state, scores)
+        self.total = np.zeros(self.profiles, dtype=np.int64)
+
+    def take(self, chunk: pa.RecordBatch) -> None:
+        row, _, _ = self.kernel.matches(self.state, chunk, self.floor, chunk.num_rows)
+        self.total += np.bincount(row, minlength=self.profiles)
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        if self.profiles:
+            yield pa.RecordBatch.from_pydict({"cv_id": self.state.ids, "candidates": self.total})
 
 
 def _merged(held: list[pa.Table], floor: np.ndarray, k: int) -> pa.Table:
@@ -226,17 +284,6 @@ def contenders(score: np.ndarray, floor: np.ndarray, k: int, ids: pa.Array) -> M
     return row, by_id[place], ordered[row, place]
 
 
-def _count_rows(kernel, state, batches, scores) -> Iterator[pa.RecordBatch]:
-    profiles = len(state.ids)
-    if profiles == 0:
-        return
-    total, floor = np.zeros(profiles, dtype=np.int64), np.full(profiles, -np.inf)
-    for chunk in _chunks(kernel, state, batches, scores):
-        row, _, _ = kernel.matches(state, chunk, floor, chunk.num_rows)
-        total += np.bincount(row, minlength=profiles)
-    yield pa.RecordBatch.from_pydict({"cv_id": state.ids, "candidates": total})
-
-
 def flat_ids(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 

@@ -26,10 +26,15 @@ Embedder = Callable[[], Callable[[list[str]], list[list[float]]]]
 
 
 def hash_embed(text: Column, dim: int = DIM) -> Column:
+    """``hash_embed_words`` of the words of a text."""
+    return hash_embed_words(tokens(text), dim)
+
+
+def hash_embed_words(words: Column, dim: int = DIM) -> Column:
     """Signed counts of hashed words: deterministic, per row, no shuffle.
 
-    Not scaled to unit length; cosine does not depend on length. An empty text
-    gives the zero vector.
+    Not scaled to unit length; cosine does not depend on length. No words
+    give the zero vector.
     """
 
     @F.arrow_udf(VECTOR)
@@ -42,7 +47,7 @@ def hash_embed(text: Column, dim: int = DIM) -> Column:
         offsets = np.arange(len(lists) + 1, dtype=np.int32) * dim
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(total))
 
-    return count(tokens(text))
+    return count(words)
 
 
 def embed(

@@ -13,7 +13,8 @@ from pairwell.operators.block_join import (
     Kernel,
     Limits,
     Matches,
-    best_matches,
+    Search,
+    best_of_each,
     fixed_matrix,
     flat_ids,
     id_bytes,
@@ -113,8 +114,25 @@ def _filled(sketches: np.ndarray) -> np.ndarray:
     return (sketches != MAX_HASH).any(axis=1)
 
 
-def _side(df: DataFrame, id_column: str, verify: str) -> DataFrame:
-    return df.select(id_column, "signature", *(["tokens"] if verify == "exact" else []))
+def lsh_search(
+    profiles: DataFrame,
+    threshold: float = THRESHOLD,
+    num_perm: int = NUM_PERM,
+    verify: str = "sketch",
+    source: str = "lsh_minhash",
+    digits: int | None = None,
+    profile_signature: str = "signature",
+    posting_signature: str = "signature",
+) -> Search:
+    """Search for the candidates most like every profile's skills."""
+    kernels = {"sketch": SketchKernel, "exact": ExactJaccardKernel}
+    if verify not in kernels:
+        raise ValueError(f"verify must be one of {sorted(kernels)}")
+    words = ["tokens"] if verify == "exact" else []
+    asked = profiles.select("cv_id", F.col(profile_signature).alias("signature"), *words)
+    kernel = kernels[verify](*optimal_bands(threshold, num_perm), digits)
+    size = measured(asked, _row_bytes(verify) + id_bytes())
+    return Search(source, kernel, asked, size, {"signature": posting_signature} | {w: w for w in words})
 
 
 def lsh_topk(
@@ -135,14 +153,8 @@ def lsh_topk(
     Candidates share at least one band; however many share a hot bucket, they
     are scored inside the task that holds them and only the best leave it.
     """
-    kernels = {"sketch": SketchKernel, "exact": ExactJaccardKernel}
-    if verify not in kernels:
-        raise ValueError(f"verify must be one of {sorted(kernels)}")
-    asked, stored = _side(profiles, "cv_id", verify), _side(postings, "doc_id", verify)
-    kernel = kernels[verify](*optimal_bands(threshold, num_perm), digits)
-    width = _row_bytes(verify)
-    best = best_matches(asked, stored, kernel, k, measured(asked, width + id_bytes()), width, limits)
-    return as_channel(best, source, k)
+    search = lsh_search(profiles, threshold, num_perm, verify, source, digits)
+    return as_channel(best_of_each([search], postings, k, limits), k)
 
 
 def lsh_candidate_counts(
@@ -153,10 +165,7 @@ def lsh_candidate_counts(
     limits: Limits = Limits(),
 ) -> DataFrame:
     """How many postings share a band with every profile."""
-    asked, stored = _side(profiles, "cv_id", "sketch"), _side(postings, "doc_id", "sketch")
-    kernel = SketchKernel(*optimal_bands(threshold, num_perm))
-    width = _row_bytes("sketch")
-    return match_counts(asked, stored, kernel, measured(asked, width + id_bytes()), width, limits)
+    return match_counts(lsh_search(profiles, threshold, num_perm), postings, limits)
 
 
 def _row_bytes(verify: str) -> Column:

@@ -18,9 +18,7 @@ def top_k(df: DataFrame, group: Sequence[str], score: str, tie: str, k: int) ->
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def as_channel(best: DataFrame, source: str, k: int) -> DataFrame:
-    """Ranked list ``(cv_id, doc_id, source, rank, raw_score)`` of one search."""
-    ranked = top_k(best, ["cv_id"], "score", "doc_id", k)
-    return ranked.select(
-        "cv_id", "doc_id", F.lit(source).alias("source"), "rank", F.col("score").alias("raw_score")
-    )
+def as_channel(best: DataFrame, k: int) -> DataFrame:
+    """Ranked lists ``(cv_id, doc_id, source, rank, raw_score)`` of searches."""
+    ranked = top_k(best, ["cv_id", "source"], "score", "doc_id", k)
+    return ranked.select("cv_id", "doc_id", "source", "rank", F.col("score").alias("raw_score"))

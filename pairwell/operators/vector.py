@@ -13,7 +13,8 @@ from pairwell.operators.block_join import (
     Kernel,
     Limits,
     Matches,
-    best_matches,
+    Search,
+    best_of_each,
     contenders,
     fixed_matrix,
     flat_ids,
@@ -58,6 +59,15 @@ def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return present[usable], vectors[usable] / length[usable, None]
 
 
+def vector_search(
+    profiles: DataFrame, profile_vector: str, posting_vector: str, source: str, digits: int | None = None
+) -> Search:
+    """Search for the postings nearest to every profile by cosine."""
+    asked = profiles.select("cv_id", F.col(profile_vector).alias("vector"))
+    size = measured(asked, F.coalesce(F.size("vector"), F.lit(0)) * 4 + 16 + id_bytes())
+    return Search(source, CosineKernel(digits), asked, size, {"vector": posting_vector})
+
+
 def vector_topk(
     profiles: DataFrame,
     postings: DataFrame,
@@ -69,12 +79,5 @@ def vector_topk(
     digits: int | None = None,
 ) -> DataFrame:
     """The ``k`` postings nearest to every profile by cosine; ``digits`` rounds scores before they rank."""
-
-    def side(df: DataFrame, id_column: str, vector: str) -> DataFrame:
-        return df.select(id_column, F.col(vector).alias("vector"))
-
-    width = F.coalesce(F.size("vector"), F.lit(0)) * 4 + 16
-    asked = side(profiles, "cv_id", profile_vector)
-    stored = side(postings, "doc_id", posting_vector)
-    best = best_matches(asked, stored, CosineKernel(digits), k, measured(asked, width + id_bytes()), width, limits)
-    return as_channel(best, source, k)
+    search = vector_search(profiles, profile_vector, posting_vector, source, digits)
+    return as_channel(best_of_each([search], postings, k, limits), k)

@@ -1,4 +1,4 @@
-"""Hybrid search: four ranked lists, fused."""
+"""Hybrid search: four ranked lists from one pass over the postings, fused."""
 
 from __future__ import annotations
 
@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.functions.scores import CHANNEL_WEIGHTS, FINAL_K, TOP_K_PER_CHANNEL
-from pairwell.operators.block_join import Limits, measured
-from pairwell.operators.bm25 import bm25_topk
+from pairwell.functions.text import tokens
+from pairwell.operators.block_join import Limits, best_of_each, measured
+from pairwell.operators.bm25 import bm25_search
 from pairwell.operators.embed import DIM, Embedder, embed_columns
 from pairwell.operators.fusion import explain_sources, rrf
-from pairwell.operators.lsh import lsh_topk
+from pairwell.operators.lsh import lsh_search
+from pairwell.operators.ranking import as_channel
 from pairwell.operators.sketch import NUM_PERM, THRESHOLD, skills_signature
-from pairwell.operators.vector import vector_topk
+from pairwell.operators.vector import vector_search
 from pairwell.session import shared_dir
 
 
@@ -35,6 +37,23 @@ def prepare_profiles(
     return embed_columns(sketched, texts, embedder, dim, on_error=on_error)
 
 
+#: Columns of a posting that the searches read, besides the words of its title.
+SEARCHED = ("skills_signature", "description_vector", "experience_vector")
+
+
+def search_columns(postings: DataFrame) -> DataFrame:
+    """``(doc_id, tokens, skills_signature, two vectors)`` of postings, written once.
+
+    What the searches read of a posting is computed once, however often it is read. A column ``tokens``
+    (words of the title) is taken as it is.
+    """
+    words = F.col("tokens") if "tokens" in postings.columns else tokens(F.col("title"))
+    rows = postings.select("doc_id", words.alias("tokens"), *SEARCHED)
+    path = shared_dir(postings.sparkSession, "search-columns")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def search_channels(
     profiles: DataFrame,
     postings: DataFrame,
@@ -43,27 +62,24 @@ def search_channels(
     num_perm: int = NUM_PERM,
     limits: Limits = Limits(),
     digits: int | None = None,
-) -> list[DataFrame]:
-    """Ranked lists by description, experience, skills and title; ``digits`` rounds scores before they rank.
+    stats: DataFrame | None = None,
+) -> DataFrame:
+    """Ranked lists ``(cv_id, doc_id, source, rank, raw_score)`` by description, experience, skills and title.
 
-    Every list reads only the one posting column it scores.
+    All four come from one scan of the postings' search columns. With ``stats`` (stored term
+    statistics, ``bm25.term_counts``) and a column ``tokens`` the postings are scanned as they are;
+    otherwise ``search_columns`` are written first, whose words are read for the statistics.
+    ``digits`` rounds scores before they rank.
     """
-
-    def sketches(df: DataFrame, id_column: str) -> DataFrame:
-        return df.select(id_column, F.col("skills_signature").alias("signature"))
-
-    return [
-        vector_topk(
-            profiles, postings, k, "description_vector", "description_vector", "sem_description_vector", limits, digits
-        ),
-        vector_topk(
-            profiles, postings, k, "experience_vector", "experience_vector", "sem_experience_vector", limits, digits
-        ),
-        lsh_topk(
-            sketches(profiles, "cv_id"), sketches(postings, "doc_id"), k, threshold, num_perm, limits=limits, digits=digits
-        ),
-        bm25_topk(profiles, postings, k, limits=limits, digits=digits),
+    stored = postings if stats is not None and "tokens" in postings.columns else search_columns(postings)
+    description, experience = "description_vector", "experience_vector"
+    searches = [
+        vector_search(profiles, description, description, "sem_description_vector", digits),
+        vector_search(profiles, experience, experience, "sem_experience_vector", digits),
+        lsh_search(profiles, threshold, num_perm, "sketch", "lsh_minhash", digits, "skills_signature", "skills_signature"),
+        bm25_search(profiles, stored, limits=limits, digits=digits, stats=stats),
     ]
+    return as_channel(best_of_each(searches, stored, k, limits), k)
 
 
 def hybrid_match(
@@ -74,9 +90,10 @@ def hybrid_match(
     weights: Mapping[str, float] = CHANNEL_WEIGHTS,
     limits: Limits = Limits(),
     digits: int | None = None,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """The best postings of every profile: ``(cv_id, doc_id, rrf_score, sources, rank)``."""
-    fused = rrf(search_channels(profiles, postings, k, limits=limits, digits=digits), weights, digits=digits)
+    fused = rrf([search_channels(profiles, postings, k, limits=limits, digits=digits, stats=stats)], weights, digits=digits)
     return fused if final_k is None else fused.filter(F.col("rank") <= final_k)
 
 

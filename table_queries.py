@@ -15,7 +15,7 @@ from pairwell.functions.scores import TOP_K_PER_CHANNEL, cosine_plus_one, sketch
 from pairwell.functions.text import tokens
 from pairwell.operators.bm25 import bm25_topk, corpus_stats, corpus_totals
 from pairwell.operators.documents import convert_documents
-from pairwell.operators.embed import embed_columns, hash_embed
+from pairwell.operators.embed import embed_columns, hash_embed, hash_embed_words
 from pairwell.operators.frontier import discover_links, merged_history, unseen
 from pairwell.operators.fusion import channel_counts, rrf
 from pairwell.operators.lsh import lsh_candidate_counts, lsh_topk
@@ -74,17 +74,24 @@ def after_first_line(text: Column) -> Column:
 
 
 def searchable(df: DataFrame, id_column: str) -> DataFrame:
-    """Whole text as title and description, its words as skills, later lines as experience."""
-    body = after_first_line(F.col("text"))
-    words = F.array_distinct(tokens(F.col("text")))
-    return df.select(
+    """Whole text as title and description, its words as skills, later lines as experience.
+
+    Each text is split into words once: those of the later lines follow those of the first.
+    """
+    worded = with_once(df.select(id_column, "text"), "tokens", tokens(F.col("text")))
+    first = F.size(tokens(F.substring_index("text", "\n", 1)))
+    has_lines = F.contains("text", F.lit("\n"))
+    later = F.when(has_lines, F.slice("tokens", first + 1, F.size("tokens"))).otherwise(F.col("tokens"))
+    words = F.array_distinct("tokens")
+    return worded.select(
         id_column,
         F.col("text").alias("title"),
+        "tokens",
         words.alias("skills"),
-        body.alias("experience"),
+        after_first_line(F.col("text")).alias("experience"),
         signature(words).alias("skills_signature"),
-        hash_embed(F.col("text"), DIM).alias("description_vector"),
-        hash_embed(body, DIM).alias("experience_vector"),
+        hash_embed_words(F.col("tokens"), DIM).alias("description_vector"),
+        hash_embed_words(later, DIM).alias("experience_vector"),
     )
 
 
@@ -229,11 +236,11 @@ def _channels(spark, sf):
 
 
 def q_channel_counts(spark, sf):
-    return channel_counts(_channels(spark, sf))
+    return channel_counts([_channels(spark, sf)])
 
 
 def q_rrf_fusion(spark, sf):
-    fused = rrf(_channels(spark, sf), digits=DIGITS)
+    fused = rrf([_channels(spark, sf)], digits=DIGITS)
     hits = fused.select("cv_id", "doc_id", "rank", "rrf_score", F.explode("sources").alias("source", "hit"))
     return hits.select(
         "cv_id",

@@ -1,8 +1,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pairwell.functions.scores import CHANNEL_WEIGHTS
+from pairwell.functions.text import tokens
 from pairwell.operators.block_join import Limits
+from pairwell.operators.bm25 import bm25_topk, term_counts
 from pairwell.operators.fusion import channel_counts, explain_sources, rrf
+from pairwell.operators.lsh import lsh_topk
+from pairwell.operators.vector import vector_topk
 from pairwell.plans.hybrid import hybrid_match, prepare_profiles, report, search_channels, with_documents
 
 CHANNEL = "cv_id int, doc_id string, source string, rank int, raw_score double"
@@ -95,5 +100,37 @@ def test_display(spark):
 
 def test_channels_skip_empty_queries(spark):
     profiles, postings = both_sides(spark)
-    for channel in search_channels(profiles, postings):
-        assert channel.filter("cv_id = 3").count() == 0
+    channels = search_channels(profiles, postings)
+    assert {r.source for r in channels.select("source").distinct().collect()} == set(CHANNEL_WEIGHTS)
+    assert channels.filter("cv_id = 3").count() == 0
+
+
+def stored_with_statistics(spark, postings, folder):
+    postings.withColumn("tokens", tokens(F.col("title"))).write.parquet(f"{folder}/postings")
+    stored = spark.read.parquet(f"{folder}/postings")
+    term_counts(stored).write.parquet(f"{folder}/terms")
+    return stored, spark.read.parquet(f"{folder}/terms")
+
+
+def hits_of(channels):
+    return {(r.cv_id, r.source, r.rank): (r.doc_id, round(r.raw_score, 9)) for r in channels.collect()}
+
+
+def test_four_channels_from_one_scan(spark, tmp_path):
+    profiles, postings = both_sides(spark)
+    stored, stats = stored_with_statistics(spark, postings, tmp_path)
+    found = search_channels(profiles, stored, stats=stats)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("MapInArrow") == 1
+    alone = [
+        vector_topk(profiles, postings, 10, v, v, f"sem_{v}") for v in ("description_vector", "experience_vector")
+    ]
+    sketch = F.col("skills_signature").alias("signature")
+    alone.append(lsh_topk(profiles.select("cv_id", sketch), postings.select("doc_id", sketch), 10))
+    alone.append(bm25_topk(profiles, postings, 10))
+    expected = {}
+    for channel in alone:
+        expected |= hits_of(channel)
+    assert hits_of(found) == hits_of(search_channels(profiles, postings)) == expected
+    small = Limits(broadcast_bytes=0, block_bytes=900, scores=2)
+    assert hits_of(search_channels(profiles, stored, limits=small, stats=stats)) == expected

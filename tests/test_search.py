@@ -11,13 +11,14 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pairwell.operators.block_join import Kernel, Limits, _best_rows, contenders
-from pairwell.operators.bm25 import bm25_topk, corpus_stats, corpus_totals
+from pairwell.operators import block_join
+from pairwell.operators.block_join import Kernel, Limits, Search, _Best, best_of_each, contenders
+from pairwell.operators.bm25 import Bm25Kernel, bm25_search, bm25_topk, corpus_stats, corpus_totals, merged_counts, term_counts, tokenised
 from pairwell.operators.lsh import lsh_candidate_counts, lsh_topk
 from pairwell.operators.sketch import MAX_HASH, band_table, optimal_bands, permutations, signature, skills_signature
-from pairwell.operators.vector import vector_topk
+from pairwell.operators.vector import vector_search, vector_topk
 
-# Everything broadcast, and a grid of many small blocks.
+# Everything broadcast, and many small blocks.
 PLACEMENTS = [Limits(), Limits(broadcast_bytes=0, block_bytes=600, scores=64)]
 WORDS = [f"w{i}" for i in range(30)]
 
@@ -159,7 +160,9 @@ def test_many_profiles_merge_in_few_steps():
     ids = pa.array(np.arange(postings))
     batch = pa.RecordBatch.from_arrays([ids], names=["doc_id"])
     start = time.process_time()
-    (*parts,) = _best_rows(Fixed(), SimpleNamespace(ids=pa.array(np.arange(profiles))), [batch], 5, 300_000)
+    running = _Best(Search("fixed", Fixed(), None, 0, {}), SimpleNamespace(ids=pa.array(np.arange(profiles))), 5, 300_000)
+    running.add(batch)
+    (*parts,) = running.result()
     assert time.process_time() - start < 20
     got = pa.Table.from_batches(parts).to_pandas().sort_values(["cv_id", "score"], ascending=[True, False])
     best = np.sort(scores, axis=1)[:, ::-1][:, :5]
@@ -231,3 +234,79 @@ def test_corpus_statistics(spark):
     stats = {r.term: (r.docs, r.occurrences) for r in corpus_stats(frame).collect()}
     assert stats == {"a": (1, 2), "b": (2, 2)}
     assert tuple(corpus_totals(frame).first()) == (4, 4, 1.0)
+
+
+def test_term_counts_merge(spark):
+    first = spark.createDataFrame([(["a", "b", "a"],), (["b"],), ([],), (None,)], "tokens array<string>")
+    second = spark.createDataFrame([(["a"] * 5 + ["c"],)], "tokens array<string>")
+    rows = {r.term: tuple(r)[1:] for r in merged_counts(term_counts(first).unionByName(term_counts(second))).collect()}
+    assert rows == {"": (5, 10, None, None), "a": (2, 7, 5, 3), "b": (2, 2, 1, 1), "c": (1, 1, 1, 6)}
+    assert [tuple(r) for r in term_counts(first.limit(0)).collect()] == [("", 0, 0, None, None)]
+
+
+@pytest.mark.parametrize("limits", PLACEMENTS)
+def test_bm25_on_stored_statistics(spark, corpus, limits):
+    left, right = frames(spark, corpus)
+    stored = tokenised(right, "title")
+    search = bm25_search(left, None, stats=term_counts(stored), limits=limits, digits=6)
+    got = best_of_each([search], stored, 90, limits)
+    same = bm25_topk(left, right, 90, limits=limits, digits=6)
+    assert {(r.cv_id, r.doc_id): r.score for r in got.collect()} == {(r.cv_id, r.doc_id): r.raw_score for r in same.collect()}
+
+
+def test_words_of_small_gain_find_no_postings_of_their_own():
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    profiles = pa.table({
+        "cv_id": [cv for cv in range(6) for _ in words],
+        "term": words * 6,
+        "weight": [rng.choice([0.01, 0.02, 0.01, 0.02, 5.0]) for _ in range(6 * len(words))],
+    })
+    profiles = profiles.append_column("peak", pa.array(profiles["weight"].to_numpy() * 2.2))
+    kernel = Bm25Kernel(6.0, 1.2, 0.75, 6)
+    lists = [rng.choices(words, k=rng.randrange(12)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(lists, pa.list_(pa.string()))], names=["doc_id", "tokens"])
+    state = kernel.prepare(profiles)
+    coded = kernel.encode(state, batch)
+    nothing = np.full(6, -np.inf)
+    row, column, score = kernel.matches(state, coded, nothing, 10)
+    floor = np.array([np.sort(score[row == cv])[-10] for cv in range(6)])
+    whole = {(r, c): s for r, c, s in zip(row, column, score) if s >= floor[r]}
+    cells = []
+    add_up = type(state.index).add_up
+    state.index.__class__.add_up = lambda self, *args: cells.append(len((found := add_up(self, *args))[0])) or found
+    try:
+        again = dict(zip(zip(*(x := kernel.matches(state, coded, floor, 10))[:2]), x[2]))
+    finally:
+        state.index.__class__.add_up = add_up
+    assert again.keys() == whole.keys() and all(abs(again[k] - whole[k]) < 1e-9 for k in whole)
+    assert cells[0] < 0.8 * len(row)
+
+
+def test_best_rows_do_not_depend_on_merging(spark, corpus, monkeypatch):
+    left, right = frames(spark, corpus)
+    usual = collected(bm25_topk(left, right, 3, digits=6))
+    monkeypatch.setattr(block_join, "MERGE_ROWS", 1)
+    assert collected(bm25_topk(left, right, 3, limits=Limits(scores=40), digits=6)) == usual
+
+
+def test_profiles_beyond_the_bound_leave_postings_where_they_are(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=256).astype(np.float32).tolist()) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<float>")
+    left, right = vectors.withColumnRenamed("id", "cv_id"), vectors.withColumnRenamed("id", "doc_id").repartition(3)
+    limits = Limits(broadcast_bytes=100_000, block_bytes=60_000)
+    search = vector_search(left, "vector", "vector", "v", 6)
+    assert search.profile_bytes > limits.broadcast_bytes
+    found = best_of_each([search], right, 2, limits)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # the repartition above
+    first = {r.cv_id: r.doc_id for r in vector_topk(left, right, 1, limits=limits, digits=6).collect()}
+    assert first == {i: i for i in range(300)}
+
+
+def test_results_of_very_many_tasks_are_ranked_in_two_steps(spark, corpus):
+    left, right = frames(spark, corpus)
+    usual = collected(bm25_topk(left, right, 4, digits=6))
+    twice = bm25_topk(left, right, 4, limits=Limits(tasks=0), digits=6)
+    assert collected(twice) == usual and "branch" in twice._jdf.queryExecution().optimizedPlan().toString()
