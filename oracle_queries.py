@@ -445,6 +445,14 @@ ORACLES: dict[str, str] = {
     "clean_posting": CLEAN_POSTING,
     "stream_enrich": CLEAN_POSTING,
     "stored_match": f"WITH {STORED_CTES} SELECT cv_id, doc_id, rrf_score, rank FROM fused WHERE rank <= 5",
+    "stored_one_scan": f"WITH {STORED_CTES} SELECT cv_id, doc_id, rrf_score, rank FROM fused WHERE rank <= 5",
+    "stored_lsh": f"WITH {STORED_CTES} {LSH}",
+    "stored_bm25": f"WITH {STORED_CTES} {_bm25('c.tf')}",
+    "stored_bands": f"""WITH {STORED_CTES}
+        SELECT doc_id, pos::INTEGER AS band, v::VARCHAR AS bucket FROM doc_sketch WHERE pos < 32""",
+    "stored_terms": f"""WITH {STORED_CTES}
+        SELECT term, count(*) AS docs, sum(tf)::BIGINT AS tokens FROM doc_tf GROUP BY term
+        UNION ALL SELECT '', count(*), sum(len(words))::BIGINT FROM doc_len""",
     "index_documents": INDEX_DOCUMENTS,
     "stream_rejects": "SELECT sha256(text) AS value_hash, 'not JSON' AS reason FROM documents",
     "stream_status": "SELECT count(*)::BIGINT AS saved, count(*)::BIGINT AS rejected FROM documents",

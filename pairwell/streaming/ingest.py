@@ -14,6 +14,7 @@ from pairwell.plans.enrich import enrich
 from pairwell.schemas import POSTING
 from pairwell.sources.messages import decode_messages, last_per_posting, rejected_messages, valid_messages
 from pairwell.sources.postings import read_batches, write_batch
+from pairwell.sources.search_index import write_index
 
 REJECT = T.StructType([T.StructField("value", T.StringType()), T.StructField("reason", T.StringType())])
 
@@ -28,13 +29,15 @@ def store_batch(
     dim: int = DIM,
     tasks: int | None = None,
     on_error: str = "raise",
+    index_path: str | None = None,
 ) -> None:
     """Decode, enrich and store one batch; bad messages go to the rejects.
 
     Storing the same batch again rewrites its folder, so nothing is lost or
     repeated. ``order`` names the columns by which the last message of a posting
     wins. ``tasks`` spreads the raw messages first, for sources with few partitions.
-    ``on_error`` is that of the embedder; its rejects join the others.
+    ``on_error`` is that of the embedder; its rejects join the others. With ``index_path`` the
+    stored rows are indexed (``search_index.write_index``).
     """
     if tasks is not None:
         messages = messages.repartition(tasks)
@@ -48,6 +51,9 @@ def store_batch(
             rows = rows.filter("embed_error IS NULL")
         write_batch(rows.select(*POSTING.names), postings_path, batch_id)
         write_batch(rejects, rejects_path, batch_id)
+        if index_path is not None:
+            stored = read_batches(messages.sparkSession, postings_path, POSTING).filter(F.col("batch_id") == batch_id)
+            write_index(stored.drop("batch_id"), index_path, batch_id)
     finally:
         decoded.unpersist()
 
@@ -63,6 +69,7 @@ def start_ingest(
     tasks: int | None = None,
     on_error: str = "raise",
     trigger: dict | None = None,
+    index_path: str | None = None,
 ) -> StreamingQuery:
     """Store every micro-batch of a message stream.
 
@@ -76,7 +83,7 @@ def start_ingest(
     )
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        store_batch(batch, postings_path, rejects_path, batch_id, order, embedder, dim, tasks, on_error)
+        store_batch(batch, postings_path, rejects_path, batch_id, order, embedder, dim, tasks, on_error, index_path)
 
     writer = counted.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -25,7 +25,7 @@ from pairwell.operators.profiles import extract_profiles, read_replies, rejected
 from pairwell.operators.sketch import band_table, signature
 from pairwell.operators.vector import vector_topk
 from pairwell.plans.enrich import enrich
-from pairwell.plans.hybrid import hybrid_match, prepare_profiles, report, search_channels, with_documents
+from pairwell.plans.hybrid import hybrid_match, prepare_profiles, report, search_channels, search_columns, with_documents
 from pairwell.schemas import POSTING
 from pairwell.session import shared_dir, spread
 from pairwell.sources.files import write_json, write_rejects, write_texts
@@ -41,6 +41,14 @@ from pairwell.sources.postings import (
     to_documents,
     write_batch,
 )
+from pairwell.sources.search_index import (
+    indexed_bands,
+    indexed_bm25_topk,
+    indexed_counts,
+    indexed_lsh_topk,
+    indexed_words,
+    write_index,
+)
 from pairwell.streaming.ingest import batch_status, read_rejects, start_ingest
 from pairwell.streaming.links import new_links
 
@@ -560,11 +568,8 @@ def q_compacted_postings(spark, sf):
     return found.select("posting_id", "title", "doc_type")
 
 
-def q_stored_match(spark, sf):
-    """Search on the stored table: ingest as a stream, read back, match every profile."""
-    path, _ = _ingested(spark, sf)
-    postings = read_postings(spark, path).withColumnRenamed("posting_id", "doc_id")
-    profiles = prepare_profiles(
+def _prepared(spark, sf):
+    return prepare_profiles(
         texts(spark, sf)[0].select(
             "cv_id",
             F.col("text").alias("title"),
@@ -574,7 +579,65 @@ def q_stored_match(spark, sf):
         ),
         dim=DIM,
     )
-    return hybrid_match(profiles, postings, digits=DIGITS).drop("sources")
+
+
+def q_stored_match(spark, sf):
+    """Search on the stored table: ingest as a stream, read back, match every profile."""
+    path, _ = _ingested(spark, sf)
+    postings = read_postings(spark, path).withColumnRenamed("posting_id", "doc_id")
+    return hybrid_match(_prepared(spark, sf), postings, digits=DIGITS).drop("sources")
+
+
+def _indexed(spark, sf):
+    """Documents as postings of two batches and their index; the second sends some again."""
+    messages = posting_messages(spread(table(spark, sf, "documents")))
+    rows = enrich(valid_messages(decode_messages(messages)), dim=DIM)
+    number = F.regexp_extract("link", r"/(\d+)//", 1).cast("long")
+    base = shared_dir(spark, "indexed")
+    early = rows.filter(number % 3 != 0)
+    once = number % 6 == 4
+    # What the second batch replaces has other words and skills in the first.
+    older = early.withColumns({"title": F.when(once, F.col("title")).otherwise(F.lit("older words"))})
+    for batch, part in enumerate((older, rows.filter(~once))):
+        write_batch(part, f"{base}/postings", batch)
+        stored = read_batches(spark, f"{base}/postings", POSTING).filter(F.col("batch_id") == batch)
+        write_index(stored, f"{base}/index", batch)
+    return f"{base}/postings", f"{base}/index"
+
+
+def q_stored_bands(spark, sf):
+    """Band rows of the stored postings, from their index."""
+    _, index = _indexed(spark, sf)
+    return indexed_bands(spark, index)
+
+
+def q_stored_lsh(spark, sf):
+    """Skill search through the stored band rows."""
+    path, index = _indexed(spark, sf)
+    signature_of = F.col("skills_signature").alias("signature")
+    postings = read_postings(spark, path).select(F.col("posting_id").alias("doc_id"), signature_of)
+    profiles = _prepared(spark, sf).select("cv_id", signature_of)
+    return indexed_lsh_topk(indexed_bands(spark, index), profiles, postings, K, digits=DIGITS)
+
+
+def q_stored_bm25(spark, sf):
+    """Keyword search on stored words and statistics."""
+    _, index = _indexed(spark, sf)
+    return indexed_bm25_topk(spark, index, texts(spark, sf)[0], K, digits=DIGITS, profile_text="text")
+
+
+def q_stored_terms(spark, sf):
+    """Statistics of the stored titles, summed over batches."""
+    _, index = _indexed(spark, sf)
+    return indexed_counts(spark, index).select("term", "docs", "tokens")
+
+
+def q_stored_one_scan(spark, sf):
+    """All four channels over the stored postings with their stored words and statistics: one scan."""
+    path, index = _indexed(spark, sf)
+    postings = read_postings(spark, path).join(indexed_words(spark, index), "posting_id").withColumnRenamed("posting_id", "doc_id")
+    stats = indexed_counts(spark, index)
+    return hybrid_match(_prepared(spark, sf), search_columns(postings), digits=DIGITS, stats=stats).drop("sources")
 
 
 def q_stream_rejects(spark, sf):

@@ -17,6 +17,15 @@ from pairwell.operators.bm25 import Bm25Kernel, bm25_search, bm25_topk, corpus_s
 from pairwell.operators.lsh import lsh_candidate_counts, lsh_topk
 from pairwell.operators.sketch import MAX_HASH, band_table, optimal_bands, permutations, signature, skills_signature
 from pairwell.operators.vector import vector_search, vector_topk
+from pairwell.sources.search_index import (
+    banded_pairs,
+    indexed_bands,
+    indexed_bm25_topk,
+    indexed_counts,
+    indexed_lsh_topk,
+    indexed_words,
+    write_index,
+)
 
 # Everything broadcast, and many small blocks.
 PLACEMENTS = [Limits(), Limits(broadcast_bytes=0, block_bytes=600, scores=64)]
@@ -310,3 +319,35 @@ def test_results_of_very_many_tasks_are_ranked_in_two_steps(spark, corpus):
     usual = collected(bm25_topk(left, right, 4, digits=6))
     twice = bm25_topk(left, right, 4, limits=Limits(tasks=0), digits=6)
     assert collected(twice) == usual and "branch" in twice._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_band_index_finds_what_the_kernel_finds(spark, corpus):
+    left, right = sketches(spark, corpus)
+    bands = band_table(right.filter("size(tokens) > 0"), threshold=0.4)
+    usual = collected(lsh_topk(left, right, 5, 0.4, digits=6))
+    for limits, hot in ((Limits(), 10), (Limits(broadcast_bytes=0, block_bytes=3000), 4), (Limits(broadcast_bytes=0), 10**6)):
+        assert collected(indexed_lsh_topk(bands, left, right, 5, 0.4, limits=limits, digits=6, hot_rows=hot)) == usual
+    asked = band_table(left.filter("size(tokens) > 0"), "cv_id", threshold=0.4)
+    pairs = {tuple(r) for r in banded_pairs(asked, bands, Limits(), 5).collect()}
+    salted = banded_pairs(asked, bands, Limits(broadcast_bytes=0), 5)
+    assert {tuple(r) for r in salted.collect()} == pairs and salted.count() == len(pairs)
+
+
+def test_index_follows_the_newest_batch(spark, tmp_path):
+    def batch(rows):
+        frame = spark.createDataFrame(rows, "posting_id string, title string, skills array<string>")
+        return frame.withColumn("skills_signature", skills_signature(F.col("skills")))
+
+    index = str(tmp_path / "index")
+    write_index(batch([("a", "old old words", ["x"]), ("b", "new words", ["y"]), ("c", None, [])]), index, 0)
+    write_index(batch([("a", "new", ["z"])]), index, 1)
+    write_index(batch([("a", "new", ["z"])]), index, 1)
+    words = {r.posting_id: r.tokens for r in indexed_words(spark, index).collect()}
+    assert words == {"a": ["new"], "b": ["new", "words"], "c": []}
+    counts = {r.term: (r.docs, r.tokens) for r in indexed_counts(spark, index).collect()}
+    assert counts == {"": (3, 3), "new": (2, 2), "words": (1, 1)}
+    bands = indexed_bands(spark, index)
+    assert {r.doc_id for r in bands.collect()} == {"a", "b"} and bands.count() == 64
+    profiles = spark.createDataFrame([(1, "old new")], "cv_id int, title string")
+    found = indexed_bm25_topk(spark, index, profiles, 5).orderBy("rank").collect()
+    assert [r.doc_id for r in found] == ["a", "b"]
