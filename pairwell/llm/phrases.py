@@ -38,8 +38,8 @@ UNKNOWN = "und"
 SCALE = 2_000_000
 COVERED_PERCENT = 80
 
-#: Bytes of text in a block whose words are counted together.
-BLOCK = 8 << 20
+#: Bytes of text in a block whose pairs, or whose windows, are counted together.
+BLOCK, WINDOW_BLOCK = 6 << 20, 2 << 20
 #: Bits of a hash, and of the bitmap of frequent hashes at most (32 MB).
 HASH_BITS, MAP_BITS = 40, 28
 #: Hashes that a range merges at once.
@@ -118,20 +118,20 @@ def cut_hash(hashes: np.ndarray) -> np.ndarray:
     return hashes >> U(64 - HASH_BITS)
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
-    """Words of consecutive rows (text, lang), about ``BLOCK`` bytes a block; a longer text is a block of its own."""
+def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Words]:
+    """Words of consecutive rows (text, lang), about ``most`` bytes a block; a longer text is a block of its own."""
     held, size = [], 0
     for batch in batches:
         data_size = np.diff(text_bytes(batch.column(0))[1])
         at = 0
         while at < len(batch):
-            room = np.searchsorted(np.cumsum(data_size[at:]), max(BLOCK - size, 0), side="right")
+            room = np.searchsorted(np.cumsum(data_size[at:]), max(most - size, 0), side="right")
             take = int(room) if room or held else 1
             if take:
                 held.append(batch.slice(at, take))
                 size += int(data_size[at : at + take].sum())
                 at += take
-            if at < len(batch) or size >= BLOCK:
+            if at < len(batch) or size >= most:
                 yield words_of(*columns(held))
                 held, size = [], 0
     if held:
@@ -183,7 +183,7 @@ def frequent_hashes(docs: DataFrame) -> DataFrame:
     ranges = max(docs.rdd.getNumPartitions(), 8)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words in blocks(batches):
+        for words in blocks(batches, BLOCK):
             pair = np.flatnonzero(words.joined)
             n = np.uint64(max(len(words.hashes), 1))
             key, times = np.unique(words.ids[pair].astype(np.uint64) * n + words.ids[pair + 1].astype(np.uint64), return_counts=True)
@@ -255,7 +255,7 @@ def windows(docs: DataFrame, often: Bitmap) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(often)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words in blocks(batches):
+        for words in blocks(batches, WINDOW_BLOCK):
             n, ids = len(words.hashes), words.ids
             usable = sent.value.may_hold(words.hashes)[ids]
             goes_on = np.zeros(len(ids) + LONGEST, bool)

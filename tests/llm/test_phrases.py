@@ -60,6 +60,7 @@ def corpus(seed, docs=40):
 @pytest.mark.parametrize("seed", range(3))
 def test_against_all_phrases(spark, monkeypatch, seed):
     monkeypatch.setattr(phrases, "BLOCK", 700 + 300 * seed)
+    monkeypatch.setattr(phrases, "WINDOW_BLOCK", 500 + 400 * seed)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     got = sorted(tuple(r) for r in collocations(docs, best=12).collect())
