@@ -6,8 +6,9 @@ linear support vector machine per family tells it from the others; inside a fami
 machine per pair of languages votes.
 
 A profile is the square root of the shares of hashed letter n-grams (1 to 4 bytes) over the
-whole text. The machines are trained on the driver from a sample of ``SAMPLE`` labelled
-documents, spread evenly over the languages; prediction runs over every row in the tasks.
+whole text. The machines are trained in one task from a sample of ``SAMPLE`` labelled
+documents at most, spread evenly over the ``LANGUAGES`` languages that most documents state; the
+driver gets the machines only. Prediction runs over every row in the tasks.
 
 The machines always name a language. Whether a text is in it shows in two numbers that do not
 depend on how many languages or families there are: the smallest raw margin of the machines
@@ -18,6 +19,7 @@ texts of several lengths.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import ceil, sqrt
@@ -29,10 +31,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairwell.llm.common import kept
 from pairwell.llm.words import mix, text_bytes
 
-#: Labelled documents that the machines are trained on, at most.
+#: Labelled documents that the machines are trained on, and languages that are learned, at most.
 SAMPLE = 4000
+LANGUAGES = 200
 SIZE = 4096
 HASHES = 1 << 40
 GRAMS = 4
@@ -99,24 +103,24 @@ def profiles(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 def machine(x: np.ndarray, positive: np.ndarray, seed: int = 0) -> np.ndarray:
     """Weights (the last one is the offset) of a linear support vector machine, by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     y = np.where(positive, 1.0, -1.0)
     # Either side has the same weight, however many documents it has.
     cost = COST * len(y) / (2 * np.where(positive, positive.sum(), (~positive).sum()))
-    norm = (x * x).sum(axis=1)
-    alpha, w = np.zeros(len(y)), np.zeros(x.shape[1])
+    norm = np.einsum("ij,ij->i", x, x) + 1
+    alpha, w, offset = np.zeros(len(y)), np.zeros(x.shape[1]), 0.0
     order = np.random.default_rng(seed)
     for _ in range(PASSES):
         moved = 0.0
         for i in order.permutation(len(y)):
-            step = np.clip(alpha[i] + (1 - y[i] * (x[i] @ w)) / norm[i], 0, cost[i]) - alpha[i]
+            step = np.clip(alpha[i] + (1 - y[i] * (x[i] @ w + offset)) / norm[i], 0, cost[i]) - alpha[i]
             if step:
                 alpha[i] += step
                 w += step * y[i] * x[i]
+                offset += step * y[i]
                 moved = max(moved, abs(step))
         if moved < 1e-3:
             break
-    return w.astype(np.float32)
+    return np.r_[w, offset].astype(np.float32)
 
 
 @dataclass
@@ -210,7 +214,9 @@ def trained(x: np.ndarray, names: list[str], families: list[list[str]] | None =
     inside = np.array([member.get(k, -1) for k in names])
     model = Model(families)
     if len(families) > 1:
-        model.family_weights = np.stack([machine(x[inside >= 0], inside[inside >= 0] == f) for f in range(len(families))])
+        if (inside < 0).any():
+            x, label, inside = x[inside >= 0], label[inside >= 0], inside[inside >= 0]
+        model.family_weights = np.stack([machine(x, inside == f) for f in range(len(families))])
     for group in families:
         machines = {}
         for a in range(len(group)):
@@ -259,42 +265,65 @@ def learn(
 ) -> Model:
     """Model from texts and languages of the rows that ``train`` chooses; with ``foreign``, ``in_language`` can use it.
 
-    The sample takes up to ``SAMPLE / languages`` documents of each language (at least 20), by
-    the hash of their id. Rows without language, id or letters are left out.
+    The sample takes up to ``SAMPLE / languages`` documents of each of the ``LANGUAGES`` languages with
+    most documents (ties: smaller name), by the hash of their id: ``SAMPLE`` rows at most, unless rows
+    share an id. Rows without language, id or letters are left out; other columns don't matter. An empty
+    table gives a model that knows no language.
     """
-    usable = docs.filter(train).filter(F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
-    ids = usable.select(F.col(doc_id).alias("sample_id"), F.col(lang).alias("sample_lang"))
-    rows_of = {r["sample_lang"]: r["rows"] for r in ids.groupBy("sample_lang").agg(F.count("*").alias("rows")).collect()}
+    usable = docs.filter(train).select(
+        F.col(f"`{doc_id}`").alias("sample_id"), F.col(f"`{lang}`").alias("sample_lang"), F.col(f"`{text}`").alias("sample_text")
+    )
+    usable = usable.filter("sample_lang IS NOT NULL AND sample_id IS NOT NULL")
+    counts = usable.groupBy("sample_lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "sample_lang").limit(LANGUAGES)
+    rows_of = {r["sample_lang"]: r["rows"] for r in counts.collect()}
     if not rows_of:
         return Model()
-    each = max(20, SAMPLE // len(rows_of))
+    each = max(1, SAMPLE // len(rows_of))
     # The smallest hashes of a language lie far below this bound, so few ids of a common one are ranked.
     share = F.create_map(*[F.lit(x) for lang, rows in rows_of.items() for x in (lang, min(1.0, 4 * each / rows))])
-    hashed = ids.withColumn("hash", F.xxhash64("sample_id").bitwiseAND(F.lit(HASHES - 1)))
+    hashed = usable.select("sample_id", "sample_lang", F.xxhash64("sample_id").bitwiseAND(F.lit(HASHES - 1)).alias("hash"))
     hashed = hashed.filter(F.col("hash") < share[F.col("sample_lang")] * float(HASHES))
     turn = F.row_number().over(Window.partitionBy("sample_lang").orderBy("hash", "sample_id"))
-    chosen = hashed.withColumn("turn", turn).filter(F.col("turn") <= each).select("sample_id").distinct()
-    # At most SAMPLE (or 20 per language) ids: small enough to broadcast.
-    rows = usable.filter(has_letter(F.col(text))).join(F.broadcast(chosen), F.col(doc_id) == F.col("sample_id"), "left_semi")
+    chosen = hashed.withColumn("turn", turn).filter(F.col("turn") <= each).select("sample_id", "sample_lang").distinct()
+    # At most SAMPLE ids: small enough to broadcast.
+    rows = usable.filter(has_letter(F.col("sample_text"))).join(F.broadcast(chosen), ["sample_id", "sample_lang"], "left_semi")
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, x in profiles(batch.column(1)):
-                values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), SIZE).cast(pa.list_(pa.float32()))
+                row, place = np.nonzero(x)
+                offsets = np.r_[0, np.cumsum(np.bincount(row, minlength=len(x)))].astype(np.int32)
+                places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(place.astype(np.int32)))
+                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[row, place]))
                 begins = pc.utf8_slice_codeunits(batch.column(1).slice(first, len(x)), 0, BEGINNINGS[-1])
-                columns = [batch.column(0).slice(first, len(x)), values, begins]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "profile", "begins"])
-
-    ddl = "lang string, profile array<float>, begins string"
-    chosen_rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(profile, ddl)
-    table = (chosen_rows if foreign else chosen_rows.drop("begins")).toArrow()
-    x = table["profile"].combine_chunks().flatten().to_numpy().reshape(-1, SIZE)
-    order = np.lexsort((x.sum(axis=1), np.array(table["lang"].to_pylist(), object).astype(str)))
-    names = [table["lang"][int(i)].as_py() for i in order]
-    model = trained(x[order], names)
-    if foreign and names:
-        calibrate(model, x[order], names, table["begins"].combine_chunks().take(pa.array(order)))
-    return model
+                columns = [batch.column(0).slice(first, len(x)), places, values, begins]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "places", "weights", "begins"])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [batch for batch in batches if len(batch)]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts).combine_chunks()
+        names = np.array(table["lang"].to_pylist(), object)
+        places, sizes = table["places"].combine_chunks(), table["places"].combine_chunks().value_lengths().to_numpy()
+        x = np.zeros((len(names), SIZE), np.float32)
+        x[np.repeat(np.arange(len(names)), sizes), places.flatten().to_numpy()] = table["weights"].combine_chunks().flatten().to_numpy()
+        # One order for any distribution of the rows over tasks.
+        order = np.lexsort((x.sum(axis=1), names.astype(str)))
+        begins = table["begins"].combine_chunks().take(pa.array(order))
+        del table, parts, places
+        x, names = x[order], names[order].tolist()
+        model = trained(x, names)
+        if foreign:
+            calibrate(model, x, names, begins)
+        # The parts, not the object: a task may have its class from another import of this module.
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(list(vars(model).values()))], pa.binary())], names=["model"])
+
+    narrow = rows.select(F.col("sample_lang").cast("string").alias("lang"), F.col("sample_text").alias("text"))
+    ddl = "lang string, places array<int>, weights array<float>, begins string"
+    sample = kept(narrow.mapInArrow(profile, ddl), "language-sample")
+    found = sample.coalesce(1).mapInArrow(fit, "model binary").collect()
+    return Model(*pickle.loads(found[0]["model"])) if found else Model()
 
 
 # --- prediction ---------------------------------------------------------------------------
@@ -312,10 +341,8 @@ def predicted(docs: DataFrame, model: Model, *, text: str = "text", name: str =
     - A text that is null or has no letter is ``und`` with score 0; so is every text if the
       model knows no language.
     - Rows are predicted one by one from their whole text, so ties, repeated rows and null
-      ids change nothing. An empty table gives an empty table.
+      ids change nothing. An empty table gives an empty table. A column called ``name`` is replaced.
     """
-    if name in docs.columns:
-        raise ValueError(f"there is a column {name} already")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(PREDICTION)
@@ -330,9 +357,8 @@ def predicted(docs: DataFrame, model: Model, *, text: str = "text", name: str =
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.float64())], names=PREDICTION.names)
 
     letters = has_letter(F.col(text))
-    made = predict(F.col(text))
     none = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    return docs.withColumn(name, made).withColumn(name, F.when(letters, F.col(name)).otherwise(none))
+    return docs.withColumn(name, F.when(letters, predict(F.col(text))).otherwise(none))
 
 
 def in_language(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
