@@ -29,6 +29,24 @@ def kept(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, **columns: str) -> DataFrame:
+    """The named columns of ``docs`` under the names given here, and all others in one struct ``others``.
+
+    What an operator adds to such a table can't clash with the names of the documents' own columns.
+    """
+    used = set(columns.values())
+    others = [F.col(f"`{c}`").alias(f"own {c}") for c in docs.columns if c not in used]
+    chosen = [F.col(f"`{c}`").alias(name) for name, c in columns.items()]
+    return docs.select(*chosen, F.struct(F.lit(True).alias("packed"), *others).alias("others"))
+
+
+def unpacked(docs: DataFrame, without: tuple[str, ...] = (), **columns: str) -> list[Column]:
+    """The columns of ``docs`` as they are called there, from a table that ``packed`` made of it."""
+    name_of = {c: name for name, c in columns.items()}
+    own = lambda c: F.col(name_of[c]) if c in name_of else F.col("others").getField(f"own {c}")
+    return [own(c).alias(c) for c in docs.columns if c not in without]
+
+
 #: Rows of a table of a few narrow columns that one task may handle.
 SMALL = 200_000
 

@@ -2,10 +2,14 @@
 
 The list is learned by sequential covering from labelled statistics. A rule grows on two
 thirds of the labelled documents by the threshold with the best information gain, loses its
-last conditions where the other third shows that they don't help, and is accepted while
-it is precise there; what it covers is set aside for the next rule. Every count is an
-aggregation over all labelled documents that are left; the driver sees histograms of
-``BINS`` thresholds per statistic. The result is a list of ``when`` conditions.
+last conditions where the other third shows that they don't help, and is accepted if it is
+precise there; what a rule covers, accepted or not, is set aside for the next one, until
+too few bad documents are left for any rule to pass. Every count is an aggregation over all
+labelled documents that are left; the driver sees histograms of ``BINS`` thresholds per
+statistic. The result is a list of ``when`` conditions.
+
+The search is bounded by ``BINS`` thresholds per statistic and class and ``CONDITIONS``
+conditions a rule; the list, by the size of its expression alone (``EXPRESSION`` conditions).
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwell.llm.common import WORD, fold, kept
+from pairwell.llm.common import WORD, fold, kept, packed, unpacked
 
 #: Fixed values of the base rule.
 LEAST_WORDS = 20
@@ -28,10 +32,10 @@ SYMBOLS = "#*$%&|<>"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Thresholds per statistic and class, conditions of a rule, rules of a list.
+#: Thresholds per statistic and class, conditions of a rule, conditions of all rules.
 BINS = 32
 CONDITIONS = 4
-RULES = 12
+EXPRESSION = 400
 #: What a rule must show on the third that it was not grown on.
 PRECISION = 0.9
 LEAST_COVERED = 2
@@ -259,15 +263,18 @@ def learn(labelled: DataFrame) -> list[Rule]:
     prunes = F.coalesce(fold(F.col("doc_id"), 3), F.lit(1)) == 0
     rows = kept(labelled.select("s", "bad", F.array(*bins).alias("bins"), prunes.alias("prunes")), "quality-bins")
     rules: list[Rule] = []
-    while len(rules) < RULES:
-        rule = grow(rows.filter(~F.col("prunes")), cuts)
-        if not rule:
+    while sum(map(len, rules)) < EXPRESSION:
+        left = rows.filter("bad = 1").agg(F.count_if("prunes").alias("prunes"), F.count_if(~F.col("prunes")).alias("grows")).first()
+        if not left["grows"] or left["prunes"] < LEAST_COVERED:
             break
-        rule, p, n = prune(rows.filter("prunes"), rule)
-        if p < LEAST_COVERED or p < PRECISION * (p + n):
+        grown = grow(rows.filter(~F.col("prunes")), cuts)
+        if not grown:
             break
-        rules.append(rule)
-        rows = rows.filter(~holds(rule, "s"))
+        rule, p, n = prune(rows.filter("prunes"), grown)
+        if p >= LEAST_COVERED and p >= PRECISION * (p + n):
+            rules.append(rule)
+            grown = rule
+        rows = rows.filter(~holds(grown, "s"))
     return rules
 
 
@@ -288,9 +295,28 @@ def labelled_statistics(stats: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def learned_rules(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> list[Rule]:
-    """Rules from the labels of documents, learned on every labelled document."""
-    narrow = with_statistics(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "s")
-    return learn(kept(labelled_statistics(kept(narrow.select("doc_id", "s"), "quality-stats"), labels), "quality-labelled"))
+    """Rules from the labels of documents, learned on every labelled document.
+
+    - Only documents with a label get statistics. A null label or id is no label.
+    - A document with several labels counts once for each of them, also for equal ones; rows of one id each have its labels.
+    - Without labels of both kinds, or in an empty table, there are no rules.
+    """
+    marked = labels.filter("quality IS NOT NULL").select(F.col("doc_id").alias("label_id"))
+    own = packed(docs, doc_id=doc_id, text=text).select("doc_id", "text")
+    narrow = with_statistics(own.join(marked, F.col("doc_id") == F.col("label_id"), "left_semi"), "text", "s")
+    return learn(kept(labelled_statistics(narrow.select("doc_id", "s"), labels), "quality-labelled"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents that pass the base rule and the rules learned from ``labels``, with all columns of theirs.
+
+    Statistics are computed once and written with the documents: the rules are learned from the
+    labelled ones, then all are judged. Nulls, ties and repeated rows are those of ``learned_rules`` and ``judged``.
+    """
+    own = {"doc_id": doc_id, "text": text}
+    rows = kept(with_statistics(packed(docs, **own), "text", "s"), "quality-rows")
+    rules = learn(kept(labelled_statistics(rows.select("doc_id", "s"), labels), "quality-labelled"))
+    return rows.filter(~base_failed("s") & (verdict(rules, "s") == 0)).select(*unpacked(docs, **own))
 
 
 def judged(docs: DataFrame, rules: list[Rule], *, text: str = "text", stats: str = "quality_stats") -> DataFrame:
@@ -299,9 +325,16 @@ def judged(docs: DataFrame, rules: list[Rule], *, text: str = "text", stats: str
     - A null or empty text has no words and fails the base rule.
     - Rows are judged one by one: null ids, ties and repeated rows change nothing.
     - An empty table gives an empty table; without rules only the base rule rejects.
+    - Columns of ``docs`` with the names of the result are replaced.
     """
-    if clash := {stats, "base_failed", "rule", "kept"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} exist already")
-    rows = with_statistics(docs, text, stats)
-    rows = rows.withColumns({"base_failed": base_failed(stats), "rule": verdict(rules, stats)})
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    own = {"judged_text": text}
+    rows = with_statistics(packed(docs, **own), "judged_text", "s")
+    failed, rule = base_failed("s"), verdict(rules, "s")
+    made = rows.select("*", failed.alias("failed"), rule.alias("rule_number"))
+    return made.select(
+        *unpacked(docs, (stats, "base_failed", "rule", "kept"), **own),
+        F.col("s").alias(stats),
+        F.col("failed").alias("base_failed"),
+        F.col("rule_number").alias("rule"),
+        (~F.col("failed") & (F.col("rule_number") == 0)).alias("kept"),
+    )
