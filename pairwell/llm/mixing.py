@@ -10,7 +10,7 @@ the order of Pareto sampling. The sample is of fixed size in words: it ends at t
 rank where the running sum of sizes lies nearest to what the certain copies leave
 of the target, so a source misses its target by half of one document at most.
 
-The running sum is never taken over a whole source in one task. Ranks fall into
+The running sum is never taken over a whole source in one task, nor over all sources. Ranks fall into
 ``BINS`` ranges whose sizes are summed map-side; only the documents of the one range
 per source in which the sum crosses the rest are ordered exactly.
 """
@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairwell.llm.common import kept, word_count
+from pairwell.llm.common import kept, packed, unpacked, word_count
 
 BINS = 1 << 14
 MAX_COPIES = 2
@@ -30,13 +30,40 @@ MAX_COPIES = 2
 BROADCAST_SOURCES = 100_000
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """A number between 0 and 1, fixed by key and seed: 52 bits of MD5, never 0 or 1."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+def uniform(doc_id: Column, text: Column, seed: int) -> Column:
+    """A number between 0 and 1, fixed by id, text and seed: 52 bits of MD5, never 0 or 1."""
+    content = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), content).cast("binary"))
     number = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double")
     return (number + 0.5) / float(1 << 52)
 
 
+def in_order(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """``df`` with the number of each row in the order (``turn``, from 1) and, per entry, the sum of a column over the rows before.
+
+    Rows are range-partitioned and numbered within their range; only a row per range is summed in one task.
+    """
+    keys = [F.col(c).asc_nulls_last() for c in order]
+    ranged = kept(df.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy("range").orderBy(*keys)
+    ahead = within.rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0.0)
+    wholes = ranged.groupBy("range").agg(F.count("*").alias("rows"), *[F.sum(c).alias(f"whole_{name}") for name, c in sums.items()])
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = wholes.select(
+        "range",
+        F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset"),
+        *[F.coalesce(F.sum(f"whole_{name}").over(earlier), none).alias(f"offset_{name}") for name in sums],
+    )
+    numbered = ranged.withColumns(
+        {"turn": F.row_number().over(within)} | {name: F.coalesce(F.sum(c).over(ahead), none) for name, c in sums.items()}
+    )
+    # A row per range: no more than shuffle partitions.
+    joined = numbered.join(F.broadcast(offsets), "range")
+    whole = {"turn": F.col("turn") + F.col("offset")} | {name: F.col(name) + F.col(f"offset_{name}") for name in sums}
+    return joined.withColumns(whole).drop("range", "offset", *[f"offset_{name}" for name in sums])
+
+
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
     """Target of every source; ``sizes`` holds ``mix_source`` and ``source_size``, a row per source.
 
@@ -46,27 +73,18 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float
     ``target = min(cap * size, l * weight)``. Ordered by ``cap * size / weight``, the
     sources that stop are a prefix, so ``l`` follows from running sums over sources.
     """
-    by_name = Window.orderBy(F.col("mix_source").asc_nulls_last())
-    weight = F.element_at(
-        F.array(*[F.lit(float(w)) for w in weights]),
-        ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"),
-    )
-    limit = cap * F.col("source_size")
-    named = sizes.select("mix_source", "source_size", weight.alias("w")).withColumn("ratio", limit / F.col("w"))
-    order = Window.orderBy("ratio", F.col("mix_source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = order.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    total = share * F.sum("source_size").over(every)
-    level = (total - F.coalesce(F.sum(limit).over(before), F.lit(0.0))) / F.sum("w").over(rest)
-    levels = named.select("*", level.alias("level"), F.row_number().over(order).alias("turn"))
+    dealt = F.array(*[F.lit(float(w)) for w in weights])
+    named = in_order(sizes.select("mix_source", "source_size"), ["mix_source"], {})
+    named = named.withColumn("w", F.element_at(dealt, ((F.col("turn") - 1) % len(weights) + 1).cast("int"))).drop("turn")
+    named = named.withColumn("most", cap * F.col("source_size")).withColumn("ratio", F.col("most") / F.col("w"))
+    levels = kept(in_order(named, ["ratio", "mix_source"], {"before": "most", "w_before": "w"}), "mix-levels")
+    whole = levels.agg(F.sum("source_size").alias("words"), F.sum("w").alias("w")).first()
+    total, w = share * (whole["words"] or 0), whole["w"] or 0.0
+    levels = levels.withColumn("level", (F.lit(total) - F.col("before")) / (F.lit(w) - F.col("w_before")))
     # The first source that the level does not bring to its limit; those before it stop there.
-    common = F.min_by("level", F.when(F.col("level") <= F.col("ratio"), F.col("turn"))).over(every)
-    return levels.select(
-        "mix_source",
-        "source_size",
-        F.least(F.col("source_size") * float(cap), F.coalesce(common * F.col("w"), F.lit(float("inf")))).alias("target"),
-    )
+    common = levels.agg(F.min_by("level", F.when(F.col("level") <= F.col("ratio"), F.col("turn")))).first()[0]
+    level = F.lit(float("inf") if common is None else common)
+    return levels.select("mix_source", "source_size", F.least(F.col("source_size") * float(cap), level * F.col("w")).alias("target"))
 
 
 def plan(sized: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -148,15 +166,16 @@ def mix(
 
     - Size is the number of words; a null text has 0. A document of no words is expected
       as often as the others of its source but takes no words.
-    - A null source is a source of its own, the last in order. A null id is an id of its own.
-    - Rows with equal ids have equal uniform numbers: all of a tie are taken, or none.
+    - A null source is a source of its own, the last in order. A null id is an id like any other.
+    - The uniform number is fixed by id and text: rows with both equal are taken together, or
+      none of them.
     - No document has more than ``MAX_COPIES`` copies. An empty table gives an empty table.
-    - The columns must not begin with ``mix_``. Reruns give the same rows.
+    - Columns of ``docs`` with the names of the result are replaced. Reruns give the same rows.
     """
-    if clash := [c for c in docs.columns if c.lower().startswith("mix_")]:
-        raise ValueError(f"columns {clash} have names that the mix uses")
-    keyed = docs.withColumns(
-        {"mix_source": F.col(source), "mix_size": word_count(F.col(text)), "mix_uniform": uniform(F.col(doc_id), seed)}
+    own = {"mix_id": doc_id, "mix_text": text, "mix_source": source}
+    columns = packed(docs, **own)
+    keyed = columns.withColumns(
+        {"mix_size": word_count(F.col("mix_text")), "mix_uniform": uniform(F.col("mix_id"), F.col("mix_text"), seed)}
     )
     sized = kept(keyed.select("mix_source", "mix_size", "mix_uniform"), "mix-sizes")
     chosen = plan(sized, weights, share, float(MAX_COPIES))
@@ -168,18 +187,20 @@ def mix(
         F.col("last_bin").isNull(), F.lit(True)
     ).otherwise((bin_of < F.col("last_bin")) | ((bin_of == F.col("last_bin")) & (rank <= F.col("last_rank"))))
     copies = F.col("certain") + F.coalesce(once_more, F.lit(False)).cast("long")
-    return planned.select(
-        *[docs[c] for c in docs.columns],
-        "mix_size",
-        F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
-        copies.alias("mix_copies"),
-        (copies * F.col("mix_size")).alias("mix_taken"),
-    )
+    results = {
+        "mix_size": F.col("mix_size"),
+        "mix_source_size": F.col("source_size"),
+        "mix_target": F.col("target"),
+        "mix_copies": copies,
+        "mix_taken": copies * F.col("mix_size"),
+    }
+    made = planned.select("*", F.struct(*[c.alias(name) for name, c in results.items()]).alias("mixed"))
+    return made.select(*unpacked(docs, tuple(results), **own), "mixed.*")
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
-    """The mix itself: every document as often as it has copies, without the ``mix_`` columns."""
-    columns = [c for c in mixed.columns if not c.startswith("mix_")]
+    """The mix itself: every document as often as it has copies, without the columns that ``mix`` adds."""
+    added = ("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken")
+    rows = mixed.select(F.struct(*[c for c in mixed.columns if c not in added]).alias("row"), "mix_copies")
     times = F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))
-    return mixed.withColumn("mix_copy", F.explode(times)).select(*columns)
+    return rows.select("row", F.explode(times)).select("row.*")

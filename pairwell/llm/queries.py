@@ -45,7 +45,7 @@ def q_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
 MIX_SQL = rf"""
 WITH docs AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         (CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE)
+         (CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) + 0.5::DOUBLE)
            / 4503599627370496::DOUBLE AS u
   FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),

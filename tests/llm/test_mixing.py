@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from pairwell.llm.mixing import mix, repeated
+from pairwell.llm.mixing import in_order, mix, repeated, targets
 
 
 def expected(rows):
@@ -63,5 +63,42 @@ def test_repeated_rows_are_taken_alike_and_empty_tables_work(spark):
     for row in mix(docs).collect():
         assert copies.setdefault(row.doc_id, row.mix_copies) == row.mix_copies
     assert mix(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        mix(docs.withColumnRenamed("doc_id", "mix_rank"))
+
+
+def test_columns_with_names_of_the_mix(spark):
+    names = "target certain odds mix_rank mix_size mix_id others w level turn"
+    docs = spark.createDataFrame([(k, "s", "a b c") for k in range(5)], "doc_id long, source string, text string")
+    wide = docs.selectExpr("*", *[f"{k} AS {name}" for k, name in enumerate(names.split())])
+    got = mix(wide)
+    assert got.columns[:12] == [c for c in wide.columns if c != "mix_size"]
+    plain = {r.doc_id: r.mix_taken for r in mix(docs).collect()}
+    assert {r.doc_id: (r.mix_taken, r.target, r.others) for r in got.collect()} == {d: (t, 0, 6) for d, t in plain.items()}
+
+
+def test_rows_of_no_id_are_not_taken_all_or_none(spark):
+    docs = spark.createDataFrame([(None, "s", f"w{k} b c") for k in range(300)], "doc_id long, source string, text string")
+    taken = sum(r.mix_taken for r in mix(docs).collect())
+    assert abs(taken - 1.5 * 900) <= 3
+
+
+def test_targets_in_ranges(spark):
+    """Numbers and sums over several ranges of sources are those of one."""
+    rows = [(f"s{k:03}" if k else None, (k * 37) % 101) for k in range(90)]
+    sizes = spark.createDataFrame(rows, "mix_source string, source_size long")
+    got = {r.mix_source: r.turn for r in in_order(sizes, ["mix_source"], {}).collect()}
+    names = sorted(s for s, _ in rows if s) + [None]
+    assert got == {s: k + 1 for k, s in enumerate(names)}
+    found = {r.mix_source: r.target for r in targets(sizes, (3, 1, 2), 1.5, 2.0).collect()}
+    weight, size = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}, dict(rows)
+    free, rest = set(names), 1.5 * sum(size.values())
+    expected = {}
+    while True:
+        level = rest / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] > 2 * size[s]}
+        if not full:
+            break
+        expected |= {s: 2.0 * size[s] for s in full}
+        rest -= sum(2 * size[s] for s in full)
+        free -= full
+    expected |= {s: level * weight[s] for s in free}
+    assert found.keys() == expected.keys() and all(abs(found[s] - expected[s]) < 1e-6 for s in names)
