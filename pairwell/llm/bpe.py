@@ -214,11 +214,10 @@ def with_ids(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids"
 
     A null or empty text has no ids. ``<|endoftext|>`` and other added tokens in a text are
     their own id, as the tokenizers library has them. Texts are never cut; a long one is
-    handled in pieces. The column ``ids`` must be new. With ``decoded``, the task decodes the
-    ids of every row again and ends the job if that is not the text (null being empty).
+    handled in pieces. Rows are handled one by one, so ties and repeated rows change nothing; an
+    empty table gives an empty table. A column called ``ids`` is replaced. With ``decoded``, the
+    task decodes the ids of every row again and ends the job if that is not the text (null being empty).
     """
-    if ids in docs.columns:
-        raise ValueError(f"there is a column {ids} already")
     content = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
@@ -237,9 +236,7 @@ def with_ids(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids"
 
 
 def with_text(docs: DataFrame, path: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """All columns of ``docs`` and the text of the ids; null for null ids."""
-    if text in docs.columns:
-        raise ValueError(f"there is a column {text} already")
+    """All columns of ``docs`` and the text of the ids; null for null ids. A column called ``text`` is replaced."""
     content = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     @F.arrow_udf(T.StringType())
@@ -266,9 +263,11 @@ def round_trip(docs: DataFrame, path: str, *, text: str = "text", name: str = "r
 
     Ids are digested as little-endian unsigned 32-bit integers, text as UTF-8. Ids and text
     stay in the task, so only digests go back to Spark.
+
+    - A null or empty text has no ids, and the digests of nothing. Long texts are encoded whole, in pieces.
+    - Rows are handled one by one: ties, repeated rows and null ids of documents change nothing.
+    - An empty table gives an empty table. A column called ``name`` is replaced.
     """
-    if name in docs.columns:
-        raise ValueError(f"there is a column {name} already")
     content = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     @F.arrow_udf(DIGEST_TYPE)

@@ -346,10 +346,8 @@ def extracted(pages: DataFrame, *, page: str = "html", text: str = "main_text")
     - Character references are decoded, white space inside a block is one space, blocks are
       trimmed and joined by a line feed in page order.
     - Rows are handled one by one: ties, repeated rows and null ids change nothing. An empty
-      table gives an empty table. The column ``text`` must be new.
+      table gives an empty table. A column called ``text`` is replaced.
     """
-    if text in pages.columns:
-        raise ValueError(f"there is a column {text} already")
 
     @F.arrow_udf(T.StringType())
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -130,10 +130,8 @@ def with_kept_lines(docs: DataFrame, bitmaps: DataFrame, *, doc_id: str = "doc_i
     """All columns of ``docs`` and a struct ``name`` of n_lines, n_dropped and kept (the text that is left).
 
     Bitmaps are those of ``keep_bitmaps`` for these documents. A document whose lines all go has an
-    empty text; one without a bitmap keeps its text (null is empty). Other columns may have any names but ``name``.
+    empty text; one without a bitmap keeps its text (null is empty). A column called ``name`` is replaced.
     """
-    if name in docs.columns:
-        raise ValueError(f"there is a column {name} already")
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"))
     of_doc = F.col(f"row.`{doc_id}`").eqNullSafe(F.col("doc")) & (F.col("key") == F.col("text_key"))
     whole = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
@@ -143,4 +141,4 @@ def with_kept_lines(docs: DataFrame, bitmaps: DataFrame, *, doc_id: str = "doc_i
         F.when(F.col("keep").isNull(), whole).otherwise(kept_text(whole, F.col("keep"))).alias("kept"),
     )
     joined = rows.join(bitmaps.select("doc", "text_key", "n_dropped", "keep"), of_doc, "left").select("row", left.alias("left"))
-    return joined.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("left").alias(name))
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != name], F.col("left").alias(name))

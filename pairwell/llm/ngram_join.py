@@ -490,9 +490,11 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         joined.filter("doc = component").groupBy("doc").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc").alias("again_id")),
         "repeated-ids",
     )
-    stay = docs.join(sent(gone), F.col(doc_id) == F.col("gone_id"), "left_anti")
-    if repeated.isEmpty():
-        return stay
-    single = stay.join(repeated, F.col(doc_id) == F.col("again_id"), "left_anti")
-    twice = stay.join(repeated, F.col(doc_id) == F.col("again_id"), "left_semi").dropDuplicates([doc_id])
-    return single.unionByName(twice)
+    # Rows as structs: no column of theirs can clash with those of the joins.
+    rows = docs.select(F.col(f"`{doc_id}`").alias("one_id"), F.struct("*").alias("row"))
+    stay = rows.join(sent(gone), F.col("one_id") == F.col("gone_id"), "left_anti")
+    if not repeated.isEmpty():
+        single = stay.join(repeated, F.col("one_id") == F.col("again_id"), "left_anti")
+        twice = stay.join(repeated, F.col("one_id") == F.col("again_id"), "left_semi").dropDuplicates(["one_id"])
+        stay = single.unionByName(twice)
+    return stay.select("row.*")

@@ -60,5 +60,9 @@ def test_columns(spark, library):
         expected = (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256((row.text or "").encode()).hexdigest())
         assert tuple(row.round_trip) == expected
     assert bpe.round_trip(docs.limit(0), PATH).count() == 0
-    with pytest.raises(ValueError):
-        bpe.with_ids(docs, PATH, ids="text")
+    # Columns of the result's name are replaced.
+    assert bpe.with_ids(docs, PATH, ids="text").columns == docs.columns
+    again = bpe.round_trip(docs.selectExpr("text", "1 AS round_trip"), PATH)
+    assert again.columns == ["text", "round_trip"] and "struct" in dict(again.dtypes)["round_trip"]
+    twice = spark.createDataFrame([("same text",)] * 3, "text string")
+    assert len({tuple(r.round_trip) for r in bpe.round_trip(twice, PATH).collect()}) == 1

@@ -57,6 +57,19 @@ def test_stages(spark, folder):
         assert row["n_tokens"] == len(row["token_ids"])
 
 
+def test_columns_with_the_names_that_stages_use(spark, folder):
+    names = "sample_id sample_lang gone_id again_id one_id target certain odds mix_size mix_copies kept rule s others row token_ids ids doc language"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 120 OR doc_id >= 1000")
+    docs = docs.selectExpr("*", *[f"{k} AS {name}" for k, name in enumerate(names.split())])
+    extras = tuple(range(len(names.split())))
+    for name, stage in corpus_pipeline.STAGES:
+        columns, docs = docs.columns, kept(stage(spark, docs, folder), "stage-test")
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == columns
+            assert {tuple(r)[5:] for r in docs.collect()} == {extras}
+    assert docs.count() > 50
+
+
 def test_empty_documents(spark, folder):
     path = shared_dir(spark, "pipeline-test")
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{path}/documents.parquet")
