@@ -5,12 +5,12 @@ the word and those after it (lead columns); a window that ends early is padded w
 windows are counted; Spark's ROLLUP over the columns sums them into the counts of all shorter
 phrases, since each occurrence of a phrase is the beginning of exactly one window.
 
-Most windows of a corpus occur once or twice and would be shuffled for nothing. A first pass
-counts hashed words and hashed pairs of neighbours (``frequent_hashes``); a window is padded
-from the first place whose word or pair is rarer than a phrase must be. A phrase of enough
-occurrences holds no such place, so its count stays exact, also where hashes collide: those only
-let a rare pair pass. Words too rare to begin a phrase are counted in a window of nulls alone,
-so the count of all words stays whole.
+Most windows of a corpus occur once or twice and would be shuffled for nothing. Two passes
+count hashes (``frequent_hashes``): of words and pairs of neighbours first, then of the three and
+four words whose pairs are frequent. A window is padded from the first place at which its
+beginning is rarer than a phrase must be. A phrase of enough occurrences is never cut by that, so
+its count stays exact, also where hashes collide: those only let a rare beginning pass. Words too
+rare to begin a phrase are counted in a window of nulls alone, so the count of all words stays whole.
 
 Blocks of words are tokenised and counted in numpy; hashes travel sorted, as differences, packed
 per range of hashes, so that a block sends about two bytes a pair. The hashes that occur often
@@ -110,10 +110,6 @@ def words_of(texts: pa.Array, langs: pa.Array) -> Words:
     return Words(ids.astype(np.int64), joined, lang_of, lang.dictionary, known.dictionary.take(pa.array(word_of)), hashes)
 
 
-def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(first * U(0x9FB21C651E98DF25) + second + U(1))
-
-
 def cut_hash(hashes: np.ndarray) -> np.ndarray:
     return hashes >> U(64 - HASH_BITS)
 
@@ -173,26 +169,56 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return values[begins], np.minimum(sums, LEAST).astype(np.uint8)
 
 
-def frequent_hashes(docs: DataFrame) -> DataFrame:
-    """(hash) of words and pairs that occur ``LEAST`` times in a language; others may be among them.
+def joined_hashes(words: Words) -> list[np.ndarray]:
+    """Hash of the beginning of 1 to ``LONGEST`` words at every word; those that a piece ends are of no use."""
+    out = [words.hashes[words.ids]]
+    for k in range(1, LONGEST):
+        out.append(mix(out[-1][: len(words.ids) - k] * U(0x9FB21C651E98DF25) + out[0][k:] + U(k)))
+    return out
+
 
-    ``docs`` holds text and lang. Each range of hashes is merged by one task from one packed row
-    per block, so a common pair is no hot key.
+def reached(words: Words, hashes: list[np.ndarray], known: list[Bitmap]) -> list[np.ndarray]:
+    """Per number of words, where that many follow in the piece and all shorter beginnings, here and after, may be frequent.
+
+    ``known`` holds what is known so far: words and pairs, then three and four words.
+    """
+    n = len(words.ids)
+    alive = [np.ones(n, bool)]
+    for k in range(1, LONGEST + 1):
+        if k > 1:
+            # A beginning of k words needs those of k - 1 words at both of its ends.
+            whole = alive[-1][: max(n - k + 1, 0)] & alive[-1][1 : max(n - k + 2, 1)][: max(n - k + 1, 0)]
+            if k == 2:
+                whole &= words.joined[: max(n - 1, 0)]
+            alive.append(whole)
+        if (k - 1) // 2 < len(known):
+            at = np.flatnonzero(alive[-1])
+            kept_at = at[known[(k - 1) // 2].may_hold(hashes[k - 1][at])]
+            alive[-1] = np.zeros(len(alive[-1]), bool)
+            alive[-1][kept_at] = True
+    return alive
+
+
+def frequent_hashes(docs: DataFrame, *known: Bitmap) -> DataFrame:
+    """(hash) of beginnings that occur ``LEAST`` times in a language; others may be among them.
+
+    ``docs`` holds text and lang. First come words and pairs; with their bitmap, three and four words. Each range
+    of hashes is merged by one task from one packed row per block, so a common pair is no hot key.
     """
     # As many ranges as the scan has parts: a range merges about what one part sends.
     ranges = max(docs.rdd.getNumPartitions(), 8)
+    sent = docs.sparkSession.sparkContext.broadcast(list(known))
+    level = 2 * len(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = (np.arange(1, ranges) * ((1 << HASH_BITS) / ranges)).astype(np.uint64)
         for words in blocks(batches, BLOCK):
-            pair = np.flatnonzero(words.joined)
-            n = np.uint64(max(len(words.hashes), 1))
-            key, times = np.unique(words.ids[pair].astype(np.uint64) * n + words.ids[pair + 1].astype(np.uint64), return_counts=True)
-            ones = (cut_hash(words.hashes), np.bincount(words.ids, minlength=len(words.hashes)))
-            twos = (cut_hash(pair_hashes(words.hashes[(key // n).astype(np.int64)], words.hashes[(key % n).astype(np.int64)])), times)
-            values, counts = summed([ones, twos])
-            edges = np.searchsorted(values, (np.arange(ranges + 1) * ((1 << HASH_BITS) / ranges)).astype(np.uint64))
-            edges[-1] = len(values)
-            parts = [(r, packed(values[a:b], counts[a:b])) for r, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+            hashes = joined_hashes(words)
+            alive = reached(words, hashes, sent.value)
+            found = np.concatenate([cut_hash(hashes[k][alive[k]]) for k in (level, level + 1)])
+            values, counts = np.unique(found, return_counts=True)
+            cuts = [0, *np.searchsorted(values, edges).tolist(), len(values)]
+            parts = [(r, packed(values[a:b], counts[a:b])) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=["part", "block"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,28 +276,20 @@ def bitmap(frequent: DataFrame) -> Bitmap:
 COLUMNS = [f"w{k + 1}" for k in range(LONGEST)]
 
 
-def windows(docs: DataFrame, often: Bitmap) -> DataFrame:
+def windows(docs: DataFrame, *known: Bitmap) -> DataFrame:
     """(lang, w1 .. w4, n): padded windows and how often each occurs in a block of ``docs(text, lang)``."""
-    sent = docs.sparkSession.sparkContext.broadcast(often)
+    sent = docs.sparkSession.sparkContext.broadcast(list(known))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in blocks(batches, WINDOW_BLOCK):
             n, ids = len(words.hashes), words.ids
-            usable = sent.value.may_hold(words.hashes)[ids]
-            goes_on = np.zeros(len(ids) + LONGEST, bool)
-            pair = np.flatnonzero(words.joined & usable & np.r_[usable[1:], False])
-            pair = pair[sent.value.may_hold(pair_hashes(words.hashes[ids[pair]], words.hashes[ids[pair + 1]]))]
-            goes_on[pair] = True
+            alive = [np.r_[a, np.zeros(len(ids) - len(a), bool)] for a in reached(words, joined_hashes(words), sent.value)]
             # Words that end before a second column: counted per word, or per language if too rare.
-            alone = np.flatnonzero(~goes_on[: len(ids)])
-            singles = np.bincount(ids[alone], minlength=n)
-            begin = np.flatnonzero(goes_on[: len(ids)])
+            singles = np.bincount(ids[~alive[1]], minlength=n)
+            begin = np.flatnonzero(alive[1])
             # Columns as numbers from 1, 0 for padding; two of them make one key.
             padded = np.r_[ids + 1, np.zeros(LONGEST, np.int64)].astype(np.uint64)
-            alive, later = np.ones(len(begin), bool), []
-            for k in range(1, LONGEST):
-                alive = alive & goes_on[begin + k - 1]
-                later.append(np.where(alive, padded[begin + k], U(0)))
+            later = [np.where(alive[k][begin], padded[begin + k], U(0)) for k in range(1, LONGEST)]
             wide = U(n + 1)
             left, right = padded[begin] * wide + later[0], later[1] * wide + later[2]
             order = np.lexsort((right, left))
@@ -279,7 +297,8 @@ def windows(docs: DataFrame, often: Bitmap) -> DataFrame:
             new = np.flatnonzero(np.r_[True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])]) if len(order) else np.zeros(0, np.int64)
             times = np.diff(np.r_[new, len(order)])
             places = [left[new] // wide, left[new] % wide, right[new] // wide, right[new] % wide]
-            enough = sent.value.may_hold(words.hashes)
+            enough = np.zeros(n, bool)
+            enough[ids[alive[0]]] = True
             single, rare = np.flatnonzero((singles > 0) & enough), np.flatnonzero((singles > 0) & ~enough)
             of_lang = np.bincount(words.lang_of[rare], weights=singles[rare], minlength=len(words.names)).astype(np.int64)
             nameless = np.flatnonzero(of_lang)
@@ -307,7 +326,10 @@ def phrase_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang") ->
     columns, where none of them is padding.
     """
     narrow = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    counted = windows(narrow, bitmap(kept(frequent_hashes(narrow), "frequent-hashes")))
+    known: list[Bitmap] = []
+    for _ in range(LONGEST // 2):
+        known.append(bitmap(kept(frequent_hashes(narrow, *known), "frequent-hashes")))
+    counted = windows(narrow, *known)
     sums = counted.rollup("lang", *COLUMNS).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     size = F.lit(LONGEST) - F.bit_count("level")
     last = F.coalesce(*[F.when(size == k, F.col(COLUMNS[k - 1])) for k in range(1, LONGEST + 1)])

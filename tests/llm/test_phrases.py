@@ -81,11 +81,27 @@ def test_counts_stay_exact_where_hashes_collide(spark, monkeypatch):
 def test_rare_words_leave_no_windows(spark):
     text = " ".join(f"word{k}" for k in range(3000)) + " common pair" * 40
     docs = spark.createDataFrame([(1, text, "en")], SCHEMA)
-    often = phrases.bitmap(phrases.frequent_hashes(docs.select("text", "lang")))
-    rows = phrases.windows(docs.select("text", "lang"), often).collect()
+    narrow = docs.select("text", "lang")
+    known = [phrases.bitmap(phrases.frequent_hashes(narrow))]
+    known.append(phrases.bitmap(phrases.frequent_hashes(narrow, *known)))
+    rows = phrases.windows(narrow, *known).collect()
     assert sum(r.n for r in rows) == 3080 and len(rows) < 20
 
 
+def test_windows_end_where_a_longer_beginning_is_rare(spark):
+    """Every pair of three words is frequent, but few of their sequences of three and four are."""
+    rng = random.Random(4)
+    text = " ".join(rng.choice("abc") for _ in range(600)) + "." + " ".join(["a b c a"] * 40)
+    docs = spark.createDataFrame([(1, text, "en")], SCHEMA)
+    narrow = docs.select("text", "lang")
+    known = [phrases.bitmap(phrases.frequent_hashes(narrow))]
+    wide = phrases.windows(narrow, *known).select("w1", "w2", "w3", "w4").distinct().count()
+    known.append(phrases.bitmap(phrases.frequent_hashes(narrow, *known)))
+    assert phrases.windows(narrow, *known).select("w1", "w2", "w3", "w4").distinct().count() < wide / 2
+    rows = [(1, text, "en")]
+    assert sorted(tuple(r) for r in collocations(docs).collect()) == brute(rows, 2000)
+
+
 def test_packed_hashes_come_back():
     rng = np.random.default_rng(1)
     values = np.unique(rng.integers(0, 1 << phrases.HASH_BITS, 5000, dtype=np.uint64))
