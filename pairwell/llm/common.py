@@ -25,7 +25,7 @@ def fold(doc_id: Column, parts: int) -> Column:
 def kept(df: DataFrame, purpose: str) -> DataFrame:
     """The table written to the shared folder and read again: lost executors do not repeat its work."""
     path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -15,7 +15,10 @@ it has in the long ones is found by binary search.
    are held against all others that are not yet in theirs. A large group of near copies is one
    component after the first rounds, so its pairs are never made. Documents with more shingles
    of their own than a link allows are left out of the rounds (``lone``).
-5. Pairs are verified in cells of one query and a bounded number of candidates: the cell
+5. Pairs are held against each other by bucketed counts first (``SKETCH`` bytes a document): how many
+   shingles fall into each bucket bounds the overlap from above. Documents that share a passage and
+   little else end here, before any text moves.
+6. The other pairs are verified in cells of one query and a bounded number of candidates: the cell
    builds inverted lists over its candidates, merges the short ones with a heap that skips,
    and probes the long ones.
 
@@ -48,6 +51,8 @@ FREQUENT = 1 << 18
 SHORT = 24
 #: Ids that are broadcast to pick documents, in bytes; more are joined.
 SENT_BYTES = 16 << 20
+#: Buckets in which a document's shingles are counted, by their first bits; a count stops at ``FULL``.
+SKETCH, FULL = 256, 255
 #: Candidates of a cell, and the growth of the number of documents held against a list per round.
 CELL = 256
 GROWTH = 4
@@ -125,6 +130,22 @@ def search(query: np.ndarray, candidates: list[np.ndarray], percent: int) -> lis
     return [c for c, n in counts.items() if n >= least_overlap(percent, len(query) + sizes[c])]
 
 
+def sketch(one: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each bucket, ``FULL`` at most."""
+    return np.minimum(np.bincount((one >> np.uint64(56)).astype(np.int64), minlength=SKETCH), FULL).astype(np.uint8).tobytes()
+
+
+def may_link(query: tuple[int, np.ndarray], sizes: np.ndarray, sketches: np.ndarray, percent: int) -> np.ndarray:
+    """Whether candidates of these sizes and bucket counts can link to the query.
+
+    The overlap is no more than the smaller count of every bucket, and what full buckets don't show.
+    """
+    n, own = query
+    most = np.minimum(sketches, own).sum(axis=1, dtype=np.int64)
+    hidden = np.minimum(sizes - sketches.sum(axis=1, dtype=np.int64), n - int(own.sum(dtype=np.int64)))
+    return most + np.maximum(hidden, 0) >= least_overlap(percent, n + sizes)
+
+
 # --- sets ---------------------------------------------------------------------------------
 
 
@@ -165,7 +186,7 @@ def frequent(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def with_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc, n, d1, d2, rare, hot): set size, a digest of the set, and the shingles of its short lists in order.
+    """(doc, n, d1, d2, rare, hot, sketch): set size, a digest of the set, the shingles of its short lists in order, bucket counts.
 
     ``rare`` are shingles that are not known to be frequent, ``hot`` those that are.
     """
@@ -184,11 +205,12 @@ def with_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
         for batch in batches:
-            counts, digests, rare, hot = [], [], [], []
+            counts, digests, rare, hot, sketches = [], [], [], [], []
             for one in shingle_sets(batch.column(1), size):
                 n = len(one)
                 counts.append(n)
                 digests.append(blake2b(one.tobytes(), digest_size=16).digest())
+                sketches.append(sketch(one))
                 keep = n - -(-percent * n // 100) + 1 if n else 0
                 if len(values):
                     at = np.minimum(np.searchsorted(values, one), len(values) - 1)
@@ -208,11 +230,12 @@ def with_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     pa.array(np.ascontiguousarray(parts[:, 1])),
                     list_of(rare),
                     list_of(hot),
+                    pa.array(sketches, pa.binary()),
                 ],
-                names=["doc", "n", "d1", "d2", "rare", "hot"],
+                names=["doc", "n", "d1", "d2", "rare", "hot", "sketch"],
             )
 
-    ddl = f"doc {id_type}, n bigint, d1 bigint, d2 bigint, rare array<bigint>, hot array<bigint>"
+    ddl = f"doc {id_type}, n bigint, d1 bigint, d2 bigint, rare array<bigint>, hot array<bigint>, sketch binary"
     return docs.select("doc", "text").mapInArrow(prefixes, ddl)
 
 
@@ -330,28 +353,34 @@ def sent(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if (ids.agg(F.sum(width)).first()[0] or 0) <= SENT_BYTES else ids
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, from ``texts(doc, text)``."""
+def in_cells(pairs: DataFrame, rows: DataFrame, check) -> DataFrame:
+    """The pairs (a, b) that ``check`` finds, from ``rows(doc, ...)``.
+
+    Cells hold one query and up to about ``CELL`` candidates, so a query's row comes once per cell. ``check``
+    gets a batch of columns and yields a value per row, and is asked which candidates of a query hold.
+    """
+    value_of, found_of = check
     queries = pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).alias("cells"))
     salted = pairs.join(queries, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("cells")).alias("cell"))
     members = salted.select("a", "cell", F.col("b").alias("doc")).unionByName(
         salted.select("a", "cell", F.col("a").alias("doc")).distinct()
     )
-    rows = sent(kept(members, "cells")).join(texts, "doc").withColumn("candidate", F.col("a") != F.col("doc"))
-    rows = rows.repartition("a", "cell").sortWithinPartitions("a", "cell", "candidate")
+    payload = [c for c in rows.columns if c != "doc"]
+    joined = sent(kept(members, "cells")).join(rows, "doc").withColumn("candidate", F.col("a") != F.col("doc"))
+    joined = joined.repartition("a", "cell").sortWithinPartitions("a", "cell", "candidate")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, queries_held, held, found = None, [], [], []
 
         def links() -> None:
-            for query in queries_held:
-                for place in search(query, [s for _, s in held], percent):
+            for query in queries_held if held else ():
+                for place in found_of(query, [s for _, s in held]):
                     found.append((cell[0], held[place][0]))
 
         for batch in batches:
             keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            docs, candidate = batch.column(2).to_pylist(), batch.column(4).to_pylist()
-            for key, doc, is_candidate, one in zip(keys, docs, candidate, shingle_sets(batch.column(3), size)):
+            docs, candidate = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for key, doc, is_candidate, one in zip(keys, docs, candidate, value_of(batch.columns[4:])):
                 if key != cell:
                     links()
                     cell, queries_held, held = key, [], []
@@ -369,8 +398,33 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, batch.schema.field("doc").type) for x in zip(*found)], names=["a", "b"])
 
-    doc = texts.schema["doc"].dataType.simpleString()
-    return rows.select("a", "cell", "doc", "text", "candidate").mapInArrow(check, f"a {doc}, b {doc}").distinct()
+    doc = rows.schema["doc"].dataType.simpleString()
+    return joined.select("a", "cell", "doc", "candidate", *payload).mapInArrow(look, f"a {doc}, b {doc}").distinct()
+
+
+def by_sketch(percent: int):
+    """Check of rows (n, sketch)."""
+
+    def value_of(columns: list[pa.Array]) -> Iterator[tuple[int, np.ndarray]]:
+        for n, counts in zip(columns[0].to_pylist(), columns[1].to_pylist()):
+            yield n, np.frombuffer(counts, np.uint8)
+
+    def found_of(query, candidates) -> list[int]:
+        sizes = np.array([n for n, _ in candidates], np.int64)
+        return np.flatnonzero(may_link(query, sizes, np.stack([c for _, c in candidates]), percent)).tolist()
+
+    return value_of, found_of
+
+
+def by_text(size: int, percent: int):
+    """Check of rows (text)."""
+    return lambda columns: shingle_sets(columns[0], size), lambda query, candidates: search(query, candidates, percent)
+
+
+def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, from ``sketches(doc, n, sketch)`` and ``texts(doc, text)``."""
+    likely = kept(in_cells(pairs, sketches, by_sketch(percent)), "likely-pairs")
+    return in_cells(likely, texts, by_text(size, percent))
 
 
 def possible(percent: int, first: str, second: str) -> Column:
@@ -414,9 +468,9 @@ def next_pairs(lists: DataFrame, labels: DataFrame, held: int, percent: int) ->
     return pairs, rest.select("shingle", "n", "doc", "place", "lone")
 
 
-def more_links(labels: DataFrame, pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def more_links(labels: DataFrame, pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The labels with those of the pairs that link."""
-    new = kept(verified(pairs, texts, size, percent), "links")
+    new = kept(verified(pairs, sketches, texts, size, percent), "links")
     if new.isEmpty():
         return labels
     joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)
@@ -456,19 +510,21 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     long = kept_small(in_rare.unionByName(hot.join(several, "shingle").select("shingle", "n", "doc", "place", "lone")), "long-lists")
     pairs = kept(promising(lists, long, percent), "pairs")
     needed = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).unionByName(long.select("doc"))
-    texts = kept(docs.join(sent(kept(needed.distinct(), "candidate-ids")), "doc", "left_semi"), "candidate-texts")
+    needed = sent(kept(needed.distinct(), "candidate-ids"))
+    texts = kept(docs.join(needed, "doc", "left_semi"), "candidate-texts")
+    sketches = kept(sets.select("doc", "n", "sketch").join(needed, "doc", "left_semi"), "candidate-sketches")
     # First a pair for each document: in a group of near copies they mostly make one component,
     # and only pairs between components are left to verify.
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    labels = kept_small(components(verified(kept(first, "pairs"), texts, size, percent)), "labels")
+    labels = kept_small(components(verified(kept(first, "pairs"), sketches, texts, size, percent)), "labels")
     of_a, of_b = (labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component")) for c in ("a", "b"))
     apart = ~F.coalesce("a_component", "a").eqNullSafe(F.coalesce("b_component", "b"))
     others = pairs.join(first, ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left").filter(apart)
-    labels = more_links(labels, kept(others.select("a", "b"), "pairs"), texts, size, percent)
+    labels = more_links(labels, kept(others.select("a", "b"), "pairs"), sketches, texts, size, percent)
     held = 1
     while not long.isEmpty():
         found, rest = next_pairs(long, labels, held, percent)
-        labels = more_links(labels, kept(found, "pairs"), texts, size, percent)
+        labels = more_links(labels, kept(found, "pairs"), sketches, texts, size, percent)
         long = kept_small(rest, "long-lists")
         held *= GROWTH
     members = sets.select("doc", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import pairwell.llm.ngram_join as join
@@ -105,3 +106,41 @@ def test_components_of_a_path_and_a_star(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(5, 5), (3, 2)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 140)}
+
+
+def test_bucket_counts_bound_the_overlap():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1)) for n in (1, 5, 300, 5000, 200_000)]
+    sets += [np.unique(np.r_[s[: int(len(s) * share)], rng.integers(0, 1 << 63, len(s) // 8 + 1, dtype=np.uint64)]) for s in sets for share in (0.9, 0.99, 1)]
+    rows = [(len(s), np.frombuffer(join.sketch(s), np.uint8)) for s in sets]
+    sizes, counts = np.array([n for n, _ in rows]), np.stack([c for _, c in rows])
+    passed = 0
+    for s, row in zip(sets, rows):
+        may = join.may_link(row, sizes, counts, 85)
+        for other, ok in zip(sets, may):
+            both = len(np.intersect1d(s, other))
+            assert ok or 100 * both < 85 * (len(s) + len(other) - both)
+            passed += ok
+    assert passed < len(sets) ** 2 / 2
+
+
+def test_documents_of_shared_clauses_move_few_texts(spark, monkeypatch):
+    """Documents put together from two clauses each of many slots share frequent shingles, but none links."""
+    rng = random.Random(6)
+    moved = {}
+    in_cells = join.in_cells
+
+    def counted(pairs, rows, check):
+        if "text" in rows.columns:
+            moved[size] = moved.get(size, 0) + pairs.count()
+        return in_cells(pairs, rows, check)
+
+    monkeypatch.setattr(join, "in_cells", counted)
+    clauses = [[" ".join(f"s{slot}c{c}w{k}" for k in range(12)) for c in range(2)] for slot in range(25)]
+    for size in (60, 120):
+        rows = [(k, " ".join(rng.choice(slot) for slot in clauses)) for k in range(size)]
+        rows += [(1000 + k, text) for k, text in rows[:5]] + [(2000 + k, text + " end") for k, text in rows[:5]]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc: (r.n, r.component) for r in join.jaccard_components(docs).collect()}
+        assert got == brute(rows)
+    assert moved[120] <= 3 * 120 and moved[120] <= 3 * max(moved[60], 60)
