@@ -329,7 +329,8 @@ def phrase_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang") ->
     known: list[Bitmap] = []
     for _ in range(LONGEST // 2):
         known.append(bitmap(kept(frequent_hashes(narrow, *known), "frequent-hashes")))
-    counted = windows(narrow, *known)
+    # Windows are added up first: of the few that are left, ROLLUP then makes the shorter phrases.
+    counted = windows(narrow, *known).groupBy("lang", *COLUMNS).agg(F.sum("n").alias("n"))
     sums = counted.rollup("lang", *COLUMNS).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     size = F.lit(LONGEST) - F.bit_count("level")
     last = F.coalesce(*[F.when(size == k, F.col(COLUMNS[k - 1])) for k in range(1, LONGEST + 1)])
