@@ -232,6 +232,24 @@ VECTOR_TOPK = _ranked(
         "sem_vector",
     )
 
+# Pivots are the square root of all and one, by the MD5 of their id; a margin of 2e-6 besides the sixth digit.
+PIVOT_REACH = """
+WITH v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+pivots AS MATERIALIZED (
+  SELECT vec_id AS p, v FROM (SELECT *, row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) AS n FROM v)
+  WHERE n <= (SELECT floor(sqrt(count(*))) + 1 FROM v)),
+near AS MATERIALIZED (
+  SELECT v.vec_id, p, greatest(-1, least(1, list_cosine_similarity(v.v, pivots.v))) AS cosine FROM v, pivots),
+home AS (
+  SELECT vec_id, arg_max(p, cosine) AS p, acos(max(cosine)) AS angle FROM near GROUP BY vec_id),
+floors AS (
+  SELECT vec_id, acos(greatest(-1, round(cosine + 1, 6) - 1 - 0.000001 - 0.000002)) AS reach
+  FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC) AS n FROM near) WHERE n = 10)
+SELECT f.vec_id AS cv_id, count(*) AS candidates
+FROM floors f JOIN near q ON q.vec_id = f.vec_id JOIN home h ON h.p = q.p
+WHERE abs(acos(q.cosine) - h.angle) <= f.reach GROUP BY f.vec_id
+"""
+
 LINKS = """
 all_links AS (
   SELECT page_id, page_url, i - 1 AS position, hrefs[i] AS url
@@ -343,6 +361,8 @@ ORACLES: dict[str, str] = {
     "lsh_topk": f"WITH {SKETCH_CTES} {LSH}",
     "skill_jaccard_exact": f"WITH {SKETCH_CTES} {EXACT}",
     "vector_topk": VECTOR_TOPK,
+    "pivot_topk": VECTOR_TOPK,
+    "pivot_reach": PIVOT_REACH,
     "sketch_pairs": f"WITH {SKETCH_CTES} SELECT cv_id, doc_id, raw_score AS score FROM ({LSH})",
     "vector_pairs": f"SELECT cv_id, doc_id, rank, raw_score AS score FROM ({VECTOR_TOPK})",
     "hash_embed": f"""WITH {_embedding('doc_text', 'documents', 'doc_id', 'text')}

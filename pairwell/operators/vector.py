@@ -32,12 +32,12 @@ class CosineKernel(Kernel):
         self.digits = digits
 
     def prepare(self, profiles: pa.Table) -> SimpleNamespace:
-        usable, units = _units(flat_ids(profiles.column("vector")))
+        usable, units = unit_rows(flat_ids(profiles.column("vector")))
         ids = flat_ids(profiles.column("cv_id")).take(pa.array(usable))
         return SimpleNamespace(ids=ids, units=units)
 
     def matches(self, state: SimpleNamespace, postings: pa.RecordBatch, floor: np.ndarray, k: int) -> Matches:
-        usable, units = _units(postings.column("vector"))
+        usable, units = unit_rows(postings.column("vector"))
         score = np.full((len(state.ids), postings.num_rows), -np.inf)
         if len(usable) and len(state.ids):
             if units.shape[1] != state.units.shape[1]:
@@ -46,7 +46,7 @@ class CosineKernel(Kernel):
         return contenders(score, floor, k, postings.column("doc_id"))
 
 
-def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors, and the rows they come from.
 
     Null and all-zero vectors stand for "no text" and are left out here, in the

@@ -21,6 +21,7 @@ from pairwell.operators.fusion import channel_counts, rrf
 from pairwell.operators.lsh import lsh_candidate_counts, lsh_topk
 from pairwell.operators.once import with_once
 from pairwell.operators.pages import extract_page_fields, list_page_urls
+from pairwell.operators.pivots import pivot_reach, pivot_topk, write_pivot_index
 from pairwell.operators.profiles import extract_profiles, read_replies, rejected_profiles, valid_profiles
 from pairwell.operators.sketch import band_table, signature
 from pairwell.operators.vector import vector_topk
@@ -216,6 +217,25 @@ def q_vector_topk(spark, sf):
     return vector_topk(profiles, postings, K, digits=DIGITS)
 
 
+def _pivoted(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    path = shared_dir(spark, "pivots")
+    write_pivot_index(vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), path)
+    return path, vectors.select(F.col("vec_id").alias("cv_id"), F.col("embedding").alias("vector"))
+
+
+def q_pivot_topk(spark, sf):
+    """Every embedding against all of them, skipping by angles to pivots."""
+    path, profiles = _pivoted(spark, sf)
+    return pivot_topk(spark, path, profiles, K, digits=DIGITS)
+
+
+def q_pivot_reach(spark, sf):
+    """How many embeddings the first floors leave to score."""
+    path, profiles = _pivoted(spark, sf)
+    return pivot_reach(spark, path, profiles, K, digits=DIGITS)
+
+
 def q_hash_embed(spark, sf):
     vector = hash_embed(F.col("text"), DIM)
     whole = F.array_join(F.transform(vector, lambda x: x.cast("int").cast("string")), " ")

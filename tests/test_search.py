@@ -15,6 +15,7 @@ from pairwell.operators import block_join
 from pairwell.operators.block_join import Kernel, Limits, Search, _Best, best_of_each, contenders
 from pairwell.operators.bm25 import Bm25Kernel, bm25_search, bm25_topk, corpus_stats, corpus_totals, merged_counts, term_counts, tokenised
 from pairwell.operators.lsh import lsh_candidate_counts, lsh_topk
+from pairwell.operators.pivots import pivot_reach, pivot_topk, write_pivot_index
 from pairwell.operators.sketch import MAX_HASH, band_table, optimal_bands, permutations, signature, skills_signature
 from pairwell.operators.vector import vector_search, vector_topk
 from pairwell.sources.search_index import (
@@ -150,6 +151,30 @@ def test_vector_topk(spark, limits):
     assert_same(collected(got), ranked(scores, 7))
 
 
+@pytest.mark.parametrize("limits", PLACEMENTS)
+def test_pivots_find_what_all_scores_find(spark, tmp_path, limits):
+    draw = np.random.default_rng(11)
+    centres = draw.normal(size=(12, 10))
+    docs = [(i, (centres[i % 12] + 0.1 * draw.normal(size=10)).astype(np.float32).tolist()) for i in range(400)]
+    docs += [(400 + i, docs[0][1]) for i in range(30)] + [(500, None), (501, [0.0] * 10)]
+    cvs = [(i, (centres[i % 12] + 0.2 * draw.normal(size=10)).astype(np.float32).tolist()) for i in range(20)]
+    cvs += [(20, None), (21, [0.0] * 10), (22, docs[0][1])]
+    right = spark.createDataFrame(docs, "doc_id long, vector array<float>")
+    left = spark.createDataFrame(cvs, "cv_id int, vector array<float>")
+    path = str(tmp_path / "index")
+    assert write_pivot_index(right, path) == 21
+    got = collected(pivot_topk(spark, path, left, 4, limits=limits, digits=6))
+    assert got == collected(vector_topk(left, right, 4, digits=6))
+    reached = {r.cv_id: r.candidates for r in pivot_reach(spark, path, left, 4, limits=limits, digits=6).collect()}
+    assert reached.keys() == set(range(20)) | {22} and sum(reached.values()) < 0.5 * 430 * 21
+    few = str(tmp_path / "few")
+    write_pivot_index(right, few, pivots=2)
+    assert collected(pivot_topk(spark, few, left, 4, limits=limits, digits=6)) == got
+    none = str(tmp_path / "none")
+    assert write_pivot_index(right.limit(0), none) == 0
+    assert pivot_topk(spark, none, left, 4, limits=limits).count() == 0
+
+
 def test_scores_that_differ_little_keep_their_order(spark):
     left = spark.createDataFrame([(0, [1.0, 0.0])], "cv_id int, vector array<double>")
     right = spark.createDataFrame([(1, [1.0, 0.0008]), (2, [1.0, 0.0]), (3, [1.0, 0.0])], "doc_id int, vector array<double>")
