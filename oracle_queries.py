@@ -491,3 +491,4 @@ ORACLES: dict[str, str] = {
                  row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) AS n FROM documents)
         WHERE n = 1""",
 }
+ORACLES["incremental_compaction"] = ORACLES["compacted_postings"]

@@ -24,7 +24,7 @@ from pairwell.operators.block_join import Kernel, Limits, Matches, Search, best_
 from pairwell.operators.bm25 import bm25_search, merged_counts, term_counts
 from pairwell.operators.ranking import as_channel
 from pairwell.operators.sketch import MAX_HASH, NUM_PERM, THRESHOLD, band_table
-from pairwell.sources.postings import latest, read_batches, write_batch
+from pairwell.sources.batches import latest, read_batches, write_batch
 
 ID = T.StructField("posting_id", T.StringType())
 WORDS = T.StructType([ID, T.StructField("tokens", T.ArrayType(T.StringType()))])

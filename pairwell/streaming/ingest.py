@@ -13,7 +13,7 @@ from pairwell.operators.embed import DIM, Embedder
 from pairwell.plans.enrich import enrich
 from pairwell.schemas import POSTING
 from pairwell.sources.messages import decode_messages, last_per_posting, rejected_messages, valid_messages
-from pairwell.sources.postings import read_batches, write_batch
+from pairwell.sources.batches import read_batches, write_batch
 from pairwell.sources.search_index import write_index
 
 REJECT = T.StructType([T.StructField("value", T.StringType()), T.StructField("reason", T.StringType())])

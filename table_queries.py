@@ -29,19 +29,12 @@ from pairwell.plans.enrich import enrich
 from pairwell.plans.hybrid import hybrid_match, prepare_profiles, report, search_channels, search_columns, with_documents
 from pairwell.schemas import POSTING
 from pairwell.session import shared_dir, spread
+from pairwell.sources.batches import latest, read_batches, write_batch
+from pairwell.sources.compaction import compact_postings, removable, remove
 from pairwell.sources.files import write_json, write_rejects, write_texts
 from pairwell.sources.history import append_history, read_history
 from pairwell.sources.messages import decode_messages, encode_messages, rejected_messages, valid_messages
-from pairwell.sources.postings import (
-    append_postings,
-    compact_postings,
-    create_postings_table,
-    latest,
-    read_batches,
-    read_postings,
-    to_documents,
-    write_batch,
-)
+from pairwell.sources.postings import append_postings, create_postings_table, read_postings, to_documents
 from pairwell.sources.search_index import (
     indexed_bands,
     indexed_bm25_topk,
@@ -581,13 +574,29 @@ def q_compacted_postings(spark, sf):
     base = shared_dir(spark, "compacted")
     write_batch(rows.filter(number % 2 == 0), f"{base}/batches", 0)
     write_batch(rows.filter(number % 4 == 0).withColumn("title", F.lit("again")), f"{base}/batches", 1)
-    compact_postings(spark, f"{base}/batches", f"{base}/current", 8)
+    compact_postings(spark, f"{base}/batches", f"{base}/current", 1 << 20)
     later = rows.filter((number % 2 == 1) | (number % 6 == 0)).withColumn("doc_type", F.when(number % 3 == 0, "job").otherwise("cv"))
     write_batch(later, f"{base}/batches", 2)
     found = read_postings(spark, f"{base}/batches", compacted=f"{base}/current")
     return found.select("posting_id", "title", "doc_type")
 
 
+def q_incremental_compaction(spark, sf):
+    """Three batches, compacted one after the other; what the last manifest does not need is removed."""
+    messages = posting_messages(spread(table(spark, sf, "documents")))
+    rows = enrich(valid_messages(decode_messages(messages)), dim=4)
+    number = F.regexp_extract("link", r"/(\d+)//", 1).cast("long")
+    base = shared_dir(spark, "incremental")
+    batches, current = f"{base}/batches", f"{base}/current"
+    later = rows.filter((number % 2 == 1) | (number % 6 == 0)).withColumn("doc_type", F.when(number % 3 == 0, "job").otherwise("cv"))
+    again = rows.filter(number % 4 == 0).withColumn("title", F.lit("again"))
+    for batch, part in enumerate((rows.filter(number % 2 == 0), again, later)):
+        write_batch(part, batches, batch)
+        compact_postings(spark, batches, current, 1 << 20)
+        remove(spark, removable(spark, batches, current))
+    return read_postings(spark, batches, compacted=current).select("posting_id", "title", "doc_type")
+
+
 def _prepared(spark, sf):
     return prepare_profiles(
         texts(spark, sf)[0].select(

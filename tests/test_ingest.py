@@ -19,16 +19,10 @@ from pairwell.sources.messages import (
     valid_messages,
     write_topic,
 )
-from pairwell.sources.postings import (
-    append_postings,
-    compact_postings,
-    create_postings_table,
-    latest,
-    read_batches,
-    read_postings,
-    to_documents,
-    write_batch,
-)
+from pairwell.sources import compaction
+from pairwell.sources.batches import latest, read_batches, write_batch
+from pairwell.sources.compaction import compact_postings
+from pairwell.sources.postings import append_postings, create_postings_table, read_postings, to_documents
 from pairwell.streaming.ingest import batch_status, read_rejects, start_ingest, store_batch
 
 FULL = {
@@ -254,17 +248,65 @@ def test_compacted_postings_read_as_before(spark, tmp_path):
 
     write_batch(rows("a1", "b1", "c1"), path, 0)
     write_batch(rows("a2"), path, 1)
-    assert compact_postings(spark, path, compacted, 2) == 1
+    assert compact_postings(spark, path, compacted, 2000) == 1
     assert titles(compacted=compacted) == titles() == ["a2", "b1", "c1"]
     write_batch(rows("b2", "d1"), path, 2)
     write_batch(rows("b3"), path, 3)
     assert titles(compacted=compacted) == titles() == ["a2", "b3", "c1", "d1"]
-    assert compact_postings(spark, path, compacted, 2) == compact_postings(spark, path, compacted, 2) == 3
+    assert compact_postings(spark, path, compacted, 2000) == compact_postings(spark, path, compacted, 2000) == 3
     assert titles(compacted=compacted) == ["a2", "b3", "c1", "d1"]
     plan = read_postings(spark, path, compacted=compacted)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan
 
 
+def test_compaction_rewrites_touched_buckets_and_survives_a_crash(spark, tmp_path, monkeypatch):
+    path, compacted = str(tmp_path / "postings"), str(tmp_path / "compacted")
+
+    def rows(*titles):
+        values = [json.dumps({"title": t, "link": f"http://h/{t.split('-')[0]}"}) for t in titles]
+        return enrich(valid_messages(decoded(spark, values)), dim=8)
+
+    def titles():
+        return sorted(r.title for r in read_postings(spark, path, compacted=compacted).collect())
+
+    names = [f"p{k}" for k in range(40)]
+    write_batch(rows(*[f"{n}-0" for n in names]), path, 0)
+    compact_postings(spark, path, compacted, 3000)
+    (first,) = compaction.manifests(spark, compacted)
+    assert first.buckets > 4 and first.through == 0
+    pinned = compaction.read_buckets(spark, compacted, first)
+    write_batch(rows("p7-1", "new-1"), path, 1)
+    write = compaction.write_manifest
+
+    def crash(*args):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(compaction, "write_manifest", crash)
+    with pytest.raises(RuntimeError):
+        compact_postings(spark, path, compacted, 3000)
+    monkeypatch.setattr(compaction, "write_manifest", write)
+    expected = sorted([f"{n}-0" for n in names if n != "p7"] + ["p7-1", "new-1"])
+    assert len(compaction.manifests(spark, compacted)) == 1 and titles() == expected
+    assert compact_postings(spark, path, compacted, 3000) == 1
+    second = compaction.manifests(spark, compacted)[-1]
+    rewritten = [b for b, v in second.folders.items() if v == second.version]
+    assert 1 <= len(rewritten) <= 2 < len(second.folders) and titles() == expected
+    # Who reads the first manifest still can, until its folders are removed.
+    assert sorted(r.title for r in pinned.collect()) == sorted(f"{n}-0" for n in names)
+    assert compaction.removable(spark, path, compacted, keep=2) == [f"{path}/batch_id=0"]
+    compaction.remove(spark, compaction.removable(spark, path, compacted))
+    assert titles() == expected and len(compaction.manifests(spark, compacted)) == 1
+    assert sorted(p.name for p in (tmp_path / "postings").iterdir() if p.name.startswith("batch")) == []
+    # Many more rows: smaller buckets, all written anew.
+    write_batch(rows(*[f"q{k}-2" for k in range(400)]), path, 2)
+    compact_postings(spark, path, compacted, 1000)
+    third = compaction.manifests(spark, compacted)[-1]
+    assert third.buckets > second.buckets and set(third.folders.values()) == {third.version}
+    assert titles() == sorted(expected + [f"q{k}-2" for k in range(400)])
+    with pytest.raises(ValueError):
+        read_postings(spark, path, compacted=str(tmp_path / "none"))
+
+
 def test_latest_keeps_everything_else(spark):
     frame = spark.createDataFrame([("a", 0), ("a", 0), ("a", 2), ("b", 1)], "posting_id string, batch_id long")
     assert sorted(map(tuple, latest(frame).collect())) == [("a", 2), ("b", 1)]
