@@ -372,6 +372,15 @@ ORACLES: dict[str, str] = {
     "model_embed": f"""SELECT doc_id, length(text)::DOUBLE AS characters,
         (length(text) - length(replace(text, ' ', '')))::DOUBLE AS blanks,
         CASE WHEN {_body('text')} <> '' THEN length({_body('text')}) END::DOUBLE AS body_characters FROM documents""",
+    "stored_vectors": f"""
+        WITH t AS (SELECT doc_id, text, {_body('text')} AS body FROM documents),
+        early AS (SELECT DISTINCT text AS x FROM t WHERE (doc_id % 2 = 0 OR doc_id % 3 = 0) AND text <> ''),
+        late AS (SELECT text AS x FROM t WHERE text <> '' UNION SELECT body FROM t WHERE body <> '')
+        SELECT doc_id, length(text)::DOUBLE AS characters,
+               CASE WHEN body <> '' THEN length(body) - length(replace(body, ' ', '')) END::DOUBLE AS body_blanks,
+               (SELECT count(*) FROM early) AS first_calls,
+               (SELECT count(*) FROM (SELECT * FROM late EXCEPT SELECT * FROM early)) AS last_calls
+        FROM t""",
     "channel_counts": f"WITH {HYBRID_CTES} SELECT cv_id, source, count(*) AS hits FROM hits GROUP BY ALL",
     "rrf_fusion": f"""WITH {HYBRID_CTES}
         SELECT f.cv_id, f.doc_id, f.rank, f.rrf_score, h.source, h.rank AS source_rank, h.raw_score
@@ -475,6 +484,9 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT '', count(*), sum(len(words))::BIGINT FROM doc_len""",
     "index_documents": INDEX_DOCUMENTS,
     "stream_rejects": "SELECT sha256(text) AS value_hash, 'not JSON' AS reason FROM documents",
+    "stream_balance": """
+        SELECT 3 * n + blanks AS received, blanks AS empty, n AS saved, n AS rejected, n AS replaced, 0::BIGINT AS missing
+        FROM (SELECT count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS blanks FROM documents)""",
     "stream_status": "SELECT count(*)::BIGINT AS saved, count(*)::BIGINT AS rejected FROM documents",
     "clean_location": f"""
         SELECT conv_id, turn,
@@ -492,3 +504,4 @@ ORACLES: dict[str, str] = {
         WHERE n = 1""",
 }
 ORACLES["incremental_compaction"] = ORACLES["compacted_postings"]
+ORACLES["stream_links_ttl"] = ORACLES["stream_links"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from pairwell.functions.text import tokens
 from pairwell.operators.hashing import hashed_tokens
 from pairwell.session import shared_dir
+from pairwell.sources.vectors import KEPT, VectorStore
 
 DIM = 1536
 VECTOR = T.ArrayType(T.FloatType())
@@ -70,6 +72,7 @@ def embed_columns(
     tasks: int | None = None,
     on_error: str = "raise",
     error: str = "embed_error",
+    store: VectorStore | None = None,
 ) -> DataFrame:
     """Add a vector column for every text column; null where the text is null or empty.
 
@@ -81,6 +84,9 @@ def embed_columns(
     ``on_error`` tells what a text does on which the model fails: ``raise`` ends the job,
     ``zero`` gives it the zero vector, ``reject`` gives it none and states why in the column
     ``error`` of its rows. A failing batch is tried again text by text.
+
+    With a ``store`` the model sees only texts whose vector is not there yet, and its vectors are added. A
+    text on which it fails is not stored, so a later job tries it again.
     """
     if on_error not in ("raise", "zero", "reject"):
         raise ValueError("on_error must be raise, zero or reject")
@@ -91,6 +97,14 @@ def embed_columns(
     keys = {t: F.when(F.col(t) != "", F.sha2(F.col(t), 256)) for t in columns}
     entries = F.array(*[F.struct(keys[t].alias("text_key"), F.col(t).alias("text")) for t in columns])
     texts = df.select(F.inline(entries)).filter(F.col("text_key").isNotNull()).dropDuplicates(["text_key"])
+    if store is not None:
+        path = shared_dir(df.sparkSession, "asked-texts")
+        texts.write.parquet(path)
+        texts = df.sparkSession.read.schema(texts.schema).parquet(path)
+        path = shared_dir(df.sparkSession, "known-vectors")
+        store.known(texts.select("text_key")).write.parquet(path)
+        known = df.sparkSession.read.schema(KEPT).parquet(path)
+        texts = texts.join(known.select("text_key"), "text_key", "left_anti")
     if tasks is not None:
         texts = texts.repartition(tasks)
 
@@ -103,6 +117,14 @@ def embed_columns(
     path = shared_dir(df.sparkSession, "vectors")
     texts.mapInPandas(encode, VECTORS).write.parquet(path)
     vectors = df.sparkSession.read.schema(VECTORS).parquet(path)
+    if store is not None:
+        # Rejects and zero vectors are no vectors of the model.
+        made = vectors.filter(F.col("vector").isNotNull() & F.col("error").isNull())
+        if on_error == "zero":
+            made = made.filter(F.exists("vector", lambda x: x != 0))
+        if not made.isEmpty():
+            store.add(made, f"part-{uuid.uuid4().hex}")
+        vectors = vectors.unionByName(known.withColumn("error", F.lit(None).cast("string")))
     # Left joins: Spark splits a text that very many rows share, and rows without text, at run time.
     for number, (text, vector) in enumerate(columns.items()):
         key = f"text_key_{number}"

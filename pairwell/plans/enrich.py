@@ -16,6 +16,7 @@ from pairwell.operators.embed import DIM, Embedder, embed_columns
 from pairwell.operators.sketch import NUM_PERM, skills_signature
 from pairwell.schemas import POSTING
 from pairwell.sources.messages import posting_id
+from pairwell.sources.vectors import VectorStore
 
 # Constants of every enriched posting.
 DOC_TYPE = "job"
@@ -28,11 +29,12 @@ def enrich(
     dim: int = DIM,
     num_perm: int = NUM_PERM,
     on_error: str = "raise",
+    store: VectorStore | None = None,
 ) -> DataFrame:
     """Clean fields, split skills, sketch them and embed two texts.
 
     With ``on_error="reject"`` the columns ``value`` and ``embed_error`` follow; the latter
-    is null where the model has embedded both texts.
+    is null where the model has embedded both texts. ``store`` keeps the model's vectors.
     """
     cleaned = messages.select(
         posting_id(F.col("link"), F.col("value")).alias("posting_id"),
@@ -52,7 +54,7 @@ def enrich(
         "skills_signature", skills_signature(F.col("skills"), num_perm)
     )
     texts = {"description": "description_vector", "experience": "experience_vector"}
-    vectors = embed_columns(sketched, texts, embedder, dim, on_error=on_error)
+    vectors = embed_columns(sketched, texts, embedder, dim, on_error=on_error, store=store)
     metadata = F.struct(F.lit(ORIGIN).alias("source"), F.current_timestamp().alias("indexed_at"))
     extra = ["value", "embed_error"] if on_error == "reject" else []
     return vectors.withColumn("metadata", metadata).select(*POSTING.names, *extra)

@@ -15,6 +15,8 @@ from pairwell.schemas import POSTING
 from pairwell.sources.messages import decode_messages, last_per_posting, rejected_messages, valid_messages
 from pairwell.sources.batches import read_batches, write_batch
 from pairwell.sources.search_index import write_index
+from pairwell.sources.vectors import VectorStore
+from pairwell.streaming.status import write_stored
 
 REJECT = T.StructType([T.StructField("value", T.StringType()), T.StructField("reason", T.StringType())])
 
@@ -30,6 +32,8 @@ def store_batch(
     tasks: int | None = None,
     on_error: str = "raise",
     index_path: str | None = None,
+    store: VectorStore | None = None,
+    status_path: str | None = None,
 ) -> None:
     """Decode, enrich and store one batch; bad messages go to the rejects.
 
@@ -37,14 +41,15 @@ def store_batch(
     repeated. ``order`` names the columns by which the last message of a posting
     wins. ``tasks`` spreads the raw messages first, for sources with few partitions.
     ``on_error`` is that of the embedder; its rejects join the others. With ``index_path`` the
-    stored rows are indexed (``search_index.write_index``).
+    stored rows are indexed (``search_index.write_index``). ``store`` keeps the model's vectors across
+    batches. With ``status_path`` the batch leaves a row of what became of its messages.
     """
     if tasks is not None:
         messages = messages.repartition(tasks)
     decoded = decode_messages(messages).persist()
     try:
         good = last_per_posting(valid_messages(decoded), order)
-        rows, rejects = enrich(good, embedder, dim, on_error=on_error), rejected_messages(decoded)
+        rows, rejects = enrich(good, embedder, dim, on_error=on_error, store=store), rejected_messages(decoded)
         if on_error == "reject":
             failed = rows.filter("embed_error IS NOT NULL")
             rejects = rejects.unionByName(failed.select("value", F.concat(F.lit("embedder: "), "embed_error").alias("reason")))
@@ -54,6 +59,8 @@ def store_batch(
         if index_path is not None:
             stored = read_batches(messages.sparkSession, postings_path, POSTING).filter(F.col("batch_id") == batch_id)
             write_index(stored.drop("batch_id"), index_path, batch_id)
+        if status_path is not None:
+            write_stored(messages.sparkSession, status_path, batch_id, decoded, postings_path, rejects_path)
     finally:
         decoded.unpersist()
 
@@ -70,11 +77,14 @@ def start_ingest(
     on_error: str = "raise",
     trigger: dict | None = None,
     index_path: str | None = None,
+    store: VectorStore | None = None,
+    status_path: str | None = None,
 ) -> StreamingQuery:
     """Store every micro-batch of a message stream.
 
     With the default trigger the query stops once all input that was there at
-    the start is stored. The observed metric ``messages`` counts what came in.
+    the start is stored. The observed metric ``messages`` counts what came in; a
+    ``status.BatchListener`` on the same ``status_path`` writes it down per batch.
     """
     counted = messages.observe(
         "messages",
@@ -83,7 +93,7 @@ def start_ingest(
     )
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        store_batch(batch, postings_path, rejects_path, batch_id, order, embedder, dim, tasks, on_error, index_path)
+        store_batch(batch, postings_path, rejects_path, batch_id, order, embedder, dim, tasks, on_error, index_path, store, status_path)
 
     writer = counted.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

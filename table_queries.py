@@ -44,7 +44,9 @@ from pairwell.sources.search_index import (
     write_index,
 )
 from pairwell.streaming.ingest import batch_status, read_rejects, start_ingest
-from pairwell.streaming.links import new_links
+from pairwell.sources.vectors import VectorStore
+from pairwell.streaming.links import new_links, new_links_for, without_empty_batches
+from pairwell.streaming.status import BatchListener, ingest_status
 
 DIM = 64
 K = TOP_K_PER_CHANNEL
@@ -680,6 +682,53 @@ def q_stream_status(spark, sf):
     return status.agg(F.sum("saved").alias("saved"), F.sum("rejected").alias("rejected"))
 
 
+def q_stream_balance(spark, sf):
+    """Where every message of a stream went: documents, plain texts, repeats with a newer text, and blanks."""
+    documents = _stream(spark, sf, "documents")
+    good = posting_messages(documents.repartition(spark.sparkContext.defaultParallelism)).select("value")
+    again = good.filter(F.col("value").contains("//?x=1#top")).select(F.concat("value", F.lit(" ")).alias("value"))
+    plain = documents.select(F.col("text").alias("value"))
+    blank = documents.filter("doc_id % 3 = 0").select(F.when(F.col("doc_id") % 2 == 0, F.lit("")).alias("value"))
+    base = shared_dir(spark, "balance")
+    paths = [f"{base}/{name}" for name in ("postings", "rejects", "checkpoint")]
+    listener = BatchListener(spark, f"{base}/status")
+    spark.streams.addListener(listener)
+    try:
+        messages = good.union(again).union(plain).union(blank)
+        ingest = start_ingest(messages, *paths, ["value"], dim=4, status_path=f"{base}/status")
+        ingest.awaitTermination()
+        listener.wait(str(ingest.runId))
+    finally:
+        spark.streams.removeListener(listener)
+    counts = ["received", "empty", "saved", "rejected", "replaced", "missing"]
+    return ingest_status(spark, f"{base}/status").agg(*[F.sum(c).alias(c) for c in counts])
+
+
+def q_stored_vectors(spark, sf):
+    """A caller's model over two batches that share texts; the store answers for those it knows."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def model():
+        def vectors(batch):
+            calls.add(len(batch))
+            return [[float(len(text)), float(text.count(" "))] for text in batch]
+
+        return vectors
+
+    documents = texts(spark, sf)[1].withColumn("body", after_first_line(F.col("text")))
+    store = VectorStore(shared_dir(spark, "vector-store"), "lengths-1")
+    for part in ("doc_id % 2 = 0", "doc_id % 3 = 0"):
+        embed_columns(documents.filter(part), {"text": "vector"}, model, store=store)
+    before = calls.value
+    rows = embed_columns(documents, {"text": "vector", "body": "body_vector"}, model, store=store)
+    found = rows.select(
+        "doc_id",
+        F.element_at("vector", 1).cast("double").alias("characters"),
+        F.element_at("body_vector", 2).cast("double").alias("body_blanks"),
+    )
+    return found.withColumns({"first_calls": F.lit(before).cast("long"), "last_calls": F.lit(calls.value - before).cast("long")})
+
+
 def q_stream_links(spark, sf):
     """Links of a stream of pages, each once, without those of the https pages."""
     pages = _stream(spark, sf, "pages")
@@ -694,6 +743,18 @@ def q_stream_links(spark, sf):
     return spark.read.schema("url_key string").parquet(f"{base}/links")
 
 
+def q_stream_links_ttl(spark, sf):
+    """As stream_links, with keys that the state forgets after a day."""
+    pages = _stream(spark, sf, "pages")
+    old, _ = _found_links(spark, sf)
+    found = discover_links(pages.filter(~F.col("url").startswith("https:")), include="/", exclude=",", scope=None)
+    base = shared_dir(spark, "links-ttl")
+    writer = new_links_for(found, 86_400_000, old).select("url_key").writeStream.format("parquet").option("path", f"{base}/links")
+    with without_empty_batches(spark):
+        writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("url_key string").parquet(f"{base}/links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name.removeprefix("q_"): query for name, query in list(globals().items()) if name.startswith("q_")
 }

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 import re
@@ -23,7 +24,9 @@ from pairwell.sources import compaction
 from pairwell.sources.batches import latest, read_batches, write_batch
 from pairwell.sources.compaction import compact_postings
 from pairwell.sources.postings import append_postings, create_postings_table, read_postings, to_documents
+from pairwell.sources.vectors import VectorStore
 from pairwell.streaming.ingest import batch_status, read_rejects, start_ingest, store_batch
+from pairwell.streaming.status import BatchListener, ingest_status
 
 FULL = {
     "title": "Kỹ sư",
@@ -386,3 +389,60 @@ def test_failed_batch_is_written_once_after_restart(spark, stream_paths):
         run_stream(spark, stream_paths, embedder=broken)
     run_stream(spark, stream_paths, embedder=lambda: lambda texts: [[1.0] for _ in texts])
     assert [r.description_vector for r in read_postings(spark, postings).collect()] == [[1.0]]
+
+
+def asked_texts(log):
+    return sorted(line for name in os.listdir(log) for line in open(f"{log}/{name}").read().split("\n"))
+
+
+def test_vectors_are_kept_across_batches(spark, tmp_path):
+    log = tmp_path / "calls"
+    log.mkdir()
+    store = VectorStore(str(tmp_path / "vectors"), "lengths")
+
+    def batch(number, *texts, **options):
+        messages = spark.createDataFrame([(json.dumps({"link": f"http://h/{number}-{k}", "description": t}),) for k, t in enumerate(texts)], "value string")
+        paths = str(tmp_path / "p"), str(tmp_path / "r")
+        store_batch(messages, *paths, number, ["value"], counting_model(str(log)), 2, store=store, **options)
+        return asked_texts(log)
+
+    assert batch(0, "one", "two", "one") == ["one", "two"]
+    assert batch(1, "two", "one") == ["one", "two"]
+    # A text that the model fails on is not kept, nor is its zero vector.
+    assert batch(2, "two", "poison", on_error="zero") == ["one", "two"]
+    assert batch(3, "three", "poison", on_error="reject") == ["one", "three", "two"]
+    assert {r.text_key for r in store.read(spark).collect()} == {hashlib.sha256(t.encode()).hexdigest() for t in ("one", "two", "three")}
+    vectors = {r.description: r.description_vector for r in read_postings(spark, str(tmp_path / "p")).collect()}
+    assert vectors == {"one": [3.0, 1.0], "two": [3.0, 1.0], "three": [5.0, 1.0], "poison": [0.0, 0.0]}
+    assert VectorStore(store.path, "other").read(spark).count() == 0
+    # Equal rows of two jobs count once; a part that was not committed does not count.
+    store.add(store.read(spark), "again")
+    (tmp_path / "vectors" / "lengths" / "again" / "_SUCCESS").unlink()
+    assert store.read(spark).count() == 3
+    store.add(store.read(spark), "again")
+    keys = store.read(spark).select("text_key").distinct()
+    assert store.read(spark).count() == 6 and store.known(keys).count() == 3
+    old = store.compact(spark, "whole", 1)
+    assert len(old) == 3 and store.known(keys).count() == 3
+    with pytest.raises(ValueError):
+        VectorStore(store.path, "../x").read(spark)
+
+
+def test_status_accounts_for_every_message(spark, stream_paths, tmp_path):
+    source, *_ = stream_paths
+    status = str(tmp_path / "status")
+    lines = [json.dumps(FULL | {"link": f"http://h/{i % 4}", "title": f"t{i}"}) for i in range(6)]
+    listener = BatchListener(spark, status)
+    spark.streams.addListener(listener)
+    try:
+        (source / "a.txt").write_text("\n".join([*lines, "{bad", "", ""]) + "\n", encoding="utf-8")
+        (source / "b.txt").write_text("[]\n", encoding="utf-8")
+        listener.wait(str(run_stream(spark, stream_paths, status_path=status).runId))
+        (source / "c.txt").write_text(lines[0], encoding="utf-8")
+        listener.wait(str(run_stream(spark, stream_paths, status_path=status).runId))
+    finally:
+        spark.streams.removeListener(listener)
+    rows = sorted(tuple(r)[1:] for r in ingest_status(spark, status).collect())
+    assert rows == [(1, 0, 0, 1, 0, 0), (1, 0, 1, 0, 0, 0), (9, 2, 4, 1, 2, 0)]
+    with pytest.raises(TimeoutError):
+        listener.wait("no run", 0.1)

@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+import time
+
 import pytest
 
 from pairwell.operators.documents import convert_documents
@@ -7,7 +9,7 @@ from pairwell.operators.frontier import discover_links, distinct_links, merged_h
 from pairwell.operators.pages import extract_page_fields, list_page_urls
 from pairwell.sources.files import read_documents, write_json, write_rejects, write_texts
 from pairwell.sources.history import append_history, read_history
-from pairwell.streaming.links import new_links
+from pairwell.streaming.links import new_links, new_links_for, without_empty_batches
 
 LIST_PAGE = (
     '<div class="block-job-list"><a href="http://h/dev-1-jv?s=1">1</a><a href="http://h/dev-1-jv/#top">again</a>'
@@ -78,6 +80,30 @@ def test_link_stream_with_bounded_state(spark, tmp_path):
     assert sorted(r.url_key for r in spark.read.schema(frame.schema).parquet(sink).collect()) == ["a", "b"]
 
 
+def test_links_that_the_state_forgets(spark, tmp_path):
+    source, sink, checkpoint = (str(tmp_path / name) for name in ("in", "out", "check"))
+    schema = "page_id int, position int, url string, url_key string"
+
+    def run(rows, ttl):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        history = spark.createDataFrame([("old",)], "url string")
+        writer = new_links_for(stream, ttl, history).writeStream.format("parquet").option("path", sink)
+        with without_empty_batches(spark):
+            query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            query.awaitTermination()
+        found = sorted((r.url_key, r.page_id, r.position) for r in spark.read.schema(schema).parquet(sink).collect())
+        return found, query.lastProgress.stateOperators[0].numRowsTotal
+
+    first = [(2, 0, "a?1", "a"), (1, 5, "a", "a"), (1, 7, "a", "a"), (1, 0, "old", "old"), (3, 1, "b", "b")]
+    assert run(first, 15_000) == ([("a", 1, 5), ("b", 3, 1)], 2)
+    # Another run of the same query knows them still, and then no longer.
+    assert run([(4, 0, "a", "a"), (4, 1, "c", "c")], 15_000) == ([("a", 1, 5), ("b", 3, 1), ("c", 4, 1)], 3)
+    time.sleep(16)
+    found, rows = run([(5, 0, "a", "a")], 15_000)
+    assert found == [("a", 1, 5), ("a", 5, 0), ("b", 3, 1), ("c", 4, 1)] and rows <= 3
+
+
 def test_list_page_urls(spark):
     totals = spark.createDataFrame([("x", "101"), ("y", "?"), ("z", "0")], "site string, total string")
     rows = list_page_urls(totals, "total", "http://h/jobs?page={page}").orderBy("site", "page").collect()
