@@ -505,3 +505,20 @@ ORACLES: dict[str, str] = {
 }
 ORACLES["incremental_compaction"] = ORACLES["compacted_postings"]
 ORACLES["stream_links_ttl"] = ORACLES["stream_links"]
+ORACLES["bulk_refused"] = "SELECT doc_id::VARCHAR AS id, 'no de' AS reason FROM documents WHERE lang = 'de'"
+ORACLES["bulk_status"] = """
+    SELECT doc_id % 2 AS batch_id, count(*) FILTER (lang IS DISTINCT FROM 'de') AS saved, count(*) FILTER (lang = 'de') AS refused
+    FROM documents GROUP BY ALL"""
+ORACLES["posting_pages"] = """
+    SELECT 'job ' || doc_id AS title, source AS location, 'about ' || lang || chr(10) || doc_id AS description,
+           lang || ', SQL' AS required_skills, CASE WHEN doc_id % 3 <> 0 THEN (doc_id % 7)::VARCHAR ELSE '0' END AS min_experience_years,
+           'needs ' || lang AS job_requirements, 'http://h/' || doc_id AS link
+    FROM documents"""
+ORACLES["message_values"] = """
+    SELECT 'http://h/' || doc_id AS link, CASE WHEN doc_id % 2 <> 0 THEN 'Unknown' END AS title,
+           CASE WHEN doc_id % 3 <> 0 THEN '' END AS required_skills,
+           CASE doc_id % 5 WHEN 3 THEN '2-' || n_chars WHEN 4 THEN '0' END AS min_experience_years,
+           CASE doc_id % 5 WHEN 1 THEN -n_chars::DOUBLE WHEN 2 THEN n_chars + 0.5::DOUBLE END AS min_experience_number,
+           CASE doc_id % 5 WHEN 1 THEN -n_chars WHEN 2 THEN n_chars WHEN 3 THEN 2 ELSE 0 END::INTEGER AS years
+    FROM documents"""
+ORACLES["document_files"] = "SELECT conv_id, turn, text FROM conversations WHERE turn < 4 AND role IN ('user', 'assistant')"

@@ -43,7 +43,7 @@ class Folder:
     """A folder in any file system that Spark reads."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.path = path
+        self.path, self._jvm = path, spark._jvm
         self._at = spark._jvm.org.apache.hadoop.fs.Path(path)
         self._fs = self._at.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -56,6 +56,17 @@ class Folder:
     def bytes(self) -> int:
         return self._fs.getContentSummary(self._at).getLength() if self.exists() else 0
 
+    def text(self) -> str:
+        """Content of a small text file."""
+        stream = self._fs.open(self._at)
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def rename(self, to: str) -> None:
+        self._fs.rename(self._at, self._jvm.org.apache.hadoop.fs.Path(to))
+
     def delete(self) -> None:
         self._fs.delete(self._at, True)
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwell.functions.cleaning import clean_location, page_count
+from pairwell.functions.cleaning import clean_location, clean_min_experience, page_count
 from pairwell.functions.encode import file_stem, hash_strings, zero_vector
 from pairwell.functions.scores import TOP_K_PER_CHANNEL, cosine_plus_one, sketch_jaccard
 from pairwell.functions.text import tokens
@@ -30,8 +30,9 @@ from pairwell.plans.hybrid import hybrid_match, prepare_profiles, report, search
 from pairwell.schemas import POSTING
 from pairwell.session import shared_dir, spread
 from pairwell.sources.batches import latest, read_batches, write_batch
-from pairwell.sources.compaction import compact_postings, removable, remove
-from pairwell.sources.files import write_json, write_rejects, write_texts
+from pairwell.sources.bulk import bulk_refused, bulk_status, bulk_write
+from pairwell.sources.compaction import Folder, compact_postings, removable, remove
+from pairwell.sources.files import read_documents, write_json, write_rejects, write_texts
 from pairwell.sources.history import append_history, read_history
 from pairwell.sources.messages import decode_messages, encode_messages, rejected_messages, valid_messages
 from pairwell.sources.postings import append_postings, create_postings_table, read_postings, to_documents
@@ -755,6 +756,87 @@ def q_stream_links_ttl(spark, sf):
     return spark.read.schema("url_key string").parquet(f"{base}/links")
 
 
+def _sent(spark, sf):
+    """Documents to a store that refuses German ones, in two batches; the second is sent twice."""
+
+    def open_sink():
+        def send(rows):
+            found = {i: json.loads(document)["lang"] for i, document in rows}
+            return {i: f"no {lang}" for i, lang in found.items() if lang == "de"}
+
+        return send
+
+    body = F.to_json(F.struct("text", "lang", "source"))
+    documents = spread(table(spark, sf, "documents")).select("doc_id", F.col("doc_id").cast("string").alias("id"), body.alias("document"))
+    path = shared_dir(spark, "bulk")
+    for batch in (0, 1, 1):
+        bulk_write(documents.filter(F.col("doc_id") % 2 == batch), open_sink, path, batch, chunk=100)
+    return path
+
+
+def q_bulk_refused(spark, sf):
+    """What a store refuses of the documents, with its reasons."""
+    return bulk_refused(spark, _sent(spark, sf)).select("id", "reason")
+
+
+def q_bulk_status(spark, sf):
+    return bulk_status(spark, _sent(spark, sf))
+
+
+def q_posting_pages(spark, sf):
+    """Documents as posting pages with the labels that the shipped selectors look for."""
+    documents = spread(table(spark, sf, "documents"))
+
+    number = F.col("doc_id").cast("string")
+    html = F.concat(
+        F.lit('<h1 name="title">job '), number, F.lit("</h1><a>Nộp đơn</a><div>1</div><div>2</div><div>3</div><div>4</div><div>"),
+        F.concat(F.lit("about "), F.col("lang")), F.lit("<br>"), number,
+        F.lit("</div><h2>Địa điểm làm việc</h2><div>1</div><div>2</div><div>"), F.col("source"), F.lit("</div>"),
+        F.lit("<span>KỸ NĂNG</span><p>"), F.concat(F.col("lang"), F.lit(", SQL")), F.lit("</p>"),
+        F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("<span>SỐ NĂM KINH NGHIỆM TỐI THIỂU</span><p>"), (F.col("doc_id") % 7).cast("string"), F.lit("</p>"))).otherwise(F.lit("")),
+        F.lit("<h2>Yêu cầu công việc</h2><div>needs "), F.col("lang"), F.lit("</div>"),
+    )
+    return extract_page_fields(documents.select(F.concat(F.lit("http://h/"), number).alias("url"), html.alias("html")))
+
+
+def q_message_values(spark, sf):
+    """Messages whose years are JSON numbers, texts, explicit nulls or absent, decoded."""
+    documents = table(spark, sf, "documents")
+    years = (
+        F.when(F.col("doc_id") % 5 == 0, F.lit("null"))
+        .when(F.col("doc_id") % 5 == 1, F.concat(F.lit("-"), F.col("n_chars").cast("string")))
+        .when(F.col("doc_id") % 5 == 2, F.concat(F.col("n_chars").cast("string"), F.lit(".5")))
+        .when(F.col("doc_id") % 5 == 3, F.concat(F.lit('"2-'), F.col("n_chars").cast("string"), F.lit('"')))
+    )
+    parts = F.concat_ws(
+        ", ",
+        F.concat(F.lit('"link": "http://h/'), F.col("doc_id").cast("string"), F.lit('"')),
+        F.when(F.col("doc_id") % 2 == 0, F.lit('"title": null')),
+        F.when(F.col("doc_id") % 3 == 0, F.lit('"required_skills": null')),
+        F.concat(F.lit('"min_experience_years": '), years),
+    )
+    messages = documents.select(F.concat(F.lit("{"), parts, F.lit("}")).alias("value"))
+    found = valid_messages(decode_messages(messages))
+    cleaned = clean_min_experience(F.col("min_experience_years"), F.col("min_experience_number"))
+    return found.select("link", "title", "required_skills", "min_experience_years", "min_experience_number", cleaned.alias("years"))
+
+
+def q_document_files(spark, sf):
+    """Files with a suffix in any case, in nested folders, written and found again."""
+    path = shared_dir(spark, "document-files")
+    turns = table(spark, sf, "conversations").filter("turn < 4").select("conv_id", "turn", "role", "text")
+    for suffix, part in ((".TXT", "role = 'user'"), (".txt", "role = 'assistant'"), (".md", "role = 'system'")):
+        named = turns.filter(part).select(F.concat_ws("|", "conv_id", "turn", "text").alias("value"))
+        store = f"{path}/{suffix[1:].lower()}/{len(part)}"
+        named.coalesce(2).write.option("lineSep", "\u0001").text(f"{store}/lines")
+        for file in spark.read.text(f"{store}/lines").inputFiles():
+            Folder(spark, file).rename(file[: -len(".txt")] + suffix)
+    files = read_documents(spark, path, ".txt")
+    rows = files.select(F.explode(F.split(F.decode("content", "UTF-8"), "\u0001")).alias("row")).filter("row <> ''")
+    split = F.split("row", r"\|", 3)
+    return rows.select(split[0].cast("long").alias("conv_id"), split[1].cast("int").alias("turn"), split[2].alias("text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name.removeprefix("q_"): query for name, query in list(globals().items()) if name.startswith("q_")
 }

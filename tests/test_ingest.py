@@ -22,6 +22,7 @@ from pairwell.sources.messages import (
 )
 from pairwell.sources import compaction
 from pairwell.sources.batches import latest, read_batches, write_batch
+from pairwell.sources.bulk import BulkWriter, bulk_refused, bulk_status, bulk_write
 from pairwell.sources.compaction import compact_postings
 from pairwell.sources.postings import append_postings, create_postings_table, read_postings, to_documents
 from pairwell.sources.vectors import VectorStore
@@ -446,3 +447,46 @@ def test_status_accounts_for_every_message(spark, stream_paths, tmp_path):
     assert rows == [(1, 0, 0, 1, 0, 0), (1, 0, 1, 0, 0, 0), (9, 2, 4, 1, 2, 0)]
     with pytest.raises(TimeoutError):
         listener.wait("no run", 0.1)
+
+
+def test_bulk_sink_reports_what_is_refused(spark, tmp_path):
+    store, path = tmp_path / "store", str(tmp_path / "report")
+    store.mkdir()
+    documents = spark.createDataFrame([(f"d{k}", f"text {k}") for k in range(50)], "id string, document string").repartition(3)
+
+    def open_sink():
+        def send(rows):
+            if any(i == "d7" for i, _ in rows):
+                raise OSError("connection lost")
+            for i, document in rows:
+                if not i.endswith("3"):
+                    (store / i).write_text(document)
+            return {i: "no threes" for i, _ in rows if i.endswith("3")}
+
+        return send
+
+    for _ in range(2):
+        bulk_write(documents, open_sink, path, 4, chunk=1, pause=0)
+    refused = {r.id: (r.document, r.reason) for r in bulk_refused(spark, path).collect()}
+    assert refused == {f"d{k}": (f"text {k}", "no threes") for k in (3, 13, 23, 33, 43)} | {"d7": ("text 7", "store: connection lost")}
+    assert [tuple(r) for r in bulk_status(spark, path).collect()] == [(4, 44, 6)]
+    assert len(list(store.iterdir())) == 44
+    # A report that was not committed does not count.
+    (tmp_path / "report" / "batch_id=4" / "_committed.json").unlink()
+    assert bulk_refused(spark, path).count() == bulk_status(spark, path).count() == 0
+    bulk_write(documents.limit(0), open_sink, path, 5)
+    assert [tuple(r) for r in bulk_status(spark, path).collect()] == [(5, 0, 0)]
+
+
+def test_a_chunk_is_tried_again_before_it_is_refused():
+    calls = []
+
+    def sink(rows):
+        calls.append(len(rows))
+        if len(calls) < 3:
+            raise OSError("busy")
+
+    writer = BulkWriter(lambda: sink, "", 10, 3, 0)
+    assert writer.send(sink, [("a", "x"), ("b", "y")]) == {} and calls == [2, 2, 2]
+    calls.clear()
+    assert BulkWriter(lambda: sink, "", 10, 2, 0).send(sink, [("a", "x")]) == {"a": "store: busy"}
