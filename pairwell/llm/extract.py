@@ -29,10 +29,10 @@ SURGE = 86
 ARTICLE = 4
 
 #: Elements by their role in HTML.
-RAW = "script style noscript template iframe object svg math canvas audio video title textarea xmp".split()
+RAW = "script style noscript template iframe object svg canvas audio video title textarea xmp".split()
 NEVER = frozenset(
-    "head nav aside footer form button select option fieldset dialog menu label input "
-    "script style noscript template iframe object svg math canvas audio video title textarea xmp".split()
+    "head nav aside footer form button select option fieldset dialog menu input "
+    "script style noscript template iframe object svg canvas audio video title textarea xmp".split()
 )
 BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
@@ -52,6 +52,9 @@ FURNITURE = frozenset(
     "login popup modal overlay widget pagination pager toolbar".split()
 )
 
+#: Of these, words that name parts of articles as well: inside a marked article, the text decides.
+AMBIGUOUS = frozenset("discussion related recommended notice notification alert banner promotion widget overlay".split())
+
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\b[^<>]*+>?|\Z)"
@@ -71,11 +74,14 @@ PARTS = frozenset("blockquote center dd details dl dt figure li ol p pre table t
 PARAGRAPH_ENDERS = BLOCKS - {"tbody", "td", "tfoot", "th", "thead", "tr", "caption"}
 
 
-NEVER_TEXT, NAMED = 1, 2
+NEVER_TEXT, NAMED, HINTED = 1, 2, 3
 
 
 def furniture_kind(name: str, attributes: str, in_article: bool) -> int:
-    """``NEVER_TEXT`` by the element's role, ``NAMED`` by a word in its class or id alone, else 0."""
+    """``NEVER_TEXT`` by the element's role, ``NAMED`` by a word in its class or id alone, else 0.
+
+    ``HINTED``: the words are ``AMBIGUOUS``, and the element lies in a marked article.
+    """
     if name in NEVER or (name == "header" and not in_article):
         return NEVER_TEXT
     if name in CONTAINERS or name in HEADINGS or not attributes:
@@ -85,8 +91,8 @@ def furniture_kind(name: str, attributes: str, in_article: bool) -> int:
         key, value = key.lower(), value.strip("\"'")
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return NEVER_TEXT
-        if key in ("class", "id") and any(part.lower() in FURNITURE for part in NAME_PART.findall(value)):
-            kind = NAMED
+        if key in ("class", "id") and (words := {part.lower() for part in NAME_PART.findall(value)} & FURNITURE):
+            kind = HINTED if in_article and words <= AMBIGUOUS and kind != NAMED else NAMED
     return kind
 
 
@@ -106,9 +112,9 @@ def tags(page: str) -> Iterator[re.Match]:
 class Line(NamedTuple):
     """A line: its text, the characters outside links, and the elements around it by number (0: none).
 
-    ``article``: the outermost marked article. ``block`` holds the line, ``home`` holds the block.
+    ``article``: the outermost marked article. ``block`` holds the line, ``home`` holds the block, ``outer`` the home.
     ``named``: open elements that a class or id calls furniture. ``text`` is empty where a gap may be;
-    ``gap`` is the element whose leaving out makes it one, 0 if it always is.
+    ``gap`` is the element whose leaving out makes it one, 0 if it always is, and ``outer`` is what it lies in.
     """
 
     text: str
@@ -118,6 +124,7 @@ class Line(NamedTuple):
     home: int = 0
     named: tuple[int, ...] = ()
     gap: int = 0
+    outer: int = 0
 
 
 class Lines:
@@ -132,6 +139,7 @@ class Lines:
         self.article = 0  # the outermost marked article that is open
         self.named: list[int] = []  # depths of open elements that a class or id calls furniture
         self.opened = 0
+        self.hinted: set[int] = set()  # numbers of named elements whose words are ambiguous
         self.marked: dict[int, str] = {}
         self.around: dict[int, tuple[int, ...]] = {}  # named elements around a marked article
 
@@ -154,9 +162,13 @@ class Lines:
         if self.named and self.named[-1] >= depth:
             while self.named and self.named[-1] >= depth:
                 number = self.numbers[self.named.pop()]
-            self.rows.append(Line("", 0, named=self.open_named(), gap=number))
+            self.rows.append(Line("", 0, named=self.open_named(), gap=number, outer=self.holder()))
         del self.numbers[depth:]
 
+    def holder(self) -> int:
+        """The innermost open element, 0 if that is the page itself."""
+        return self.numbers[len(self.stack) - 1] if self.stack and self.stack[-1] not in ("html", "body") else 0
+
     def open_named(self) -> tuple[int, ...]:
         return tuple(self.numbers[k] for k in self.named)
 
@@ -166,31 +178,40 @@ class Lines:
             if text:
                 blocks = [(x, i) for x, i in zip(self.stack, self.numbers) if x in BLOCKS]
                 block = blocks[-1][1] if blocks else 0
+                homes = [i for x, i in blocks[:-1] if x not in PARTS and x != "body" and x != "html"] if len(blocks) > 1 else []
                 home = next((i for x, i in reversed(blocks[:-1]) if x not in PARTS), 0)
-                self.rows.append(Line(text, max(len(text) - self.linked, 0), self.article, block, home, self.open_named()))
+                # Only paragraphs and headings go on after a gap: bare lines beside an article are rarely part of it.
+                outer = homes[-2] if len(homes) > 1 and homes[-1] == home and blocks[-1][0] in PARTS else 0
+                n = max(len(text) - self.linked, 0)
+                self.rows.append(Line(text, n, self.article, block, home, self.open_named(), 0, outer))
             self.parts, self.linked = [], 0
 
-    def gap(self) -> None:
-        self.rows.extend([Line("", 0, named=self.open_named())] * WINDOW)
+    def gap(self, parts: bool = False) -> None:
+        """Empty lines; with ``parts`` they only part what the innermost open element holds."""
+        self.rows.extend([Line("", 0, named=self.open_named(), outer=self.holder() if parts else 0)] * WINDOW)
 
     def left(self) -> list[Line]:
         """Lines without those of named furniture, which leave a gap.
 
         An element that holds more than half of the page's text outside links, or the page's only main
         element (or its only article, if there is no main), is no furniture whatever its name. Text of a
-        marked article outside all such elements counts ``ARTICLE`` times.
+        marked article outside all such elements counts ``ARTICLE`` times. Where the words of a name are
+        ambiguous, a surge of text that is mostly no links makes the element a part of its article.
         """
         if not any(line.named or line.gap for line in self.rows):
             return self.rows
         held: dict[int, int] = {}
+        shown: dict[int, int] = {}
         for line in self.rows:
             for number in line.named:
                 held[number] = held.get(number, 0) + line.n
+                shown[number] = shown.get(number, 0) + len(line.text)
+        article_text = {x for x in self.hinted if held.get(x, 0) > SURGE and 2 * held[x] > shown[x]}
         half = sum(line.n * (ARTICLE if line.article and not line.named else 1) for line in self.rows) / 2
         main = [number for number, name in self.marked.items() if name == "main"] or list(self.marked)
         article = set(self.around[main[0]]) if len(main) == 1 else set()
         out: list[Line] = []
-        stays = lambda number: number in article or held.get(number, 0) > half
+        stays = lambda number: number in article or number in article_text or held.get(number, 0) > half
         for line in self.rows:
             if all(map(stays, line.named)):
                 if line.text or not line.gap:
@@ -250,7 +271,7 @@ def lines_of(page: str, furniture: bool = True) -> list[Line]:
                 links -= outer.count("a")
                 articles -= sum(x in ("article", "main") for x in outer)
                 left_out = None
-                lines.gap()
+                lines.gap(name not in ("nav", "header", "footer"))
             continue
         if left_out is None:
             if name in BLOCKS:
@@ -270,9 +291,11 @@ def lines_of(page: str, furniture: bool = True) -> list[Line]:
             lines.close()
             left_out = len(stack) - 1
         else:
-            if kind == NAMED:
+            if kind in (NAMED, HINTED):
                 lines.close()
                 lines.named.append(len(stack) - 1)
+                if kind == HINTED:
+                    lines.hinted.add(lines.opened)
             if name in ("article", "main"):
                 if not lines.article:
                     lines.gap()
@@ -321,10 +344,14 @@ def between(rows: list[Line]) -> list[str]:
         k = dive
     articles.discard(0)
     homes.discard(0)
+    # What is left out of an element parts its blocks only: the element goes on after the gap.
+    parted = {line.outer for line in rows if not line.text} & {rows[k].outer for k in kept if rows[k].home in homes}
+    parted.discard(0)
     return [
         line.text
         for k, line in enumerate(rows)
-        if line.text and (k in kept or line.article in articles or line.home in homes or line.block in homes)
+        if line.text
+        and (k in kept or line.article in articles or line.home in homes or line.block in homes or line.outer in parted)
     ]
 
 

@@ -109,3 +109,26 @@ def test_a_gap_inside_the_container_does_not_end_the_text():
     assert main_text(page(f"<div><p>{LONG}</p>{ad}<p>Short closing line.</p></div>{foot}")) == f"{LONG}\nShort closing line."
     body = f"<div><h1>Title</h1><p>2 May</p>{ad}<p>{LONG}</p><form>f</form><ul><li>one</ul><aside>a</aside>loose{ad}<p>end</div>"
     assert main_text(page(f"<div>top</div>{ad}{body}{ad}{foot}")) == f"Title\n2 May\n{LONG}\none\nloose\nend"
+
+
+LONG = "The long paragraph of the article goes on and on with words that tell something about the matter at hand, as prose does."
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        # Names that parts of articles have as well: the text decides.
+        (f'<article><p>{LONG}</p><section id="discussion"><h2>Discussion</h2><p>{LONG}</p></section></article>', [LONG, "Discussion", LONG]),
+        (f'<article><p>{LONG}</p><div class="related-work"><p>{LONG}</p></div><p class="notice">{LONG}</p></article>', [LONG] * 3),
+        (f'<article><p>{LONG}</p><div class="related"><a href="x">{LONG}</a><a href="y">{LONG}</a></div></article>', [LONG]),
+        (f'<article><p>{LONG}</p><div class="comments"><p>{LONG} Thanks!</p></div><div class="ad">Buy</div></article>', [LONG]),
+        # Inline parts of a sentence.
+        (f"<article><p>{LONG}</p><p>See <label>this</label> and <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p></article>", [LONG, "See this and x=1."]),
+        # What is left out of an element does not end it, but menus and bare lines beside the article do not belong to it.
+        (f"<div><div><p>{LONG}</p></div><div class=ad>x</div><div><p>Short closing line.</p></div></div>", [LONG, "Short closing line."]),
+        (f"<div><div><h1>Title</h1></div><aside>side</aside><div><p>{LONG}</p></div></div>", ["Title", LONG]),
+        (f"<div><div>Site name</div><nav>n</nav><div><p>{LONG}</p></div><footer>f</footer><div>copyright line</div></div>", [LONG]),
+    ],
+)
+def test_what_belongs_to_an_article(page, expected):
+    assert main_text(page).split("\n") == expected
