@@ -26,8 +26,8 @@ from pairwell.llm.common import kept
 END = "\r\n\r\n"
 LINE = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bounds the size of one archive file, which is read as one row.
-RECORDS_PER_FILE = 60_000
+#: Bytes of records in one archive, before compression: an archive is read as one row. A longer record has its own.
+ARCHIVE_BYTES = 64 << 20
 CHUNK = 1 << 20
 
 RECORD_SCHEMA = pa.schema(
@@ -125,6 +125,7 @@ def write_captures(
     - Null html is an empty payload; a null url leaves out the target; a page with a null id
       is a response. Rows that repeat the response's id and payload are responses too.
     - Other columns are left out. An empty table gives a folder without archives.
+    - Archives hold about ``ARCHIVE_BYTES`` before compression; a very long page is in an archive of its own.
     """
     rows = with_originals(pages.select(page_id, url, html), page_id, html, least_bytes)
     original = F.when(F.col(page_id) > F.col("w_original"), F.col("w_original"))
@@ -172,13 +173,26 @@ def write_captures(
         ],
         F.concat(F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(LINE)),
     )
-    (
-        rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-        .write.option("lineSep", END)
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", RECORDS_PER_FILE)
-        .text(path)
-    )
+    archives = rows.select(F.explode(F.array(request, response, metadata)).alias("value")).mapInArrow(joined_records, "value string")
+    archives.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+
+
+def joined_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of one archive after another, each as one text."""
+    held, size = [], 0
+
+    def archive() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([END.encode().join(held)], pa.binary()).cast(pa.string())], names=["value"])
+
+    for batch in batches:
+        for value in batch.column(0).cast(pa.binary()).to_pylist():
+            if held and size + len(value) > ARCHIVE_BYTES:
+                yield archive()
+                held, size = [], 0
+            held.append(value)
+            size += len(value) + len(END)
+    if held:
+        yield archive()
 
 
 # --- reading --------------------------------------------------------------------------------
