@@ -92,10 +92,10 @@ def start_ingest(
         F.count_if(F.coalesce(F.col("value"), F.lit("")) == "").alias("empty"),
     )
 
-    def store(batch: DataFrame, batch_id: int) -> None:
+    def store_one(batch: DataFrame, batch_id: int) -> None:
         store_batch(batch, postings_path, rejects_path, batch_id, order, embedder, dim, tasks, on_error, index_path, store, status_path)
 
-    writer = counted.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    writer = counted.writeStream.foreachBatch(store_one).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 

@@ -388,7 +388,9 @@ def test_failed_batch_is_written_once_after_restart(spark, stream_paths):
 
     with pytest.raises(Exception, match="model is down"):
         run_stream(spark, stream_paths, embedder=broken)
-    run_stream(spark, stream_paths, embedder=lambda: lambda texts: [[1.0] for _ in texts])
+    store = VectorStore(str(source.parent / "vectors"), "ones")
+    run_stream(spark, stream_paths, embedder=lambda: lambda texts: [[1.0] for _ in texts], store=store)
+    assert store.read(spark).count() == 2
     assert [r.description_vector for r in read_postings(spark, postings).collect()] == [[1.0]]
 
 
