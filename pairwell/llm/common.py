@@ -22,10 +22,14 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
-def kept(df: DataFrame, purpose: str) -> DataFrame:
-    """The table written to the shared folder and read again: lost executors do not repeat its work."""
+def kept(df: DataFrame, purpose: str, codec: str | None = None) -> DataFrame:
+    """The table written to the shared folder and read again: lost executors do not repeat its work.
+
+    ``codec`` is Spark's unless given; "zstd" takes more memory of a task and less disk.
+    """
     path = shared_dir(df.sparkSession, purpose)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write if codec is None else df.write.option("compression", codec)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

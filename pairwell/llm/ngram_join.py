@@ -366,7 +366,7 @@ def in_cells(pairs: DataFrame, rows: DataFrame, check) -> DataFrame:
         salted.select("a", "cell", F.col("a").alias("doc")).distinct()
     )
     payload = [c for c in rows.columns if c != "doc"]
-    joined = sent(kept(members, "cells")).join(rows, "doc").withColumn("candidate", F.col("a") != F.col("doc"))
+    joined = sent(kept(members, "cells", "zstd")).join(rows, "doc").withColumn("candidate", F.col("a") != F.col("doc"))
     joined = joined.repartition("a", "cell").sortWithinPartitions("a", "cell", "candidate")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -511,7 +511,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     pairs = kept(promising(lists, long, percent), "pairs")
     needed = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).unionByName(long.select("doc"))
     needed = sent(kept(needed.distinct(), "candidate-ids"))
-    texts = kept(docs.join(needed, "doc", "left_semi"), "candidate-texts")
+    texts = kept(docs.join(needed, "doc", "left_semi"), "candidate-texts", "zstd")
     sketches = kept(sets.select("doc", "n", "sketch").join(needed, "doc", "left_semi"), "candidate-sketches")
     # First a pair for each document: in a group of near copies they mostly make one component,
     # and only pairs between components are left to verify.
