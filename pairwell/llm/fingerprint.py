@@ -204,6 +204,8 @@ def with_fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     second step, of as many rows as there are ranges.
 
     - A null text is empty; an empty text has no features, and is like empty texts only.
+    - Texts of a few characters may differ and still have equal fingerprints (``a`` and ``ab`` do): walks need
+      some characters to tell texts apart. Repeated rows follow one another and are alike.
     - Null ids come first in order; rows of equal ids follow one another by text.
     - A single row follows itself. An empty table gives an empty table. Other columns are left out.
     """

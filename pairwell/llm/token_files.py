@@ -120,7 +120,8 @@ def token_counts(spark: SparkSession, folder: str, end: int, *, width: int = 2)
 
     A stream is a folder of files in the order of their names. What follows the last end of a
     stream is a document with ``ended`` false, if there is any. Files without an end, empty
-    files and documents over many files are right; a folder without files gives no rows.
+    files and documents over many files are right; a folder without files gives no rows. Repeated
+    documents count each for itself, as they lie in the files.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
