@@ -44,16 +44,21 @@ SEARCHED = ("skills_signature", "description_vector", "experience_vector")
 def search_columns(postings: DataFrame) -> DataFrame:
     """``(doc_id, tokens, skills_signature, two vectors)`` of postings, written once.
 
-    What the searches read of a posting is computed once, however often it is read. A column ``tokens``
-    (words of the title) is taken as it is.
+    For postings whose search columns are computed: they are computed once, however often they are read.
+    Stored postings need no copy.
     """
-    words = F.col("tokens") if "tokens" in postings.columns else tokens(F.col("title"))
-    rows = postings.select("doc_id", words.alias("tokens"), *SEARCHED)
+    rows = searched(postings)
     path = shared_dir(postings.sparkSession, "search-columns")
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def searched(postings: DataFrame) -> DataFrame:
+    """What the searches read of postings; a column ``tokens`` (words of the title) is taken as it is."""
+    words = F.col("tokens") if "tokens" in postings.columns else tokens(F.col("title"))
+    return postings.select("doc_id", words.alias("tokens"), *SEARCHED)
+
+
 def search_channels(
     profiles: DataFrame,
     postings: DataFrame,
@@ -66,12 +71,11 @@ def search_channels(
 ) -> DataFrame:
     """Ranked lists ``(cv_id, doc_id, source, rank, raw_score)`` by description, experience, skills and title.
 
-    All four come from one scan of the postings' search columns. With ``stats`` (stored term
-    statistics, ``bm25.term_counts``) and a column ``tokens`` the postings are scanned as they are;
-    otherwise ``search_columns`` are written first, whose words are read for the statistics.
+    All four come from one scan of the postings. Without ``stats`` (stored term statistics,
+    ``bm25.term_counts``) the words of all titles are counted first, in a pass that reads nothing else.
     ``digits`` rounds scores before they rank.
     """
-    stored = postings if stats is not None and "tokens" in postings.columns else search_columns(postings)
+    stored = searched(postings)
     description, experience = "description_vector", "experience_vector"
     searches = [
         vector_search(profiles, description, description, "sem_description_vector", digits),

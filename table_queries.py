@@ -256,7 +256,7 @@ def q_model_embed(spark, sf):
 
 def _channels(spark, sf):
     profiles, postings = texts(spark, sf)
-    return search_channels(searchable(profiles, "cv_id"), searchable(postings, "doc_id"), digits=DIGITS)
+    return search_channels(searchable(profiles, "cv_id"), search_columns(searchable(postings, "doc_id")), digits=DIGITS)
 
 
 def q_channel_counts(spark, sf):
@@ -279,14 +279,14 @@ def q_rrf_fusion(spark, sf):
 
 def q_hybrid_match(spark, sf):
     profiles, postings = texts(spark, sf)
-    matches = hybrid_match(searchable(profiles, "cv_id"), searchable(postings, "doc_id"), digits=DIGITS)
+    matches = hybrid_match(searchable(profiles, "cv_id"), search_columns(searchable(postings, "doc_id")), digits=DIGITS)
     return matches.drop("sources")
 
 
 def q_match_report(spark, sf):
     profiles, postings = texts(spark, sf)
     cvs, jobs = searchable(profiles, "cv_id"), searchable(postings, "doc_id")
-    return report(with_documents(hybrid_match(cvs, jobs, digits=DIGITS), jobs))
+    return report(with_documents(hybrid_match(cvs, search_columns(jobs), digits=DIGITS), jobs))
 
 
 # --- links and pages ----------------------------------------------------------------------
