@@ -547,8 +547,10 @@ def q_latest_postings(spark, sf):
 
 
 def _stream(spark, sf, name):
+    """A table, which may be one file or a folder of files, as a stream."""
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # A pattern, because Spark takes a stream's plain path for a folder.
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _ingested(spark, sf):
