@@ -4,7 +4,8 @@ The profile side of a search is the small one. While its measured size stays
 under ``Limits.broadcast_bytes`` every task gets all of it and reads its own
 postings once. Beyond that size the profiles are written once, in blocks of
 bounded size, and every task streams the blocks past its postings, a buffer of
-them at a time. Postings are not shuffled in either case.
+them at a time. Postings are not shuffled in either case. A search that counts its
+profiles has what a task holds for each of them added to their size.
 
 Several searches with kernels of their own share one pass (``best_of_each``). A
 task scores Arrow batches with NumPy and keeps a running ``k`` best per profile
@@ -35,6 +36,8 @@ NOISE_DIGITS = 12
 
 #: Contenders held before they are merged, if twice the result is less.
 MERGE_ROWS = 100_000
+#: What one row of a profile's running best takes: two such are held, and copied while they are merged.
+BEST_BYTES = 160
 
 
 @dataclass(frozen=True)
@@ -76,7 +79,8 @@ class Kernel:
 class Search:
     """One ranked list: a kernel, its rows of the profiles, and the posting columns by the names the kernel knows.
 
-    ``profile_bytes`` is a proven upper bound of the profile rows in bytes.
+    ``profile_bytes`` is a proven upper bound of the profile rows in bytes. ``held`` is how many profiles
+    there are, if they may be very many, and ``held_bytes`` what the kernel's state takes of each.
     """
 
     source: str
@@ -84,6 +88,12 @@ class Search:
     profiles: DataFrame
     profile_bytes: int
     columns: Mapping[str, str]
+    held: int = 0
+    held_bytes: int = 0
+
+    def task_bytes(self, k: int) -> int:
+        """Bytes of all profiles in a task: their rows, the kernel's state and the running best."""
+        return self.profile_bytes + self.held * (self.held_bytes + k * BEST_BYTES)
 
 
 def best_of_each(searches: Sequence[Search], postings: DataFrame, k: int, limits: Limits = Limits()) -> DataFrame:
@@ -94,7 +104,7 @@ def best_of_each(searches: Sequence[Search], postings: DataFrame, k: int, limits
     """
     source = T.StructField("source", T.StringType())
     schema = T.StructType([searches[0].profiles.schema["cv_id"], postings.schema["doc_id"], source, T.StructField("score", T.DoubleType())])
-    found = _run(searches, postings, lambda search, state: _Best(search, state, k, limits.scores), schema, limits)
+    found = _run(searches, postings, lambda search, state: _Best(search, state, k, limits.scores), schema, limits, k)
     if _scan_tasks(postings) <= limits.tasks:
         return found
     branch = F.pmod(F.spark_partition_id(), F.lit(max(1, math.isqrt(limits.tasks))))
@@ -104,7 +114,7 @@ def best_of_each(searches: Sequence[Search], postings: DataFrame, k: int, limits
 def match_counts(search: Search, postings: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Rows ``(cv_id, candidates)``: how many postings each profile matched."""
     schema = T.StructType([search.profiles.schema["cv_id"], T.StructField("candidates", T.LongType())])
-    partial = _run([search], postings, lambda s, state: _Counts(s, state, limits.scores), schema, limits)
+    partial = _run([search], postings, lambda s, state: _Counts(s, state, limits.scores), schema, limits, 0)
     return partial.groupBy("cv_id").agg(F.sum("candidates").alias("candidates"))
 
 
@@ -115,7 +125,13 @@ def id_bytes(name: str = "cv_id") -> Column:
 
 def measured(df: DataFrame, row_bytes: Column) -> int:
     """Bytes of all rows together."""
-    return df.agg(F.sum(row_bytes)).first()[0] or 0
+    return counted(df, row_bytes)[0]
+
+
+def counted(df: DataFrame, row_bytes: Column) -> tuple[int, int]:
+    """Bytes of all rows together, and how many there are."""
+    size, rows = df.agg(F.sum(row_bytes), F.count("*")).first()
+    return size or 0, rows
 
 
 #: Above this the planner does not know a size.
@@ -132,12 +148,12 @@ def _scan_tasks(postings: DataFrame) -> int:
 Start = Callable[[Search, Any], "_Running"]
 
 
-def _run(searches: Sequence[Search], postings: DataFrame, start: Start, schema: T.StructType, limits: Limits) -> DataFrame:
+def _run(searches: Sequence[Search], postings: DataFrame, start: Start, schema: T.StructType, limits: Limits, k: int) -> DataFrame:
     spark = postings.sparkSession
     stored = postings.select("doc_id", *dict.fromkeys(c for s in searches for c in s.columns.values()))
     # Data frames stay on the driver.
     parts = [Search(s.source, s.kernel, None, s.profile_bytes, dict(s.columns)) for s in searches]
-    if sum(s.profile_bytes for s in searches) <= limits.broadcast_bytes:
+    if sum(s.task_bytes(k) for s in searches) <= limits.broadcast_bytes:
         shared = spark.sparkContext.broadcast([s.profiles.toArrow() for s in searches])
 
         def over_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +166,7 @@ def _run(searches: Sequence[Search], postings: DataFrame, start: Start, schema:
 
         return stored.mapInArrow(over_partition, schema)
 
-    blocks = [_written(s, limits.block_bytes) for s in searches]
+    blocks = [_written(s, s.task_bytes(k), limits.block_bytes) for s in searches]
 
     def over_buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for buffer in _buffers(batches, limits.block_bytes):
@@ -165,10 +181,10 @@ def _run(searches: Sequence[Search], postings: DataFrame, start: Start, schema:
     return stored.mapInArrow(over_buffers, schema)
 
 
-def _written(search: Search, block_bytes: int) -> list[str]:
+def _written(search: Search, task_bytes: int, block_bytes: int) -> list[str]:
     """Files of the profile rows, each about a block; all rows of a profile lie in one file."""
     path = shared_dir(search.profiles.sparkSession, "profile-blocks")
-    search.profiles.repartition(max(1, math.ceil(search.profile_bytes / block_bytes)), "cv_id").write.parquet(path)
+    search.profiles.repartition(max(1, math.ceil(task_bytes / block_bytes)), "cv_id").write.parquet(path)
     return search.profiles.sparkSession.read.schema(search.profiles.schema).parquet(path).inputFiles()
 
 

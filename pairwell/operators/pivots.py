@@ -37,6 +37,8 @@ from pairwell.operators.vector import CosineKernel, unit_rows, vector_search
 
 #: Pivots at most: they are held by the driver and every task.
 PIVOTS = 1024
+#: What a task takes for the angle of a profile to a pivot: it, its cosine and their copies.
+ANGLE_BYTES = 32
 #: Scores this near to a floor are not skipped: angles are computed in another way than scores.
 MARGIN = 2e-6
 
@@ -157,8 +159,10 @@ def _searched(spark, path, profiles, k, profile_vector, source, kernel_class, li
     search = vector_search(profiles, profile_vector, "vector", source, digits)
     kernel = kernel_class(centres, k, digits)
     columns = {"vector": "vector", "pivot": "pivot", "angle": "angle"}
-    search = Search(source, kernel, search.profiles, search.profile_bytes, columns)
-    if search.profile_bytes > limits.broadcast_bytes:
+    # A profile has its angle to every pivot, and copies of them on the way.
+    held_bytes = search.held_bytes + ANGLE_BYTES * centres.num_rows
+    search = Search(source, kernel, search.profiles, search.profile_bytes, columns, search.held, held_bytes)
+    if search.task_bytes(k) > limits.broadcast_bytes:
         return search, rows
     # Groups that no profile reaches are not read.
     state = kernel.prepare(search.profiles.toArrow())

@@ -16,10 +16,10 @@ from pairwell.operators.block_join import (
     Search,
     best_of_each,
     contenders,
+    counted,
     fixed_matrix,
     flat_ids,
     id_bytes,
-    measured,
     rounded,
 )
 from pairwell.operators.ranking import as_channel
@@ -64,8 +64,9 @@ def vector_search(
 ) -> Search:
     """Search for the postings nearest to every profile by cosine."""
     asked = profiles.select("cv_id", F.col(profile_vector).alias("vector"))
-    size = measured(asked, F.coalesce(F.size("vector"), F.lit(0)) * 4 + 16 + id_bytes())
-    return Search(source, CosineKernel(digits), asked, size, {"vector": posting_vector})
+    size, rows = counted(asked, F.coalesce(F.size("vector"), F.lit(0)) * 4 + 16 + id_bytes())
+    # Unit vectors in double precision, and a copy on the way to them.
+    return Search(source, CosineKernel(digits), asked, size, {"vector": posting_vector}, rows, 4 * size // max(1, rows))
 
 
 def vector_topk(

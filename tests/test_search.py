@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pairwell.operators import block_join
+from pairwell.operators import block_join, pivots
 from pairwell.operators.block_join import Kernel, Limits, Search, _Best, best_of_each, contenders
 from pairwell.operators.bm25 import Bm25Kernel, bm25_search, bm25_topk, corpus_stats, corpus_totals, merged_counts, term_counts, tokenised
 from pairwell.operators.lsh import lsh_candidate_counts, lsh_topk
@@ -376,3 +376,31 @@ def test_index_follows_the_newest_batch(spark, tmp_path):
     profiles = spark.createDataFrame([(1, "old new")], "cv_id int, title string")
     found = indexed_bm25_topk(spark, index, profiles, 5).orderBy("rank").collect()
     assert [r.doc_id for r in found] == ["a", "b"]
+
+
+def test_a_task_holds_profiles_by_what_it_needs_for_them(spark, tmp_path):
+    """Not by their rows alone: unit vectors, angles to pivots and the running best take more."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(2000)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<float>")
+    left, right = vectors.withColumnRenamed("id", "cv_id"), vectors.withColumnRenamed("id", "doc_id")
+    limits = Limits(broadcast_bytes=200_000, block_bytes=200_000)
+    path = str(tmp_path / "index")
+    write_pivot_index(right, path)
+
+    def bounded(search, most):
+        whole = search.kernel.prepare
+
+        def prepare(profiles):
+            assert profiles.num_rows <= most, profiles.num_rows
+            return whole(profiles)
+
+        search.kernel.prepare = prepare
+        return search
+
+    search = bounded(vector_search(left, "vector", "vector", "v", 6), 200)
+    assert search.profile_bytes <= limits.broadcast_bytes
+    found = best_of_each([search], right, 10, limits).filter("cv_id = doc_id")
+    assert found.count() == 2000
+    search, stored = pivots._searched(spark, path, left, 10, "vector", "v", pivots.PivotKernel, limits, 6)
+    assert best_of_each([bounded(search, 200)], stored, 10, limits).filter("cv_id = doc_id").count() == 2000
