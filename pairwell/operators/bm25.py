@@ -110,7 +110,7 @@ def term_counts(postings: DataFrame, token_column: str = "tokens") -> DataFrame:
     words = F.coalesce(F.col(token_column), F.array().cast("array<string>"))
     listed = postings.select(F.size(words).alias("length"), words.alias("words"))
     # Words of a row are counted by a sort: a filter per word would be quadratic in long texts.
-    sorted_words = F.array_sort("words")
+    sorted_words = F.sort_array("words")
     starts = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: (i == 0) | (F.get("ordered", i) != F.get("ordered", i - 1)))
     ordered = listed.filter("length > 0").select("length", sorted_words.alias("ordered")).select("length", "ordered", starts.alias("starts"))
     each = F.transform(

@@ -546,6 +546,12 @@ def q_latest_postings(spark, sf):
     return latest(rows)
 
 
+def written_once(rows: DataFrame, path: str) -> DataFrame:
+    """Costly rows that several batches are taken from: written, and read back for each."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _stream(spark, sf, name):
     """A table, which may be one file or a folder of files, as a stream."""
     schema = table(spark, sf, name).schema
@@ -574,9 +580,9 @@ def q_stream_enrich(spark, sf):
 def q_compacted_postings(spark, sf):
     """Two halves of the documents as batches with a compaction between; the second sends some postings again."""
     messages = posting_messages(spread(table(spark, sf, "documents")))
-    rows = enrich(valid_messages(decode_messages(messages)), dim=4)
-    number = F.regexp_extract("link", r"/(\d+)//", 1).cast("long")
     base = shared_dir(spark, "compacted")
+    rows = written_once(enrich(valid_messages(decode_messages(messages)), dim=4), f"{base}/enriched")
+    number = F.regexp_extract("link", r"/(\d+)//", 1).cast("long")
     write_batch(rows.filter(number % 2 == 0), f"{base}/batches", 0)
     write_batch(rows.filter(number % 4 == 0).withColumn("title", F.lit("again")), f"{base}/batches", 1)
     compact_postings(spark, f"{base}/batches", f"{base}/current", 1 << 20)
@@ -625,9 +631,9 @@ def q_stored_match(spark, sf):
 def _indexed(spark, sf):
     """Documents as postings of two batches and their index; the second sends some again."""
     messages = posting_messages(spread(table(spark, sf, "documents")))
-    rows = enrich(valid_messages(decode_messages(messages)), dim=DIM)
-    number = F.regexp_extract("link", r"/(\d+)//", 1).cast("long")
     base = shared_dir(spark, "indexed")
+    rows = written_once(enrich(valid_messages(decode_messages(messages)), dim=DIM), f"{base}/enriched")
+    number = F.regexp_extract("link", r"/(\d+)//", 1).cast("long")
     early = rows.filter(number % 3 != 0)
     once = number % 6 == 4
     # What the second batch replaces has other words and skills in the first.

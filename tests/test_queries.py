@@ -1,8 +1,10 @@
 import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
 import table_queries
+from pairwell.operators.once import with_once
 
 
 @pytest.fixture
@@ -24,3 +26,21 @@ def test_a_table_in_a_folder_streams_as_one_file_does(spark, documents):
     counts = [table_queries.q_stream_balance(spark, str(documents / kind)).first().asDict() for kind in ("file", "folder")]
     assert counts[0] == counts[1]
     assert counts[0]["received"] == 12 + 12 + 12 + 4 and counts[0]["missing"] == 0
+
+
+@pytest.mark.parametrize("query", [table_queries.q_compacted_postings, table_queries.q_stored_bands])
+def test_batches_of_the_same_rows_enrich_them_once(spark, documents, monkeypatch, query):
+    seen = spark.sparkContext.accumulator(0)
+    plain = table_queries.posting_messages
+
+    @F.udf("string")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    def messages(frame):
+        return with_once(plain(frame).withColumnRenamed("value", "sent"), "value", counted("sent")).drop("sent")
+
+    monkeypatch.setattr(table_queries, "posting_messages", messages)
+    assert query(spark, str(documents / "file")).count() > 0
+    assert seen.value == 12
