@@ -17,8 +17,10 @@ SPACES = (
 # some punctuation joins two letters (node.js, don't) or two digits (3.14, 1,000);
 # Han and Hiragana characters are words of their own. Possessive repeats keep Java's
 # matcher from recursing, so that a junk "word" of any length is safe.
-SINGLE = r"[\p{IsHan}\p{IsHiragana}]"
-RUN = rf"[\p{{L}}\p{{M}}\p{{N}}_&&[^{SINGLE[1:-1]}]]"
+# A script is looked up for every character it is asked of, so both classes ask first what is cheap:
+# no Han or Hiragana character comes before U+2E80.
+SINGLE = r"[\x{2E80}-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}]]"
+RUN = rf"[a-z0-9_[\p{{L}}\p{{M}}\p{{N}}&&[^{SINGLE}]]]"
 JOINT = r"(?<=[\p{L}\p{M}])[:.'’·‧](?=\p{L})|(?<=\p{N})[,;.'’](?=\p{N})"
 WORD = rf"{SINGLE}|_*[\p{{L}}\p{{N}}]{RUN}*+(?:(?:{JOINT}){RUN}++)*+"
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairwell.functions.text import tokens
-from pairwell.operators.hashing import hashed_tokens
+from pairwell.operators.hashing import hashed_tokens, some_at_a_time
 from pairwell.session import shared_dir
 from pairwell.sources.vectors import KEPT, VectorStore
 
@@ -39,8 +39,7 @@ def hash_embed_words(words: Column, dim: int = DIM) -> Column:
     give the zero vector.
     """
 
-    @F.arrow_udf(VECTOR)
-    def count(lists: pa.Array) -> pa.Array:
+    def counted(lists: pa.Array) -> pa.Array:
         lengths, codes, hashes = hashed_tokens(lists)
         place = (hashes % np.uint64(dim)).astype(np.int64)
         sign = 1.0 - 2.0 * (hashes // np.uint64(dim) % np.uint64(2)).astype(np.float64)
@@ -49,6 +48,10 @@ def hash_embed_words(words: Column, dim: int = DIM) -> Column:
         offsets = np.arange(len(lists) + 1, dtype=np.int32) * dim
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(total))
 
+    @F.arrow_udf(VECTOR)
+    def count(lists: pa.Array) -> pa.Array:
+        return some_at_a_time(lists, counted)
+
     return count(words)
 
 

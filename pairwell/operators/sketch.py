@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairwell.functions.text import normal_tokens
-from pairwell.operators.hashing import hashed_tokens
+from pairwell.operators.hashing import hashed_tokens, some_at_a_time
 
 # Sketch size and search threshold, and the public parameters of
 # the hash family (a*x + b) mod p, cut to 32 bits, with seeded a and b.
@@ -50,8 +50,7 @@ def signature(tokens: Column, num_perm: int = NUM_PERM, seed: int = SEED) -> Col
     """
     pairs = permutations(num_perm, seed)
 
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def minima(lists: pa.Array) -> pa.Array:
+    def least(lists: pa.Array) -> pa.Array:
         lengths, codes, hashes = hashed_tokens(lists)
         out = np.full((len(lists), num_perm), MAX_HASH, dtype=np.int64)
         filled = np.flatnonzero(lengths)
@@ -63,6 +62,10 @@ def signature(tokens: Column, num_perm: int = NUM_PERM, seed: int = SEED) -> Col
         offsets = np.arange(len(lists) + 1, dtype=np.int32) * num_perm
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
 
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def minima(lists: pa.Array) -> pa.Array:
+        return some_at_a_time(lists, least)
+
     return minima(tokens)
 
 

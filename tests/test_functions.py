@@ -2,10 +2,12 @@ import random
 import time
 from datetime import datetime, timezone
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pairwell.functions import cleaning, encode, markup, page_tree, scores, text
+from pairwell.operators import hashing
 
 X = F.col("x")
 
@@ -174,3 +176,14 @@ def test_inside_of_an_element(values):
     page = '<div class="x">no</div><div class="list"><div>a</div>b</div><div class="list">c</div>'
     inside = page_tree.element_html(X, "div", "class", "list")
     assert values(inside, [page, "<p>", None, '<div class="list">open']) == ["<div>a</div>b", None, None, "open"]
+
+
+def test_tokens_are_worked_on_some_lists_at_a_time():
+    lists, seen = pa.array([["a"], None, ["b", "c"], [], ["d"]], pa.list_(pa.string())), []
+
+    def lengths(part):
+        seen.append(len(part))
+        return part.value_lengths()
+
+    assert hashing.some_at_a_time(lists, lengths, 2).to_pylist() == [1, None, 2, 0, 1] and seen == [2, 2, 1]
+    assert hashing.some_at_a_time(lists.slice(0, 0), lengths, 2).to_pylist() == []
