@@ -101,11 +101,10 @@ def embed_columns(
     entries = F.array(*[F.struct(keys[t].alias("text_key"), F.col(t).alias("text")) for t in columns])
     texts = df.select(F.inline(entries)).filter(F.col("text_key").isNotNull()).dropDuplicates(["text_key"])
     if store is not None:
-        path = shared_dir(df.sparkSession, "asked-texts")
-        texts.write.parquet(path)
-        texts = df.sparkSession.read.schema(texts.schema).parquet(path)
+        # Keys alone ask the store, so that the texts themselves move once, to be made distinct.
+        asked = df.select(F.explode(F.array(*keys.values())).alias("text_key")).filter(F.col("text_key").isNotNull())
         path = shared_dir(df.sparkSession, "known-vectors")
-        store.known(texts.select("text_key")).write.parquet(path)
+        store.known(asked.distinct()).write.parquet(path)
         known = df.sparkSession.read.schema(KEPT).parquet(path)
         texts = texts.join(known.select("text_key"), "text_key", "left_anti")
     if tasks is not None:
@@ -129,10 +128,12 @@ def embed_columns(
             store.add(made, f"part-{uuid.uuid4().hex}")
         vectors = vectors.unionByName(known.withColumn("error", F.lit(None).cast("string")))
     # Left joins: Spark splits a text that very many rows share, and rows without text, at run time.
-    for number, (text, vector) in enumerate(columns.items()):
+    # All keys come first, so that a join moves no text that only a later key needs.
+    df = df.withColumns({f"text_key_{number}": keys[text] for number, text in enumerate(columns)})
+    for number, vector in enumerate(columns.values()):
         key = f"text_key_{number}"
         found = vectors.select(F.col("text_key").alias(key), F.col("vector").alias(vector), F.col("error").alias(f"error_{number}"))
-        df = df.withColumn(key, keys[text]).join(found, key, "left").drop(key)
+        df = df.join(found, key, "left").drop(key)
     reasons = [f"error_{number}" for number in range(len(columns))]
     if on_error == "reject":
         df = df.withColumn(error, F.coalesce(*reasons))

@@ -1,9 +1,11 @@
 import shutil
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 import table_queries
+from pairwell.operators import embed
 from pairwell.operators.once import with_once
 
 
@@ -44,3 +46,12 @@ def test_batches_of_the_same_rows_enrich_them_once(spark, documents, monkeypatch
     monkeypatch.setattr(table_queries, "posting_messages", messages)
     assert query(spark, str(documents / "file")).count() > 0
     assert seen.value == 12
+
+
+def test_a_vector_store_is_asked_by_keys_alone(spark, documents, tmp_path, monkeypatch):
+    monkeypatch.setattr(embed, "shared_dir", lambda _, purpose: f"{tmp_path}/shared/{purpose}-{uuid.uuid4().hex}")
+    spark.createDataFrame([(1, "one")], "item_id long, text string").write.parquet(str(documents / "file" / "benchmark.parquet"))
+    rows = {r.doc_id: r for r in table_queries.q_stored_vectors(spark, str(documents / "file")).collect()}
+    assert (rows[1].first_calls, rows[1].last_calls) == (5, 13) and rows[0].characters is None and rows[3].body_blanks == 2
+    names = {tuple(spark.read.parquet(str(path)).columns) for path in (tmp_path / "shared").iterdir()}
+    assert names == {("text_key", "vector"), ("text_key", "vector", "error")}
