@@ -2,8 +2,10 @@ from pyspark.sql import functions as F
 
 import time
 
+import pyarrow as pa
 import pytest
 
+from pairwell.functions import page_tree
 from pairwell.operators.documents import convert_documents
 from pairwell.operators.frontier import discover_links, distinct_links, merged_history, unseen
 from pairwell.operators.pages import extract_page_fields, list_page_urls
@@ -171,6 +173,30 @@ def test_html_and_text_documents(spark):
     assert {r.stem: r.text for r in convert_documents(files).collect()} == {"p": "Xin chào\nb", "t": "# chào <b>"}
 
 
+class Batch:
+    """An Arrow batch that gives no more than some texts at a time to Python."""
+
+    def __init__(self, texts):
+        self.texts = texts
+
+    def __len__(self):
+        return len(self.texts)
+
+    def slice(self, *at):
+        return Batch(self.texts.slice(*at))
+
+    def to_pylist(self):
+        assert len(self.texts) <= page_tree.TEXTS_AT_A_TIME
+        return self.texts.to_pylist()
+
+
+def test_references_of_a_large_batch_are_decoded_some_at_a_time():
+    texts = [None if i % 7 == 0 else "" if i % 7 == 1 else f"{i} &lt; &amp;amp;" for i in range(2 * page_tree.TEXTS_AT_A_TIME + 1)]
+    for length in (0, 1, page_tree.TEXTS_AT_A_TIME, len(texts)):
+        plain = [t and t.replace("&lt;", "<").replace("&amp;amp;", "&amp;") for t in texts[:length]]
+        assert page_tree.unescaped(Batch(pa.array(texts[:length], pa.string()))).to_pylist() == plain
+
+
 def test_missing_document_path_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         read_documents(spark, str(tmp_path / "nothing")).count()
