@@ -492,3 +492,27 @@ def test_a_chunk_is_tried_again_before_it_is_refused():
     assert writer.send(sink, [("a", "x"), ("b", "y")]) == {} and calls == [2, 2, 2]
     calls.clear()
     assert BulkWriter(lambda: sink, "", 10, 2, 0).send(sink, [("a", "x")]) == {"a": "store: busy"}
+
+
+def test_a_compaction_moves_rows_once(spark, tmp_path, monkeypatch):
+    path, compacted = str(tmp_path / "postings"), str(tmp_path / "compacted")
+
+    def add(batch, *rows):
+        frame = spark.createDataFrame(rows, "posting_id string, title string")
+        columns = [F.col(f.name) if f.name in frame.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in POSTING]
+        write_batch(frame.select(columns), path, batch)
+
+    # Rows without an id and equal rows of one batch all stay.
+    add(0, ("a", "a0"), ("b", "b0"), ("c", "c0"), (None, "n0"))
+    add(1, ("a", "a1"), ("a", "a1"), (None, "n1"))
+    compact_postings(spark, path, compacted, 1 << 20)
+    add(2, ("b", "b2"), ("d", "d2"), (None, "n2"))
+    add(3, ("d", "d3"))
+    joins = []
+    frame = type(spark.range(0))
+    monkeypatch.setattr(frame, "join", lambda self, *a, plain=frame.join, **k: joins.append(a) or plain(self, *a, **k))
+    compact_postings(spark, path, compacted, 1 << 20)
+    assert not joins
+    rows, through = compaction.read_compacted(spark, compacted)
+    assert through == 3
+    assert sorted(r.title for r in rows.collect()) == ["a1", "a1", "b2", "c0", "d3", "n0", "n1", "n2"]
