@@ -13,11 +13,15 @@ from pairwell.operators.embed import DIM, Embedder
 from pairwell.plans.enrich import enrich
 from pairwell.schemas import POSTING
 from pairwell.sources.messages import decode_messages, last_per_posting, rejected_messages, valid_messages
-from pairwell.sources.batches import read_batches, write_batch
+from pairwell.sources.batches import CODEC, read_batches, write_batch
+from pairwell.sources.compaction import Folder
 from pairwell.sources.search_index import write_index
 from pairwell.sources.vectors import VectorStore
 from pairwell.streaming.status import write_stored
 
+#: Raw messages in a row group, before compression.
+ROW_GROUP_BYTES = 32 << 20
+
 REJECT = T.StructType([T.StructField("value", T.StringType()), T.StructField("reason", T.StringType())])
 
 
@@ -39,16 +43,24 @@ def store_batch(
 
     Storing the same batch again rewrites its folder, so nothing is lost or
     repeated. ``order`` names the columns by which the last message of a posting
-    wins. ``tasks`` spreads the raw messages first, for sources with few partitions.
+    wins. The batch's messages are kept in a hidden folder beside the rejects until it is stored.
+    ``tasks`` spreads the raw messages if they lie in fewer splits, for sources with few partitions.
     ``on_error`` is that of the embedder; its rejects join the others. With ``index_path`` the
     stored rows are indexed (``search_index.write_index``). ``store`` keeps the model's vectors across
     batches. With ``status_path`` the batch leaves a row of what became of its messages.
     """
-    if tasks is not None:
-        messages = messages.repartition(tasks)
-    decoded = decode_messages(messages).persist()
+    spark, columns = messages.sparkSession, list(dict.fromkeys(["value", *order]))
+    # The raw messages are written, and decoded by whatever reads them: decoded, they take many times as much.
+    kept = Folder(spark, f"{rejects_path}/_messages-{batch_id}")
     try:
-        good = last_per_posting(valid_messages(decoded), order)
+        _keep(messages.select(*columns).filter(F.col("value") != ""), kept.path)
+        raw = spark.read.schema(messages.select(*columns).schema).parquet(kept.path)
+        if tasks is not None and raw.rdd.getNumPartitions() < tasks:
+            raw = raw.repartition(tasks)
+        decoded = decode_messages(raw)
+        # Only raw messages are compared, and moved where an id comes again.
+        last = last_per_posting(valid_messages(decoded).select(*columns, "link"), order)
+        good = valid_messages(decode_messages(last.select(*columns)))
         rows, rejects = enrich(good, embedder, dim, on_error=on_error, store=store), rejected_messages(decoded)
         if on_error == "reject":
             failed = rows.filter("embed_error IS NOT NULL")
@@ -57,12 +69,18 @@ def store_batch(
         write_batch(rows.select(*POSTING.names), postings_path, batch_id)
         write_batch(rejects, rejects_path, batch_id)
         if index_path is not None:
-            stored = read_batches(messages.sparkSession, postings_path, POSTING).filter(F.col("batch_id") == batch_id)
+            stored = read_batches(spark, postings_path, POSTING).filter(F.col("batch_id") == batch_id)
             write_index(stored.drop("batch_id"), index_path, batch_id)
         if status_path is not None:
-            write_stored(messages.sparkSession, status_path, batch_id, decoded, postings_path, rejects_path)
+            write_stored(spark, status_path, batch_id, decoded, postings_path, rejects_path)
     finally:
-        decoded.unpersist()
+        kept.delete()
+
+
+def _keep(messages: DataFrame, path: str) -> None:
+    """Write a batch's messages in row groups that several tasks can share."""
+    writer = messages.write.mode("overwrite").option("compression", CODEC)
+    writer.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
 
 
 def start_ingest(
