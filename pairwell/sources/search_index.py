@@ -24,7 +24,7 @@ from pairwell.operators.block_join import Kernel, Limits, Matches, Search, best_
 from pairwell.operators.bm25 import bm25_search, merged_counts, term_counts
 from pairwell.operators.ranking import as_channel
 from pairwell.operators.sketch import MAX_HASH, NUM_PERM, THRESHOLD, band_table
-from pairwell.sources.batches import latest, read_batches, write_batch
+from pairwell.sources.batches import latest, outdated, read_batches, rows_of, write_batch
 
 ID = T.StructField("posting_id", T.StringType())
 WORDS = T.StructType([ID, T.StructField("tokens", T.ArrayType(T.StringType()))])
@@ -65,9 +65,7 @@ def indexed_words(spark: SparkSession, path: str) -> DataFrame:
 
 def replaced(spark: SparkSession, path: str) -> DataFrame:
     """``(posting_id, batch_id)`` of postings that a later batch has."""
-    rows = read_batches(spark, f"{path}/words", WORDS).select("posting_id", "batch_id").distinct()
-    last = rows.groupBy("posting_id").agg(F.max("batch_id").alias("last"), F.count("*").alias("batches")).filter("batches > 1")
-    return rows.join(last, "posting_id").filter("batch_id < last").select("posting_id", "batch_id")
+    return outdated(read_batches(spark, f"{path}/words", WORDS))
 
 
 def indexed_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -76,7 +74,7 @@ def indexed_counts(spark: SparkSession, path: str) -> DataFrame:
     ``most`` and ``shortest`` may stem from a replaced posting; they bound gains all the same.
     """
     sums = read_batches(spark, f"{path}/counts", COUNTS).drop("batch_id")
-    old = read_batches(spark, f"{path}/words", WORDS).join(replaced(spark, path), ["posting_id", "batch_id"], "left_semi")
+    old = rows_of(read_batches(spark, f"{path}/words", WORDS), replaced(spark, path))
     none = F.lit(None).cast("int")
     taken_off = term_counts(old).select("term", (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"), none.alias("most"), none.alias("shortest"))
     return merged_counts(sums.unionByName(taken_off)).filter((F.col("docs") > 0) | (F.col("term") == ""))
@@ -85,7 +83,7 @@ def indexed_counts(spark: SparkSession, path: str) -> DataFrame:
 def indexed_bands(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, band, bucket)`` of the current postings."""
     rows = read_batches(spark, f"{path}/bands", BANDS)
-    current = rows.join(replaced(spark, path), ["posting_id", "batch_id"], "left_anti")
+    current = rows_of(rows, replaced(spark, path), "left_anti")
     return current.select(F.col("posting_id").alias("doc_id"), "band", "bucket")
 
 

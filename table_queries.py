@@ -546,10 +546,14 @@ def q_latest_postings(spark, sf):
     return latest(rows)
 
 
-def written_once(rows: DataFrame, path: str) -> DataFrame:
-    """Costly rows that several batches are taken from: written, and read back for each."""
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+def _number() -> Column:
+    """The document's id, from the link of its posting."""
+    return F.regexp_extract("link", r"/(\d+)//", 1).cast("long")
+
+
+def _batch(spark, path: str, batch_id: int) -> DataFrame:
+    """Postings of a batch that is written, to take others from: enriching is costly."""
+    return read_batches(spark, path, POSTING).filter(F.col("batch_id") == batch_id).drop("batch_id")
 
 
 def _stream(spark, sf, name):
@@ -559,10 +563,16 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
+def _spread_stream(spark, sf, name):
+    """As ``_stream``, dealt over the cores where the table has fewer splits, as ``spread`` does."""
+    rows, cores = _stream(spark, sf, name), spark.sparkContext.defaultParallelism
+    return rows if table(spark, sf, name).rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def _ingested(spark, sf):
     """Documents twice in a stream: as posting messages and as plain text."""
     documents = _stream(spark, sf, "documents")
-    good = posting_messages(documents.repartition(spark.sparkContext.defaultParallelism)).select("value")
+    good = posting_messages(_spread_stream(spark, sf, "documents")).select("value")
     plain = documents.select(F.col("text").alias("value"))
     base = shared_dir(spark, "ingest")
     paths = f"{base}/postings", f"{base}/rejects"
@@ -581,12 +591,14 @@ def q_compacted_postings(spark, sf):
     """Two halves of the documents as batches with a compaction between; the second sends some postings again."""
     messages = posting_messages(spread(table(spark, sf, "documents")))
     base = shared_dir(spark, "compacted")
-    rows = written_once(enrich(valid_messages(decode_messages(messages)), dim=4), f"{base}/enriched")
-    number = F.regexp_extract("link", r"/(\d+)//", 1).cast("long")
+    rows, number = enrich(valid_messages(decode_messages(messages)), dim=4), _number()
+    # Rows that several batches have are enriched for the first one, and taken from it.
     write_batch(rows.filter(number % 2 == 0), f"{base}/batches", 0)
-    write_batch(rows.filter(number % 4 == 0).withColumn("title", F.lit("again")), f"{base}/batches", 1)
+    first = _batch(spark, f"{base}/batches", 0)
+    write_batch(first.filter(number % 4 == 0).withColumn("title", F.lit("again")), f"{base}/batches", 1)
     compact_postings(spark, f"{base}/batches", f"{base}/current", 1 << 20)
-    later = rows.filter((number % 2 == 1) | (number % 6 == 0)).withColumn("doc_type", F.when(number % 3 == 0, "job").otherwise("cv"))
+    later = rows.filter(number % 2 == 1).unionByName(first.filter(number % 6 == 0))
+    later = later.withColumn("doc_type", F.when(number % 3 == 0, "job").otherwise("cv"))
     write_batch(later, f"{base}/batches", 2)
     found = read_postings(spark, f"{base}/batches", compacted=f"{base}/current")
     return found.select("posting_id", "title", "doc_type")
@@ -632,16 +644,16 @@ def _indexed(spark, sf):
     """Documents as postings of two batches and their index; the second sends some again."""
     messages = posting_messages(spread(table(spark, sf, "documents")))
     base = shared_dir(spark, "indexed")
-    rows = written_once(enrich(valid_messages(decode_messages(messages)), dim=DIM), f"{base}/enriched")
-    number = F.regexp_extract("link", r"/(\d+)//", 1).cast("long")
-    early = rows.filter(number % 3 != 0)
+    rows, number = enrich(valid_messages(decode_messages(messages)), dim=DIM), _number()
     once = number % 6 == 4
+    # The second batch is written first: rows that both have are enriched for it, and taken from it.
+    write_batch(rows.filter(~once), f"{base}/postings", 1)
+    early = _batch(spark, f"{base}/postings", 1).unionByName(rows.filter(once)).filter(number % 3 != 0)
     # What the second batch replaces has other words and skills in the first.
     older = early.withColumns({"title": F.when(once, F.col("title")).otherwise(F.lit("older words"))})
-    for batch, part in enumerate((older, rows.filter(~once))):
-        write_batch(part, f"{base}/postings", batch)
-        stored = read_batches(spark, f"{base}/postings", POSTING).filter(F.col("batch_id") == batch)
-        write_index(stored, f"{base}/index", batch)
+    write_batch(older, f"{base}/postings", 0)
+    for batch in (0, 1):
+        write_index(read_batches(spark, f"{base}/postings", POSTING).filter(F.col("batch_id") == batch), f"{base}/index", batch)
     return f"{base}/postings", f"{base}/index"
 
 
@@ -694,7 +706,7 @@ def q_stream_status(spark, sf):
 def q_stream_balance(spark, sf):
     """Where every message of a stream went: documents, plain texts, repeats with a newer text, and blanks."""
     documents = _stream(spark, sf, "documents")
-    good = posting_messages(documents.repartition(spark.sparkContext.defaultParallelism)).select("value")
+    good = posting_messages(_spread_stream(spark, sf, "documents")).select("value")
     again = good.filter(F.col("value").contains("//?x=1#top")).select(F.concat("value", F.lit(" ")).alias("value"))
     plain = documents.select(F.col("text").alias("value"))
     blank = documents.filter("doc_id % 3 = 0").select(F.when(F.col("doc_id") % 2 == 0, F.lit("")).alias("value"))
