@@ -20,7 +20,8 @@ from pairwell.sources.messages import (
     valid_messages,
     write_topic,
 )
-from pairwell.sources import compaction
+from pairwell.sources import batches, compaction
+from pairwell.sources import messages as messages_module
 from pairwell.sources.batches import latest, read_batches, write_batch
 from pairwell.sources.bulk import BulkWriter, bulk_refused, bulk_status, bulk_write
 from pairwell.sources.compaction import compact_postings
@@ -516,3 +517,112 @@ def test_a_compaction_moves_rows_once(spark, tmp_path, monkeypatch):
     rows, through = compaction.read_compacted(spark, compacted)
     assert through == 3
     assert sorted(r.title for r in rows.collect()) == ["a1", "a1", "b2", "c0", "d3", "n0", "n1", "n2"]
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_batch_is_decoded_from_kept_messages(spark, tmp_path, monkeypatch):
+    """Not from a cache of decoded rows, which take many times as much memory and disk."""
+    cached = []
+    monkeypatch.setattr(type(spark.range(0)), "persist", lambda self, *a: cached.append(self) or self)
+    bodies = [{"title": f"t{i}", "description": "d", "link": f"http://h/{i % 8}"} for i in range(10)]
+    values = [json.dumps(b) for b in bodies] + ["{", "", None]
+    messages = spark.createDataFrame(list(enumerate(values)), "offset int, value string")
+    paths = str(tmp_path / "p"), str(tmp_path / "r")
+    store_batch(messages, *paths, 0, ["offset"], dim=2, tasks=3, status_path=str(tmp_path / "s"))
+    assert not cached
+    assert sorted(r.title for r in read_postings(spark, paths[0]).collect()) == [f"t{i}" for i in range(2, 10)]
+    assert [r.reason for r in read_rejects(spark, paths[1]).collect()] == ["not JSON"]
+    stored = read_batches(spark, str(tmp_path / "s" / "stored"), spark.createDataFrame([(1, 1, 1)], "saved long, rejected long, replaced long").schema)
+    assert [tuple(r)[:3] for r in stored.collect()] == [(8, 1, 2)]
+    assert not [name for name in os.listdir(paths[1]) if name.startswith("_messages")]
+
+
+def test_messages_of_single_ids_are_not_moved(spark, monkeypatch):
+    def last(ids):
+        values = [json.dumps({"title": f"t{i}", "link": f"http://h/{k}"}) for i, k in enumerate(ids)]
+        frame = spark.createDataFrame(list(enumerate(values)), "offset int, value string")
+        return last_per_posting(valid_messages(decode_messages(frame)), ["offset"])
+
+    assert "Exchange" not in plan_of(last([1, 2, 3])) and last([1, 2, 3]).count() == 3
+    assert sorted(r.title for r in last([1, 2, 1, 3]).collect()) == ["t1", "t2", "t3"]
+    monkeypatch.setattr(messages_module, "SENT_BYTES", 0)
+    assert sorted(r.title for r in last([1, 2, 1, 3]).collect()) == ["t1", "t2", "t3"]
+
+
+def test_outdated_rows_are_left_out_where_they_lie(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "rows")
+    rows = [("a", 0, "x"), ("a", 0, "x"), ("a", 2, "y"), ("b", 1, "z"), (None, 0, "n"), (None, 1, "m"), ("c", None, "o")]
+    spark.createDataFrame(rows, "posting_id string, batch_id long, text string").write.parquet(path)
+    expected = ["m", "n", "o", "y", "z"]
+
+    def kept():
+        return sorted(r.text for r in latest(spark.read.parquet(path)).collect())
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(latest(spark.read.parquet(path)))
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan.split("BroadcastExchange")[0]
+        assert "Join" not in plan_of(latest(spark.read.parquet(path).filter("batch_id = 1")))
+        assert kept() == expected
+        # Other ids with the hash of an outdated one, and more keys than are sent.
+        with monkeypatch.context() as all_alike:
+            all_alike.setattr(batches.F, "xxhash64", lambda *columns: F.lit(1).cast("long"))
+            assert kept() == expected
+        monkeypatch.setattr(batches, "SENT_BYTES", 0)
+        assert kept() == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_compaction_leaves_old_rows_in_their_buckets(spark, tmp_path, monkeypatch):
+    path, compacted = str(tmp_path / "postings"), str(tmp_path / "compacted")
+
+    def add(batch, *rows):
+        frame = spark.createDataFrame(rows, "posting_id string, title string")
+        columns = [F.col(f.name) if f.name in frame.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in POSTING]
+        write_batch(frame.select(columns).coalesce(1), path, batch)
+        compact_postings(spark, path, compacted, 1 << 20)
+        (bucket,) = compaction.manifests(spark, compacted)[-1].folders.items()
+        assert sorted(r.title for r in compaction.read_compacted(spark, compacted)[0].collect()) == sorted(expected)
+        return compaction.files(spark, f"{compacted}/data/version={bucket[1]}/bucket={bucket[0]}")
+
+    expected = ["a0", "b0", "n0"]
+    assert add(0, ("a", "a0"), ("b", "b0"), (None, "n0")) == 1
+    expected = ["a0", "b1", "c1", "n0", "n1"]
+    assert add(1, ("b", "b1"), ("c", "c1"), (None, "n1")) == 2
+    # A bucket of many files becomes one file.
+    monkeypatch.setattr(compaction, "FILES", 2)
+    expected = ["a2", "b1", "c1", "n0", "n1"]
+    assert add(2, ("a", "a2")) == 1
+    # Hashes that do not tell ids apart, and more of them than are sent.
+    expected = ["a2", "b1", "c3", "n0", "n1"]
+    with monkeypatch.context() as all_alike:
+        all_alike.setattr(compaction.F, "xxhash64", lambda *columns: F.lit(1).cast("long"))
+        assert add(3, ("c", "c3")) == 1
+    monkeypatch.setattr(compaction, "SENT_BYTES", 0)
+    expected = ["a2", "b1", "c3", "d4", "n0", "n1"]
+    assert add(4, ("d", "d4")) == 1
+
+
+def test_batches_are_taken_from_written_ones(spark, tmp_path, monkeypatch):
+    """Rows that several batches have are enriched once, and no other copy of them is written."""
+    import table_queries
+
+    texts = [(i, f"word{i} of {i % 3}\nline {i}", "en", "web", 20) for i in range(24)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(table_queries, "shared_dir", lambda spark, purpose: str(tmp_path / purpose))
+    path, index = table_queries._indexed(spark, str(tmp_path))
+    assert sorted(os.listdir(tmp_path / "indexed")) == ["index", "postings"]
+    stored = read_batches(spark, path, POSTING).withColumn("number", table_queries._number()).collect()
+    titles = dict((i, text) for i, text, *_ in texts)
+    assert {(r.number, r.title) for r in stored if r.batch_id == 1} == {(i, titles[i]) for i in range(24) if i % 6 != 4}
+    assert {(r.number, r.title) for r in stored if r.batch_id == 0} == {(i, titles[i] if i % 6 == 4 else "older words") for i in range(24) if i % 3}
+    found = {(r.title, r.doc_type) for r in table_queries.q_compacted_postings(spark, str(tmp_path)).collect()}
+    assert sorted(os.listdir(tmp_path / "compacted")) == ["batches", "current"]
+    later = {i for i in range(24) if i % 2 == 1 or i % 6 == 0}
+    jobs = {(titles[i], "job") for i in later if i % 3 == 0} | {("again" if i % 4 == 0 else titles[i], "job") for i in range(0, 24, 2) if i not in later}
+    assert found == jobs
