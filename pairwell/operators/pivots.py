@@ -30,6 +30,7 @@ from pairwell.operators.block_join import (
     contenders,
     fixed_matrix,
     match_counts,
+    reaching,
     rounded,
 )
 from pairwell.operators.ranking import as_channel
@@ -39,6 +40,8 @@ from pairwell.operators.vector import CosineKernel, unit_rows, vector_search
 PIVOTS = 1024
 #: What a task takes for the angle of a profile to a pivot: it, its cosine and their copies.
 ANGLE_BYTES = 32
+#: Pairs whose vectors are held side by side.
+PAIRS = 16_384
 #: Scores this near to a floor are not skipped: angles are computed in another way than scores.
 MARGIN = 2e-6
 
@@ -89,11 +92,14 @@ class PivotKernel(CosineKernel):
         state = super().prepare(profiles)
         _, units = unit_rows(self.centres.column("vector").combine_chunks())
         cosine = state.units @ units.T if len(state.ids) and len(units) else np.zeros((len(state.ids), len(units)))
-        state.angles = np.arccos(np.clip(cosine, -1, 1))
         state.least = np.full(len(state.ids), -np.inf)
         if self.k <= cosine.shape[1]:
-            scores = rounded(cosine + 1.0, self.digits)
-            state.least = np.partition(scores, cosine.shape[1] - self.k, axis=1)[:, cosine.shape[1] - self.k]
+            kth = np.partition(cosine, cosine.shape[1] - self.k, axis=1)[:, cosine.shape[1] - self.k]
+            state.least = rounded(kth + 1.0, self.digits)
+        # The angles to one pivot are read together.
+        state.angles = np.asfortranarray(np.clip(cosine, -1, 1))
+        np.arccos(state.angles, out=state.angles)
+        state.single = state.units.astype(np.float32)
         return state
 
     def reachable(self, state: SimpleNamespace, floor: np.ndarray) -> np.ndarray:
@@ -103,21 +109,44 @@ class PivotKernel(CosineKernel):
 
     def matches(self, state: SimpleNamespace, postings: pa.RecordBatch, floor: np.ndarray, k: int) -> Matches:
         pivot, angle = postings.column("pivot").to_numpy(), postings.column("angle").to_numpy()
-        reach = self.reachable(state, floor)
-        score = np.full((len(state.ids), len(pivot)), -np.inf)
+        bar, reach = np.maximum(floor, state.least), self.reachable(state, floor)
         vectors = fixed_matrix(postings.column("vector")).astype(np.float64)
+        units = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+        # Cosines in single precision are this near to those in double precision, which alone make scores.
+        unit = 10.0 ** -(NOISE_DIGITS if self.digits is None else self.digits)
+        least = (bar - 1 - unit - (units.shape[1] + 8) * 2.0**-23).astype(np.float32)
+        found: list[Matches] = []
         begins = np.flatnonzero(np.r_[True, pivot[1:] != pivot[:-1]]) if len(pivot) else np.zeros(0, np.int64)
         for a, b in zip(begins, np.r_[begins[1:], len(pivot)]):
             to_pivot = state.angles[:, pivot[a]]
-            row = np.flatnonzero((to_pivot - reach <= angle[a:b].max()) & (to_pivot + reach >= angle[a:b].min()))
+            nearest, farthest = to_pivot - reach, to_pivot + reach
+            near = (nearest <= angle[a:b].max()) & (farthest >= angle[a:b].min())
+            row = np.flatnonzero(near)
             if not len(row):
                 continue
-            low, high = (to_pivot - reach)[row].min(), (to_pivot + reach)[row].max()
-            column = a + np.flatnonzero((angle[a:b] >= low) & (angle[a:b] <= high))
-            part = vectors[column]
-            units = part / np.linalg.norm(part, axis=1)[:, None]
-            score[np.ix_(row, column)] = rounded(state.units[row] @ units.T + 1.0, self.digits)
-        return contenders(score, np.maximum(floor, state.least), k, postings.column("doc_id"))
+            column = a + np.flatnonzero((angle[a:b] >= nearest[row].min()) & (angle[a:b] <= farthest[row].max()))
+            # All profiles, as where nothing can be skipped, need no copy.
+            row = slice(None) if len(row) == len(near) else row
+            hit = state.single[row] @ units[column].astype(np.float32).T >= least[row, None]
+            found.append(self.scored(state, row, column, hit, units, bar, k, postings.column("doc_id")))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(part) for part in zip(*found))
+
+    def scored(self, state: SimpleNamespace, row, column: np.ndarray, hit: np.ndarray, units: np.ndarray, bar: np.ndarray, k: int, ids: pa.Array) -> Matches:
+        """The hits of some profiles and postings that reach their floor; of very many, those that can stay."""
+        rows = np.arange(len(state.ids))[row]
+        place = np.flatnonzero(hit)
+        if len(place) > 2 * k * len(rows):
+            score = np.where(hit, rounded(state.units[row] @ units[column].T + 1.0, self.digits), -np.inf)
+            own, other, score = contenders(score, bar[row], k, ids.take(pa.array(column)))
+            return rows[own], column[other], score
+        own, other = np.divmod(place, max(1, len(column)))
+        own, other, score = rows[own], column[other], np.empty(len(place))
+        for start in range(0, len(place), PAIRS):
+            part = slice(start, start + PAIRS)
+            score[part] = np.einsum("ij,ij->i", state.units[own[part]], units[other[part]])
+        return reaching(own, other, rounded(score + 1.0, self.digits), bar)
 
 
 class ReachKernel(PivotKernel):

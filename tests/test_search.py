@@ -404,3 +404,26 @@ def test_a_task_holds_profiles_by_what_it_needs_for_them(spark, tmp_path):
     assert found.count() == 2000
     search, stored = pivots._searched(spark, path, left, 10, "vector", "v", pivots.PivotKernel, limits, 6)
     assert best_of_each([bounded(search, 200)], stored, 10, limits).filter("cv_id = doc_id").count() == 2000
+
+
+def test_pivots_score_few_pairs_in_full(spark, tmp_path, monkeypatch):
+    """Cosines in single precision leave the pairs that can reach a floor; only those are scored."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(900, 16)).astype(np.float32)
+    cen = pa.table({"doc_id": range(40), "vector": vectors[:40].tolist()}, pa.schema([("doc_id", pa.int64()), ("vector", pa.list_(pa.float32()))]))
+    kernel = pivots.PivotKernel(cen, 3, 6)
+    profiles = pa.table({"cv_id": range(300), "vector": vectors[:300].tolist()}, pa.schema([("cv_id", pa.int64()), ("vector", pa.list_(pa.float32()))]))
+    units = vectors.astype(np.float64) / np.linalg.norm(vectors.astype(np.float64), axis=1)[:, None]
+    cosine = units @ units[:40].T
+    near, angle = cosine.argmax(axis=1), np.arccos(np.clip(cosine.max(axis=1), -1, 1))
+    order = np.lexsort((angle, near))
+    columns = [pa.array(order), pa.array(vectors[order].tolist(), pa.list_(pa.float32())), pa.array(near[order].astype(np.int32)), pa.array(angle[order])]
+    postings = pa.RecordBatch.from_arrays(columns, names=["doc_id", "vector", "pivot", "angle"])
+    state, scored = kernel.prepare(profiles), []
+    monkeypatch.setattr(pivots, "rounded", lambda score, digits, plain=pivots.rounded: scored.append(score.size) or plain(score, digits))
+    row, column, score = kernel.matches(state, postings, np.full(300, -np.inf), 3)
+    whole = block_join.rounded(units[:300] @ units.T + 1.0, 6)
+    floor = np.sort(whole[:, :40], axis=1)[:, -3]
+    expected = {(i, j): whole[i, j] for i, j in zip(*np.nonzero(whole >= floor[:, None]))}
+    assert {(i, order[j]): s for i, j, s in zip(row, column, score)} == expected
+    assert sum(scored) < 0.2 * whole.size
