@@ -19,8 +19,9 @@ from pairwell.sources.search_index import write_index
 from pairwell.sources.vectors import VectorStore
 from pairwell.streaming.status import write_stored
 
-#: Raw messages in a row group, before compression.
-ROW_GROUP_BYTES = 32 << 20
+#: Of a row group of raw messages, as they are buffered, which is mostly compressed. Spark's reader holds 4,096 rows at a time,
+#: but no more than a row group: with long messages that is much less.
+ROW_GROUP_BYTES = 2 << 20
 
 REJECT = T.StructType([T.StructField("value", T.StringType()), T.StructField("reason", T.StringType())])
 
