@@ -551,6 +551,11 @@ def _number() -> Column:
     return F.regexp_extract("link", r"/(\d+)//", 1).cast("long")
 
 
+def _enriched(messages: DataFrame, part: Column, dim: int) -> DataFrame:
+    """Postings of some messages; the others are not made."""
+    return enrich(valid_messages(decode_messages(messages.filter(part))), dim=dim)
+
+
 def _batch(spark, path: str, batch_id: int) -> DataFrame:
     """Postings of a batch that is written, to take others from: enriching is costly."""
     return read_batches(spark, path, POSTING).filter(F.col("batch_id") == batch_id).drop("batch_id")
@@ -591,13 +596,13 @@ def q_compacted_postings(spark, sf):
     """Two halves of the documents as batches with a compaction between; the second sends some postings again."""
     messages = posting_messages(spread(table(spark, sf, "documents")))
     base = shared_dir(spark, "compacted")
-    rows, number = enrich(valid_messages(decode_messages(messages)), dim=4), _number()
+    number, doc_id = _number(), F.col("doc_id")
     # Rows that several batches have are enriched for the first one, and taken from it.
-    write_batch(rows.filter(number % 2 == 0), f"{base}/batches", 0)
+    write_batch(_enriched(messages, doc_id % 2 == 0, 4), f"{base}/batches", 0)
     first = _batch(spark, f"{base}/batches", 0)
     write_batch(first.filter(number % 4 == 0).withColumn("title", F.lit("again")), f"{base}/batches", 1)
     compact_postings(spark, f"{base}/batches", f"{base}/current", 1 << 20)
-    later = rows.filter(number % 2 == 1).unionByName(first.filter(number % 6 == 0))
+    later = _enriched(messages, doc_id % 2 == 1, 4).unionByName(first.filter(number % 6 == 0))
     later = later.withColumn("doc_type", F.when(number % 3 == 0, "job").otherwise("cv"))
     write_batch(later, f"{base}/batches", 2)
     found = read_postings(spark, f"{base}/batches", compacted=f"{base}/current")
@@ -644,11 +649,11 @@ def _indexed(spark, sf):
     """Documents as postings of two batches and their index; the second sends some again."""
     messages = posting_messages(spread(table(spark, sf, "documents")))
     base = shared_dir(spark, "indexed")
-    rows, number = enrich(valid_messages(decode_messages(messages)), dim=DIM), _number()
+    number, only_first = _number(), F.col("doc_id") % 6 == 4
     once = number % 6 == 4
     # The second batch is written first: rows that both have are enriched for it, and taken from it.
-    write_batch(rows.filter(~once), f"{base}/postings", 1)
-    early = _batch(spark, f"{base}/postings", 1).unionByName(rows.filter(once)).filter(number % 3 != 0)
+    write_batch(_enriched(messages, ~only_first, DIM), f"{base}/postings", 1)
+    early = _batch(spark, f"{base}/postings", 1).unionByName(_enriched(messages, only_first, DIM)).filter(number % 3 != 0)
     # What the second batch replaces has other words and skills in the first.
     older = early.withColumns({"title": F.when(once, F.col("title")).otherwise(F.lit("older words"))})
     write_batch(older, f"{base}/postings", 0)
